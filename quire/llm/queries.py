@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import jaccard, langid, mixing, tokens, toxicity
+from quire.llm import decontaminate, jaccard, langid, mixing, tokens, toxicity
 from quire.llm.common import fold, table
 
 
@@ -16,6 +16,10 @@ def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_jaccard_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_bitmasks, op4_mix_sources, op5_toxic_segments, op6_token_counts, op10_jaccard_chosen_path)}
+    return {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op4_mix_sources, op5_toxic_segments, op6_token_counts, op10_jaccard_chosen_path)}
 
 
 def oracle_sql() -> dict[str, str]:
