@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard, langid, mixing, tokens, toxicity
+from quire.llm import decontaminate, jaccard, langid, mixing, neighbours, tokens, toxicity
 from quire.llm.common import fold, table
 
 
@@ -35,12 +35,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_jaccard_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op4_mix_sources, op5_toxic_segments, op6_token_counts, op10_jaccard_chosen_path)}
+    return {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op4_mix_sources, op5_toxic_segments, op6_token_counts, op8_nearest_ivf_pq, op10_jaccard_chosen_path)}
 
 
 def oracle_sql() -> dict[str, str]:
