@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard, langid, mixing, neighbours, tokens, toxicity
-from quire.llm.common import fold, table
+from quire.llm import decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, tokens, toxicity, urls
+from quire.llm.common import checkpointed, fold, table
 
 
 def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -35,17 +39,53 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(table(spark, sf_dir, "documents"))
 
 
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records against a replica of them with known damage: bits, lost records and cut payloads."""
+    pages = table(spark, sf_dir, "pages")
+    record = fixity.warc_record(F.col("url"), F.col("html"))
+    first = pages.select(F.floor(F.col("page_id") / 1000).alias("archive"), F.col("page_id").alias("key"), F.coalesce(F.octet_length(record), F.lit(0)).cast("long").alias("size"), fixity.leaf_hash(record).alias("hash"))
+    n = F.col("page_id")
+    damaged = F.when(n % 389 == 7, None).when(n % 97 == 13, F.translate("html", "<", "[")).when(n % 211 == 5, F.expr("left(html, length(html) - 1)")).otherwise(F.col("html"))
+    second = pages.select(n.alias("key"), fixity.leaf_hash(fixity.warc_record(F.col("url"), damaged)).alias("hash"))
+    manifest = checkpointed(fixity.placed(first))
+    bad = fixity.audit(fixity.replica(manifest, first), fixity.replica(manifest, second))
+    place = manifest.select(F.col("archive").alias("_archive"), F.col("at").alias("_at"), F.col("key").alias("page_id"))
+    found = bad.join(place, F.col("archive").eqNullSafe(F.col("_archive")) & (F.col("at") == F.col("_at")))
+    return found.select("page_id", "archive", F.col("at").alias("seq"), "low", "high", "status")
+
+
+OP7_SQL = """
+WITH r AS (SELECT page_id, url, html, CAST(floor(page_id / 1000) AS BIGINT) AS archive,
+  coalesce(48 + strlen(coalesce(url, '')) + 18 + length(CAST(strlen(html) AS VARCHAR)) + 4 + strlen(html) + 4, 0) AS size FROM pages),
+p AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY page_id) - 1 AS seq,
+  sum(size) OVER (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS high FROM r)
+SELECT page_id, archive, seq, CAST(high - size AS BIGINT) AS low, CAST(high AS BIGINT) AS high,
+  CASE WHEN page_id % 389 = 7 THEN 'missing' ELSE 'changed' END AS status
+FROM p WHERE html IS NOT NULL AND (page_id % 389 = 7 OR (page_id % 97 = 13 AND contains(html, '<')) OR (page_id % 97 <> 13 AND page_id % 211 = 5 AND html <> ''))
+"""
+
+
 def op8_nearest_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op4_mix_sources, op5_toxic_segments, op6_token_counts, op8_nearest_ivf_pq, op10_jaccard_chosen_path)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op3_licence_sentences, op4_mix_sources, op5_toxic_segments, op6_token_counts, op7_merkle_audit, op8_nearest_ivf_pq, op9_url_language_models, op10_jaccard_chosen_path)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_licence_sentences": licences.sql(),
+        "op7_merkle_audit": OP7_SQL,
+        "op9_url_language_models": urls.SQL,
+    }
