@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without significant toxic passages."""
-    model = toxicity.train(toxicity.train_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    model = toxicity.train(table(spark, sf_dir, "documents"), toxicity.train_labels(table(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs, model)
 
 

@@ -30,7 +30,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.train_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, toxicity.train_labels(table(spark, sf_dir, "labels")))
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 

@@ -99,18 +99,21 @@ def posterior(model: Model, x: float) -> float:
     return 1 / (1 + math.exp(min(700.0, -(model.curve[0] + model.curve[1] * x))))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_docs: int = 20_000, min_z: float = 2.6, min_odds: float = 2.0, max_words: int = 50_000) -> Model:
-    """Fit on about ``max_docs`` documents of each class, drawn by a hash of the text.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 20_000, min_z: float = 2.6, min_odds: float = 2.0, max_words: int = 50_000) -> Model:
+    """Fit on about ``max_docs`` labelled documents of each class, drawn by a hash of the id.
 
+    The drawn labels are bounded by that and so are broadcast: no text is shuffled.
     The lexicon keeps words with a log-odds of ``min_odds`` (nats) and ``min_z``
     standard deviations or more, ``max_words`` at most, the most significant ones.
     """
-    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)")
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").distinct()
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
     rate = F.when(F.col("y") == 1, min(1.0, max_docs / sizes[1])).otherwise(min(1.0, max_docs / sizes[0]))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * F.lit(1 << 30))
+    some = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < rate * F.lit(1 << 30))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    drawn = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +139,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
         return Model()
     model.other = min(model.other, -1e-3)
     least = min(model.lexicon.values())
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("n long, above long")
     def tally(texts: pd.Series) -> pd.DataFrame:
@@ -148,7 +151,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
 
     words, above = drawn.where("y = 0").select(tally("text").alias("s")).agg(F.sum("s.n"), F.sum("s.above")).first()
     model.k = ((above or 0) + 0.5) / (max(1, words or 0) * math.exp(-least))
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def level(texts: pd.Series) -> pd.Series:
@@ -202,8 +205,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     return docs.withColumn(name, score(docs, model, F.col(text_col))).where(F.col(f"{name}.score") < threshold).select(*docs.columns)
 
 
-def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents that may be learned: fold 1 of 3 by crc32 of the id is held out."""
-    of = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_toxic IS NOT NULL").distinct()
-    rows = docs.where(fold(F.col("doc_id"), 3) != 1).select(F.col("doc_id").alias("_doc"), F.col("text"))
-    return rows.join(of, F.col("_doc") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))
+def train_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The labels that may be learned: fold 1 of 3 by crc32 of the id is held out."""
+    return labels.where(fold(F.col(id_col), 3) != 1)
