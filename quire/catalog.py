@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import structure  # noqa: F401  importing a module registers its queries
+from quire.plans import compare, structure  # noqa: F401  importing a module registers its queries
 from quire.plans.registry import ORACLES, QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["w02_classify"](spark, sf_dir)
+    return QUERIES["flagship_structure_score"](spark, sf_dir)
 
 
 def queries() -> dict:
