@@ -127,7 +127,7 @@ def _compare(leaves: DataFrame, least: int) -> DataFrame:
                 if left:
                     x, y = _forest(np.concatenate(left), np.concatenate(right))
                     node = part.column("node").combine_chunks()
-                    yield pa.RecordBatch.from_arrays([pc.take(node, pa.array(x)), pc.take(node, pa.array(y))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pc.take(node, pa.array(x, pa.int64())), pc.take(node, pa.array(y, pa.int64()))], ["a", "b"])
 
     return leaves.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a binary, b binary")
 
