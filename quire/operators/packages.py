@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.sources.lineage import checkpointed
+
 # Parts that every package has.
 REQUIRED = ("[Content_Types].xml", "_rels/.rels", "word/document.xml")
 
@@ -93,7 +95,7 @@ def reachable(edges: DataFrame, rounds: int = 8) -> DataFrame:
     for _ in range(rounds):
         step = pairs.select(F.col("graph_id").alias("_g"), F.col("a").alias("_a"), F.col("b").alias("_b"))
         more = pairs.join(step, (F.col("graph_id") == F.col("_g")) & (F.col("b") == F.col("_a"))).select("graph_id", "a", F.col("_b").alias("b"))
-        pairs = pairs.unionByName(more).distinct()
+        pairs = checkpointed(pairs.unionByName(more).distinct())
         now = pairs.count()
         if now == n:
             break
@@ -119,12 +121,12 @@ def grid_positions(nodes: DataFrame, forward: DataFrame, rounds: int = 60) -> Da
     A round raises ranks along edges; rounds end when one changes nothing, and
     graphs have 60 nodes at most.
     """
-    rank = nodes.select("graph_id", "id", "ord", F.lit(0).alias("row"))
+    rank, forward = checkpointed(nodes.select("graph_id", "id", "ord", F.lit(0).alias("row"))), checkpointed(forward)
     total = 0
     for _ in range(rounds):
         up = forward.join(rank.select(F.col("graph_id").alias("_g"), F.col("id").alias("_id"), F.col("row").alias("_row")), (F.col("graph_id") == F.col("_g")) & (F.col("src") == F.col("_id")))
         most = up.groupBy(F.col("graph_id").alias("_g"), F.col("dst").alias("_id")).agg((F.max("_row") + 1).alias("_row"))
-        rank = rank.join(most, (F.col("graph_id") == F.col("_g")) & (F.col("id") == F.col("_id")), "left").select("graph_id", "id", "ord", F.greatest("row", F.coalesce("_row", F.lit(0))).alias("row"))
+        rank = checkpointed(rank.join(most, (F.col("graph_id") == F.col("_g")) & (F.col("id") == F.col("_id")), "left").select("graph_id", "id", "ord", F.greatest("row", F.coalesce("_row", F.lit(0))).alias("row")))
         now = rank.agg(F.sum("row")).first()[0] or 0
         if now == total:
             break
