@@ -5,7 +5,7 @@ to its coarse list and its residual is coded. Lists are packed into blocks of a
 bounded number of rows (a list larger than that has several blocks); a query goes
 to the blocks of the lists it probes, where tables of its inner products with all
 codewords give approximate cosines. Each block passes on its best few for each
-query, the best of all blocks are reranked with the original vectors in double
+query, of those that can still beat the query's nearest in the sample; the best of all blocks are reranked with the original vectors in double
 precision. The number of probed lists is calibrated on the sample for the target
 recall.
 
@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.common import checkpointed
+
 BLOCK = 8192
 
 
@@ -39,6 +41,8 @@ class Index:
     centroids: np.ndarray  # lists x d
     books: np.ndarray  # subspaces x codewords x width
     probes: int
+    sample: np.ndarray  # unit vectors that the index was fitted on
+    margin: float  # that the approximate cosine falls below the exact one, at most, for all but a few in a thousand
     first: np.ndarray | None = None  # first block of each list
     blocks: np.ndarray | None = None  # number of blocks of each list
 
@@ -97,7 +101,9 @@ def fit(rows: DataFrame, d: int, sample: int = 20_000, recall: float = 0.98, k:
     true = np.argsort(-cosine, axis=1)[:, : min(k, len(x) - 1)]
     order = np.argsort(np.argsort(-(x[q] @ centroids.T), axis=1), axis=1)
     ranks = np.take_along_axis(order, nearest(x, centroids)[true], axis=1) if true.size else np.zeros(1)
-    return Index(centroids, books, min(lists, int(np.quantile(ranks, recall)) + 1))
+    decoded = centroids[nearest(x, centroids)] + np.concatenate([b[nearest(np.ascontiguousarray(r), b)] for r, b in zip(np.split(residual, parts, axis=1), books, strict=True)], axis=1)
+    error = np.take_along_axis(cosine - x[q] @ decoded.T, true, axis=1) if true.size else np.zeros(1)
+    return Index(centroids, books, min(lists, int(np.quantile(ranks, recall)) + 1), x, max(0.0, float(np.quantile(error, 0.999))))
 
 
 def _encode(rows: DataFrame, index: Index, d: int) -> DataFrame:
@@ -116,7 +122,7 @@ def _encode(rows: DataFrame, index: Index, d: int) -> DataFrame:
     return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, vh long, list int, codes binary")
 
 
-def _dealt(queries: DataFrame, index: Index, d: int) -> DataFrame:
+def _dealt(queries: DataFrame, index: Index, d: int, k: int) -> DataFrame:
     """A row for each query and block that it probes, with the probed lists of that block."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
 
@@ -125,7 +131,12 @@ def _dealt(queries: DataFrame, index: Index, d: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                near = np.argsort(-(_unit(_matrix(part.column("vec"), d)) @ ix.centroids.T), axis=1, kind="stable")[:, : ix.probes]
+                q = _unit(_matrix(part.column("vec"), d))
+                near = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")[:, : ix.probes]
+                # The sample's rows are candidates, so the k-th nearest of them bounds the result; its own vector doesn't count.
+                cosine = q @ ix.sample.T
+                cosine[cosine > 1 - 1e-6] = -9
+                least = np.partition(cosine, -k, axis=1)[:, -k] - ix.margin if cosine.shape[1] > k else np.full(len(q), -9.0)
                 row, block, lists = [], [], []
                 for i, probed in enumerate(near):
                     of: dict[int, list[int]] = {}
@@ -136,9 +147,9 @@ def _dealt(queries: DataFrame, index: Index, d: int) -> DataFrame:
                     block += of.keys()
                     lists += of.values()
                 part = part.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("id"), part.column("vec"), pa.array(lists, pa.list_(pa.int32()))], ["block", "id", "vec", "probed"])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("id"), part.column("vec"), pa.array(lists, pa.list_(pa.int32())), pa.array(least[row].astype(np.float64))], ["block", "id", "vec", "probed", "least"])
 
-    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vec array<float>, probed array<int>")
+    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vec array<float>, probed array<int>, least double")
 
 
 def _scan(index: Index, d: int, k: int, passed: int, spark):
@@ -186,8 +197,9 @@ def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, passed: int)
     score = (q @ ix.centroids.T)[:, lists]
     for p in range(codes.shape[1]):
         score += tables[:, p, codes[:, p]]
+    least = queries.column("least").to_numpy()
     for i, probed in enumerate(queries.column("probed").to_pylist()):
-        on = np.flatnonzero(np.isin(lists, probed))
+        on = np.flatnonzero((score[i] >= least[i]) & np.isin(lists, probed))
         s = score[i, on]
         if len(on) > passed:  # all that reach the limit, then the smaller ids first
             limit = np.partition(s, len(s) - passed)[len(s) - passed]
@@ -226,12 +238,12 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
             room -= n
     lists = spark.createDataFrame([(c, int(index.first[c]), int(index.blocks[c])) for c in range(len(index.centroids))], "_list int, first int, blocks int")
     placed = coded.join(F.broadcast(lists), F.col("list") == F.col("_list")).select(
-        (F.col("first") + F.pmod(F.xxhash64("id", "vh"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vh", "list", "codes", F.lit(None).cast("array<float>").alias("vec"), F.lit(None).cast("array<int>").alias("probed")
+        (F.col("first") + F.pmod(F.xxhash64("id", "vh"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vh", "list", "codes", F.lit(None).cast("array<float>").alias("vec"), F.lit(None).cast("array<int>").alias("probed"), F.lit(None).cast("double").alias("least")
     )
-    asked = _dealt(queries, index, d).select("block", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("vh"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "vec", "probed")
+    asked = _dealt(queries, index, d, k).select("block", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("vh"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "vec", "probed", "least")
     found = placed.unionAll(asked).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scan(index, d, k, passed, spark), f"query_id {kind}, id {kind}, vh long, near double")
     best = W.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    near = found.where("id != query_id").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", F.col("id").alias("_id"), F.col("vh").alias("_vh")).distinct()
+    near = checkpointed(found.where("id != query_id").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", F.col("id").alias("_id"), F.col("vh").alias("_vh")).distinct())
     whole = rows.join(near.select("_id", "_vh").distinct(), (F.col("id") == F.col("_id")) & (F.col("vh") == F.col("_vh")), "left_semi").dropDuplicates(["id", "vh"])
     pairs = near.join(whole, (F.col("id") == F.col("_id")) & (F.col("vh") == F.col("_vh"))).select("query_id", "id", "vec").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
