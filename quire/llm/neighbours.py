@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import checkpointed
 
 BLOCK = 8192
+LEAST_ROWS = 200  # that a query compares, on average; so it probes all lists of a small table
 
 
 @dataclass
@@ -103,7 +104,8 @@ def fit(rows: DataFrame, d: int, sample: int = 20_000, recall: float = 0.98, k:
     ranks = np.take_along_axis(order, nearest(x, centroids)[true], axis=1) if true.size else np.zeros(1)
     decoded = centroids[nearest(x, centroids)] + np.concatenate([b[nearest(np.ascontiguousarray(r), b)] for r, b in zip(np.split(residual, parts, axis=1), books, strict=True)], axis=1)
     error = np.take_along_axis(cosine - x[q] @ decoded.T, true, axis=1) if true.size else np.zeros(1)
-    return Index(centroids, books, min(lists, int(np.quantile(ranks, recall)) + 1), x, max(0.0, float(np.quantile(error, 0.999))))
+    probes = max(int(np.quantile(ranks, recall)) + 1, -(-lists * LEAST_ROWS // total))
+    return Index(centroids, books, min(lists, probes), x, max(0.0, float(np.quantile(error, 0.999))))
 
 
 def _encode(rows: DataFrame, index: Index, d: int) -> DataFrame:
@@ -173,7 +175,7 @@ def _scan(index: Index, d: int, k: int, passed: int, spark):
                 if rows is None:
                     rows = _block_rows(pa.Table.from_batches(held), k) if held else ()
                 for i in range(0, part.num_rows if rows else 0, 128):
-                    yield from _best(ix, rows, part.slice(i, 128), d, passed)
+                    yield from _best(ix, rows, part.slice(i, 128), d, passed, k + 1)
 
     return scan
 
@@ -190,7 +192,7 @@ def _block_rows(table: pa.Table, k: int) -> tuple:
     return table.column("id").combine_chunks(), table.column("vh").to_numpy(), table.column("list").to_numpy(), codes.astype(np.int64)
 
 
-def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, passed: int) -> Iterator[pa.RecordBatch]:
+def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, passed: int, few: int) -> Iterator[pa.RecordBatch]:
     ids, vh, lists, codes = rows
     q = _unit(_matrix(queries.column("vec"), d))
     tables = np.einsum("qpw,pkw->qpk", q.reshape(len(q), len(ix.books), -1), ix.books)
@@ -199,8 +201,11 @@ def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, passed: int)
         score += tables[:, p, codes[:, p]]
     least = queries.column("least").to_numpy()
     for i, probed in enumerate(queries.column("probed").to_pylist()):
-        on = np.flatnonzero((score[i] >= least[i]) & np.isin(lists, probed))
+        on = np.flatnonzero(np.isin(lists, probed))
         s = score[i, on]
+        if len(on) > few:  # those that can be in the result, but never fewer than a whole result
+            keep = s >= min(least[i], np.partition(s, len(s) - few)[len(s) - few])
+            on, s = on[keep], s[keep]
         if len(on) > passed:  # all that reach the limit, then the smaller ids first
             limit = np.partition(s, len(s) - passed)[len(s) - passed]
             on = on[s >= limit]
