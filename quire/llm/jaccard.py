@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed, fresh
-from quire.llm.shingles import SLOTS, components, mix, runs, set_key, shingle_sets, signature
+from quire.llm.shingles import SLOTS, components, minwise, mix, runs, set_key, shingle_sets, signature
 
-LEVELS = 5
+LEVELS, STRIDE = 5, 2
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 
 
@@ -51,18 +51,32 @@ def runs_for(recall: float, similarity: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, LEVELS))))
 
 
-def _embedded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _embedded(docs: DataFrame, id_col: str, text_col: str, seeds: int) -> DataFrame:
+    """(id, node, n, sig, paths): the set's key and size, its signature, and its buckets at the first level of each run.
+
+    The first level splits by the whole hash of a sampled shingle, as all sets meet
+    there; within a bucket, 16 bits of each are enough.
+    """
+    root = mix(np.arange(1, seeds + 1, dtype=np.uint64))
+    first, more, second = _sample(root)
+    slot, start = np.concatenate([first, second[more]]), np.concatenate([root, root[more]])
+
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sigs, sizes = [], [], []
+            keys, sigs, sizes, paths = [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
-                keys.append(set_key(s) if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["id", "node", "n", "sig"])
+                if not len(s):
+                    keys.append(None), sigs.append(None), paths.append(None)
+                    continue
+                tokens = minwise(s)
+                keys.append(set_key(s))
+                sigs.append(signature(tokens).tobytes())
+                paths.append(_child(start, slot, tokens[slot]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["id", "node", "n", "sig", "paths"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(embed, f"id {kind}, node binary, n long, sig binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(embed, f"id {kind}, node binary, n long, sig binary, paths array<long>")
 
 
 def _sample(path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,34 +87,28 @@ def _sample(path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, (h >> np.uint64(50)) % np.uint64(4) == 0, second
 
 
-def _children(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and paths of the children of rows with a path and a signature."""
-    first, more, second = _sample(path)
-    row = np.concatenate([np.arange(len(path)), np.flatnonzero(more)])
-    slot = np.concatenate([first, second[more]])
-    token = sig[row, slot].astype(np.uint64)
-    return row, mix(mix(path[row] + slot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + token * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+def _child(path: np.ndarray, slot: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(mix(path + slot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + token.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
 
 
-def _split(rows: DataFrame, seeds: int = 0) -> DataFrame:
-    """(node, sig, path) to (node, path) of the children; with ``seeds``, from the roots of that many runs."""
+def _split(rows: DataFrame, levels: int) -> DataFrame:
+    """(node, sig, path) to (node, path) of the descendants that many levels down, with no shuffle between these levels."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _signatures(batch.column("sig"))
-            if seeds:
-                roots = [np.full(len(sig), mix(np.array([r + 1], np.uint64))[0]) for r in range(seeds)]
-            else:
-                roots = [batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64)]
-            for path in roots:
-                row, child = _children(path, sig)
-                yield pa.RecordBatch.from_arrays([pc.take(batch.column("node"), pa.array(row)), pa.array(child.view(np.int64))], ["node", "path"])
+            sig, path = _signatures(batch.column("sig")), batch.column("path").to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.arange(len(path))
+            for _ in range(levels):
+                first, more, second = _sample(path)
+                row, slot = np.concatenate([np.arange(len(path)), np.flatnonzero(more)]), np.concatenate([first, second[more]])
+                at, path = at[row], _child(path[row], slot, sig[at[row], slot])
+            yield pa.RecordBatch.from_arrays([pc.take(batch.column("node"), pa.array(at)), pa.array(path.view(np.int64))], ["node", "path"])
 
     return rows.mapInArrow(split, "node binary, path long")
 
@@ -151,22 +159,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def suspects(sets: DataFrame, similarity: float, recall: float, small: int) -> DataFrame:
+def suspects(sets: DataFrame, similarity: float, small: int) -> DataFrame:
     """Edges (a, b) between sets that may be similar, from all runs at once, one level of the recursion after the other."""
     least = math.floor(SLOTS * similarity - 4.2 * math.sqrt(SLOTS * similarity * (1 - similarity)))
     sig, found = sets.select(F.col("node").alias("_n"), "sig"), []
-    rows = _split(sets.select("node", "sig"), runs_for(recall, similarity))
-    for level in range(1, LEVELS + 1):
-        rows = checkpointed(rows)
+    rows = sets.select("node", F.explode("paths").alias("path"))
+    for level in range(1, LEVELS + 1, STRIDE):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1").withColumnRenamed("path", "_p")
         shared = rows.join(sizes, F.col("path") == F.col("_p")).select("node", "path", "size", "pivot")
         with_sig = lambda part: part.select("node", "path").join(sig, F.col("node") == F.col("_n")).select("node", "path", "sig")
         found.append(_compare(with_sig(shared.where(F.col("size") <= small)), least))
         large = shared.where(F.col("size") > small)
-        if level == LEVELS:
+        if level + STRIDE > LEVELS:
             found.append(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         else:
-            rows = _split(with_sig(large))
+            rows = checkpointed(_split(with_sig(large), STRIDE))
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionAll(more)
@@ -240,10 +247,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     class_id is the smallest id in the connected group of links; a document
     without words has its own id.
     """
-    every = checkpointed(_embedded(docs, id_col, text_col))
-    sets = checkpointed(every.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    groups = components(suspects(sets, similarity, recall, small))
-    members = checkpointed(groups.join(sets.drop("sig"), "node"))
+    every = checkpointed(_embedded(docs, id_col, text_col, runs_for(recall, similarity)))
+    first = lambda c: F.first(c).alias(c)
+    sets = checkpointed(every.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("rep"), first("n"), first("sig"), first("paths")))
+    groups = components(suspects(sets, similarity, small))
+    sets = sets.drop("sig", "paths")
+    members = checkpointed(groups.join(sets, "node"))
     per_group = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +275,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     exact = checkpointed(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_block_links(similarity), "node binary, links long, head binary"))
     joined = components(exact.select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "_n")
     counted = exact.groupBy("node").agg(F.sum("links").alias("links"))
-    of = sets.drop("sig", "n").join(counted, "node", "left").join(joined, F.col("node") == F.col("_n"), "left").select("node", "m", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    of = sets.drop("n").join(counted, "node", "left").join(joined, F.col("node") == F.col("_n"), "left").select("node", "m", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("class_id")).withColumnRenamed("root", "_r")
     told = of.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_node"), "class_id", (F.col("links") + F.col("m") - 1).alias("links"), "m")
     rows = every.select(F.col("id").alias("_id"), "node").join(told, F.col("node") == F.col("_node"), "left")

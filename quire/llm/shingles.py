@@ -90,13 +90,23 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, SLOTS, dtype=np.uint32), rng.integers(0, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """16 bits of each of the min-wise sampled shingles."""
+@lru_cache(1)
+def _inverse() -> np.ndarray:
+    return np.array([pow(int(f), -1, 1 << 32) for f in _permutations()[1]], np.uint32)
+
+
+def minwise(shingles: np.ndarray) -> np.ndarray:
+    """The min-wise sampled shingle of each slot, out of a sorted set that isn't empty."""
     flip, factor = _permutations()
     short, low = (shingles >> np.uint64(32)).astype(np.uint32), np.full(SLOTS, np.uint32(0xFFFFFFFF))
     for a in range(0, len(short), 512):
         low = np.minimum(low, ((short[a : a + 512, None] ^ flip) * factor).min(axis=0))
-    return (mix(low.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+    return shingles[np.searchsorted(short, (low * _inverse()) ^ flip)]  # a permutation is undone to find whose value was least
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """16 bits of each sampled shingle."""
+    return (mix(tokens) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def set_key(shingles: np.ndarray) -> bytes:
