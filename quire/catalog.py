@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import compare, layout, rules, spec, structure  # noqa: F401  importing a module registers its queries
+from quire.plans import compare, job, layout, rules, spec, structure  # noqa: F401  importing a module registers its queries
 from quire.plans.registry import ORACLES, QUERIES
 
 
