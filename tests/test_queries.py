@@ -9,7 +9,6 @@ import pytest
 from quire import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"g03_grid_positions"}
 
 
 def value(v):
@@ -18,7 +17,7 @@ def value(v):
     return tuple(map(value, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_matches_sql(spark, name):
     import duckdb
 
