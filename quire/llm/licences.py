@@ -1,8 +1,10 @@
 """Licence recognition by sentence rules, with column functions only.
 
-A text is cut into sentences, each sentence is normalised and looked up among the
-known licence sentences, and the sequence of identifiers found, in the order of
-the text, is held against the ordered rules: a rule is a run of identifiers, which
+A text is normalised and cut into pieces at line breaks and punctuation. A known
+licence sentence is a run of whole pieces: line breaks, blank lines, colons and
+semicolons may lie within it, as in wrapped notices, but not the end of a sentence.
+Where several begin, the longest counts. The sequence of identifiers found, in the
+order of the text, is held against the ordered rules: a rule is a run of identifiers, which
 other sentences may interrupt; where it matches it takes its identifiers away, so
 that a full notice is recognised before its parts are. All of it happens within a
 row, without a shuffle.
@@ -62,8 +64,11 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc_by_nc",)),
     ("CC-BY-ND-4.0", ("cc_by_nd",)),
 )
+# Cuts in a normalised text, which is in lower case otherwise: the end of a sentence, and a break that a sentence may run across.
+END, BREAK = "E", "B"
+# The SQL takes the pieces one by one, so it knows no sentence that runs across a break.
 CUT = r"\n+|[.!?:;]+\s+"
-LONGEST = 1000  # characters; a longer sentence can't be a known one
+LONGEST = 1000
 
 
 def _mark(i: int) -> str:
@@ -74,12 +79,13 @@ def _mark(i: int) -> str:
 def sentence_marks(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The known sentences of a text in order, a character each."""
     known = F.create_map(*[F.lit(x) for i, s in enumerate(sentences.values()) for x in (s, _mark(i))])
-    least, most = min(map(len, sentences.values())), max(map(len, sentences.values()))
-    # Cut, look at sentences of a possible length only, normalise, look up.
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), CUT), lambda s: (F.length(s) >= least) & (F.length(s) <= LONGEST))
-    normal = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    fit = F.filter(normal, lambda s: (F.length(s) >= least) & (F.length(s) <= most))
-    return F.array_join(F.transform(fit, lambda s: F.try_element_at(known, s)), "")
+    cut = F.concat(F.lit(END), F.lower(F.coalesce(text, F.lit(""))), F.lit(END))
+    # Each pattern is linear in the text: mark the cuts, normalise, make one cut of those without words between.
+    for pattern, by in ((r"[.!?]\s", END), (r"[:;]\s|\n", BREAK), (f"[^a-z0-9{END}{BREAK}]+", " "), (f" ?+{BREAK}[ {BREAK}]*+", BREAK), (f"[ {BREAK}]?+{END}[ {BREAK}{END}]*+", END)):
+        cut = F.regexp_replace(cut, pattern, by)
+    runs = "|".join(s.replace(" ", f"[ {BREAK}]") for s in sorted(sentences.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(cut, F.lit(f"[{END}{BREAK}]({runs})(?=[{END}{BREAK}])"), F.lit(1))
+    return F.array_join(F.transform(found, lambda s: F.element_at(known, F.translate(s, BREAK, " "))), "")
 
 
 def _pattern(run: tuple[str, ...], sentences: dict[str, str]) -> tuple[str, int]:
@@ -106,7 +112,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def sql(rules: tuple = RULES, sentences: dict[str, str] = SENTENCES) -> str:
-    """DuckDB SQL for scanned() over documents."""
+    """DuckDB SQL for scanned() over documents whose licence sentences are a piece each."""
     values = ", ".join(f"('{s}', chr({0xE000 + i}), '{name}')" for i, (name, s) in enumerate(sentences.items()))
     steps, at = [], "r0"
     for k, (licence, run) in enumerate(rules, 1):

@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -153,6 +154,46 @@ def test_licence_rules_are_ordered(spark):
     assert "apache" in grant.lower()
 
 
+NOTICES = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.""",
+}
+
+
+def test_licence_notices_as_published(spark):
+    rows, want = [], {}
+    for licence, notice in NOTICES.items():
+        for width, mark, end in ((72, "", "\n"), (80, " * ", "\n"), (60, "# ", "\r\n"), (10_000, "", "\n"), (33, "//" + " " * 60, "\n")):
+            lines = [line for part in notice.split("\n") for line in textwrap.wrap(part, width, break_long_words=False) or [""]]
+            want[len(rows)] = (licence, "")
+            rows.append((len(rows), end.join(["x = 1", "Copyright 2024 The Authors", "", *lines, "", "def f():", "    pass"]).replace(end, end + mark), None, None))
+    for text in ("Licensed under the Apache License. Version 2.0.", "not licensed under the MIT License", "Licensed under the MIT License 2", "unlicensed under the mit license"):
+        rows.append((len(rows), text, None, None))
+    rows.append((len(rows), "EB.\nLicensed under the\n\nMIT License", None, None))
+    want[len(rows) - 1] = ("MIT", "")
+    got = {r.doc_id: (r.licences, r.left_over) for r in licences.scanned(frame(spark, rows)).collect()}
+    assert got == want
+
+
 # Mixing
 
 
