@@ -6,9 +6,11 @@ strings at a small edit distance fall into step again after each edit, so their
 outputs are at a small Hamming distance. Symbols are the words of the text. Every
 word begins a window as long as the items of a length class (powers of two); one
 walk over all windows of a batch at once serves every class and repetition, each
-of which samples ``SAMPLED`` outputs. A window whose sample equals an item's is a
-candidate if the whole embeddings are near in Hamming distance, and the item's edit distance to the best passage there is computed
-exactly, on the characters of the whole item.
+of which samples ``SAMPLED`` outputs. Windows of its class cover the whole item, a
+quarter of a window apart and one at its end. A window of the text whose sample
+equals that of an item's window is a candidate if the whole embeddings are near in
+Hamming distance, and the item's edit distance to the best passage around it is
+computed exactly, on the characters of the whole item.
 
 A match is a passage whose edit distance to the item is at most ``max_edits`` of
 the item's length (both as lower-case words joined by one space).
@@ -37,7 +39,7 @@ from quire.llm.shingles import mix, word_hashes
 
 FUNCTIONS, SAMPLED, WINDOWS = 2, 4, 1 << 14
 NEAR = 0.45  # outputs in which a candidate must agree, of all; words that don't belong together agree in a few hundredths
-LONGEST = 64  # words that the windows of longer items span; the verification takes the whole item
+LONGEST = 64  # words that a window spans at most; longer items have more windows
 PART = 1 << 20
 
 
@@ -70,14 +72,17 @@ def distance(pattern: str, text: str, most: int) -> int:
 
 @dataclass
 class Items:
-    """Items of one block, ready for look-up: ids, texts, word counts, classes, and the keys by function, class and repetition."""
+    """Items of one block, ready for look-up: ids, texts, their windows, classes, and the keys by function, class and repetition."""
 
     ids: list
     texts: list[str]
-    words: np.ndarray
+    owner: np.ndarray  # by window, its item
+    skipped: np.ndarray  # by window, the words of the item before it
+    before: np.ndarray  # by window, the characters of the item before it
+    starts: np.ndarray  # by window, its place among the symbols
     plan: list[tuple[int, int, list[list[int]]]]  # (class, steps, sampled steps by repetition)
-    keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # (function, class, repetition) to (filter, sorted keys, items)
-    outputs: list[np.ndarray]  # by function, the embedding of each item
+    keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # (function, class, repetition) to (filter, sorted keys, windows)
+    symbols: list[list[np.ndarray]]  # by function, of the words of all items
 
 
 def _symbols(h: np.ndarray, steps: int) -> list[list[np.ndarray]]:
@@ -120,6 +125,17 @@ def _embedded(symbols: list[np.ndarray], starts: np.ndarray, steps: int) -> np.n
     return out
 
 
+def _places(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Characters before each word, and after the last, when all words are joined by one space."""
+    count = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+    return np.concatenate([[0], np.cumsum(count[last] - count[first] + 1)])
+
+
+def _offsets(n: int, span: int) -> list[int]:
+    """First words of the windows that cover an item of n words."""
+    return sorted({*range(0, n - span + 1, max(1, span // 4)), n - span})
+
+
 def prepare(rows: list[tuple], reps: int, min_words: int) -> Items | None:
     """Items from (id, text) rows; None if none takes part."""
     rows = [(i, t) for i, t in rows if t]
@@ -141,21 +157,24 @@ def prepare(rows: list[tuple], reps: int, min_words: int) -> Items | None:
     steps = 2 * int(spans.max())
     tail = mix(np.arange(1, steps + 2, dtype=np.uint64) << np.uint64(40))
     padded = np.concatenate([np.concatenate([h[begin[i] : begin[i] + n[i]], tail]) for i in keep])
-    starts = np.concatenate([[0], np.cumsum(n[keep] + len(tail))[:-1]]).astype(np.int64)
-    keys, outputs = {}, []
-    for f, symbols in enumerate(_symbols(padded, steps)):
-        outputs.append(_embedded(symbols, starts, steps))
+    place, base = _places(data, first, last), np.concatenate([[0], np.cumsum(n[keep] + len(tail))[:-1]]).astype(np.int64)
+    windows = [(k, x) for k in range(len(keep)) for x in _offsets(int(n[keep[k]]), int(spans[k]))]
+    owner, skipped = (np.array(x, np.int64) for x in zip(*windows, strict=True))
+    starts, of = base[owner] + skipped, begin[keep[owner]]
+    keys, symbols_of = {}, _symbols(padded, steps)
+    for f, symbols in enumerate(symbols_of):
         for c, r, key in _walk(symbols, starts, plan):
-            mine = np.flatnonzero(spans == c)
+            mine = np.flatnonzero(spans[owner] == c)
             order = mine[np.argsort(key[mine], kind="stable")]
-            seen = np.zeros(1 << 16, bool)
-            seen[key[mine] >> np.uint32(16)] = True
+            bits = min(20, max(16, (16 * len(mine)).bit_length()))
+            seen = np.zeros(1 << bits, bool)
+            seen[key[mine] >> np.uint32(32 - bits)] = True
             keys[f, c, r] = (seen, key[order], order)
-    return Items([rows[i][0] for i in keep], texts, n[keep], plan, keys, outputs)
+    return Items([rows[i][0] for i in keep], texts, owner, skipped, place[of + skipped] - place[of], starts, plan, keys, symbols_of)
 
 
 def _candidates(items: Items, h: np.ndarray) -> np.ndarray:
-    """Sorted distinct (first word, item) pairs of windows and items with an equal sample."""
+    """Sorted distinct (first word, window of an item) pairs of windows with an equal sample."""
     steps = max(s for _, s, _ in items.plan)
     padded = np.concatenate([h, mix(np.arange(1, steps + 2, dtype=np.uint64))])
     found = []
@@ -164,21 +183,21 @@ def _candidates(items: Items, h: np.ndarray) -> np.ndarray:
             starts = np.arange(a, min(len(h), a + WINDOWS), dtype=np.int64)
             for c, r, key in _walk(symbols, starts, items.plan):
                 seen, known, of = items.keys[f, c, r]
-                at = np.flatnonzero(np.take(seen, key >> np.uint32(16), mode="clip"))
+                at = np.flatnonzero(np.take(seen, key >> np.uint32(33 - len(seen).bit_length()), mode="clip"))
                 low, high = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
                 n = high - low
                 if n.any():
                     row = np.repeat(np.arange(len(at)), n)
                     k = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                     window, item = starts[at[row]], of[k]
-                    agree = (_embedded(symbols, window, 2 * c) == items.outputs[f][item, : 2 * c]).mean(axis=1)
+                    agree = (_embedded(symbols, window, 2 * c) == _embedded(items.symbols[f], items.starts[item], 2 * c)).mean(axis=1)
                     near = agree >= NEAR
                     found.append(np.stack([window[near], item[near]], axis=1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
 def matches(items: Items, texts: list[str | None], max_edits: float) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first word of the window, edit distance): the best match of each text and item."""
+    """(text, item, word at which the item would begin by its window, edit distance): the best match of each text and item."""
     texts = [t or "" for t in texts]
     for a, b in slices([len(t) for t in texts], PART):
         owner, h, first, last = word_hashes(texts[a:b])
@@ -188,17 +207,23 @@ def matches(items: Items, texts: list[str | None], max_edits: float) -> Iterator
         bounds = np.searchsorted(owner, np.arange(b - a + 1))
         best: dict[tuple[int, int], tuple[int, int]] = {}
         checked: dict[tuple[int, int], int] = {}
-        for p, item in _candidates(items, h).tolist():
-            doc, n = int(owner[p]), int(items.words[item])
-            most, slack = int(max_edits * len(items.texts[item])), max(2, int(max_edits * n))
-            if best.get((doc, item), (1,))[0] == 0 or p < checked.get((doc, item), -1):
+        place = _places(data, first, last)
+        p, window = _candidates(items, h).T
+        at = place[p] - items.before[window]  # where the item begins if nothing before the window is edited
+        for k in np.argsort(at, kind="stable").tolist():
+            doc, item, q = int(owner[p[k]]), int(items.owner[window[k]]), int(at[k])
+            m = len(items.texts[item])
+            most = int(max_edits * m)
+            # What is compared reaches twice the edits beyond, so it holds all that begins up to ``most`` later.
+            if best.get((doc, item), (1,))[0] == 0 or ((doc, item) in checked and q - checked[doc, item] <= most):
                 continue
-            low, high = max(int(bounds[doc]), p - slack), min(int(bounds[doc + 1]), p + n + 2 * slack)
-            checked[doc, item] = p + slack // 2  # windows that begin this near lie in the passage just compared
-            passage = " ".join(data[first[k] : last[k]].decode("utf-8", "replace") for k in range(low, high))
+            checked[doc, item] = q
+            low = max(int(bounds[doc]), int(np.searchsorted(place, q - 2 * most)))
+            high = min(int(bounds[doc + 1]), int(np.searchsorted(place, q + m + 2 * most, "right")))
+            passage = " ".join(data[first[w] : last[w]].decode("utf-8", "replace") for w in range(low, high))
             d = distance(items.texts[item], passage, most)
             if d <= most and d < best.get((doc, item), (most + 1,))[0]:
-                best[doc, item] = (d, p - int(bounds[doc]))
+                best[doc, item] = (d, max(0, int(p[k] - items.skipped[window[k]] - bounds[doc])))
         for (doc, item), (d, p) in best.items():
             yield a + doc, item, p, d
 

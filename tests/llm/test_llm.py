@@ -137,6 +137,27 @@ def test_decontamination_finds_planted_items_and_only_those(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(120)) - {d for d, _ in got}
 
 
+def test_decontamination_searches_whole_items():
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts, items = [], []
+    for i in range(60):
+        n, edited, part = ((63, 9, 32), (200, 30, 64), (63, 10, 0))[i % 3]
+        w = draw(n)
+        items.append((i, " ".join(w)))
+        if part:  # words of the opening are edited
+            for k in rng.sample(range(part), edited):
+                w[k] = rng.choice(vocabulary)
+        else:  # the opening is cut off
+            w = w[edited:]
+        texts.append(" ".join(draw(90) + w + draw(40)))
+    near = [i for i, t in items if decontaminate.distance(t, texts[i], 1 << 20) <= int(0.2 * len(t))]
+    assert len(near) >= 50
+    found = {(t, i) for t, i, *_ in decontaminate.matches(decontaminate.prepare(items, decontaminate.repetitions(0.999), 5), texts, 0.2)}
+    assert found <= {(i, i) for i in near} and len(found) >= 0.99 * len(near)
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(frame(spark, ODD), none).count() == 0
