@@ -4,10 +4,11 @@ Centroids and codebooks are fitted on a bounded sample; every row is then assign
 to its coarse list and its residual is coded. Lists are packed into blocks of a
 bounded number of rows (a list larger than that has several blocks); a query goes
 to the blocks of the lists it probes, where tables of its inner products with all
-codewords give approximate cosines. Each block passes on its best few for each
-query, of those that can still beat the query's nearest in the sample; the best of all blocks are reranked with the original vectors in double
-precision. The number of probed lists is calibrated on the sample for the target
-recall.
+codewords give approximate cosines. The error of each is at most the distance of the
+row to its codewords, so a block compares the original vectors of all rows that can be
+among its nearest, in double precision, and passes on its exact nearest for each query.
+The number of probed lists is calibrated on the sample for the target recall; nothing
+else is approximate.
 
 Rows with an equal vector tie exactly, and ties go to the smaller id; so beyond
 the first ``k + 1`` ids of an equal vector none can be in a result, and a block
@@ -27,12 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
-
 BLOCK = 8192
 LEAST_ROWS = 200  # that a query compares, on average; so it probes all lists of a small table
 
@@ -42,8 +42,6 @@ class Index:
     centroids: np.ndarray  # lists x d
     books: np.ndarray  # subspaces x codewords x width
     probes: int
-    sample: np.ndarray  # unit vectors that the index was fitted on
-    margin: float  # that the approximate cosine falls below the exact one, at most, for all but a few in a thousand
     first: np.ndarray | None = None  # first block of each list
     blocks: np.ndarray | None = None  # number of blocks of each list
 
@@ -53,6 +51,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _rounding(d: int) -> float:
+    """Error of a cosine in single precision, at most."""
+    return (d + 40) * 2.0**-22
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
@@ -102,10 +105,8 @@ def fit(rows: DataFrame, d: int, sample: int = 20_000, recall: float = 0.98, k:
     true = np.argsort(-cosine, axis=1)[:, : min(k, len(x) - 1)]
     order = np.argsort(np.argsort(-(x[q] @ centroids.T), axis=1), axis=1)
     ranks = np.take_along_axis(order, nearest(x, centroids)[true], axis=1) if true.size else np.zeros(1)
-    decoded = centroids[nearest(x, centroids)] + np.concatenate([b[nearest(np.ascontiguousarray(r), b)] for r, b in zip(np.split(residual, parts, axis=1), books, strict=True)], axis=1)
-    error = np.take_along_axis(cosine - x[q] @ decoded.T, true, axis=1) if true.size else np.zeros(1)
     probes = max(int(np.quantile(ranks, recall)) + 1, -(-lists * LEAST_ROWS // total))
-    return Index(centroids, books, min(lists, probes), x, max(0.0, float(np.quantile(error, 0.999))))
+    return Index(centroids, books, min(lists, probes))
 
 
 def _encode(rows: DataFrame, index: Index, d: int) -> DataFrame:
@@ -119,12 +120,12 @@ def _encode(rows: DataFrame, index: Index, d: int) -> DataFrame:
             x = _unit(_matrix(batch.column("vec"), d))
             at = nearest(x, centroids)
             codes = np.stack([nearest(np.ascontiguousarray(r), b) for r, b in zip(np.split(x - centroids[at], len(books), axis=1), books, strict=True)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vh"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "vh", "list", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vh"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("vec")], ["id", "vh", "list", "codes", "vec"])
 
-    return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, vh long, list int, codes binary")
+    return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, vh long, list int, codes binary, vec array<float>")
 
 
-def _dealt(queries: DataFrame, index: Index, d: int, k: int) -> DataFrame:
+def _dealt(queries: DataFrame, index: Index, d: int) -> DataFrame:
     """A row for each query and block that it probes, with the probed lists of that block."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
 
@@ -135,10 +136,6 @@ def _dealt(queries: DataFrame, index: Index, d: int, k: int) -> DataFrame:
                 part = batch.slice(a, 256)
                 q = _unit(_matrix(part.column("vec"), d))
                 near = np.argsort(-(q @ ix.centroids.T), axis=1, kind="stable")[:, : ix.probes]
-                # The sample's rows are candidates, so the k-th nearest of them bounds the result; its own vector doesn't count.
-                cosine = q @ ix.sample.T
-                cosine[cosine > 1 - 1e-6] = -9
-                least = np.partition(cosine, -k, axis=1)[:, -k] - ix.margin if cosine.shape[1] > k else np.full(len(q), -9.0)
                 row, block, lists = [], [], []
                 for i, probed in enumerate(near):
                     of: dict[int, list[int]] = {}
@@ -149,12 +146,12 @@ def _dealt(queries: DataFrame, index: Index, d: int, k: int) -> DataFrame:
                     block += of.keys()
                     lists += of.values()
                 part = part.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("id"), part.column("vec"), pa.array(lists, pa.list_(pa.int32())), pa.array(least[row].astype(np.float64))], ["block", "id", "vec", "probed", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("id"), part.column("vec"), pa.array(lists, pa.list_(pa.int32()))], ["block", "id", "vec", "probed"])
 
-    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vec array<float>, probed array<int>, least double")
+    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vec array<float>, probed array<int>")
 
 
-def _scan(index: Index, d: int, k: int, passed: int, spark):
+def _scan(index: Index, d: int, k: int, spark):
     shared = spark.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,52 +170,67 @@ def _scan(index: Index, d: int, k: int, passed: int, spark):
                     held.append(part)
                     continue
                 if rows is None:
-                    rows = _block_rows(pa.Table.from_batches(held), k) if held else ()
+                    rows = _block_rows(ix, pa.Table.from_batches(held), d, k) if held else ()
                 for i in range(0, part.num_rows if rows else 0, 128):
-                    yield from _best(ix, rows, part.slice(i, 128), d, passed, k + 1)
+                    yield from _best(ix, rows, part.slice(i, 128), d, k)
 
     return scan
 
 
-def _block_rows(table: pa.Table, k: int) -> tuple:
-    """Ids, hashes, lists and codes of a block, ordered by id, with at most k + 1 rows of an equal vector."""
-    table = table.select(["id", "vh", "list", "codes"]).sort_by("id")
-    vh = table.column("vh").to_numpy()
+def _block_rows(ix: Index, table: pa.Table, d: int, k: int) -> tuple:
+    """Ids, lists, codes, vectors, unit vectors and errors of a block, ordered by id, with at most k + 1 ids of an equal vector."""
+    table = table.select(["id", "vh", "list", "codes", "vec"]).sort_by("id")
+    vh, ids = table.column("vh").to_numpy(), table.column("id").to_numpy()
     order = np.argsort(vh, kind="stable")
+    s, of = vh[order], ids[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    order = order[first | np.concatenate([[True], of[1:] != of[:-1]])]  # repeated rows count once
     s = vh[order]
     begin = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), np.arange(len(s)), 0))
     table = table.take(np.sort(order[np.arange(len(s)) - begin <= k]))
-    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-    return table.column("id").combine_chunks(), table.column("vh").to_numpy(), table.column("list").to_numpy(), codes.astype(np.int64)
-
-
-def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, passed: int, few: int) -> Iterator[pa.RecordBatch]:
-    ids, vh, lists, codes = rows
-    q = _unit(_matrix(queries.column("vec"), d))
+    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(table.num_rows, -1).astype(np.int64)
+    lists, x = table.column("list").to_numpy(), _matrix(table.column("vec").combine_chunks(), d)
+    unit = _unit(x)
+    decoded = ix.centroids[lists] + np.concatenate([b[codes[:, p]] for p, b in enumerate(ix.books)], axis=1)
+    return table.column("id").combine_chunks(), lists, codes, x, unit, np.linalg.norm(unit - decoded, axis=1) + _rounding(d)
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, added in the order of the components, so that equal vectors tie exactly."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j].astype(np.float64) * y[:, j].astype(np.float64)
+    return out
+
+
+def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The exact k nearest of a block's rows in the probed lists, for each query."""
+    ids, lists, codes, x, unit, error = rows
+    raw = _matrix(queries.column("vec"), d)
+    q = _unit(raw)
     tables = np.einsum("qpw,pkw->qpk", q.reshape(len(q), len(ix.books), -1), ix.books)
     score = (q @ ix.centroids.T)[:, lists]
     for p in range(codes.shape[1]):
         score += tables[:, p, codes[:, p]]
-    least = queries.column("least").to_numpy()
     for i, probed in enumerate(queries.column("probed").to_pylist()):
-        on = np.flatnonzero(np.isin(lists, probed))
-        s = score[i, on]
-        if len(on) > few:  # those that can be in the result, but never fewer than a whole result
-            keep = s >= min(least[i], np.partition(s, len(s) - few)[len(s) - few])
-            on, s = on[keep], s[keep]
-        if len(on) > passed:  # all that reach the limit, then the smaller ids first
-            limit = np.partition(s, len(s) - passed)[len(s) - passed]
-            on = on[s >= limit]
-            on = on[np.argsort(-score[i, on], kind="stable")[:passed]]
-        of = queries.column("id").slice(i, 1).take(pa.array(np.zeros(len(on), np.int64)))
-        yield pa.RecordBatch.from_arrays([of, ids.take(pa.array(on)), pa.array(vh[on]), pa.array(score[i, on].astype(np.float64))], ["query_id", "id", "vh", "near"])
-
-
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, passed: int = 96, rerank: int = 400, recall: float = 0.98, sample: int = 20_000) -> DataFrame:
+        on = np.flatnonzero(np.isin(lists, probed) & pc.not_equal(ids, queries.column("id")[i]).to_numpy(zero_copy_only=False))
+        if len(on) > k:  # at least k rows reach the k-th of the lower bounds
+            s, e = score[i, on], error[on]
+            on = on[s + e >= np.partition(s - e, len(s) - k)[len(s) - k]]
+        if len(on) > k:
+            s = unit[on] @ q[i]
+            on = on[s >= np.partition(s, len(s) - k)[len(s) - k] - 2 * _rounding(d)]
+        whole, asked = x[on], np.broadcast_to(raw[i], (len(on), d))
+        s = _dots(whole, asked) / np.sqrt(_dots(whole, whole)) / np.sqrt(_dots(asked, asked))
+        top = np.argsort(-s, kind="stable")[:k]
+        of = queries.column("id").slice(i, 1).take(pa.array(np.zeros(len(top), np.int64)))
+        yield pa.RecordBatch.from_arrays([of, ids.take(pa.array(on[top])), pa.array(s[top])], ["query_id", "id", "score"])
+
+
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, recall: float = 0.98, sample: int = 20_000) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest found of each row for which ``is_query`` holds.
 
-    ``passed`` candidates leave a block for each query, and ``rerank`` of all
-    blocks are compared exactly. score is the cosine of the original vectors.
+    score is the cosine of the original vectors.
     """
     spark = vectors.sparkSession
     rows, d = valid(vectors, id_col, vec_col)
@@ -243,15 +255,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
             room -= n
     lists = spark.createDataFrame([(c, int(index.first[c]), int(index.blocks[c])) for c in range(len(index.centroids))], "_list int, first int, blocks int")
     placed = coded.join(F.broadcast(lists), F.col("list") == F.col("_list")).select(
-        (F.col("first") + F.pmod(F.xxhash64("id", "vh"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vh", "list", "codes", F.lit(None).cast("array<float>").alias("vec"), F.lit(None).cast("array<int>").alias("probed"), F.lit(None).cast("double").alias("least")
+        (F.col("first") + F.pmod(F.xxhash64("id", "vh"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vh", "list", "codes", "vec", F.lit(None).cast("array<int>").alias("probed")
     )
-    asked = _dealt(queries, index, d, k).select("block", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("vh"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "vec", "probed", "least")
-    found = placed.unionAll(asked).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scan(index, d, k, passed, spark), f"query_id {kind}, id {kind}, vh long, near double")
-    best = W.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    near = checkpointed(found.where("id != query_id").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("query_id", F.col("id").alias("_id"), F.col("vh").alias("_vh")).distinct())
-    whole = rows.join(near.select("_id", "_vh").distinct(), (F.col("id") == F.col("_id")) & (F.col("vh") == F.col("_vh")), "left_semi").dropDuplicates(["id", "vh"])
-    pairs = near.join(whole, (F.col("id") == F.col("_id")) & (F.col("vh") == F.col("_vh"))).select("query_id", "id", "vec").join(queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), "query_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "id", (dot("vec", "qvec") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("qvec", "qvec"))).alias("score"))
+    asked = _dealt(queries, index, d).select("block", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("vh"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "vec", "probed")
+    scored = placed.unionAll(asked).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scan(index, d, k, spark), f"query_id {kind}, id {kind}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

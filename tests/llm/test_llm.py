@@ -382,6 +382,23 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_within_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[:3000] = x[0] + 1e-3 * x[:3000]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(set)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 100):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.95 * 5 * 30
+
+
 # URLs
 
 
