@@ -103,6 +103,18 @@ def mixed(
     clash = [c for c in carry if c.lower().startswith(("mix_", "_"))]
     if clash:
         raise ValueError(f"columns that the mix adds itself: {clash}")
+    each = _drawn(docs, id_col, text_col, source_col, weights, volume, most, shards, seed, carry)
+    each = each.withColumn("mix_copy", F.explode_outer(F.when(F.col("_copies") > 0, F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int")))))
+    number = F.col("mix_copy") * F.col("count") + F.col("rank")
+    shard = F.when(F.col("mix_copy").isNotNull(), F.least(F.size(F.filter("ends", lambda e: e <= number)), F.lit(shards - 1)))
+    return each.select(
+        *carry, F.col("_size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mix_copy", shard.cast("int").alias("mix_shard"),
+        F.when(F.col("mix_copy").isNotNull(), F.xxhash64(F.lit(seed + 1), "mix_copy", "_h")).alias("mix_order"),
+    )
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], volume: float, most: float, shards: int, seed: int, carry: list[str]) -> DataFrame:
+    """A row per input row, with ``_copies``, how often it is drawn, and what its block and source say."""
     key = [F.col(id_col)]
     rows = docs.select(*dict.fromkeys([*carry, id_col]), words(F.col(text_col)).alias("_words"), F.col(source_col).alias("_from"))
     placed = _placed(rows, F.col("_words"), F.col("_from"), key, seed)
@@ -124,20 +136,10 @@ def mixed(
     )
     joined = placed.join(blocks, F.col("_src").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")), "left")
     copies = F.col("passes") + F.when((F.col("start") + F.col("_at") + F.col("_size") / 2 < F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
-    each = joined.withColumn("mix_copy", F.explode_outer(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))))
-    number = F.col("mix_copy") * F.col("count") + F.col("rank")
-    shard = F.when(F.col("mix_copy").isNotNull(), F.least(F.size(F.filter("ends", lambda e: e <= number)), F.lit(shards - 1)))
-    return each.select(
-        *carry, F.col("_size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mix_copy", shard.cast("int").alias("mix_shard"),
-        F.when(F.col("mix_copy").isNotNull(), F.xxhash64(F.lit(seed + 1), "mix_copy", "_h")).alias("mix_order"),
-    )
+    return joined.withColumn("_copies", copies)
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document (rows that repeat an id and source count together): size, source_size, target, taken."""
-    mix = mixed(docs, id_col, text_col, source_col, carry=[id_col])
-    return mix.groupBy(id_col, "mix_source_size", "mix_target").agg(
-        F.sum(F.when(F.coalesce(F.col("mix_copy"), F.lit(0)) == 0, F.col("mix_size"))).alias("size"),
-        F.sum(F.when(F.col("mix_copy").isNotNull(), F.col("mix_size")).otherwise(0)).alias("taken"),
-    ).select(id_col, "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), "taken")
-
+    """One row per input row, of repeated and null ids too: the id, size, source_size, target, taken."""
+    each = _drawn(docs, id_col, text_col, source_col, (5, 2, 1), 1.5, 2.0, 16, 7, [id_col])
+    return each.select(id_col, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.coalesce("_copies", F.lit(0))).cast("long").alias("taken"))

@@ -259,6 +259,14 @@ def test_mix_targets_and_takings(spark, corpus):
         mixing.mixed(docs.withColumn("mix_copy", F.lit(1)))
 
 
+def test_takings_have_a_row_for_each_row(spark):
+    rows = [(1, "a b c", None, "s0"), (1, "a b c", None, "s0"), (1, "d e f g h i", None, "s1"), (None, "a b", None, "s0"), (None, "c", None, "s0"), (None, "d", None, None)]
+    rows += [(2, "x y z", None, "s2"), (2, "u v w", None, "s3")] * 2
+    got = mixing.taken(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in got) == sorted((i is None, i or 0, len(t.split())) for i, t, *_ in rows)
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in got)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {"a": 100, "b": 7, None: 33}
     rows = mixing._quota_tree(spark.createDataFrame(list(quotas.items()), "source string, draws long"), 6, 3).collect()
