@@ -10,9 +10,13 @@ larger are taken as wholly suspect. The number of runs follows from the target
 recall and the survival probability of the branching process.
 
 Suspect pairs only serve to find groups: within each connected group of suspects
-all pairs are compared exactly, on the whole sets, in blocks of bounded size, of
-which a large group has many. So links are exact and complete within a group, and
-what leaves a block is a count for each set and a spanning forest, never pairs.
+pairs are compared exactly, on the whole sets, in blocks of bounded size, of which a
+large group has many. So links are exact and complete within a group, and what
+leaves a block is a count for each set and a spanning forest, never pairs. Counting
+links compares all pairs of a group. Finding classes alone (``keep_one``) compares a
+group's sets with its first block, and then only the few that aren't yet in the
+group's largest class with all others: so a hot group takes time in proportion to
+its size, and the classes are the same.
 
 Edge cases: null texts and texts without a word are alone, with no link. Repeated
 rows and equal sets link to each other. Null ids are kept as rows; a class's id is
@@ -24,18 +28,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, fresh
+from quire.llm.common import Stored, stored
 from quire.llm.shingles import SLOTS, components, minwise, mix, runs, set_key, shingle_sets, signature
 
 LEVELS, STRIDE = 5, 2
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+MOST_BROADCAST = 500_000  # rows that go, or repeat, which are looked up without a shuffle; beyond, by one
 
 
 def survival(similarity: float, level: int) -> float:
@@ -52,7 +58,7 @@ def runs_for(recall: float, similarity: float) -> int:
 
 
 def _embedded(docs: DataFrame, id_col: str, text_col: str, seeds: int) -> DataFrame:
-    """(id, node, n, sig, paths): the set's key and size, its signature, and its buckets at the first level of each run.
+    """(id, th, node, n, sig, paths): a hash of the text, the set's key and size, its signature, and its buckets at the first level of each run.
 
     The first level splits by the whole hash of a sampled shingle, as all sets meet
     there; within a bucket, 16 bits of each are enough.
@@ -73,10 +79,10 @@ def _embedded(docs: DataFrame, id_col: str, text_col: str, seeds: int) -> DataFr
                 keys.append(set_key(s))
                 sigs.append(signature(tokens).tobytes())
                 paths.append(_child(start, slot, tokens[slot]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["id", "node", "n", "sig", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["id", "th", "node", "n", "sig", "paths"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(embed, f"id {kind}, node binary, n long, sig binary, paths array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).mapInArrow(embed, f"id {kind}, th long, node binary, n long, sig binary, paths array<long>")
 
 
 def _sample(path: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,24 +166,30 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def suspects(sets: DataFrame, similarity: float, small: int) -> DataFrame:
-    """Edges (a, b) between sets that may be similar, from all runs at once, one level of the recursion after the other."""
+    """(node, root): groups of sets that may be similar, from all runs at once, one level of the recursion after the other."""
     least = math.floor(SLOTS * similarity - 4.2 * math.sqrt(SLOTS * similarity * (1 - similarity)))
-    sig, found = sets.select(F.col("node").alias("_n"), "sig"), []
+    sig, found, kept = sets.select(F.col("node").alias("_n"), "sig"), [], []
     rows = sets.select("node", F.explode("paths").alias("path"))
     for level in range(1, LEVELS + 1, STRIDE):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1").withColumnRenamed("path", "_p")
-        shared = rows.join(sizes, F.col("path") == F.col("_p")).select("node", "path", "size", "pivot")
+        last = level + STRIDE > LEVELS
+        pivot = [F.min("node").alias("pivot")] if last else []
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), *pivot).where("size > 1").withColumnRenamed("path", "_p")
+        shared = Stored(rows.join(sizes, F.col("path") == F.col("_p")).drop("_p"))
+        kept.append(shared)
         with_sig = lambda part: part.select("node", "path").join(sig, F.col("node") == F.col("_n")).select("node", "path", "sig")
-        found.append(_compare(with_sig(shared.where(F.col("size") <= small)), least))
-        large = shared.where(F.col("size") > small)
-        if level + STRIDE > LEVELS:
-            found.append(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        found.append(Stored(_compare(with_sig(shared.df.where(F.col("size") <= small)), least)))
+        large = shared.df.where(F.col("size") > small)
+        if last:
+            found.append(Stored(large.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
+        elif large.isEmpty():
+            break
         else:
-            rows = checkpointed(_split(with_sig(large), STRIDE))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionAll(more)
-    return edges
+            kept.append(Stored(_split(with_sig(large), STRIDE)))
+            rows = kept[-1].df
+    groups = components(reduce(DataFrame.unionAll, [f.df for f in found]))
+    for table in kept + found:
+        table.remove()
+    return groups
 
 
 def _block_links(similarity: float):
@@ -189,7 +201,8 @@ def _block_links(similarity: float):
                 part = table.slice(a, b - a)
                 links, root = _links(part, int(keys[1][a]), int(keys[2][a]), similarity)
                 node = part.column("node").combine_chunks()
-                yield pa.RecordBatch.from_arrays([node, pa.array(links), pc.take(node, pa.array(root))], ["node", "links", "head"])
+                of = [part.column(c).combine_chunks() for c in ("root", "blocks")]
+                yield pa.RecordBatch.from_arrays([*of, node, pa.array(links), pc.take(node, pa.array(root))], ["root", "blocks", "node", "links", "head"])
 
     return compare
 
@@ -241,42 +254,93 @@ def _intersections(owner: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarra
     return out
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.9999, small: int = 64) -> DataFrame:
-    """One row per input row: the id, class_id, n_links (documents of similarity or more), n_copies.
+def _forests(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Placed sets with their block pairs (i, j) to (root, blocks, node, links, head), compared exactly."""
+    return pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_block_links(similarity), "root binary, blocks int, node binary, links long, head binary")
+
+
+def _paired(placed: DataFrame, others: Column) -> DataFrame:
+    """A row of each set for each block that it is compared with."""
+    rows = placed.withColumn("other", F.explode(others))
+    return rows.select("root", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "m", "shingles")
 
-    class_id is the smallest id in the connected group of links; a document
-    without words has its own id.
-    """
-    every = checkpointed(_embedded(docs, id_col, text_col, runs_for(recall, similarity)))
-    first = lambda c: F.first(c).alias(c)
-    sets = checkpointed(every.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("rep"), first("n"), first("sig"), first("paths")))
-    groups = components(suspects(sets, similarity, small))
-    sets = sets.drop("sig", "paths")
-    members = checkpointed(groups.join(sets, "node"))
-    per_group = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(root, blocks, block, node, m, shingles) of the sets in groups, whose texts are looked up by one row of each set."""
+    members = stored(groups.join(sets.select(F.col("node").alias("_n"), "m", "n", "rep"), F.col("node") == F.col("_n")).drop("_n"))
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("root", "_r")
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column("_text").to_pylist()))
-            keys = pa.array([set_key(s) if len(s) else None for s in found], pa.binary())
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             flat = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["_node", "shingles"])
-
-    reps = members.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(reps, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
-    whole = texts.mapInArrow(sets_again, "_node binary, shingles array<long>").where("_node IS NOT NULL").dropDuplicates(["_node"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(per_group, "root").join(whole, F.col("node") == F.col("_node")).withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "m", "shingles")
-    )
-    exact = checkpointed(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_block_links(similarity), "node binary, links long, head binary"))
-    joined = components(exact.select(F.col("node").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "_n")
-    counted = exact.groupBy("node").agg(F.sum("links").alias("links"))
-    of = sets.drop("n").join(counted, "node", "left").join(joined, F.col("node") == F.col("_n"), "left").select("node", "m", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("rep").alias("class_id")).withColumnRenamed("root", "_r")
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("m"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["root", "node", "m", "shingles"])
+
+    reps = members.select(F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "root", "node", "m")
+    texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(F.col(text_col)).alias("_t"), F.col(text_col).alias("_text"))
+    texts = texts.join(reps, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))).select("_text", "root", "node", "m")
+    whole = texts.mapInArrow(sets_again, "root binary, node binary, m long, shingles array<long>").dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    return stored(whole.join(blocks, F.col("root") == F.col("_r")).select("root", "blocks", block, "node", "m", "shingles"))
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(node, root) of exact links: a group of one block has its classes already, as all its pairs were compared at once."""
+    one = edges.where("blocks = 1").select("node", F.col("head").alias("root"))
+    if edges.where("blocks > 1").isEmpty():
+        return one
+    return one.unionAll(components(edges.where("blocks > 1").select(F.col("node").alias("a"), F.col("head").alias("b"))))
+
+
+def _counted(placed: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the classes, and (node, links), from all pairs of each group."""
+    exact = stored(_forests(_paired(placed, F.sequence(F.lit(0), F.col("blocks") - 1)), similarity))
+    return _joined(exact), exact.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def _classes(placed: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the classes, with no count of links."""
+    with_first = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    edges = stored(_forests(_paired(placed, with_first), similarity).drop("links"))
+    if edges.where("blocks > 1").isEmpty():
+        return _joined(edges)
+    # Of groups of several blocks: the sets that are not in the largest class so far.
+    so_far = components(edges.where("blocks > 1").select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("root").alias("class"))
+    large = placed.where("blocks > 1").select(F.col("node").alias("_n"), F.col("root").alias("_r")).join(so_far, F.col("_n") == F.col("node"), "left").select("_n", "_r", F.coalesce("class", "_n").alias("class"))
+    sizes = large.groupBy("_r", "class").agg(F.count("*").alias("size")).groupBy("_r").agg(F.max_by("class", F.struct("size", "class")).alias("main"))
+    rest = Stored(large.join(sizes.withColumnRenamed("_r", "_g"), F.col("_r") == F.col("_g")).where("class != main").select("_n", "_r"))
+    if not rest.df.isEmpty():
+        counts = stored(rest.df.groupBy(F.col("_r").alias("_g")).agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts")))
+        # A pair of parts: some sets that remain, numbered behind the blocks, against a block of the whole group.
+        of = placed.where("blocks > 1").join(counts, F.col("root") == F.col("_g")).withColumn("part", F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        remain = of.join(rest.df, F.col("node") == F.col("_n"), "left_semi")
+        all_sets = of.select("root", "blocks", F.col("block").alias("i"), F.explode(F.sequence(F.col("blocks"), F.col("blocks") + F.col("parts") - 1)).alias("j"), "block", "node", "m", "shingles")
+        remain = remain.select("root", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("part").alias("j"), F.col("part").alias("block"), "node", "m", "shingles")
+        edges = edges.unionAll(stored(_forests(all_sets.unionAll(remain), similarity).drop("links")))
+    rest.remove()
+    return _joined(edges)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Every row, embedded, and a row for each different set: (node, m, id, rep, n, sig, paths); rep is its row with the smallest id."""
+    every = stored(_embedded(docs, id_col, text_col, runs_for(recall, similarity)))
+    first = lambda c: F.first(c).alias(c)
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
+    return every, stored(every.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("id"), rep, first("n"), first("sig"), first("paths")))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.9999, small: int = 64) -> DataFrame:
+    """One row per input row: the id, class_id, n_links (documents of similarity or more), n_copies.
+
+    class_id is the smallest id in the connected group of links; a document
+    without words has its own id.
+    """
+    every, sets = _sets(docs, id_col, text_col, similarity, recall)
+    classes, links = _counted(_placed(docs, id_col, text_col, sets, suspects(sets, similarity, small)), similarity)
+    joined = stored(classes.join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l")).select(F.col("node").alias("_n"), "root", "links"))
+    of = sets.select("node", "m", "id").join(joined, F.col("node") == F.col("_n"), "left").select("node", "m", "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    least = of.groupBy("root").agg(F.min("id").alias("class_id")).withColumnRenamed("root", "_r")
     told = of.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_node"), "class_id", (F.col("links") + F.col("m") - 1).alias("links"), "m")
     rows = every.select(F.col("id").alias("_id"), "node").join(told, F.col("node") == F.col("_node"), "left")
     return rows.select(
@@ -284,11 +348,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The documents without those whose group has one with a smaller id; of rows that repeat the smallest id one stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.9999, small: int = 64) -> DataFrame:
+    """One row of each class: the one with the smallest id (null last), of equal ids the one whose text has the smallest hash.
 
-    Rows without id stay.
+    Of rows that repeat both id and text any one stays; rows without a word all stay.
+    Rows are judged by id and text, so different texts under one id don't take each
+    other along. Only rows that go, or repeat, are looked up; the others pass as they are.
     """
-    gone = linked(docs, id_col, text_col, similarity).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct()
-    left, only = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"), fresh(docs, "_row")
-    return left.withColumn(only, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).dropDuplicates([id_col, only]).select(*docs.columns)
+    every, sets = _sets(docs, id_col, text_col, similarity, recall)
+    placed = _placed(docs, id_col, text_col, sets, suspects(sets, similarity, small))
+    classes = stored(_classes(placed, similarity).select(F.col("node").alias("_n"), "root"))
+    several = sets.select("node", "m", "rep").join(classes, F.col("node") == F.col("_n"), "left").where("m > 1 OR root IS NOT NULL").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    stays = several.groupBy("root").agg(F.min("rep").alias("stays")).withColumnRenamed("root", "_r")
+    judged = several.join(stays, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "stays")
+    rows = every.select("id", "th", "node").join(judged, F.col("node") == F.col("_n"))
+    is_it = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("th") == F.col("stays.th"))
+    marks = stored(rows.groupBy("id", "th").agg(F.max(is_it).alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1").select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th"), "stays"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"))
+    few = F.broadcast if marks.count() <= MOST_BROADCAST else lambda df: df
+    same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th"))
+    out = row.join(few(marks), same, "left_anti").select("_row.*")
+    repeated = marks.where("stays")
+    if repeated.isEmpty():
+        return out
+    return out.unionAll(row.join(few(repeated), same, "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row.*"))

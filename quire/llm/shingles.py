@@ -7,6 +7,7 @@ a text without a word has none. Sets hold 64-bit hashes of the shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, slices
+from quire.llm.common import Stored, slices
 
 WIDTH = 5
 SLOTS = 128
@@ -142,25 +143,37 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_file: int = 200_000) -> DataFrame:
     """(a, b) to (node, root): the smallest node of each node's connected component, for all nodes on an edge.
 
     Alternates large-star and small-star steps (each a min per node, pre-aggregated,
-    and a join), with a checkpoint after each round, until a round changes nothing.
+    and a join), storing the result of each round in files of about ``per_file``
+    rows, until a round changes nothing.
     """
-    state = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+
+    def settled(rows: DataFrame, most: int) -> tuple[Stored, int, tuple]:
+        kept = Stored(rows.coalesce(max(1, math.ceil(most / per_file))))
+        mark = kept.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        return kept, mark[0], tuple(mark)
+
+    first = Stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    kept, n, mark = settled(first.df.distinct(), first.df.count())
+    first.remove()
     while True:
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark or not now[0]:
-            return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select("b", "b").distinct())
-        mark = now
+        state = kept.df
+        if not n:
+            return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_u"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("_u")).where("b > a AND b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least.withColumnRenamed("a", "_u"), F.col("a") == F.col("_u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        state = checkpointed(hung.select("e.*").where("a != b").distinct())
+        after, n, now = settled(hung.select("e.*").where("a != b").distinct(), 2 * n)
+        if now == mark:
+            after.remove()
+            return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select("b", "b").distinct())
+        kept.remove()
+        kept, mark = after, now
 
 
 def repeated(array: pa.Array, n: np.ndarray) -> pa.Array:
