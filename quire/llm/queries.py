@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, tokens, toxicity, urls
-from quire.llm.common import checkpointed, fold, table
+from quire.llm.common import fold, table
 
 
 def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,28 +40,29 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as WARC records against a replica of them with known damage: bits, lost records and cut payloads."""
-    pages = table(spark, sf_dir, "pages")
-    record = fixity.warc_record(F.col("url"), F.col("html"))
-    first = pages.select(F.floor(F.col("page_id") / 1000).alias("archive"), F.col("page_id").alias("key"), F.coalesce(F.octet_length(record), F.lit(0)).cast("long").alias("size"), fixity.leaf_hash(record).alias("hash"))
-    n = F.col("page_id")
+    """Pages as WARC records against a replica of them with known damage: bits, lost, surplus and doubled records, cut payloads."""
+    pages, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    archive = F.floor(n / 1000).alias("archive")
+
+    def records(rows: DataFrame, payload: Column) -> DataFrame:
+        record = fixity.warc_record(F.col("url"), payload)
+        return rows.select(archive, n.alias("key"), F.coalesce(F.octet_length(record), F.lit(0)).cast("long").alias("size"), fixity.leaf_hash(record).alias("hash"))
+
     damaged = F.when(n % 389 == 7, None).when(n % 97 == 13, F.translate("html", "<", "[")).when(n % 211 == 5, F.expr("left(html, length(html) - 1)")).otherwise(F.col("html"))
-    second = pages.select(n.alias("key"), fixity.leaf_hash(fixity.warc_record(F.col("url"), damaged)).alias("hash"))
-    manifest = checkpointed(fixity.placed(first))
-    bad = fixity.audit(fixity.replica(manifest, first), fixity.replica(manifest, second))
-    place = manifest.select(F.col("archive").alias("_archive"), F.col("at").alias("_at"), F.col("key").alias("page_id"))
-    found = bad.join(place, F.col("archive").eqNullSafe(F.col("_archive")) & (F.col("at") == F.col("_at")))
-    return found.select("page_id", "archive", F.col("at").alias("seq"), "low", "high", "status")
+    doubled = pages.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(n % 401 == 3, 2).otherwise(1))))
+    bad = fixity.audit(records(pages.where(n % 307 != 11), F.col("html")), records(doubled, damaged))
+    return bad.select(F.col("key").alias("page_id"), "archive", F.col("at").alias("seq"), "low", "high", "status")
 
 
 OP7_SQL = """
-WITH r AS (SELECT page_id, url, html, CAST(floor(page_id / 1000) AS BIGINT) AS archive,
-  coalesce(48 + strlen(coalesce(url, '')) + 18 + length(CAST(strlen(html) AS VARCHAR)) + 4 + strlen(html) + 4, 0) AS size FROM pages),
+WITH r AS (SELECT page_id, html, CAST(floor(page_id / 1000) AS BIGINT) AS archive, html IS NOT NULL AND page_id % 307 <> 11 AS pa, html IS NOT NULL AND page_id % 389 <> 7 AS pb,
+  CASE WHEN page_id % 307 = 11 THEN 0 ELSE coalesce(48 + strlen(coalesce(url, '')) + 18 + length(CAST(strlen(html) AS VARCHAR)) + 4 + strlen(html) + 4, 0) END AS size FROM pages),
 p AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY page_id) - 1 AS seq,
   sum(size) OVER (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS high FROM r)
 SELECT page_id, archive, seq, CAST(high - size AS BIGINT) AS low, CAST(high AS BIGINT) AS high,
-  CASE WHEN page_id % 389 = 7 THEN 'missing' ELSE 'changed' END AS status
-FROM p WHERE html IS NOT NULL AND (page_id % 389 = 7 OR (page_id % 97 = 13 AND contains(html, '<')) OR (page_id % 97 <> 13 AND page_id % 211 = 5 AND html <> ''))
+  CASE WHEN NOT pb THEN 'missing' WHEN NOT pa THEN 'extra' ELSE 'changed' END AS status
+FROM p WHERE (pa AND NOT pb) OR (pb AND NOT pa)
+  OR (pa AND pb AND ((page_id % 97 = 13 AND contains(html, '<')) OR (page_id % 97 <> 13 AND page_id % 211 = 5 AND html <> '') OR page_id % 401 = 3))
 """
 
 
