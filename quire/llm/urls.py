@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import stored
 
 ORDER = 5
 START, END = "\u0002", "\u0003"
@@ -55,11 +55,11 @@ def _grams(urls: DataFrame, *keep: str) -> DataFrame:
 
 
 def ratios(urls: DataFrame) -> DataFrame:
-    """(url, a, r) to (g, ratio): a and r mark training URLs of the two classes; a row for each n-gram of all URLs."""
-    counts = checkpointed(_grams(urls, "a", "r").groupBy("g").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
+    """(url, a, r) to (g, ratio, n): a and r mark training URLs of the two classes; a row for each n-gram of all URLs, which hold it n times."""
+    counts = stored(_grams(urls, "a", "r").groupBy("g").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count("*").alias("n")))
     both = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
     if not both[0] or not both[1]:
-        return counts.select("g", F.lit(0.0).alias("ratio"))
+        return counts.select("g", F.lit(0.0).alias("ratio"), "n")
     lower = None
     for k in range(1, ORDER + 1):
         of = counts.groupBy(F.expr(f"right(g, {k})").alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r")) if k < ORDER else counts
@@ -71,37 +71,49 @@ def ratios(urls: DataFrame) -> DataFrame:
             stats = stats.join(lower, F.expr(f"right(g, {k - 1})") == F.col("_g"))
         smooth = lambda x: F.when(F.col(f"c{x}") + F.col(f"t{x}") > 0, (F.col(f"n{x}") + F.col(f"t{x}") * F.col(f"p{x}")) / (F.col(f"c{x}") + F.col(f"t{x}"))).otherwise(F.col(f"p{x}"))
         lower = stats.select(F.col("g").alias("_g"), smooth("a").alias("pa"), smooth("r").alias("pr"))
-    return lower.select(F.col("_g").alias("g"), F.log(F.col("pa") / F.col("pr")).alias("ratio"))
+    return counts.join(lower, F.col("g") == F.col("_g")).select("g", F.log(F.col("pa") / F.col("pr")).alias("ratio"), "n")
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, most_train: int = 20_000, most_broadcast: int = 400_000) -> DataFrame:
+def looked_up(urls: DataFrame, keys: list[str], table: DataFrame, most_broadcast: int) -> DataFrame:
+    """(keys, ratio) for each place of each URL.
+
+    A table of at most ``most_broadcast`` n-grams goes to all tasks. Of a larger one
+    only the n-grams that take more than that share of all places do, of which there
+    can't be more; so none that is left is frequent when the rest is joined by a shuffle.
+    """
+    grams = _grams(urls, *keys)
+    size, places = table.agg(F.count("*"), F.sum("n")).first()
+    if size <= most_broadcast:
+        return grams.join(F.broadcast(table.drop("n")), "g").select(*keys, "ratio")
+    often = F.col("n") > places / most_broadcast
+    first = grams.join(F.broadcast(table.where(often).drop("n")), "g", "left")
+    rest = first.where("ratio IS NULL").drop("ratio").join(table.where(~often), "g")
+    return first.where("ratio IS NOT NULL").select(*keys, "ratio").unionAll(rest.select(*keys, "ratio"))
+
+
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, most_broadcast: int = 400_000) -> DataFrame:
     """One row per input row: the id, host, path, rule, verdict.
 
-    ``most_train`` distinct URLs of each class at most are learned from, those with
-    the smallest md5; a fifth of them only calibrates. The table of ratios is
-    broadcast if it has at most ``most_broadcast`` rows, and else joined by a
-    shuffle, in which skewed n-grams are split.
+    The models learn from all distinct URLs that rules judge, but for a fold of
+    three in sixteen by md5, which only calibrates. URLs that a rule fits need no score.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
-    known = rows.groupBy("url", F.col("rule.verdict").alias("verdict")).agg(F.lit(1).alias("one")).withColumn("md5", F.md5(F.col("url").cast("binary")))
-    drawn = [known.where(F.col("verdict") == v).orderBy("md5", "url").limit(most_train) for v in ("allow", "block")]
-    train = checkpointed(drawn[0].unionAll(drawn[1]).select("url", (F.col("verdict") == "allow").cast("long").alias("allow"), (F.ascii(F.substring("md5", 1, 1)) % 5 == 0).alias("held")))
-    learned = train.where("NOT held").select("url", F.col("allow").alias("a"), (1 - F.col("allow")).alias("r"))
-    every = known.select("url", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("r"))
-    table = checkpointed(ratios(learned.unionAll(every)))
-    table = F.broadcast(table) if table.count() <= most_broadcast else table
+    allow, held = F.col("rule.verdict") == "allow", F.ascii(F.md5(F.col("url").cast("binary"))) % 5 == 0
+    known = stored(rows.groupBy("url", allow.alias("allow")).agg(F.lit(1).alias("one")).select("url", F.col("allow").cast("long").alias("allow"), F.coalesce(held, F.lit(False)).alias("held")))
+    learns = F.col("allow").isNotNull() & ~F.col("held")
+    marks = [F.when(learns, x).otherwise(0).cast("long").alias(name) for name, x in (("a", F.col("allow")), ("r", 1 - F.col("allow")))]
+    table = stored(ratios(known.select("url", *marks)))
 
     def scored(urls: DataFrame, *keys: str) -> DataFrame:
-        return _grams(urls, *keys).join(table, "g").groupBy(*keys).agg((F.sum("ratio") / F.count("*")).alias("d"))
+        return looked_up(urls, list(keys), table, most_broadcast).groupBy(*keys).agg((F.sum("ratio") / F.count("*")).alias("d"))
 
-    fold = scored(train.where("held"), "url", "allow").groupBy("allow").agg(F.avg("d").alias("m"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("s")).collect()
+    fold = scored(known.where("held AND allow IS NOT NULL"), "url", "allow").groupBy("allow").agg(F.avg("d").alias("m"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("s")).collect()
     of = {r["allow"]: (r["m"], r["s"] + 1e-9) for r in fold}
     # Where two normal curves of the classes are equally many deviations away.
     threshold = (of[1][0] * of[0][1] + of[0][0] * of[1][1]) / (of[0][1] + of[1][1]) if len(of) == 2 else 0.0
-    out = scored(rows.withColumn("rule", F.col("rule")), "id", "url", "copies", "host", "path", "rule")
-    verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("d") >= threshold, "allow").otherwise("block"))
-    out = out.select("id", "host", "path", F.col("rule.rule").alias("rule"), verdict.alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    method = scored(rows.where("rule IS NULL").drop("rule"), "id", "url", "copies", "host", "path").select("id", "copies", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("d") >= threshold, "allow").otherwise("block").alias("verdict"))
+    out = rows.where("rule IS NOT NULL").select("id", "copies", "host", "path", "rule.rule", "rule.verdict").unionAll(method).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
 
 
@@ -114,8 +126,8 @@ hp AS (SELECT DISTINCT host, path FROM rows_),
 best AS (SELECT host, path, rule, verdict FROM (SELECT hp.host, hp.path, rule, verdict, row_number() OVER (PARTITION BY hp.host, hp.path ORDER BY length(rule) DESC, rule) AS k
   FROM hp JOIN rules ON (hp.host = h OR ends_with(hp.host, '.' || h)) AND starts_with(hp.path, p)) WHERE k = 1),
 judged AS (SELECT r.*, b.rule, b.verdict AS ruled FROM rows_ r LEFT JOIN best b USING (host, path)),
-known AS (SELECT DISTINCT url, ruled, md5(url) AS m FROM judged),
-train AS (SELECT url, ruled = 'allow' AS allow, ascii(substr(m, 1, 1)) % 5 = 0 AS held FROM (SELECT *, row_number() OVER (PARTITION BY ruled ORDER BY m, url) AS k FROM known WHERE ruled IS NOT NULL) WHERE k <= 20000),
+known AS (SELECT DISTINCT url, ruled FROM judged),
+train AS (SELECT url, ruled = 'allow' AS allow, ascii(substr(md5(url), 1, 1)) % 5 = 0 AS held FROM known WHERE ruled IS NOT NULL),
 urls AS (SELECT url, allow::int AS a, 1 - allow::int AS r FROM train WHERE NOT held UNION ALL SELECT url, 0, 0 FROM known),
 padded AS (SELECT a, r, repeat(chr(2), 4) || coalesce(url, '') || chr(3) AS x FROM urls),
 g5 AS (SELECT g, sum(a) AS a, sum(r) AS r FROM (SELECT a, r, substr(x, i::int, 5) AS g FROM (SELECT a, r, x, unnest(range(1, length(x) - 3)) AS i FROM padded)) GROUP BY g),
