@@ -1,21 +1,26 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents are dealt by a hash into blocks; a hash order within a block
-and the order of the blocks put all words of the source on one line, in a random
-but repeatable order. A target of r times the source's words takes whole passes
-over the line and, in a last pass, the documents whose middle lies below the rest.
-
-How many block draws of each source an output shard gets is decided by a binary
-tree over the shards: each node deals its exact quota vector to its two halves by
-one multivariate hypergeometric draw, so that every shard is a fair sample and
-the quotas add up exactly. Shards then take disjoint runs of each source's draws,
-and a hash orders the rows within a shard.
-
-Edge cases: a null text has size 0; documents of size 0 are drawn as the line has
-them and take no words. A null source is a source of its own, ordered last. With
-no words at all every target is 0. Repeated rows are documents of their own and
-lie on the line side by side. An empty table gives an empty mix. Columns of the
-input that clash with the mix's own are refused by name at the start.
+A hash of a document's id, text and source deals a source's documents into blocks
+and orders them within a block; so all words of the source stand on one line, in a
+random but repeatable order. A target of r times the source's words asks for so many
+draws of blocks: whole passes over the line and, in a last pass, the blocks that
+begin before the rest is filled. Of the last of these, the documents whose middle
+lies before that point count.
+
+How many of these draws each output shard gets is decided by a binary tree over the
+shards: each node deals its exact quota vector to its two halves by one multivariate
+hypergeometric draw, so that every shard is a fair sample and the quotas add up
+exactly. Shards then take disjoint runs of each source's draws; a document is taken
+once for each shard's draw of its block, and a hash orders the rows within a shard.
+
+Texts aren't shuffled: the table of blocks, of bounded size, goes to all tasks, and
+only documents of the blocks where a source's rest ends are looked up one by one.
+
+Edge cases: a null text has size 0; documents of size 0 are drawn with their block
+and take no words. A null source is a source of its own, ordered last. With no words
+at all every target is 0. Rows equal in id, text and source are drawn alike, each
+as a row. An empty table gives an empty mix. The mix's own columns get a leading
+``_`` if the input has such a name.
 """
 
 from __future__ import annotations
@@ -26,8 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.common import fresh, stored
+
 #: Blocks of a source; a block holds this share of its documents, whatever their number.
 BLOCKS = 4096
+#: Blocks of all sources that go to every task at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def words(text: Column) -> Column:
@@ -82,64 +91,66 @@ def _quota_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("source", F.col("low").alias("shard"), "draws")
 
 
-def _placed(docs: DataFrame, size: Column, source: Column, key: list[Column], seed: int) -> DataFrame:
-    """The documents with ``_size``, ``_src``, ``_block`` and ``_at``, their place in the block, in words."""
-    rows = docs.withColumn("_size", size).withColumn("_src", source).withColumn("_h", F.xxhash64(F.lit(seed), *key))
-    rows = rows.withColumn("_block", F.pmod("_h", F.lit(BLOCKS)).cast("int"))
-    order = W.partitionBy("_src", "_block").orderBy("_h", *key)
-    return rows.withColumn("_at", F.sum("_size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size"))
-
-
-def mixed(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), volume: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7, carry: list[str] | None = None
-) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: list) -> DataFrame:
+    """(row, size, source, h, block) of each document; row holds the ``carry`` columns."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.col(source_col))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), words(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), h.alias("h"))
+    return rows.withColumn("block", F.pmod("h", F.lit(BLOCKS)).cast("int"))
+
+
+def _blocks(rows: DataFrame, weights: tuple[float, ...], volume: float, most: float, shards: int, seed: int) -> DataFrame:
+    """A row per block (_source, _block): source_size, target, start, rest, the ``shards`` that draw it, and whether the source's rest ends in it."""
+    per_block = rows.groupBy("source", "block").agg(F.sum("size").alias("n"))
+    aims = targets(per_block.groupBy("source").agg(F.sum("n").alias("source_size")), weights, volume, most).withColumnRenamed("source", "_s")
+    line = W.partitionBy("source").orderBy("block")
+    blocks = per_block.withColumn("start", F.coalesce(F.sum("n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("rank", F.row_number().over(line) - 1).withColumn("count", F.count("*").over(W.partitionBy("source")))
+    blocks = blocks.join(aims, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    blocks = blocks.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    blocks = blocks.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    blocks = stored(blocks.withColumn("drawn", F.col("passes") + F.when(F.col("start") < F.col("rest"), 1).otherwise(0)))
+    # Draws are numbered pass by pass in the order of the blocks; the shards take runs of these numbers.
+    quotas = blocks.groupBy("source").agg(F.sum("drawn").cast("long").alias("draws"))
+    ends = _quota_tree(quotas, shards, seed).withColumn("end", F.sum("draws").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)))
+    runs = ends.groupBy(F.col("source").alias("_s")).agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    dealt = blocks.join(runs, F.col("source").eqNullSafe(F.col("_s")), "left")
+    numbers = F.transform(F.sequence(F.lit(0), F.col("passes")), lambda k: k * F.col("count") + F.col("rank"))
+    numbers = F.filter(numbers, lambda x: x < F.element_at("ends", -1))
+    drawn = F.transform(numbers, lambda x: F.size(F.filter("ends", lambda e: e <= x)))
+    cut = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("n") > F.col("rest"))
+    return stored(dealt.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "source_size", "target", "start", "rest", drawn.alias("shards"), cut.alias("cut")))
+
+
+def _drawn(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows with source_size, target and ``shards``, one for each time that the row is drawn."""
+    few = F.broadcast if blocks.count() <= MOST_BROADCAST else lambda df: df
+    on = lambda part: rows.join(few(part), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    whole, part = on(blocks.where("NOT cut")), on(blocks.where("cut"))
+    # The documents of a block where the rest ends, a row for each hash, on the block's piece of the line.
+    units = part.groupBy("source", "block", "h").agg(F.sum("size").alias("s"), F.first("start").alias("start"), F.first("rest").alias("rest"))
+    line = W.partitionBy("source", "block").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
+    beyond = units.withColumn("at", F.sum("s").over(line) - F.col("s")).where("start + at + s / 2 >= rest").select(F.col("source").alias("_of"), F.col("h").alias("_h"))
+    last = F.slice("shards", 1, F.size("shards") - 1)
+    part = part.join(beyond, F.col("source").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("_h")), "left").withColumn("shards", F.when(F.col("_h").isNull(), F.col("shards")).otherwise(last))
+    columns = ["row", "size", "h", "source_size", "target", "shards"]
+    return whole.select(*columns).unionAll(part.select(*columns))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), volume: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 7, carry: list[str] | None = None) -> DataFrame:
     """The mix: a row per drawn copy, with the ``carry`` columns (all by default).
 
-    Adds mix_size, mix_source_size, mix_target, mix_copy (from 0; a document that
-    isn't drawn has one row with null), mix_shard and mix_order (its place in the
-    shard is its rank by this number).
+    Adds mix_size, mix_source_size, mix_target, mix_copy (from 0), mix_shard and
+    mix_order (a row's place in its shard is its rank by this number).
     """
     carry = docs.columns if carry is None else carry
-    clash = [c for c in carry if c.lower().startswith(("mix_", "_"))]
-    if clash:
-        raise ValueError(f"columns that the mix adds itself: {clash}")
-    each = _drawn(docs, id_col, text_col, source_col, weights, volume, most, shards, seed, carry)
-    each = each.withColumn("mix_copy", F.explode_outer(F.when(F.col("_copies") > 0, F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int")))))
-    number = F.col("mix_copy") * F.col("count") + F.col("rank")
-    shard = F.when(F.col("mix_copy").isNotNull(), F.least(F.size(F.filter("ends", lambda e: e <= number)), F.lit(shards - 1)))
-    return each.select(
-        *carry, F.col("_size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "mix_copy", shard.cast("int").alias("mix_shard"),
-        F.when(F.col("mix_copy").isNotNull(), F.xxhash64(F.lit(seed + 1), "mix_copy", "_h")).alias("mix_order"),
-    )
-
-
-def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], volume: float, most: float, shards: int, seed: int, carry: list[str]) -> DataFrame:
-    """A row per input row, with ``_copies``, how often it is drawn, and what its block and source say."""
-    key = [F.col(id_col)]
-    rows = docs.select(*dict.fromkeys([*carry, id_col]), words(F.col(text_col)).alias("_words"), F.col(source_col).alias("_from"))
-    placed = _placed(rows, F.col("_words"), F.col("_from"), key, seed)
-    per_block = rows.groupBy(F.col("_from").alias("source"), F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(BLOCKS)).cast("int").alias("block")).agg(F.sum("_words").alias("n"), F.count("*").alias("d"))
-    aims = targets(per_block.groupBy("source").agg(F.sum("n").alias("source_size")), weights, volume, most)
-    line = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = per_block.withColumn("start", F.coalesce(F.sum("n").over(line), F.lit(0))).join(F.broadcast(aims.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    blocks = blocks.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    blocks = blocks.withColumn("drawn", F.col("passes") + F.when(F.col("start") < F.col("rest"), 1).otherwise(0))
-    # Draws are numbered pass by pass in the order of the blocks; the shards take runs of these numbers.
-    quotas = blocks.groupBy("source").agg(F.sum("drawn").cast("long").alias("draws"))
-    ends = _quota_tree(quotas, shards, seed).withColumn("end", F.sum("draws").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)))
-    runs = ends.groupBy("source").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    rank = W.partitionBy("source").orderBy("block")
-    blocks = blocks.withColumn("rank", F.row_number().over(rank) - 1).withColumn("count", F.count("*").over(W.partitionBy("source")))
-    blocks = blocks.join(runs.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("source").alias("_bs"), F.col("block").alias("_bb"), "start", "rest", "passes", "rank", "count", "ends", "source_size", "target"
-    )
-    joined = placed.join(blocks, F.col("_src").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")), "left")
-    copies = F.col("passes") + F.when((F.col("start") + F.col("_at") + F.col("_size") / 2 < F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
-    return joined.withColumn("_copies", copies)
+    rows = _rows(docs, id_col, text_col, source_col, seed, carry)
+    each = _drawn(rows, _blocks(rows, weights, volume, most, shards, seed)).select("*", F.posexplode("shards").alias("copy", "shard"))
+    own = {"size": "size", "source_size": "source_size", "target": "target", "copy": "copy", "shard": "shard", "order": F.xxhash64(F.lit(seed + 1), "copy", "h")}
+    return each.select("row.*", *[(F.col(c) if isinstance(c, str) else c).alias(fresh(docs, f"mix_{name}")) for name, c in own.items()])
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row, of repeated and null ids too: the id, size, source_size, target, taken."""
-    each = _drawn(docs, id_col, text_col, source_col, (5, 2, 1), 1.5, 2.0, 16, 7, [id_col])
-    return each.select(id_col, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.coalesce("_copies", F.lit(0))).cast("long").alias("taken"))
+    """One row per input row, of repeated and null ids too: the id, size, source_size, target, taken, and the shards that take it."""
+    rows = stored(_rows(docs, id_col, text_col, source_col, 7, [id_col]))
+    each = _drawn(rows, _blocks(rows, (5, 2, 1), 1.5, 2.0, 16, 7))
+    return each.select("row.*", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards")
