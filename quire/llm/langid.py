@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold, fresh, slices
+from quire.llm.common import fold, fresh, slices, stored
 
 ORDERS = (3, 4)
 PAD = "  "
@@ -123,18 +123,19 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_d
                 pieces, owner = _pieces(texts[a:b])
                 lang = np.array([index[x] for x in names[a:b]], np.int64)
                 docs_of = np.bincount(lang, minlength=len(langs))
-                found = {0: [], 1: []}
                 for piece, h in _grams(pieces)[1]:
-                    found[0].append(owner[piece])
-                    found[1].append(h)
-                pair = np.unique(np.rec.fromarrays([np.concatenate(found[1]), np.concatenate(found[0])], names="h,doc"))
-                keys, n = np.unique(np.rec.fromarrays([pair.h, lang[pair.doc]], names="h,lang"), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.h.view(np.int64)), pa.array(keys.lang), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), bool))], ["h", "l", "n", "total"]
-                )
+                    order = np.argsort(h, kind="stable")  # documents stay in order within an n-gram
+                    h, doc = h[order], owner[piece][order]
+                    new = np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
+                    h, of = h[new], lang[doc[new]]
+                    order = np.lexsort((of, h))
+                    h, of = h[order], of[order]
+                    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+                    n = np.diff(np.append(at, len(h)))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(of[at]), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), bool))], ["h", "l", "n", "total"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(langs), np.int64)), pa.array(np.arange(len(langs))), pa.array(docs_of.astype(np.int64)), pa.array(np.ones(len(langs), bool))], ["h", "l", "n", "total"])
 
-    counts = drawn.mapInArrow(count, "h long, l long, n long, total boolean").groupBy("h", "l", "total").agg(F.sum("n").alias("n"))
+    counts = stored(drawn.mapInArrow(count, "h long, l long, n long, total boolean").groupBy("h", "l", "total").agg(F.sum("n").alias("n")))
     totals = counts.where("total").select("l", F.col("n").alias("docs"))
     rates = counts.where("NOT total").join(F.broadcast(totals), "l").where("n >= least(2, docs)").select("h", "l", (F.col("n") / F.col("docs")).alias("rate"))
     kept = (
