@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold, fresh
+from quire.llm.common import fold, fresh, stored
 
 WORD = re.compile(r"\w+")
 
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words = list(found[0].keys() | found[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in found)], ["w", "c", "t"])
 
-    counts = drawn.mapInArrow(count, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    counts = stored(drawn.mapInArrow(count, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
     clean, toxic, kinds = counts.agg(F.sum("c"), F.sum("t"), F.count("*")).first()
     if not clean or not toxic:
         return Model()
