@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 8192
+LEAST_BLOCK, BLOCK, BLOCKS = 1024, 8192, 64  # a block's rows: a 64th of all, within these bounds
 LEAST_ROWS = 200  # that a query compares, on average; so it probes all lists of a small table
 
 
@@ -46,8 +46,14 @@ class Index:
     blocks: np.ndarray | None = None  # number of blocks of each list
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _even(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, times a power of two each, so that no square overflows; cosines stay the same, bit by bit."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _even(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -79,7 +85,9 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """Rows (id, vec, vh) that take part, and their dimension; vh is a hash of the vector."""
     ok = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec_col, lambda v: v != 0)
-    rows = vectors.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.xxhash64(vec_col).alias("vh"))
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    vec = F.col(vec_col).cast("array<float>" if single else "array<double>")
+    rows = vectors.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), vec.alias("vec"), F.xxhash64(vec).alias("vh"))
     top = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     d = top["d"] if top else 0
     return rows.where(F.size("vec") == d), d
@@ -122,7 +130,7 @@ def _encode(rows: DataFrame, index: Index, d: int) -> DataFrame:
             codes = np.stack([nearest(np.ascontiguousarray(r), b) for r, b in zip(np.split(x - centroids[at], len(books), axis=1), books, strict=True)], axis=1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vh"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("vec")], ["id", "vh", "list", "codes", "vec"])
 
-    return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, vh long, list int, codes binary, vec array<float>")
+    return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, vh long, list int, codes binary, vec {rows.schema['vec'].dataType.simpleString()}")
 
 
 def _dealt(queries: DataFrame, index: Index, d: int) -> DataFrame:
@@ -148,7 +156,7 @@ def _dealt(queries: DataFrame, index: Index, d: int) -> DataFrame:
                 part = part.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("id"), part.column("vec"), pa.array(lists, pa.list_(pa.int32()))], ["block", "id", "vec", "probed"])
 
-    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vec array<float>, probed array<int>")
+    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vec {queries.schema['vec'].dataType.simpleString()}, probed array<int>")
 
 
 def _scan(index: Index, d: int, k: int, spark):
@@ -220,7 +228,7 @@ def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, k: int) -> It
         if len(on) > k:
             s = unit[on] @ q[i]
             on = on[s >= np.partition(s, len(s) - k)[len(s) - k] - 2 * _rounding(d)]
-        whole, asked = x[on], np.broadcast_to(raw[i], (len(on), d))
+        whole, asked = _even(x[on]), np.broadcast_to(_even(raw[i : i + 1]), (len(on), d))
         s = _dots(whole, asked) / np.sqrt(_dots(whole, whole)) / np.sqrt(_dots(asked, asked))
         top = np.argsort(-s, kind="stable")[:k]
         of = queries.column("id").slice(i, 1).take(pa.array(np.zeros(len(top), np.int64)))
@@ -242,15 +250,16 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     coded = _encode(rows, index, d)
     sizes = dict(coded.groupBy("list").agg(F.count("*").alias("n")).toPandas().itertuples(index=False))
     index.first, index.blocks = np.zeros(len(index.centroids), np.int32), np.ones(len(index.centroids), np.int32)
-    block, room = 0, BLOCK
+    most = int(np.clip(sum(sizes.values()) // BLOCKS, LEAST_BLOCK, BLOCK))
+    block, room = 0, most
     for c in range(len(index.centroids)):
         n = int(sizes.get(c, 0))
         if n > room:
-            block, room = block + 1, BLOCK
+            block, room = block + 1, most
         index.first[c] = block
-        if n > BLOCK:
-            index.blocks[c] = -(-n // BLOCK)
-            block, room = block + int(index.blocks[c]), BLOCK
+        if n > most:
+            index.blocks[c] = -(-n // most)
+            block, room = block + int(index.blocks[c]), most
         else:
             room -= n
     lists = spark.createDataFrame([(c, int(index.first[c]), int(index.blocks[c])) for c in range(len(index.centroids))], "_list int, first int, blocks int")
