@@ -1,24 +1,25 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH over item-sized windows.
-
-The CGK walk reads a string with a pointer: at step j it outputs the symbol under
-the pointer and moves on by a random bit that depends on j and the symbol. Two
-strings at a small edit distance fall into step again after each edit, so their
-outputs are at a small Hamming distance. Symbols are the words of the text. Every
-word begins a window as long as the items of a length class (powers of two); one
-walk over all windows of a batch at once serves every class and repetition, each
-of which samples ``SAMPLED`` outputs. Windows of its class cover the whole item, a
-quarter of a window apart and one at its end. A window of the text whose sample
-equals that of an item's window is a candidate if the whole embeddings are near in
-Hamming distance, and the item's edit distance to the best passage around it is
-computed exactly, on the characters of the whole item.
-
-A match is a passage whose edit distance to the item is at most ``max_edits`` of
-the item's length (both as lower-case words joined by one space).
-
-Edge cases: null and empty texts match nothing; items that are null or have fewer
-than ``min_words`` words take no part. Repeated documents and items are each
-reported, repeated (id, item id) pairs once a row. Empty tables give an empty
-result. Other columns are ignored.
+"""Benchmark decontamination by CGK embedding and bit-sampling LSH over windows of the items.
+
+Texts and items are compared as lower-case words joined by one space. The CGK walk
+reads a string with a pointer: at step j it outputs a value of the character under the
+pointer and moves on by a random bit that depends on j and the character. Two strings
+at a small edit distance fall into step again after each edit, so their outputs are at
+a small Hamming distance. Every word of a text, and every word of an item, begins a
+window, so that windows lie along the whole item. Each walk is sampled twice at
+``SAMPLED`` steps; a window of the text and one of an item with an equal sample are a
+candidate. As many samples are taken as the target recall asks for at the largest edit
+rate. A candidate whose ``LOCAL`` characters around the window are near enough (bit
+vectors, for all candidates at once) goes on to the exact edit distance between the
+whole item and the best passage around it.
+
+A match is a passage whose edit distance to the item is at most ``max_edits`` of the
+item's length. Items of fewer than ``SHORT`` characters, too short for a window, are
+matched exactly, as runs of whole words.
+
+Edge cases: null and empty texts match nothing, null items and items without a word
+are in nothing. Repeated documents and items are each reported, repeated (id, item id)
+pairs once a row. Empty tables give an empty result. Ids keep their type. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,19 +34,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.llm.common import fresh, slices
 from quire.llm.shingles import mix, word_hashes
 
-FUNCTIONS, SAMPLED, WINDOWS = 2, 4, 1 << 14
-NEAR = 0.45  # outputs in which a candidate must agree, of all; words that don't belong together agree in a few hundredths
-LONGEST = 64  # words that a window spans at most; longer items have more windows
-PART = 1 << 20
+#: (least characters of an item, steps of a walk, steps in a sample); walks advance by half a step on average.
+CLASSES = ((52, 48, 10), (36, 32, 9), (20, 20, 7))
+SHORT = CLASSES[-1][0]
+HIT = 0.32  # chance that one sample finds an item of eight words with a fifth of its characters edited, as measured
+ANCHORS, PART = 1 << 13, 1 << 20
+LOCAL, SLACK, NEAR = 48, 14, 0.36  # bytes that the first comparison takes, shifts that it allows, and edits, as a share
 
 
-def repetitions(recall: float, agree: float = 0.8) -> int:
-    """Samples needed so that a passage whose outputs agree with ``agree`` is found with the target recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**SAMPLED) / FUNCTIONS))
+def walks_for(recall: float) -> int:
+    """Walks, of two samples each, that reach the target recall for short items at the largest edit rate."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - HIT) / 2))
 
 
 def distance(pattern: str, text: str, most: int) -> int:
@@ -70,188 +74,235 @@ def distance(pattern: str, text: str, most: int) -> int:
     return min(best, most + 1)
 
 
+def nearest_passages(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Row by row, the edit distance of the pattern (its first ``length`` bytes, 64 at most) to the nearest passage of the text (Myers's bit vectors, a column at a time)."""
+    n, one = len(patterns), np.uint64(1)
+    masks = np.zeros((n, 256), np.uint64)
+    rows = np.arange(n)
+    for i in range(patterns.shape[1]):
+        masks[rows, patterns[:, i]] |= np.where(i < lengths, one << np.uint64(i), np.uint64(0))
+    top = (lengths - 1).astype(np.uint64)
+    pv, mv = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+    score = lengths.astype(np.int64)
+    best = score.copy()
+    for j in range(texts.shape[1]):
+        eq = masks[rows, texts[:, j]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+        np.minimum(best, score, out=best)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+    return best
+
+
 @dataclass
 class Items:
-    """Items of one block, ready for look-up: ids, texts, their windows, classes, and the keys by function, class and repetition."""
+    """Items of one block, ready for look-up: ids, texts, their bytes and windows, and the keys of each walk and sample."""
 
     ids: list
     texts: list[str]
+    data: np.ndarray  # bytes of all items, with room between them
+    base: np.ndarray  # by item, where it begins in data
+    size: np.ndarray  # by item, its bytes
     owner: np.ndarray  # by window, its item
-    skipped: np.ndarray  # by window, the words of the item before it
-    before: np.ndarray  # by window, the characters of the item before it
-    starts: np.ndarray  # by window, its place among the symbols
-    plan: list[tuple[int, int, list[list[int]]]]  # (class, steps, sampled steps by repetition)
-    keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # (function, class, repetition) to (filter, sorted keys, windows)
-    symbols: list[list[np.ndarray]]  # by function, of the words of all items
-
-
-def _symbols(h: np.ndarray, steps: int) -> list[list[np.ndarray]]:
-    """By function, for each 32 steps: a 32-bit hash of each word, whose bits move the pointer."""
-    salt = np.random.default_rng(18).integers(0, 1 << 63, (FUNCTIONS, (steps + 31) // 32), dtype=np.uint64)
-    return [[(mix(h + x) >> np.uint64(16)).astype(np.uint32) for x in row] for row in salt]
-
-
-def _walk(symbols: list[np.ndarray], starts: np.ndarray, plan: list) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(class, repetition, key of each window) for the windows that begin at ``starts``."""
-    wanted = defaultdict(list)
-    for c, _, samples in plan:
-        for r, steps in enumerate(samples):
-            for j in steps:
-                wanted[j].append((c, r))
-    keys = {(c, r): np.zeros(len(starts), np.uint32) for c, _, samples in plan for r in range(len(samples))}
-    at, g, bit = starts.copy(), np.empty(len(starts), np.uint32), np.empty(len(starts), np.uint32)
-    factor, one = np.uint32(0x9E3779B1), np.uint32(1)
-    for j in range(max(s for _, s, _ in plan)):
-        np.take(symbols[j // 32], at, out=g, mode="clip")
+    offset: np.ndarray  # by window, the bytes of the item before it
+    walks: list[tuple[int, np.ndarray, list[np.ndarray]]]  # (class, values by step and byte, sampled steps)
+    keys: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # by walk and sample: (filter, sorted keys, windows)
+    exact: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: (sorted hashes, items) of short items
+
+
+def _normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts as lower-case words with one space behind each; by word: text, hash and first byte."""
+    owner, h, first, last = word_hashes(texts)
+    data = np.frombuffer(b" ".join([*(t.lower().encode("utf-8", "surrogatepass") for t in texts), b""]), np.uint8)
+    long = last - first + 1
+    start = np.cumsum(long) - long
+    out = np.full(int(long.sum()), 32, np.uint8)
+    mark = np.zeros(len(data) + 1, np.int8)
+    mark[first] += 1
+    mark[last] -= 1
+    inside = np.cumsum(mark[:-1], dtype=np.int8) > 0
+    there = np.ones(len(out), bool)
+    there[start + long - 1] = False
+    out[there] = data[inside]
+    return out, owner, h, start
+
+
+def _sampled(data: np.ndarray, starts: np.ndarray, values: np.ndarray, samples: list[np.ndarray]) -> list[np.ndarray]:
+    """The key of each sample of one walk, for the windows that begin at ``starts``; data are bytes as indices."""
+    wanted = [[k for k, steps in enumerate(samples) if j in steps] for j in range(len(values))]
+    keys = [np.zeros(len(starts), np.uint32) for _ in samples]
+    at, c, g, bit = starts.astype(np.int64), np.empty(len(starts), np.int64), np.empty(len(starts), np.uint32), np.empty(len(starts), np.uint32)
+    for j in range(max(int(x.max()) for x in samples) + 1):
+        np.take(data, at, out=c, mode="clip")
+        np.take(values[j], c, out=g, mode="clip")
         for k in wanted[j]:
-            key = keys[k]
-            key ^= g
-            key *= factor
-        np.right_shift(g, np.uint32(j % 32), out=bit)
-        bit &= one
+            keys[k] += g
+        np.bitwise_and(g, np.uint32(1), out=bit)
         at += bit
-    for (c, r), key in keys.items():
+    for key in keys:
         key ^= key >> np.uint32(15)
         key *= np.uint32(0x85EBCA6B)
-        yield c, r, key
+    return keys
 
 
-def _embedded(symbols: list[np.ndarray], starts: np.ndarray, steps: int) -> np.ndarray:
-    """The walk's outputs, a row for each window."""
-    at, out = starts.copy(), np.empty((len(starts), steps), np.uint32)
-    for j in range(steps):
-        out[:, j] = np.take(symbols[j // 32], at, mode="clip")
-        at += (out[:, j] >> np.uint32(j % 32)) & np.uint32(1)
-    return out
+def _padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.full(max(steps for _, steps, _ in CLASSES) + LOCAL + 2 * SLACK, 32, np.uint8)])
 
 
-def _places(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Characters before each word, and after the last, when all words are joined by one space."""
-    count = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-    return np.concatenate([[0], np.cumsum(count[last] - count[first] + 1)])
-
-
-def _offsets(n: int, span: int) -> list[int]:
-    """First words of the windows that cover an item of n words."""
-    return sorted({*range(0, n - span + 1, max(1, span // 4)), n - span})
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words that begin at each word."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for j in range(n):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)])
+    return out
 
 
-def prepare(rows: list[tuple], reps: int, min_words: int) -> Items | None:
-    """Items from (id, text) rows; None if none takes part."""
+def prepare(rows: list[tuple], walks: int) -> Items | None:
+    """Items from (id, text) rows; None if none has a word."""
     rows = [(i, t) for i, t in rows if t]
-    if not rows:
-        return None
-    owner, h, first, last = word_hashes([t for _, t in rows])
-    n = np.bincount(owner, minlength=len(rows))
-    begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-    data = b" ".join([*(t.lower().encode("utf-8", "surrogatepass") for _, t in rows), b""])
-    keep = np.flatnonzero(n >= min_words)
-    if not len(keep):
+    data, owner, h, start = _normal([t for _, t in rows]) if rows else (None, np.zeros(0, np.int64), None, None)
+    if not len(owner):
         return None
-    texts = [" ".join(data[first[k] : last[k]].decode("utf-8", "replace") for k in range(begin[i], begin[i] + n[i])) for i in keep]
-    spans = np.minimum(LONGEST, 1 << np.log2(n[keep]).astype(int))
-    plan = []
-    for c in sorted(set(spans.tolist())):
-        draw = np.random.default_rng([17, c])
-        plan.append((c, 2 * c, [sorted(draw.choice(2 * c, SAMPLED, replace=False).tolist()) for _ in range(reps)]))
-    steps = 2 * int(spans.max())
-    tail = mix(np.arange(1, steps + 2, dtype=np.uint64) << np.uint64(40))
-    padded = np.concatenate([np.concatenate([h[begin[i] : begin[i] + n[i]], tail]) for i in keep])
-    place, base = _places(data, first, last), np.concatenate([[0], np.cumsum(n[keep] + len(tail))[:-1]]).astype(np.int64)
-    windows = [(k, x) for k in range(len(keep)) for x in _offsets(int(n[keep[k]]), int(spans[k]))]
-    owner, skipped = (np.array(x, np.int64) for x in zip(*windows, strict=True))
-    starts, of = base[owner] + skipped, begin[keep[owner]]
-    keys, symbols_of = {}, _symbols(padded, steps)
-    for f, symbols in enumerate(symbols_of):
-        for c, r, key in _walk(symbols, starts, plan):
-            mine = np.flatnonzero(spans[owner] == c)
-            order = mine[np.argsort(key[mine], kind="stable")]
-            bits = min(20, max(16, (16 * len(mine)).bit_length()))
-            seen = np.zeros(1 << bits, bool)
-            seen[key[mine] >> np.uint32(32 - bits)] = True
-            keys[f, c, r] = (seen, key[order], order)
-    return Items([rows[i][0] for i in keep], texts, owner, skipped, place[of + skipped] - place[of], starts, plan, keys, symbols_of)
-
-
-def _candidates(items: Items, h: np.ndarray) -> np.ndarray:
-    """Sorted distinct (first word, window of an item) pairs of windows with an equal sample."""
-    steps = max(s for _, s, _ in items.plan)
-    padded = np.concatenate([h, mix(np.arange(1, steps + 2, dtype=np.uint64))])
-    found = []
-    for f, symbols in enumerate(_symbols(padded, steps)):
-        for a in range(0, len(h), WINDOWS):
-            starts = np.arange(a, min(len(h), a + WINDOWS), dtype=np.int64)
-            for c, r, key in _walk(symbols, starts, items.plan):
-                seen, known, of = items.keys[f, c, r]
-                at = np.flatnonzero(np.take(seen, key >> np.uint32(33 - len(seen).bit_length()), mode="clip"))
-                low, high = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
-                n = high - low
-                if n.any():
-                    row = np.repeat(np.arange(len(at)), n)
-                    k = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    window, item = starts[at[row]], of[k]
-                    agree = (_embedded(symbols, window, 2 * c) == _embedded(items.symbols[f], items.starts[item], 2 * c)).mean(axis=1)
-                    near = agree >= NEAR
-                    found.append(np.stack([window[near], item[near]], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    begin = np.searchsorted(owner, np.arange(len(rows) + 1))
+    edge = np.append(start, len(data))
+    keep = [k for k in range(len(rows)) if begin[k + 1] > begin[k]]
+    raw = [data[edge[begin[k]] : edge[begin[k + 1]] - 1] for k in keep]
+    texts = [x.tobytes().decode("utf-8", "replace") for x in raw]
+    kind = [next((c for c, (least, _, _) in enumerate(CLASSES) if len(t) >= least), len(CLASSES)) for t in texts]
+    between = np.full(max(steps for _, steps, _ in CLASSES), 32, np.uint8)
+    base = np.cumsum([0, *(len(x) + len(between) for x in raw)])[:-1]
+    joined = _padded(np.concatenate([y for x in raw for y in (x, between)]))
+    windows: list[tuple[int, int]] = []
+    exact: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for k, i in enumerate(keep):
+        words = start[begin[i] : begin[i + 1]] - start[begin[i]]
+        if kind[k] == len(CLASSES):
+            exact[len(words)].append((int(_runs(h[begin[i] : begin[i + 1]], len(words))[0]), k))
+        else:
+            room = len(raw[k]) - CLASSES[kind[k]][1] * 0.5
+            windows += [(k, int(x)) for x in words if x <= max(0, room)]
+    of, offset = np.array(windows, np.int64).reshape(-1, 2).T
+    index, kinds = joined.astype(np.int64), np.array(kind)[of]
+    plan, keys = [], []
+    for c in sorted(set(kinds.tolist())):
+        mine = np.flatnonzero(kinds == c)
+        for w in range(walks):
+            draw = np.random.default_rng([17, c, w])
+            _, steps, size = CLASSES[c]
+            values = draw.integers(0, 1 << 32, (steps, 256), dtype=np.uint64).astype(np.uint32)
+            samples = [np.sort(draw.choice(steps, size, replace=False)) for _ in range(2)]
+            plan.append((c, values, samples))
+            tables = []
+            for key in _sampled(index, base[of[mine]] + offset[mine], values, samples):
+                order, bits = np.argsort(key, kind="stable"), min(24, max(16, (16 * len(mine)).bit_length()))
+                seen = np.zeros(1 << bits, bool)
+                seen[key >> np.uint32(32 - bits)] = True
+                tables.append((seen, key[order], mine[order]))
+            keys.append(tables)
+    short = {n: tuple(np.array(x, kind) for x, kind in zip(zip(*sorted(v)), (np.uint64, np.int64), strict=True)) for n, v in exact.items()}
+    return Items([rows[i][0] for i in keep], texts, joined, base, np.array([len(x) for x in raw]), of, offset, plan, keys, short)
+
+
+def _joined(keys: np.ndarray, known: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, of) pairs of the keys that are known, with all places where they are."""
+    low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+    n = high - low
+    row = np.repeat(np.arange(len(keys)), n)
+    return row, of[low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def _candidates(items: Items, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (first byte, window of an item) pairs of windows with an equal sample, whose surroundings are near."""
+    data, found = _padded(data), [np.zeros(0, np.int64)]
+    index = data.astype(np.int64)
+    for a in range(0, len(starts), ANCHORS):
+        at = starts[a : a + ANCHORS]
+        for (_, values, samples), tables in zip(items.walks, items.keys, strict=True):
+            for key, (seen, known, of) in zip(_sampled(index, at, values, samples), tables, strict=True):
+                hit = np.flatnonzero(np.take(seen, key >> np.uint32(33 - len(seen).bit_length()), mode="clip"))
+                row, window = _joined(key[hit], known, of)
+                found.append((at[hit[row]] << 32) | window)
+    pairs = np.unique(np.concatenate(found))
+    p, window = pairs >> 32, pairs & 0xFFFFFFFF
+    near = np.zeros(len(p), bool)
+    for a in range(0, len(p), 1 << 12):
+        x, w = p[a : a + (1 << 12)], window[a : a + (1 << 12)]
+        item, offset = items.owner[w], items.offset[w]
+        length = np.minimum(LOCAL, items.size[item])
+        begin = np.minimum(offset, items.size[item] - length)  # the compared part stays within the item
+        pattern = items.data[(items.base[item] + begin)[:, None] + np.arange(LOCAL)]
+        text = (x - offset + begin)[:, None] + np.arange(-SLACK, LOCAL + SLACK)
+        text = np.where(text >= 0, data[np.minimum(text, len(data) - 1)], 0)
+        near[a : a + (1 << 12)] = nearest_passages(pattern, length, text) <= NEAR * length
+    return p[near], window[near]
 
 
 def matches(items: Items, texts: list[str | None], max_edits: float) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, word at which the item would begin by its window, edit distance): the best match of each text and item."""
+    """(text, item, first word, edit distance): the best match of each text and item; of edited ones, the word where the item would begin by its window."""
     texts = [t or "" for t in texts]
     for a, b in slices([len(t) for t in texts], PART):
-        owner, h, first, last = word_hashes(texts[a:b])
-        if not len(h):
+        data, owner, h, start = _normal(texts[a:b])
+        if not len(owner):
             continue
-        data = b" ".join([*(t.lower().encode("utf-8", "surrogatepass") for t in texts[a:b]), b""])
         bounds = np.searchsorted(owner, np.arange(b - a + 1))
+        edge = np.append(start, len(data))
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        for n, (known, of) in items.exact.items():
+            at, item = _joined(_runs(h, n), known, of)
+            for w, k in zip(at.tolist(), item.tolist(), strict=True):
+                if owner[w] == owner[w + n - 1]:
+                    best.setdefault((int(owner[w]), k), (0, int(w - bounds[owner[w]])))
         checked: dict[tuple[int, int], int] = {}
-        place = _places(data, first, last)
-        p, window = _candidates(items, h).T
-        at = place[p] - items.before[window]  # where the item begins if nothing before the window is edited
-        for k in np.argsort(at, kind="stable").tolist():
-            doc, item, q = int(owner[p[k]]), int(items.owner[window[k]]), int(at[k])
-            m = len(items.texts[item])
-            most = int(max_edits * m)
-            # What is compared reaches twice the edits beyond, so it holds all that begins up to ``most`` later.
-            if best.get((doc, item), (1,))[0] == 0 or ((doc, item) in checked and q - checked[doc, item] <= most):
+        p, window = _candidates(items, data, start) if items.walks else (start[:0], start[:0])
+        docs = owner[np.searchsorted(start, p)]
+        begins = p - items.offset[window]  # where the item begins if nothing before the window is edited
+        for k in np.argsort(begins, kind="stable").tolist():
+            doc, item, q = int(docs[k]), int(items.owner[window[k]]), int(begins[k])
+            most, size = int(max_edits * len(items.texts[item])), int(items.size[item])
+            reach = int(max_edits * size)
+            # What is compared reaches twice the edits beyond, so it holds all that begins up to ``reach`` later.
+            if best.get((doc, item), (1,))[0] == 0 or ((doc, item) in checked and q - checked[doc, item] <= reach):
                 continue
             checked[doc, item] = q
-            low = max(int(bounds[doc]), int(np.searchsorted(place, q - 2 * most)))
-            high = min(int(bounds[doc + 1]), int(np.searchsorted(place, q + m + 2 * most, "right")))
-            passage = " ".join(data[first[w] : last[w]].decode("utf-8", "replace") for w in range(low, high))
+            low = max(int(bounds[doc]), int(np.searchsorted(start, q - 2 * reach, "right")) - 1)
+            high = min(int(bounds[doc + 1]), int(np.searchsorted(start, q + size + 2 * reach, "right")))
+            passage = data[edge[low] : edge[high] - 1].tobytes().decode("utf-8", "replace")
             d = distance(items.texts[item], passage, most)
             if d <= most and d < best.get((doc, item), (most + 1,))[0]:
-                best[doc, item] = (d, max(0, int(p[k] - items.skipped[window[k]] - bounds[doc])))
-        for (doc, item), (d, p) in best.items():
-            yield a + doc, item, p, d
+                word = int(np.searchsorted(start, q, "right")) - 1 if d else low + passage.count(" ", 0, passage.index(items.texts[item]))
+                best[doc, item] = (d, max(0, word - int(bounds[doc])))
+        for (doc, item), (d, w) in best.items():
+            yield a + doc, item, w, d
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, reps: int, min_words: int, most_items: int, most_chars: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, walks: int, most_items: int, most_chars: int) -> Iterator[Items]:
     """The items in blocks of a bounded size, each of which one scan takes along."""
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / most_items), math.ceil(chars / most_chars))
     for k in range(blocks):
-        items = prepare([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()], reps, min_words)
+        items = prepare([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()], walks)
         if items:
             yield items
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = 0.2, recall: float = 0.999, min_words: int = 5, most_items: int = 20_000, most_chars: int = 1 << 24
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = 0.2, recall: float = 0.96, most_items: int = 20_000, most_chars: int = 1 << 22
 ) -> DataFrame:
     """A row for each document row and item that it holds: the id, item_id, first_word, n_edits.
 
     ``most_items`` and ``most_chars`` bound the items that one scan of the documents
     takes along; larger benchmarks are searched in several scans.
     """
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
     kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
     schema = f"id {kinds[0]}, item {kinds[1]}, first_word long, n_edits long"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(benchmark, item_col, item_text_col, repetitions(recall), min_words, most_items, most_chars):
+    for items in _blocks(benchmark, item_col, item_text_col, walks_for(recall), most_items, most_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -259,7 +310,7 @@ def contaminated(
             for batch in batches:
                 found = list(matches(known, batch.column("text").to_pylist(), max_edits))
                 ids = batch.column("id").take(pa.array([t for t, *_ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([known.ids[i] for _, i, _, _ in found], None if found else pa.int64()), pa.array([p for *_, p, _ in found], pa.int64()), pa.array([d for *_, d in found], pa.int64())], ["id", "item", "first_word", "n_edits"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([known.ids[i] for _, i, _, _ in found], kind), pa.array([p for *_, p, _ in found], pa.int64()), pa.array([d for *_, d in found], pa.int64())], ["id", "item", "first_word", "n_edits"])
 
         out = out.unionAll(rows.mapInArrow(search, schema))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col if item_col != id_col else f"benchmark_{item_col}"), "first_word", "n_edits")
@@ -276,10 +327,10 @@ def _holds(shared, max_edits: float):
     return holds
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", max_edits: float = 0.2, recall: float = 0.999, min_words: int = 5, most_items: int = 20_000, most_chars: int = 1 << 24) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", max_edits: float = 0.2, recall: float = 0.96, most_items: int = 20_000, most_chars: int = 1 << 22) -> DataFrame:
     """The documents without those that hold an item, judged row by row, with no join."""
     out, name = docs, fresh(docs, "_contaminated")
-    for items in _blocks(benchmark, item_col, "text", repetitions(recall), min_words, most_items, most_chars):
+    for items in _blocks(benchmark, item_col, "text", walks_for(recall), most_items, most_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         out = out.withColumn(name, _holds(shared, max_edits)(F.col(text_col))).where(~F.col(name)).select(*docs.columns)
     return out
