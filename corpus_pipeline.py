@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, jaccard, langid, mixing, toxicity
-from quire.llm.common import checkpointed, table
+from quire.llm.common import Stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix: a row for each drawn copy, with its shard and its order in the shard."""
-    mix = mixing.mixed(docs)
-    return mix.where(mix["mix_copy"].isNotNull())
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -51,9 +50,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage has kept is stored until the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        kept = Stored(stage(spark, docs, sf_dir))
+        if before:
+            before.remove()
+        docs, before = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
