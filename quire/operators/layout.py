@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,46 +54,54 @@ def table_flow(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(W.partitionBy("table_id").orderBy("row_idx")))
 
 
-PLACED = "struct<ord:bigint,page:int,y:double,height:double,remaining:double,split:boolean>"
+PACKED = "page int, y double, remaining double, split boolean, end_page int"
 
 
 def pack_ordered(flow: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Packs the items of each document onto pages, in order.
+    """Packs the items of each document onto pages, in order: (key, ord, page, y, height, remaining, split, end_page).
 
     flow: (key, ord, section, capacity, height, keep_next, page_break, is_row,
-    cant_split, header). State of the fold: page, section, used height. A document
-    is folded in one row, with built-in functions; its length bounds the row.
+    cant_split, header). The items stream by in order, with page, section and used
+    height as the only state, so a document may be of any length.
     """
-    w = W.partitionBy(key).orderBy("ord")
-    items = flow.withColumn("_next", F.coalesce(F.lead("height").over(w), F.lit(0.0)))
-    fields = ("ord", "section", "capacity", "height", "keep_next", "page_break", "is_row", "cant_split", "header", "_next")
-    gathered = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
-    start = F.struct(F.lit(1).alias("page"), F.lit(0).cast("long").alias("section"), F.lit(0.0).alias("y"), F.expr(f"CAST(array() AS array<{PLACED}>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        section, capacity, height = x["section"].cast("long"), x["capacity"], x["height"]
-        needed = height + F.when(x["keep_next"], x["_next"]).otherwise(0.0)
-        # A new section or a forced break first, then what doesn't fit.
-        turned = (section != s["section"]) | (x["page_break"] & (s["y"] > 0))
-        page1, y1 = s["page"] + turned.cast("int"), F.when(turned, 0.0).otherwise(s["y"])
-        full = (y1 > 0) & (y1 + needed > capacity + 0.02) & (~x["is_row"] | x["cant_split"])
-        page2 = page1 + full.cast("int")
-        y2 = F.when(full, F.when(x["is_row"] & (x["header"] < capacity), x["header"]).otherwise(0.0)).otherwise(y1)
-        # A row that may split runs on over as many pages as it needs.
-        splits = x["is_row"] & ~x["cant_split"] & (y2 + height > capacity + 0.02)
-        top = F.when(x["header"] < capacity - 0.02, x["header"]).otherwise(0.0)
-        over = height - F.greatest(capacity - y2, F.lit(0.0))
-        pages = F.greatest(F.lit(1), F.ceil((over - 0.02) / (capacity - top)).cast("int"))
-        y3 = F.when(splits, top + over - (pages - 1) * (capacity - top)).otherwise(y2 + height)
-        placed = F.struct(x["ord"].cast("long").alias("ord"), page2.alias("page"), F.round(y2, 4).alias("y"), height.alias("height"), F.round(capacity - y2, 4).alias("remaining"), splits.alias("split")).cast(PLACED)
-        return F.struct((page2 + F.when(splits, pages).otherwise(0)).alias("page"), section.alias("section"), y3.alias("y"), F.array_append(s["out"], placed).alias("out"))
-
-    folded = gathered.select(key, F.aggregate("items", start, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("p")).select(key, "p.*")
-
-
-def page_rollup(placed: DataFrame, key: str = "doc_id") -> DataFrame:
-    return placed.groupBy(key, "page").agg(F.count("*").alias("blocks"), F.max(F.col("y") + F.col("height")).alias("used"))
+    order = W.partitionBy(key).orderBy("ord")
+    items = flow.withColumn("_next", F.coalesce(F.lead("height").over(order), F.lit(0.0))).withColumn("_first", F.row_number().over(order) == 1)
+    fields = ["ord", "section", "capacity", "height", "keep_next", "page_break", "is_row", "cant_split", "header", "_next", "_first"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, at, y = 1, 0, 0.0
+        for batch in batches:
+            out = []
+            for _, section, capacity, height, keep, turn, is_row, whole, header, after, first in zip(*(batch.column(f).to_pylist() for f in fields), strict=True):
+                if first:
+                    page, at, y = 1, 0, 0.0
+                if section != at or (turn and y > 0):  # a new section or a forced break first, then what doesn't fit
+                    page, at, y = page + 1, section, 0.0
+                if y > 0 and y + height + (after if keep else 0.0) > capacity + 0.02 and (whole or not is_row):
+                    page, y = page + 1, header if is_row and header < capacity else 0.0
+                split = is_row and not whole and y + height > capacity + 0.02
+                placed = (page, round(y, 4), round(capacity - y, 4), split)
+                if split:  # a row that may split runs on over as many pages as it needs
+                    top, over = header if header < capacity - 0.02 else 0.0, height - max(capacity - y, 0.0)
+                    pages = max(1, math.ceil((over - 0.02) / (capacity - top)))
+                    page, y = page + pages, top + over - (pages - 1) * (capacity - top)
+                else:
+                    y += height
+                out.append((*placed, page))
+            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("ord"), batch.column("height"), *columns], [key, "ord", "height", "page", "y", "remaining", "split", "end_page"])
+
+    kind = flow.schema[key].dataType.simpleString()
+    rows = items.select(key, F.col("ord").cast("long").alias("ord"), F.col("section").cast("long").alias("section"), *fields[2:]).sortWithinPartitions(key, "ord")
+    return rows.mapInArrow(pack, f"{key} {kind}, ord long, height double, {PACKED}")
+
+
+def page_rollup(placed: DataFrame, key: str = "doc_id", capacity: float = 9.0) -> DataFrame:
+    """Blocks, used and remaining height of each page, whether it is nearly empty (but for the first), and the document's pages."""
+    pages = placed.groupBy(key, "page").agg(F.count("*").alias("blocks"), F.max(F.col("y") + F.col("height")).alias("used"), F.max("end_page").alias("end"))
+    pages = pages.withColumns({"remaining": F.greatest(F.lit(capacity) - F.col("used"), F.lit(0.0)), "near_empty": (F.col("used") < 0.4) & (F.col("page") > 1)})
+    return pages.withColumn("page_count", F.max("end").over(W.partitionBy(key))).drop("end")
 
 
 def page_issues(placed: DataFrame) -> DataFrame:

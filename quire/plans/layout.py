@@ -80,9 +80,10 @@ def w15_pack_ordered(spark, sf_dir):
     return placed(spark, sf_dir).select("doc_id", "ord", "page", "y")
 
 
-@query("v_blocks", "SELECT doc_id, page, count(*) AS blocks, round(max(y + height), 3) AS used FROM placed GROUP BY 1, 2", f"{CLASSIFIED}, {TALL}, {PACKED}")
+@query("v_blocks", """SELECT doc_id, page, blocks, round(used, 3) AS used, round(greatest(9 - used, 0), 3) AS remaining, used < 0.4 AND page > 1 AS near_empty, max(page) OVER (PARTITION BY doc_id) AS page_count
+ FROM (SELECT doc_id, page, count(*) AS blocks, max(round(y, 4) + height) AS used FROM placed GROUP BY 1, 2)""", f"{CLASSIFIED}, {TALL}, {PACKED}")
 def a14_page_rollup(spark, sf_dir):
-    return L.page_rollup(placed(spark, sf_dir)).withColumn("used", F.round("used", 3))
+    return L.page_rollup(placed(spark, sf_dir)).withColumns({"used": F.round("used", 3), "remaining": F.round("remaining", 3)})
 
 
 @query("v_blocks", """SELECT doc_id, idx, page, type, CASE type WHEN 'chapter_midpage' THEN 'info' ELSE 'warning' END AS severity FROM (SELECT p.doc_id, p.page, round(p.y, 4) AS y, round(9 - p.y, 4) AS remaining, p.height, f.idx, f.kind, lead(f.kind) OVER w AS nk, lead(p.page) OVER w AS np, coalesce(lead(p.height) OVER w, 0.7) AS nh

@@ -7,6 +7,8 @@ are derived from the rows by arithmetic on keys, so the views grow with the tabl
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _BOTH = {
@@ -54,6 +56,31 @@ SELECT table_id, row_idx, cell_idx, (l_partkey*(cell_idx+1))%90 AS text_len, 144
 FROM (SELECT l_orderkey AS table_id, l_partkey, l_suppkey, l_returnflag,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row_idx
   FROM lineitem) r CROSS JOIN (VALUES (0),(1),(2),(3)) c(cell_idx)
+""",
+    "v_tcells": """
+SELECT table_id, row_idx, cell_idx, CASE WHEN row_idx=0 AND cell_idx=0 THEN 2 ELSE 1 END AS grid_span,
+ CASE WHEN row_idx=0 AND cell_idx=0 AND table_id%3>0 THEN 2880 ELSE 1440 END AS width_twips, (l_partkey*(cell_idx+1))%90 AS text_len,
+ row_idx < 1+CASE WHEN table_id%6=5 THEN 1 ELSE 0 END AS is_header, l_partkey%4=1 AS cant_split, (row_idx%3)*0.25 AS min_height_in,
+ CASE WHEN table_id%8=1 AND row_idx=1 AND cell_idx=1 THEN 'continue' WHEN table_id%8=1 AND row_idx=0 AND cell_idx=1 THEN 'restart' END AS v_merge,
+ CASE WHEN table_id%9=0 THEN 10 ELSE 0 END AS cell_spacing,
+ CASE WHEN row_idx=0 THEN CASE WHEN table_id%7=3 THEN 8 ELSE 12 END WHEN row_idx=1 THEN 6 END AS top_sz,
+ CASE WHEN row_idx=n_rows-1 THEN CASE WHEN table_id%5=2 THEN 6 ELSE 12 END WHEN row_idx=0 THEN 6 END AS bottom_sz,
+ CASE WHEN l_partkey%41=0 THEN 4 END AS left_sz, CAST(NULL AS INT) AS right_sz, CASE WHEN l_partkey%37=0 THEN 'ff0000' ELSE '000000' END AS color,
+ CASE WHEN table_id%4=0 THEN 'left' ELSE 'both' END AS alignment, 1.5 - (l_partkey%5)*0.25 AS line_spacing, 10.5 + (l_partkey%2)*0.5 AS size_pt,
+ CASE WHEN l_partkey%19=0 THEN 2.0 END AS first_line_chars
+FROM (SELECT l_orderkey AS table_id, l_partkey,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row_idx,
+  count(*) OVER (PARTITION BY l_orderkey) AS n_rows
+  FROM lineitem) r CROSS JOIN (VALUES (0),(1),(2),(3)) c(cell_idx) WHERE NOT (row_idx=0 AND cell_idx=3 AND table_id%10<>4)
+""",
+    "v_tables": """
+SELECT l_orderkey AS table_id, CASE WHEN l_orderkey%3=0 THEN 'left' ELSE 'center' END AS alignment, 5760 + (l_orderkey%4)*720 AS width_twips, 6.0 + (l_orderkey%5)*0.25 AS container_in
+FROM lineitem GROUP BY l_orderkey
+""",
+    "v_nested": """
+SELECT t.table_id, p.table_id AS parent_id, 0 AS parent_row, 1 AS parent_cell
+FROM (SELECT l_orderkey AS table_id FROM lineitem GROUP BY l_orderkey) t JOIN (SELECT l_orderkey AS table_id FROM lineitem GROUP BY l_orderkey) p ON p.table_id = t.table_id - 1
+WHERE t.table_id%4 IN (1,2)
 """,
     "v_parts": """
 SELECT page_id AS doc_id, part_name, length(html)*k AS size
@@ -118,8 +145,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view over the tables, which are arguments of the query, so that no name in the session is taken."""
     sql = f"WITH {ctes((name,), _SPARK)} SELECT * FROM {name}"
-    for t in _TABLES:
-        if t in sql:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    given = {t: table(spark, sf_dir, t) for t in _TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)}
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(given)})\b", r"\1\2{\3}", sql), **given)
