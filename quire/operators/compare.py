@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import units as U
+from quire.sources.lineage import checkpointed
 
 FINDING = ("doc_id", "category", "name", "ok", "severity", "expected", "actual", "affected", "suggestion")
 
@@ -48,8 +49,8 @@ def normal_alignment(c: Column) -> Column:
     return F.when(c == "both", "justify").otherwise(c)
 
 
-def diff_properties(rows: DataFrame, expected: dict[str, object], prefix: Column, category: str, tolerances: dict[str, float], affected: Column) -> DataFrame:
-    """Findings of the expected properties against columns of the same name, numbers within their tolerance."""
+def property_findings(expected: dict[str, object], prefix: Column, category: str, tolerances: dict[str, float], affected: Column) -> list[Column]:
+    """A finding of each expected property against the column of the same name, numbers within their tolerance."""
     found = []
     for key, want in expected.items():
         got, lit = F.col(key), F.lit(want)
@@ -62,44 +63,64 @@ def diff_properties(rows: DataFrame, expected: dict[str, object], prefix: Column
         else:
             ok = got.eqNullSafe(lit)
         found.append(finding(F.col("doc_id"), category, F.concat(prefix, F.lit(f".{key}")), ok, lit, got, affected=affected, suggestion=F.concat(F.lit("set "), prefix, F.lit(f" {key} to {want}"))))
-    return exploded(rows, found)
+    return found
+
+
+def diff_properties(rows: DataFrame, expected: dict[str, object], prefix: Column, category: str, tolerances: dict[str, float], affected: Column) -> DataFrame:
+    """Findings of the expected properties against columns of the same name, numbers within their tolerance."""
+    return exploded(rows, property_findings(expected, prefix, category, tolerances, affected))
 
 
 RUN_TOLERANCE = {"size_pt": 0.25}
 PARA_TOLERANCE = {"line_spacing": 0.06, "line_exact_pt": 0.06, "space_before_pt": 0.06, "space_after_pt": 0.06}
 
 
+FIRST_LINE = 0.04
+
+
+def first_line_expected(paragraph: dict, size_pt: float | None) -> float | None:
+    """The first line's indent in inches that a rule asks for, from inches or from characters of the rule's size (12 pt if none)."""
+    if "first_line_in" in paragraph:
+        return float(paragraph["first_line_in"])
+    return paragraph["first_line_chars"] * (size_pt or 12) / 72 if "first_line_chars" in paragraph else None
+
+
 def diff_styles(docs: DataFrame, styles: DataFrame, usage: DataFrame, expected: dict[str, dict[str, dict]]) -> DataFrame:
-    """Whether each expected style exists in each document, and run and paragraph findings of those that do."""
-    out = []
+    """Whether each expected style exists in each document, and run and paragraph findings of those that do.
+
+    The expected styles are exploded beside each document and joined once, however
+    many a profile has; each style's findings are a branch of one array.
+    """
+    wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, expected))).alias("_want"))
+    used = usage.select(F.col("doc_id").alias("_ud"), F.col("style_id").alias("_us"), F.col("n").alias("_n"))
+    have = styles.withColumnsRenamed({"doc_id": "_sd", "style_id": "_ss"})
+    rows = wanted.join(have, (F.col("doc_id") == F.col("_sd")) & (F.col("_want") == F.col("_ss")), "left").join(used, (F.col("doc_id") == F.col("_ud")) & (F.col("_want") == F.col("_us")), "left")
+    rows = rows.withColumn("_used", F.coalesce("_n", F.lit(0)).cast("long"))
+    doc, exists, affected, found = F.col("doc_id"), F.col("_ss").isNotNull(), F.col("_used"), []
+    found.append(finding(doc, "style", F.concat(F.lit("styles."), "_want", F.lit(".exists")), exists, F.lit(True), exists, affected=affected, suggestion=F.concat(F.lit("create style "), "_want")))
     for style_id, config in expected.items():
-        have = styles.where(F.col("style_id") == style_id)
-        used = usage.where(F.col("style_id") == style_id).select("doc_id", F.col("n").alias("_n"))
-        rows = docs.select("doc_id").join(have, "doc_id", "left").join(used, "doc_id", "left").withColumn("_used", F.coalesce("_n", F.lit(0)).cast("long"))
-        exists, prefix = F.col("style_id").isNotNull(), F.lit(f"styles.{style_id}")
-        out.append(exploded(rows, [finding(F.col("doc_id"), "style", F.concat(prefix, F.lit(".exists")), exists, F.lit(True), exists, affected=F.col("_used"), suggestion=F.lit(f"create style {style_id}"))]))
-        there = rows.where(exists)
+        here, prefix = exists & (F.col("_want") == style_id), f"styles.{style_id}"
         for category, tolerances in (("run", RUN_TOLERANCE), ("paragraph", PARA_TOLERANCE)):
-            if config.get(category):
-                out.append(diff_properties(there, config[category], prefix, category, tolerances, F.col("_used")))
-    return reduce(DataFrame.unionByName, out)
+            own = {k: v for k, v in (config.get(category) or {}).items() if k not in ("first_line_in", "first_line_chars")}
+            found += [F.when(here, f) for f in property_findings(own, F.lit(prefix), category, tolerances, affected)]
+        first = first_line_expected(config.get("paragraph") or {}, (config.get("run") or {}).get("size_pt"))
+        if first is not None:
+            got = F.col("first_line_in").cast("double")
+            found.append(F.when(here, finding(doc, "paragraph", F.lit(f"{prefix}.first_line_in"), U.approx(got, F.lit(first), FIRST_LINE), F.lit(first), got, affected=affected, suggestion=F.lit(f"set {prefix} first-line indent to {first}"))))
+    return exploded(rows, found)
 
 
 def diff_page_numbers(docs: DataFrame, sections: DataFrame, expected: list[tuple[int, str | None, int | None]]) -> DataFrame:
-    """Each expected (section, format, start) in each document; a section out of range, or without page numbers, fails."""
-    out = []
-    for at, form, start in expected:
-        here = sections.where(F.col("section_idx") == at).select("doc_id", "num_fmt", "num_start", F.lit(True).alias("_has"))
-        rows = docs.select("doc_id").join(here, "doc_id", "left")
-        want = U.NUMBER_FORMATS.get(form, form) if form else None
-        ok = F.coalesce("_has", F.lit(False)) & (F.col("num_fmt").isNotNull() | F.col("num_start").isNotNull())
-        if want:
-            ok = ok & F.coalesce(F.col("num_fmt") == want, F.lit(False))
-        if start is not None:
-            ok = ok & F.coalesce(F.col("num_start") == start, F.lit(False))
-        told = lambda f, s: F.concat_ws("/", F.coalesce(f, F.lit("-")), F.coalesce(s.cast("string"), F.lit("-")))
-        out.append(exploded(rows, [finding(F.col("doc_id"), "pageNumbers", F.lit(f"pageNumbers.section[{at}]"), ok, told(F.lit(want).cast("string"), F.lit(start).cast("int")), told(F.col("num_fmt"), F.col("num_start")), suggestion=F.lit("configure page numbers for this section"))]))
-    return reduce(DataFrame.unionByName, out)
+    """Each expected (section, format, start) in each document; a section out of range, or without page numbers, fails. One join for all."""
+    entries = [F.struct(F.lit(at).alias("at"), F.lit(U.NUMBER_FORMATS.get(form, form) if form else None).cast("string").alias("form"), F.lit(start).cast("int").alias("start")) for at, form, start in expected]
+    wanted = docs.select("doc_id", F.explode(F.array(*entries)).alias("w")).select("doc_id", "w.*")
+    here = sections.select(F.col("doc_id").alias("_d"), F.col("section_idx").alias("_i"), "num_fmt", "num_start")
+    rows = wanted.join(here, (F.col("doc_id") == F.col("_d")) & (F.col("at") == F.col("_i")), "left")
+    ok = F.coalesce("num_fmt", F.col("num_start").cast("string")).isNotNull()
+    ok = ok & (F.col("form").isNull() | F.coalesce(F.col("num_fmt") == F.col("form"), F.lit(False))) & (F.col("start").isNull() | F.coalesce(F.col("num_start") == F.col("start"), F.lit(False)))
+    told = lambda f, s: F.concat_ws("/", F.coalesce(f, F.lit("-")), F.coalesce(F.col(s).cast("string"), F.lit("-")))
+    name = F.format_string("pageNumbers.section[%d]", F.col("at"))
+    return exploded(rows, [finding(F.col("doc_id"), "pageNumbers", name, ok, told("form", "start"), told("num_fmt", "num_start"), suggestion=F.lit("configure page numbers for this section"))])
 
 
 def inheriting_sections(sections: DataFrame, owns: Column) -> DataFrame:
@@ -157,23 +178,22 @@ def closest_page_size(width: Column, height: Column, within: float = 0.15) -> Co
     return F.when(least <= within, F.coalesce(*[F.when(d == least, F.lit(name)) for (name, _), d in zip(sizes, deltas, strict=True)]))
 
 
-def style_chain(styles: DataFrame, rounds: int = 32) -> DataFrame:
+def style_chain(styles: DataFrame) -> DataFrame:
     """(doc_id, style_id, ancestor, depth): each style and those that it is based on, a cycle stops where it would repeat.
 
-    A round joins one level more; rounds end when one adds nothing.
+    A round joins one level more to a checkpointed front; rounds end when one adds nothing.
     """
     base = styles.select("doc_id", "style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth"), F.array("style_id").alias("_path"))
     links = styles.select(F.col("doc_id").alias("_d"), F.col("style_id").alias("_s"), F.col("based_on").alias("_up"))
     known = styles.select(F.col("doc_id").alias("_kd"), F.col("style_id").alias("_ks"))
     out, front = base, base
-    for _ in range(rounds):
+    while True:
         up = front.join(links, (F.col("doc_id") == F.col("_d")) & (F.col("ancestor") == F.col("_s")) & F.col("_up").isNotNull())
         up = up.where(~F.array_contains("_path", F.col("_up"))).join(known, (F.col("doc_id") == F.col("_kd")) & (F.col("_up") == F.col("_ks")), "left_semi")
-        front = up.select("doc_id", "style_id", F.col("_up").alias("ancestor"), F.col("depth") + 1, F.array_append("_path", F.col("_up")).alias("_path")).toDF("doc_id", "style_id", "ancestor", "depth", "_path")
+        front = checkpointed(up.select("doc_id", "style_id", F.col("_up").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("_path", F.col("_up")).alias("_path")))
         if front.isEmpty():
-            break
+            return out.drop("_path")
         out = out.unionByName(front)
-    return out.drop("_path")
 
 
 def effective_props(chain: DataFrame, styles: DataFrame, overlays: tuple[str, ...], toggles: tuple[str, ...]) -> DataFrame:

@@ -23,12 +23,10 @@ def check_packages(docs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def resolve_target(target: Column) -> Column:
-    """A relationship's target as a part name: relative ones stand under ``word/``, ``x/../`` is undone, no leading slash."""
+    """A relationship's target as a part name: relative ones stand under ``word/``, ``.`` and ``x/..`` are undone, no leading slash."""
     path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("word/"), target))
-    for _ in range(4):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-        path = F.regexp_replace(path, r"(^|/)\./", "$1")
-    return F.ltrim(path, F.lit("/"))
+    step = lambda kept, x: F.when(x.isin("", "."), kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.expr("CAST(array() AS array<string>)"), step), "/")
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,19 +86,49 @@ def check_graphs(nodes: DataFrame, edges: DataFrame, most_nodes: int = 60, most_
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def reachable(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(graph_id, a, b): b can be reached from a. Paths double each round, until one adds nothing; a graph has 60 nodes at most."""
+# Node types of a graph, and the least and largest value of each layout measure.
+NODE_TYPES = ("start", "end", "process", "decision")
+LAYOUT_RANGES = {"nodeWidthIn": (0.8, 4.0), "nodeHeightIn": (0.4, 2.0), "columnGapIn": (0.35, 2.0), "rowGapIn": (0.35, 2.0), "fontSizePt": (8.0, 24.0)}
+
+
+def check_graph_details(nodes: DataFrame, edges: DataFrame, layout: DataFrame) -> DataFrame:
+    """(graph_id, problem) beyond check_graphs: node types, texts, grid places (all or none, 0 to 59, none twice), edge labels, layout measures.
+
+    nodes: graph_id, id, text, type, row, col; edges: graph_id, src, dst, label; layout: graph_id, key, value.
+    """
+    told, row, col = lambda text, most: (F.trim(F.coalesce(text, F.lit(""))) != "") & (F.length(text) <= most), F.col("row"), F.col("col")
+    tests = {
+        "node_id_length": ~told(F.col("id"), 80), "node_text": ~told(F.col("text"), 200), "node_type": ~F.coalesce("type", F.lit("process")).isin(*NODE_TYPES),
+        "grid_cell": (row.isNotNull() | col.isNotNull()) & ~F.coalesce(row.between(0, 59) & col.between(0, 59), F.lit(False)),
+    }
+    of_nodes = nodes.select("graph_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in tests.items()]), lambda x: x.isNotNull())).alias("problem"))
+    placed = row.isNotNull() | col.isNotNull()
+    per_graph = nodes.groupBy("graph_id").agg(F.count_if(placed).alias("placed"), F.count("*").alias("n"))
+    found = [
+        of_nodes,
+        per_graph.where("placed > 0 AND placed < n").select("graph_id", F.lit("some_placed").alias("problem")),
+        duplicates(nodes.where(row.isNotNull() & col.isNotNull()), ["graph_id", "row", "col"]).select("graph_id", F.lit("overlap").alias("problem")),
+        edges.where(F.col("label").isNotNull() & ~told(F.col("label"), 40)).select("graph_id", F.lit("edge_label").alias("problem")),
+    ]
+    bounds = F.create_map(*[x for k, (low, high) in LAYOUT_RANGES.items() for x in (F.lit(k), F.array(F.lit(low), F.lit(high)))])
+    within = F.coalesce(F.col("value").between(F.try_element_at(bounds, F.col("key"))[0], F.try_element_at(bounds, F.col("key"))[1]), F.lit(False))
+    known = F.col("key").isin(*LAYOUT_RANGES)
+    found.append(layout.where(~known | ~within).select("graph_id", F.when(known, "layout_range").otherwise("layout_key").alias("problem")))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def reachable(edges: DataFrame) -> DataFrame:
+    """(graph_id, a, b): b can be reached from a. Paths double each round, until one adds nothing."""
     pairs = edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     n = pairs.count()
-    for _ in range(rounds):
+    while True:
         step = pairs.select(F.col("graph_id").alias("_g"), F.col("a").alias("_a"), F.col("b").alias("_b"))
         more = pairs.join(step, (F.col("graph_id") == F.col("_g")) & (F.col("b") == F.col("_a"))).select("graph_id", "a", F.col("_b").alias("b"))
         pairs = checkpointed(pairs.unionByName(more).distinct())
         now = pairs.count()
         if now == n:
-            break
+            return pairs
         n = now
-    return pairs
 
 
 def return_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -115,21 +143,24 @@ def return_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(back, (F.col("graph_id") == F.col("_rg")) & (F.col("dst") == F.col("_ra")) & (F.col("src") == F.col("_rb")), "left_semi").select("graph_id", "src", "dst")
 
 
-def grid_positions(nodes: DataFrame, forward: DataFrame, rounds: int = 60) -> DataFrame:
+def grid_positions(nodes: DataFrame, forward: DataFrame) -> DataFrame:
     """(graph_id, id, row, col): longest-path rank over forward edges, and a centred half-grid column.
 
-    A round raises ranks along edges; rounds end when one changes nothing, and
-    graphs have 60 nodes at most.
+    A round raises ranks along edges; rounds end when one changes nothing. Forward
+    edges hold no cycle; one that does is an error.
     """
     rank, forward = checkpointed(nodes.select("graph_id", "id", "ord", F.lit(0).alias("row"))), checkpointed(forward)
+    most_rank = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     total = 0
-    for _ in range(rounds):
+    while True:
         up = forward.join(rank.select(F.col("graph_id").alias("_g"), F.col("id").alias("_id"), F.col("row").alias("_row")), (F.col("graph_id") == F.col("_g")) & (F.col("src") == F.col("_id")))
         most = up.groupBy(F.col("graph_id").alias("_g"), F.col("dst").alias("_id")).agg((F.max("_row") + 1).alias("_row"))
         rank = checkpointed(rank.join(most, (F.col("graph_id") == F.col("_g")) & (F.col("id") == F.col("_id")), "left").select("graph_id", "id", "ord", F.greatest("row", F.coalesce("_row", F.lit(0))).alias("row")))
-        now = rank.agg(F.sum("row")).first()[0] or 0
-        if now == total:
+        now, deepest = rank.agg(F.sum("row"), F.max("row")).first()
+        if (now or 0) == total:
             break
+        if deepest >= most_rank:
+            raise ValueError("the forward edges hold a cycle")
         total = now
     slot = F.row_number().over(W.partitionBy("graph_id", "row").orderBy("ord")) - 1
     width = F.count("*").over(W.partitionBy("graph_id", "row"))

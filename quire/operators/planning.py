@@ -110,3 +110,60 @@ def compliance(scores: DataFrame, categories: DataFrame, verdicts: DataFrame) ->
 
 def top_failures(findings: DataFrame, n: int = 40) -> DataFrame:
     return findings.where("NOT ok").withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("idx"))).where(F.col("rank") <= n)
+
+
+MAPPING = ("paragraphRules", "captionRules", "bookmarkRules", "replacements", "fieldRules", "headingNumbering")
+
+
+def narrow_profile(rules: DataFrame, steps: DataFrame) -> DataFrame:
+    """(doc_id and the columns of the rules): of a profile's rule rows, those that the selected steps of each document touch.
+
+    rules: family, item (place in the family, or a style's id), bucket, property, value.
+    A style keeps the properties that steps name, or all if its existence is at stake or
+    none is named that it has. Page numbers, headers and tables keep the items that
+    sources name; the first two all of theirs if none is named. Mapping families stay
+    only where a step comes from one. Steps of the layout alone keep nothing.
+    """
+    s = steps.where("NOT visual")
+    action, source = F.col("action"), F.col("source")
+    number = F.regexp_extract(source, r"\[(\d+)\]", 1)
+    style = F.when(source.startswith("styles."), F.split_part(source, F.lit("."), F.lit(2))).otherwise(F.col("target"))
+    is_style = action.isin("set_style", "set_paragraph", "set_run")
+    family = (
+        F.when(is_style, "styles").when(action == "set_page", "page").when(action == "set_default_run", "defaultRun").when((action == "set_table") & source.startswith("tableRules["), "tableRules")
+        .when(action == "set_page_number", "pageNumbers").when(action == "set_header_footer", "headersFooters")
+    )
+    item = F.when(is_style, style).when(action == "set_page_number", F.regexp_extract(source, r"section\[(\d+)\]", 1)).when(source.rlike(r"^(tableRules|headersFooters)\["), number)
+    asked = s.select("doc_id", family.alias("_family"), F.when(item != "", item).alias("_item"), F.col("property").alias("_property")).where("_family IS NOT NULL")
+    asked = asked.unionByName(asked.where("_family = 'page'").withColumn("_family", F.lit("sections")))
+    # What a document's steps name of each family: its items, and of a style its properties.
+    named = asked.groupBy("doc_id", "_family").agg(F.collect_set("_item").alias("_items"), F.collect_set(F.struct("_item", "_property")).alias("_pairs"))
+    mapping = F.coalesce(*[F.when(source.startswith(m), F.lit(True)) for m in MAPPING], F.lit(False))
+    mapped = s.groupBy("doc_id").agg(F.bool_or(mapping).alias("_m")).where("_m").select("doc_id", F.explode(F.array(*map(F.lit, MAPPING))).alias("_family"), F.expr("CAST(array() AS array<string>)").alias("_items"), F.expr("CAST(array() AS array<struct<_item:string,_property:string>>)").alias("_pairs"))
+    both = named.unionByName(mapped).join(rules, F.col("_family") == F.col("family"))
+    pair = F.struct(F.col("item").alias("_item"), F.col("property").alias("_property"))
+    listed = F.array_contains("_pairs", pair)
+    here = F.array_contains("_items", F.col("item"))
+    exists = F.exists("_pairs", lambda p: (p["_item"] == F.col("item")) & (p["_property"] == "exists"))
+    w = W.partitionBy("doc_id", "family", "item")
+    rows = both.withColumn("_any", F.max(listed.cast("int")).over(w))
+    keep = F.when(F.col("family") == "styles", here & (listed | exists | (F.col("_any") == 0))).when(F.col("family") == "tableRules", here).when(F.col("family").isin("pageNumbers", "headersFooters"), here | (F.size("_items") == 0)).otherwise(F.lit(True))
+    return rows.where(keep).select("doc_id", "family", "item", "bucket", "property", "value")
+
+
+# What a person must look at after every run.
+ALWAYS_REVIEW = ("refresh field results", "cover, floating objects, macros")
+
+
+def review(findings: DataFrame, validation: DataFrame, steps: DataFrame) -> DataFrame:
+    """(doc_id, structure_failed, validation_failed, must_review): failed structure findings and validations, and what needs a person.
+
+    validation: doc_id, ok. must_review: the steps to be confirmed, by number, and what always stays.
+    """
+    structure = findings.groupBy("doc_id").agg(F.count_if(~F.col("ok") & (F.col("category") == "structure")).alias("structure_failed"))
+    failed = validation.groupBy("doc_id").agg(F.count_if(~F.col("ok")).alias("validation_failed"))
+    told = F.concat(F.col("id"), F.lit(": "), F.col("action"))
+    asked = F.transform(F.array_sort(F.collect_list(F.when(F.col("confirm"), F.struct("step_no", told.alias("t"))))), lambda x: x["t"])
+    rows = structure.join(failed, "doc_id", "full").join(steps.groupBy("doc_id").agg(asked.alias("asked")), "doc_id", "full").na.fill(0, ["structure_failed", "validation_failed"])
+    always = F.array(*map(F.lit, ALWAYS_REVIEW))
+    return rows.select("doc_id", "structure_failed", "validation_failed", F.concat(F.coalesce("asked", F.expr("CAST(array() AS array<string>)")), always).alias("must_review"))

@@ -166,28 +166,81 @@ def overlay(rows: DataFrame, where: Column, values: dict[str, object]) -> DataFr
     return rows.withColumns(out)
 
 
-def apply_para_rules(blocks: DataFrame, rules: list[dict]) -> DataFrame:
+def apply_para_rules(blocks: DataFrame, rules: list[dict], para: tuple[str, ...] = (), run: tuple[str, ...] = ()) -> DataFrame:
     """Rules one after the other: text as earlier rules left it, style and place as they were at the start.
 
-    A rule may set the style, replace a pattern in the text (the first or all) and
-    remove the block; max_matches counts in the order of the document.
+    A rule may clear the paragraph's (``para``) and the runs' (``run``) own columns, set
+    the style, overlay columns (``set``), replace a pattern in the text (the first or
+    all) and remove the block; max_matches counts in the order of the document. A
+    block that ends a section isn't removed, which is an error.
     """
+    names = blocks.columns
     rows = blocks.withColumns({"_text": F.col("text"), "_style": F.col("style_id"), "_gone": F.lit(False)})
-    columns = {"_columns": tuple(blocks.columns)}
+    columns = {"_columns": tuple(names)}
     for rule in rules:
         hit = predicate(rule["match"] | columns, F.col("_text")) & ~F.col("_gone")
         rows = rows.withColumn("_hit", hit)
         if rule.get("max_matches"):
             order = W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
             rows = rows.withColumn("_hit", F.col("_hit") & (F.sum(F.col("_hit").cast("int")).over(order) <= rule["max_matches"]))
+        when = lambda value, name: F.when(F.col("_hit"), value).otherwise(F.col(name))
         if rule.get("remove"):
-            rows = rows.withColumn("_gone", F.col("_gone") | F.col("_hit"))
+            ends = F.coalesce("section_break", F.lit(False)) if "section_break" in names and rule.get("refuse_breaks") else F.lit(False)
+            gone = F.when(F.col("_hit") & ends, F.raise_error(F.lit("a block that ends a section can't be removed"))).otherwise(F.col("_gone") | F.col("_hit"))
+            rows = rows.withColumn("_gone", gone)
             continue
+        cleared = [*(para if rule.get("clear_paragraph") else ()), *(run if rule.get("clear_run") else ())]
+        rows = rows.withColumns({c: when(F.lit(None), c) for c in cleared})
         if rule.get("set_style"):
-            rows = rows.withColumn("_style", F.when(F.col("_hit"), F.lit(rule["set_style"])).otherwise(F.col("_style")))
+            rows = rows.withColumn("_style", when(F.lit(rule["set_style"]), "_style"))
+        if rule.get("set"):
+            rows = overlay(rows, F.col("_hit"), rule["set"])
         if rule.get("replace"):
-            rows = rows.withColumn("_text", F.when(F.col("_hit"), replaced(F.col("_text"), *rule["replace"], rule.get("all", False))).otherwise(F.col("_text")))
-    return rows.where("NOT _gone").withColumns({"text": F.col("_text"), "style_id": F.col("_style")}).drop("_text", "_style", "_gone", "_hit")
+            rows = rows.withColumn("_text", when(replaced(F.col("_text"), *rule["replace"], rule.get("all", False)), "_text"))
+    return rows.where("NOT _gone").withColumns({"text": F.col("_text"), "style_id": F.col("_style")}).select(*names)
+
+
+def replace_in_runs(runs: DataFrame, pattern: str, replacement: str, regex: bool = False, every: bool = True) -> DataFrame:
+    """Runs after a replacement in the text of their paragraph, across the borders of runs.
+
+    runs: doc_id, idx, run_ord, text, and further columns, which stay. The run in which
+    an occurrence begins takes the replacement, the others lose their part of it. A
+    regex sees the occurrence alone when its groups are filled in.
+    """
+    import re
+
+    order = ("doc_id", "idx")
+    found = f"(?U){pattern}" if regex else re.escape(pattern)
+    open_, close = "\ue000", "\ue001"
+    gathered = runs.groupBy(*order).agg(F.array_sort(F.collect_list(F.struct("run_ord", F.coalesce("text", F.lit("")).alias("t")))).alias("_runs"))
+    whole = F.array_join(F.transform("_runs", lambda r: r["t"]), "")
+    marked = F.regexp_replace(whole, found, f"{open_}$0{close}") if every else F.regexp_replace(whole, f"(?s)^(.*?)({found})(.*)$", f"$1{open_}$2{close}${{rest}}".replace("${rest}", f"${3 + re.compile(pattern).groups if regex else 3}"))
+    parts = F.split(marked, f"[{open_}{close}]", -1)  # outside and inside by turns
+    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<at:int,n:int,t:string,inside:boolean>>)").alias("out"))
+    step = lambda s, t: F.struct((s["at"] + F.length(t)).cast("int").alias("at"), F.array_append(s["out"], F.struct(s["at"].cast("int").alias("at"), F.length(t).cast("int").alias("n"), t.alias("t"), (F.size(s["out"]) % 2 == 1).alias("inside"))).alias("out"))
+    rows = gathered.withColumn("_parts", F.aggregate(parts, start, step)["out"])
+    new = lambda t: F.regexp_replace(t, f"^{found}$" if regex else "(?s)^.*$", replacement if regex else replacement.replace("\\", "\\\\").replace("$", "\\$"))
+
+    def piece(p: Column, low: Column, high: Column) -> Column:
+        cut = F.substring(p["t"], F.greatest(low - p["at"], F.lit(0)) + 1, F.greatest(F.least(high, p["at"] + p["n"]) - F.greatest(low, p["at"]), F.lit(0)))
+        return F.when(~p["inside"], cut).when((p["at"] >= low) & (p["at"] < high), new(p["t"])).otherwise("")
+
+    offsets = F.transform(F.sequence(F.lit(0), F.size("_runs") - 1), lambda i: F.aggregate(F.slice("_runs", 1, i), F.lit(0), lambda a, r: a + F.length(r["t"])))
+    rows = rows.withColumn("_low", offsets)
+    texts = F.transform("_runs", lambda r, i: F.struct(r["run_ord"].alias("run_ord"), F.array_join(F.transform("_parts", lambda p: piece(p, F.get("_low", i), F.get("_low", i) + F.length(r["t"]))), "").alias("t")))
+    after = rows.select(*order, F.explode(texts).alias("_r")).select(*order, F.col("_r.run_ord").alias("run_ord"), F.col("_r.t").alias("_new"))
+    return runs.join(after, [*order, "run_ord"]).withColumn("text", F.col("_new")).select(*runs.columns)
+
+
+def apply_bookmarks(blocks: DataFrame, bookmarks: DataFrame, rules: list[dict]) -> DataFrame:
+    """(doc_id, idx, name, id) of the bookmarks that rules create: names that a document has are skipped, ids follow its largest.
+
+    bookmarks: doc_id, name, id. Of a name that several rules or places make, the first stays.
+    """
+    found = cap_matches(match_rules(blocks, rules), rules)
+    named = [bookmark_names(found.where(F.col("rule") == i), r["name"]).withColumn("ord", F.struct("rule", "n")) for i, r in enumerate(rules)]
+    created = new_only(reduce(DataFrame.unionByName, named), bookmarks)
+    return next_ids(bookmarks.select("doc_id", "id"), created, "ord").select("doc_id", "idx", "name", "id")
 
 
 def replaced(text: Column, pattern: str, replacement: str, every: bool) -> Column:
@@ -216,14 +269,15 @@ def caption_instruction(strategy: str | None, style: str = "Heading 1", own: str
     return {"styleref-as-displayed": f'STYLEREF "{style}" \\n', "styleref-arabic": f'STYLEREF "{style}" \\n \\* ARABIC', "seq-chapter": "SEQ chapter \\* ARABIC"}.get(strategy or "")
 
 
-def apply_captions(blocks: DataFrame, match: dict, label: str, strip: str, strategy: str | None, separator: str = "-") -> DataFrame:
-    """(doc_id, idx, n, segments): captions of the matched blocks rebuilt as label, chapter field, sequence field and rest."""
+def apply_captions(blocks: DataFrame, match: dict, label: str, strip: str, strategy: str | None, separator: str = "-", bookmark: str | None = None) -> DataFrame:
+    """(doc_id, idx, n, caption): captions of the matched blocks rebuilt as label, chapter field, sequence field and rest; with a prefix, their bookmark too."""
     hits = numbered(match_rules(blocks, [{"match": match}])).withColumnsRenamed({"doc_id": "_d", "idx": "_i"})
     rows = blocks.join(hits, (F.col("doc_id") == F.col("_d")) & (F.col("idx") == F.col("_i")))
     rest = F.regexp_replace(replaced(F.col("text"), strip, "", False), r"(?U)^\s+", "")
     chapter = caption_instruction(strategy)
     parts = [F.lit(label), *([F.lit("{" + chapter + "}"), F.lit(separator)] if chapter else []), F.lit("{SEQ " + label + " \\* ARABIC}"), F.lit(" "), rest]
-    return rows.select("doc_id", "idx", "n", F.concat(*parts).alias("caption"))
+    more = [F.concat(F.lit(bookmark), F.col("n").cast("string")).alias("bookmark")] if bookmark else []
+    return rows.select("doc_id", "idx", "n", F.concat(*parts).alias("caption"), *more)
 
 
 def bookmark_names(matches: DataFrame, template: str) -> DataFrame:

@@ -113,22 +113,22 @@ def body_tables(tables: DataFrame) -> DataFrame:
     return outer.withColumn("body_idx", F.row_number().over(W.partitionBy("doc_id").orderBy("table_idx")) - 1)
 
 
-def table_geometry(tables: DataFrame, cells: DataFrame, page_width: Column, rounds: int = 16) -> DataFrame:
+def table_geometry(tables: DataFrame, cells: DataFrame, page_width: Column) -> DataFrame:
     """(doc_id, table_idx, container_in, width_in, top_idx): widths handed down the nesting, a level a round.
 
     tables: doc_id, table_idx, parent_idx, parent_cell, pref_in, columns; cells:
-    doc_id, table_idx, cell_idx, width_in. A table is as wide as its preference, else
-    as its container; a cell as its own width, else as an equal share of its table.
+    doc_id, table_idx, cell_idx, width_in, grid_in (what its spanned columns sum to,
+    if the table has a grid). A table is as wide as its preference, else as its
+    container; a cell as its own width, else its grid's, else an equal share of its table.
     """
     width = F.coalesce("pref_in", "container_in")
     done = tables.where("parent_idx IS NULL").withColumn("container_in", page_width).select("doc_id", "table_idx", "container_in", width.alias("width_in"), F.col("table_idx").alias("top_idx"), "columns")
     front, out = done, done
-    for _ in range(rounds):
+    while True:
         up = front.select("doc_id", F.col("table_idx").alias("parent_idx"), F.col("width_in").alias("_w"), "top_idx", F.col("columns").alias("_n"))
-        inner = tables.join(up, ["doc_id", "parent_idx"]).join(cells.select("doc_id", F.col("table_idx").alias("parent_idx"), F.col("cell_idx").alias("parent_cell"), F.col("width_in").alias("_cell")), ["doc_id", "parent_idx", "parent_cell"], "left")
+        inner = tables.join(up, ["doc_id", "parent_idx"]).join(cells.select("doc_id", F.col("table_idx").alias("parent_idx"), F.col("cell_idx").alias("parent_cell"), F.coalesce("width_in", "grid_in").alias("_cell")), ["doc_id", "parent_idx", "parent_cell"], "left")
         inner = inner.withColumn("container_in", F.coalesce("_cell", F.col("_w") / F.col("_n")))
         front = checkpointed(inner.select("doc_id", "table_idx", "container_in", width.alias("width_in"), "top_idx", "columns"))
         if front.isEmpty():
-            break
+            return out.drop("columns")
         out = out.unionByName(front)
-    return out.drop("columns")

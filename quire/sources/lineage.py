@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session's spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """A checkpoint in the folder that the session's spark.checkpoint.dir names.
+
+    Only a session on one machine may leave it unset, and gets a temporary folder:
+    on a cluster the driver and the executors must share it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint()

@@ -81,6 +81,49 @@ FROM lineitem GROUP BY l_orderkey
 SELECT t.table_id, p.table_id AS parent_id, 0 AS parent_row, 1 AS parent_cell
 FROM (SELECT l_orderkey AS table_id FROM lineitem GROUP BY l_orderkey) t JOIN (SELECT l_orderkey AS table_id FROM lineitem GROUP BY l_orderkey) p ON p.table_id = t.table_id - 1
 WHERE t.table_id%4 IN (1,2)
+""",
+    "v_runs": """
+SELECT doc_id, idx, run_ord, CASE run_ord WHEN 0 THEN substr(text,1,4) WHEN 1 THEN substr(text,5,5) ELSE substr(text,10,100000) END AS text,
+ (idx+run_ord)%3=0 AS bold, CASE WHEN (idx+run_ord)%4=0 THEN 10.5 END AS size_pt
+FROM v_blocks CROSS JOIN (VALUES (0),(1),(2)) r(run_ord)
+""",
+    "v_refs": """
+SELECT doc_id, section_idx, kind, ref_type, concat('rId', (doc_id+section_idx*3+k)%7) AS rel_id
+FROM v_sections CROSS JOIN (VALUES ('header','default',0),('footer','default',1),('header','first',2),('footer','even',3)) r(kind,ref_type,k) WHERE (doc_id+section_idx+k)%3 <> 0
+""",
+    "v_rels": """
+SELECT doc_id, concat('rId', n) AS rel_id, concat('http://x/', CASE WHEN n%2=0 THEN 'header' ELSE 'footer' END) AS rel_type, concat('word/', CASE WHEN n%2=0 THEN 'header' ELSE 'footer' END, n, '.xml') AS target
+FROM documents CROSS JOIN (VALUES (0),(1),(2),(3),(4)) r(n)
+""",
+    "v_objects": """
+SELECT doc_id, CASE h WHEN 0 THEN 'tables' WHEN 1 THEN 'drawings' WHEN 2 THEN 'text_boxes' WHEN 3 THEN 'content_controls' WHEN 4 THEN 'insertions'
+ WHEN 5 THEN 'deletions' WHEN 6 THEN 'bookmarks' ELSE 'numbering_formats' END AS kind, concat('n', idx%3) AS name
+FROM (SELECT doc_id, idx, (doc_id*3+idx*5)%11 AS h FROM v_lines) q WHERE h <= 7
+""",
+    "v_bookmarks": """
+SELECT doc_id, concat('fig_', 1+idx%2) AS name, idx*2 AS id FROM v_blocks WHERE idx%5=0 AND idx < 12
+""",
+    "v_steps": """
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS step_no, concat('s', idx) AS id, action, source, target, property, action='map_structure' AS confirm, visual
+FROM (SELECT doc_id, idx, CASE h WHEN 0 THEN 'set_style' WHEN 1 THEN 'set_run' WHEN 2 THEN 'set_page' WHEN 3 THEN 'set_page_number' WHEN 4 THEN 'set_table' WHEN 5 THEN 'set_header_footer' WHEN 6 THEN 'map_structure' ELSE 'set_keep_next' END AS action,
+  CASE h WHEN 0 THEN 'styles.Heading1.size_pt' WHEN 1 THEN 'styles.Normal.exists' WHEN 2 THEN 'section[0].widthIn' WHEN 3 THEN concat('pageNumbers.section[',idx%2,']') WHEN 4 THEN concat('tableRules[',idx%3,']') WHEN 5 THEN concat('headersFooters[',idx%3,']')
+   WHEN 6 THEN CASE WHEN idx%2=0 THEN 'paragraphRules[0]' ELSE 'document.sections[0]' END ELSE 'orphan_heading' END AS source,
+  'target' AS target, CASE h WHEN 0 THEN 'size_pt' WHEN 1 THEN 'exists' ELSE 'x' END AS property, h=7 AS visual
+ FROM (SELECT doc_id, idx, (doc_id+idx*3)%13 AS h FROM v_lines) a WHERE h <= 7 AND idx < 6) b
+""",
+    "v_gnodes": """
+SELECT graph_id, ord, CASE WHEN graph_id%13=5 AND ord=0 THEN repeat('n',81) ELSE id END AS id, CASE WHEN (graph_id+ord)%11=3 THEN '  ' WHEN (graph_id+ord)%17=4 THEN repeat('x',201) ELSE text END AS text,
+ CASE (graph_id+ord)%9 WHEN 0 THEN 'start' WHEN 1 THEN 'end' WHEN 2 THEN 'decision' WHEN 3 THEN 'cloud' END AS type,
+ CASE WHEN graph_id%3=0 OR (graph_id%3=1 AND ord>0) THEN CASE WHEN graph_id%19=6 THEN ord+58 ELSE ord END END AS row,
+ CASE WHEN graph_id%3=0 OR (graph_id%3=1 AND ord>1) THEN CASE WHEN graph_id%5=0 THEN 0 ELSE ord%2 END END AS col
+FROM v_nodes
+""",
+    "v_gedges": """
+SELECT graph_id, src, dst, CASE WHEN (graph_id+n)%7=0 THEN repeat('y',41) WHEN (graph_id+n)%7=1 THEN '' WHEN (graph_id+n)%7<4 THEN 'yes' END AS label FROM v_edges
+""",
+    "v_glayout": """
+SELECT user_id AS graph_id, CASE k WHEN 0 THEN 'nodeWidthIn' WHEN 1 THEN 'fontSizePt' WHEN 2 THEN 'rowGapIn' ELSE 'depth' END AS key, CAST(user_id%5 AS DOUBLE)*CASE k WHEN 1 THEN 7 WHEN 2 THEN 0.5 ELSE 1 END AS value
+FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES (0),(1),(2),(3)) v(k) WHERE (user_id+k)%4 < 3
 """,
     "v_parts": """
 SELECT page_id AS doc_id, part_name, length(html)*k AS size
@@ -130,7 +173,10 @@ _DUCKDB = {"v_lines": """
 SELECT doc_id, i-1 AS idx, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 """} | _BOTH
-_NEEDS = {"v_blocks": ["v_lines"], "v_findings": ["v_lines", "v_blocks"], "v_issues": ["v_lines", "v_blocks"]}
+_NEEDS = {
+    "v_runs": ["v_lines", "v_blocks"], "v_refs": ["v_sections"], "v_objects": ["v_lines"], "v_bookmarks": ["v_lines", "v_blocks"], "v_steps": ["v_lines"], "v_gnodes": ["v_nodes"], "v_gedges": ["v_edges"],
+    "v_blocks": ["v_lines"], "v_findings": ["v_lines", "v_blocks"], "v_issues": ["v_lines", "v_blocks"],
+}
 _TABLES = ("documents", "pages", "lineitem", "events")
 
 
