@@ -41,7 +41,7 @@ from quire.llm.shingles import SLOTS, components, minwise, mix, runs, set_key, s
 
 LEVELS, STRIDE = 5, 2
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
-MOST_BROADCAST = 500_000  # rows that go, or repeat, which are looked up without a shuffle; beyond, by one
+MOST_BROADCAST = 500_000  # rows of a table that documents are looked up in without a shuffle of texts; beyond, by one
 
 
 def survival(similarity: float, level: int) -> float:
@@ -265,24 +265,28 @@ def _paired(placed: DataFrame, others: Column) -> DataFrame:
     return rows.select("root", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "m", "shingles")
 
 
+def _looked_up(table: DataFrame) -> DataFrame:
+    """A table that others are joined with: it goes to all tasks if it has few rows."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(root, blocks, block, node, m, shingles) of the sets in groups, whose texts are looked up by one row of each set."""
-    members = stored(groups.join(sets.select(F.col("node").alias("_n"), "m", "n", "rep"), F.col("node") == F.col("_n")).drop("_n"))
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("root", "_r")
+    members = groups.join(sets.select(F.col("node").alias("_n"), "m", "n", "rep"), F.col("node") == F.col("_n")).drop("_n")
+    blocks = members.groupBy(F.col("root").alias("_r")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    reps = stored(members.join(blocks, F.col("root") == F.col("_r")).select(F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "root", "blocks", "node", "m"))
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column("_text").to_pylist()))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             flat = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("m"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["root", "node", "m", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "blocks", "node", "m")), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["root", "blocks", "node", "m", "shingles"])
 
-    reps = members.select(F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "root", "node", "m")
     texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(F.col(text_col)).alias("_t"), F.col(text_col).alias("_text"))
-    texts = texts.join(reps, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))).select("_text", "root", "node", "m")
-    whole = texts.mapInArrow(sets_again, "root binary, node binary, m long, shingles array<long>").dropDuplicates(["node"])
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    return stored(whole.join(blocks, F.col("root") == F.col("_r")).select("root", "blocks", block, "node", "m", "shingles"))
+    texts = texts.join(_looked_up(reps), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th"))).select("_text", "root", "blocks", "node", "m")
+    whole = texts.mapInArrow(sets_again, "root binary, blocks int, node binary, m long, shingles array<long>").dropDuplicates(["node"])
+    return stored(whole.select("root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "m", "shingles"))
 
 
 def _joined(edges: DataFrame) -> DataFrame:
@@ -365,10 +369,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     is_it = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("th") == F.col("stays.th"))
     marks = stored(rows.groupBy("id", "th").agg(F.max(is_it).alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1").select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th"), "stays"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"))
-    few = F.broadcast if marks.count() <= MOST_BROADCAST else lambda df: df
     same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th"))
-    out = row.join(few(marks), same, "left_anti").select("_row.*")
+    out = row.join(_looked_up(marks), same, "left_anti").select("_row.*")
     repeated = marks.where("stays")
     if repeated.isEmpty():
         return out
-    return out.unionAll(row.join(few(repeated), same, "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row.*"))
+    return out.unionAll(row.join(_looked_up(repeated), same, "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row.*"))
