@@ -1,4 +1,4 @@
-"""The whole compliance run over document tables (N-1), specification and report sources (S-4, S-8), unions (U-1, U-2), drafts (T-2, P-26)."""
+"""The whole compliance run over document tables (N-1), all rule families in order (R-16), specification and report sources (S-4, S-8), unions (U-1, U-2), drafts (T-2, P-26)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import html_to_text
 from quire.functions.units import field_kind
-from quire.operators import compare, layout, planning, structure
+from quire.operators import compare, layout, planning, rules, structure, templates
+from quire.operators import tables as three_lines
 
 
 def read_specs(spark: SparkSession, path: str, html: bool = False) -> DataFrame:
@@ -18,7 +19,11 @@ def read_specs(spark: SparkSession, path: str, html: bool = False) -> DataFrame:
 
 
 def write_run(tables: dict[str, DataFrame], path: str, force: bool = False) -> None:
-    """Writes each table of a run as Parquet under the path; an existing one is an error unless forced."""
+    """Writes each table of a run as Parquet under the path; an existing one is an error unless forced, a path that the tables are read from always."""
+    plain = lambda p: "/" + p.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
+    for name, df in tables.items():
+        if any(plain(f).startswith(plain(path)) for f in df.inputFiles()):
+            raise ValueError(f"{name} is read from {path}: input and output are the same")
     for name, df in tables.items():
         df.write.mode("overwrite" if force else "errorifexists").parquet(f"{path}/artifact={name}")
 
@@ -83,3 +88,86 @@ def compliance_run(blocks: DataFrame, sections: DataFrame, page: dict, wanted: t
     steps = planning.finding_steps(findings)
     scores = compare.scores(findings)
     return {"blocks": kinds, "findings": findings, "issues": issues, "steps": steps, "compliance": planning.compliance(scores, compare.category_scores(findings), planning.layout_verdict(issues))}
+
+
+#: The rule families of a profile, in the order in which they are applied.
+ORDER = ("page", "sections", "defaultRun", "styles", "headingNumbering", "pageNumbers", "paragraphRules", "captionRules", "bookmarkRules", "headersFooters", "tableRules", "replacements", "fieldRules")
+
+
+def standardize(tables: dict[str, DataFrame], profile: dict, plan: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables after all rule families of a profile, one after the other in the order of ORDER.
+
+    tables: those that the families of the profile need: sections (twips), defaults,
+    styles, levels, numbered (styles with their lists), blocks, bookmarks, refs, cells.
+    plan: doc_id, family; with it a family is applied only to the documents whose
+    chosen steps touch it (see ``planning.narrow_profile``). Later families see what
+    earlier ones left: captions the restyled blocks, replacements the new captions.
+    Adds ``segments``, where placeholders gave way to fields. Rules that hold already
+    change nothing, so a second run over its own result is the same.
+    """
+    out = dict(tables)
+
+    def applied(family: str, name: str, change, key: str = "doc_id") -> None:
+        if family not in profile:
+            return
+        df = out[name]
+        if plan is None:
+            out[name] = change(df)
+            return
+        on = plan.where(F.col("family") == family).select(F.col("doc_id").alias(key)).distinct()
+        out[name] = change(df.join(on, key, "left_semi")).unionByName(df.join(on, key, "left_anti"), allowMissingColumns=True)
+
+    rule = profile.get
+    applied("page", "sections", lambda df: rules.set_page(df, rule("page").get("size"), rule("page").get("orientation"), rule("page").get("margins", {})))
+    applied("sections", "sections", lambda df: set_sections(df, rule("sections")))
+    applied("defaultRun", "defaults", lambda df: rules.overlay(df, F.lit(True), rule("defaultRun")))
+    applied("styles", "styles", lambda df: templates.upsert_styles_checked(df.select("doc_id").distinct(), df, rule("styles")).drop("problem"))
+    if "headingNumbering" in profile:
+        if plan is not None:
+            raise ValueError("a plan doesn't reach heading numbering; leave it out of the profile")
+        out["levels"], out["numbered"] = templates.upsert_numbering(out["levels"], out["numbered"], rule("headingNumbering"))
+    applied("pageNumbers", "sections", lambda df: rules.set_page_numbers(df, rule("pageNumbers")))
+    applied("paragraphRules", "blocks", lambda df: rules.apply_para_rules(df, rule("paragraphRules")))
+
+    def captioned(df: DataFrame) -> DataFrame:
+        for r in rule("captionRules"):
+            new = rules.apply_captions(df, r["match"], r["label"], r["strip"], r.get("strategy"), r.get("separator", "-")).select(F.col("doc_id").alias("_d"), F.col("idx").alias("_i"), "caption")
+            text = F.coalesce("caption", "text")
+            df = df.join(new, (F.col("doc_id") == F.col("_d")) & (F.col("idx") == F.col("_i")), "left").withColumn("text", text).select(*df.columns)
+        return df
+
+    applied("captionRules", "blocks", captioned)
+    applied("bookmarkRules", "bookmarks", lambda df: df.unionByName(rules.apply_bookmarks(out["blocks"] if plan is None else out["blocks"].join(plan.where("family = 'bookmarkRules'").select("doc_id").distinct(), "doc_id", "left_semi"), df, rule("bookmarkRules")).select("doc_id", "name", "id")))
+    if "headersFooters" in profile:
+        asked = rule("headersFooters")
+        on = ["doc_id", "section_idx", "kind", "ref_type"]
+        applied("headersFooters", "refs", lambda df: df.join(asked, on, "left_anti").unionByName(asked.where("action = 'set'").select(*df.columns)))
+    if "tableRules" in profile:
+        out["cells"], out["unsafe"] = three_lines.apply_tables(out["cells"], rule("tableRules"))
+
+    def replaced(df: DataFrame) -> DataFrame:
+        text = F.col("text")
+        for r in rule("replacements"):
+            text = rules.replaced(text, r["find"], r["by"], r.get("all", True)) if r.get("regex") else rules.replace_literal(text, r["find"], r["by"])
+        return df.withColumn("text", text)
+
+    applied("replacements", "blocks", replaced)
+    if "fieldRules" in profile:
+        found = [out["blocks"].where(F.col("text").contains(r["placeholder"])).select("doc_id", "idx", rules.field_segments(F.col("text"), r["placeholder"], r["instruction"]).alias("segments")) for r in rule("fieldRules")]
+        out["segments"] = numbered_union(*found)
+    return out
+
+
+def compliance_rewrite(blocks: DataFrame, sections: DataFrame, measured, page: dict, wanted: tuple) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
+    """A run, the documents after its plan is applied, and a run over these.
+
+    measured turns sections in twips into sections in inches. Page rules reach the
+    documents with failed page findings, and layout repairs those with issues.
+    """
+    before = compliance_run(blocks, measured(sections), page, wanted)
+    plan = before["steps"].where("auto AND action = 'set_page'").select("doc_id", F.lit("page").alias("family")).distinct()
+    after = standardize({"sections": sections}, {"page": page}, plan)
+    heads = layout.heading_risks(before["blocks"])
+    repaired = layout.apply_layout_repairs(blocks, heads, F.lit(6.0)).select(*blocks.columns)
+    after["blocks"] = repaired
+    return before, after, compliance_run(repaired, measured(after["sections"]), page, wanted)

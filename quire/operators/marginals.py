@@ -66,6 +66,49 @@ def check_marginals(refs: DataFrame, segs: DataFrame, expected: list[dict]) -> D
     return reduce(DataFrame.unionByName, out)
 
 
+def check_marginal_layout(refs: DataFrame, paras: DataFrame, switches_of: DataFrame, expected: list[dict]) -> DataFrame:
+    """(doc_id, rule, errors) of expected headers and footers beyond their words; ok where errors is empty.
+
+    refs: doc_id, section_idx, kind, ref_type, part_name, rel_kind; paras: doc_id,
+    part_name, para_idx, and properties (numbers in inches and points, border_style,
+    border_size, border_space, border_color); switches_of: doc_id, section_idx,
+    different_first, even_and_odd. expected: section, kind, type, and paragraphs, each
+    with properties and a ``border``. A reference must be the only one of its kind
+    and type and lead to a part of that kind; first and even ones need their switch;
+    a zero indent isn't met while an indent in characters competes.
+    """
+    entries = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r["section"]).alias("_sec"), F.lit(r["kind"]).alias("_kind"), F.lit(r.get("type", "default")).alias("_type")) for i, r in enumerate(expected)])
+    rows = refs.select("doc_id").distinct().select("doc_id", F.explode(entries).alias("w")).select("doc_id", "w.*")
+    fit = refs.groupBy(F.col("doc_id").alias("_d"), "section_idx", "kind", "ref_type").agg(F.count("*").alias("_n"), F.min("part_name").alias("part_name"), F.min("rel_kind").alias("rel_kind"))
+    rows = rows.join(fit, (F.col("doc_id") == F.col("_d")) & (F.col("_sec") == F.col("section_idx")) & (F.col("_kind") == F.col("kind")) & (F.col("_type") == F.col("ref_type")), "left").drop("_d", "section_idx", "kind", "ref_type")
+    on = switches_of.select(F.col("doc_id").alias("_d"), F.col("section_idx").alias("_s"), "different_first", "even_and_odd")
+    rows = rows.join(on, (F.col("doc_id") == F.col("_d")) & (F.col("_sec") == F.col("_s")), "left").drop("_d", "_s")
+    of = paras.groupBy(F.col("doc_id").alias("_d"), F.col("part_name").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("para_idx", *[c for c in paras.columns if c not in KEYS]))).alias("_paras"))
+    rows = rows.join(of, (F.col("doc_id") == F.col("_d")) & (F.col("part_name") == F.col("_p")), "left")
+    one = F.coalesce(F.col("_n") == 1, F.lit(False))
+    off = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    general = [F.when(~one, "reference").when(~F.coalesce(F.col("rel_kind") == F.col("_kind"), F.lit(False)), "kind"), F.when((F.col("_type") == "first") & off("different_first"), "first_page_off"), F.when((F.col("_type") == "even") & off("even_and_odd"), "even_pages_off")]
+    errors = F.filter(F.array(*general), lambda e: e.isNotNull())
+    for i, rule in enumerate(expected):
+        wanted = rule.get("paragraphs", [])
+        own = [F.when(F.coalesce(F.size("_paras"), F.lit(0)) != len(wanted), "paragraph_count")]
+        for p, want in enumerate(wanted):
+            para = F.get("_paras", F.lit(p))
+            for key, value in [*want.items(), *((f"border_{k}", v) for k, v in ({"style": "single", "size": 6, "space": 1, "color": "000000"} | want["border"]).items())] if "border" in want else want.items():
+                if key == "border":
+                    continue
+                got = para[key]
+                if isinstance(value, (int, float)) and not isinstance(value, bool):
+                    bad = F.coalesce(F.abs(got - float(value)) > 0.01, F.lit(True))
+                else:
+                    bad = ~got.eqNullSafe(F.lit({"justify": "both"}.get(value, value) if key == "alignment" else value.lstrip("#").upper() if key.endswith("color") else value))
+                if key in ("first_line_in", "hanging_in") and value == 0:
+                    bad = bad | (F.coalesce(para["first_line_chars"], F.lit(0)) != 0) | (F.coalesce(para["hanging_chars"], F.lit(0)) != 0)
+                own.append(F.when(para.isNotNull() & bad, f"paragraph[{p}].{key}"))
+        errors = F.when((F.col("rule") == i) & one, F.concat(errors, F.filter(F.array(*own), lambda e: e.isNotNull()))).otherwise(errors)
+    return rows.select("doc_id", "rule", errors.alias("errors"))
+
+
 def run_formats_equal(actual: DataFrame, expected: DataFrame, keys: list[str], fmt: str) -> DataFrame:
     """(keys, ok): the format of each character is the same on both sides, however the runs are split. Both: keys, offset, text, fmt."""
     chars = lambda df, name: df.select(*keys, "offset", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("p", "c"), F.col(fmt).alias("f")).select(*keys, (F.col("offset") + F.col("p")).alias("at"), F.struct("c", "f").alias(name))

@@ -232,6 +232,12 @@ def replace_in_runs(runs: DataFrame, pattern: str, replacement: str, regex: bool
     return runs.join(after, [*order, "run_ord"]).withColumn("text", F.col("_new")).select(*runs.columns)
 
 
+def run_offsets(runs: DataFrame) -> DataFrame:
+    """Runs with the characters of their paragraph before each."""
+    before = W.partitionBy("doc_id", "idx").orderBy("run_ord").rowsBetween(W.unboundedPreceding, -1)
+    return runs.withColumn("offset", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+
+
 def apply_bookmarks(blocks: DataFrame, bookmarks: DataFrame, rules: list[dict]) -> DataFrame:
     """(doc_id, idx, name, id) of the bookmarks that rules create: names that a document has are skipped, ids follow its largest.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.units import lookup, pt_to_twips
-from quire.operators.compare import closest_page_size
+from quire.operators.compare import closest_page_size, style_chain
 from quire.sources.lineage import checkpointed
 
 INDENTS = ("firstLine", "firstLineChars", "hanging", "hangingChars")
@@ -87,6 +89,94 @@ def set_heading_numbering(styles: DataFrame, rule: list[str], num_id: int) -> Da
     return styles.withColumns({"num_id": F.when(hit, F.lit(num_id)).otherwise(F.col("num_id")), "ilvl": F.when(hit, level.cast("int")).otherwise(F.col("ilvl"))})
 
 
+def upsert_numbering(levels: DataFrame, styles: DataFrame, rule: dict, owner: str = "quire") -> tuple[DataFrame, DataFrame]:
+    """The lists of each document with one for its headings, and the styles linked to it.
+
+    levels: doc_id, abstract_id, owner, ilvl, pattern, format, start, p_style, suffix;
+    styles: doc_id, style_id, num_id, ilvl. rule: styles, patterns, formats, starts,
+    suffix. A list of our own from an earlier run is replaced under its id; else the
+    new one gets the id after the document's largest.
+    """
+    ids = levels.groupBy("doc_id").agg(F.min(F.when(F.col("owner") == owner, F.col("abstract_id"))).alias("_own"), F.max("abstract_id").alias("_top"))
+    docs = styles.select("doc_id").distinct().join(ids, "doc_id", "left").select("doc_id", F.coalesce("_own", F.col("_top") + 1, F.lit(0)).cast("int").alias("abstract_id"))
+    new = F.array(*[F.struct(F.lit(i).alias("ilvl"), F.lit(rule["patterns"][i]).alias("pattern"), F.lit(rule["formats"][i]).alias("format"), F.lit(rule["starts"][i]).alias("start"), F.lit(s).alias("p_style")) for i, s in enumerate(rule["styles"])])
+    rows = docs.select("doc_id", "abstract_id", F.lit(owner).alias("owner"), F.explode(new).alias("l"), F.lit(rule.get("suffix", "space")).alias("suffix")).select("doc_id", "abstract_id", "owner", "l.*", "suffix")
+    kept = levels.join(docs, ["doc_id", "abstract_id"], "left_anti")
+    linked = styles.join(docs.withColumnRenamed("abstract_id", "_id"), "doc_id")
+    level = F.array_position(F.array(*map(F.lit, rule["styles"])), F.col("style_id")) - 1
+    linked = linked.withColumns({"num_id": F.when(level >= 0, F.col("_id")).otherwise(F.col("num_id")), "ilvl": F.when(level >= 0, level.cast("int")).otherwise(F.col("ilvl"))}).drop("_id")
+    return kept.unionByName(rows), linked
+
+
+def upsert_styles_checked(docs: DataFrame, styles: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """All styles of each document after the rules, and ``problem`` where an indent rule can't hold.
+
+    styles: doc_id, style_id, name, based_on, next, and properties. Values of a rule
+    replace those of a style; a ruled style that a document lacks is created (name: its
+    id, based on and followed by Normal unless the rule says else). After all rules
+    are applied, a style whose own first line or hanging indent isn't zero and which
+    inherits a competing indent in characters is marked. One join for all rules.
+    """
+    names = [c for c in styles.columns if c not in ("doc_id", "style_id")]
+    kinds = {c: styles.schema[c].dataType for c in names}
+    plain = {k: {"name": v.get("name"), "based_on": v.get("based_on"), "next": v.get("next"), **{c: v.get(c) for c in names if c not in ("name", "based_on", "next")}} for k, v in rules.items()}
+    entries = F.array(*[F.struct(F.lit(k).alias("style_id"), *[F.lit(v[c]).cast(kinds[c]).alias(f"_{c}") for c in names]) for k, v in plain.items()])
+    wanted = docs.select("doc_id", F.explode(entries).alias("w")).select("doc_id", "w.*", F.lit(True).alias("_ruled"))
+    rows = styles.withColumn("_has", F.lit(True)).join(wanted, ["doc_id", "style_id"], "full")
+    new = F.col("_has").isNull()
+    defaults = {"name": F.col("style_id"), "based_on": F.when(F.col("style_id") != "Normal", "Normal"), "next": F.when(F.col("style_id") != "Normal", "Normal")}
+    rows = rows.select("doc_id", "style_id", *[F.coalesce(F.col(f"_{c}"), F.col(c), F.when(new, defaults[c]) if c in defaults else F.lit(None)).alias(c) for c in names], F.coalesce("_ruled", F.lit(False)).alias("_ruled"))
+    chain = style_chain(rows.select("doc_id", "style_id", "based_on")).where("depth > 0")
+    above = rows.select(F.col("doc_id").alias("_d"), F.col("style_id").alias("_s"), F.col("first_line_chars").alias("_f"), F.col("hanging_chars").alias("_h"))
+    inherited = chain.join(above, (F.col("doc_id") == F.col("_d")) & (F.col("ancestor") == F.col("_s"))).groupBy("doc_id", "style_id").agg(F.bool_or((F.coalesce("_f", F.lit(0)) != 0) | (F.coalesce("_h", F.lit(0)) != 0)).alias("_competes"))
+    own = (F.coalesce("first_line_in", F.lit(0)) != 0) | (F.coalesce("hanging_in", F.lit(0)) != 0)
+    return rows.join(inherited, ["doc_id", "style_id"], "left").select("doc_id", "style_id", *names, F.when(F.col("_ruled") & own & F.coalesce("_competes", F.lit(False)), "competing_indent").alias("problem"))
+
+
+def draft_profile(sections: DataFrame, refs: DataFrame, defaults: DataFrame, styles: DataFrame) -> DataFrame:
+    """(doc_id, family, item, property, value): a draft profile of each template, empty values left out.
+
+    The first section's page, the default run, the given styles, each section's page
+    numbers, and a row that inherits each header and footer reference. defaults:
+    doc_id and properties; styles: doc_id, style_id and properties.
+    """
+    def melted(rows: DataFrame, family: str, item: Column, columns: dict[str, Column]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(k).alias("property"), c.cast("string").alias("value")) for k, c in columns.items()])
+        return rows.select("doc_id", F.lit(family).alias("family"), item.cast("string").alias("item"), F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).select("doc_id", "family", "item", "p.*")
+
+    page = draft_page(sections)
+    own = lambda df, *skip: {c: F.col(c) for c in df.columns if c not in ("doc_id", *skip)}
+    none = F.lit(None)
+    numbers = {"format": F.coalesce(lookup(F.col("num_fmt"), PAGE_FORMATS), F.col("num_fmt")), "start": F.col("num_start")}
+    inherit = refs.withColumn("_item", F.concat_ws(":", "section_idx", "kind", "ref_type"))
+    parts = [
+        melted(page, "page", none, own(page)), melted(defaults, "defaultRun", none, own(defaults)), melted(styles, "styles", F.col("style_id"), own(styles, "style_id")),
+        melted(sections, "pageNumbers", F.col("section_idx"), numbers), melted(inherit, "headersFooters", F.col("_item"), {"action": F.lit("inherit")}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Page number formats of documents and of profiles, and what a draft leaves open.
+PAGE_FORMATS = {"decimal": "decimal", "lowerRoman": "lower-roman", "upperRoman": "upper-roman", "lowerLetter": "lower-alpha", "upperLetter": "upper-alpha"}
+NOTES = ("no_east_asian_font", "no_page_numbers", "no_placeholders", "no_toc_field")
+
+
+def draft_notes(docs: DataFrame, defaults: DataFrame, sections: DataFrame, placeholders: DataFrame, fields: DataFrame) -> DataFrame:
+    """(doc_id, notes): what a person must settle before a draft is used.
+
+    defaults: doc_id, east_asia; placeholders: doc_id, token; fields: doc_id, kind.
+    """
+    font = defaults.groupBy("doc_id").agg(F.bool_or(F.col("east_asia").isNotNull()).alias("_font"))
+    numbers = sections.groupBy("doc_id").agg(F.bool_or(F.col("num_fmt").isNotNull() | F.col("num_start").isNotNull()).alias("_numbers"))
+    tokens = placeholders.groupBy("doc_id").agg(F.lit(True).alias("_tokens"))
+    toc = fields.groupBy("doc_id").agg(F.bool_or(F.col("kind") == "TOC").alias("_toc"))
+    rows = docs.select("doc_id")
+    for df in (font, numbers, tokens, toc):
+        rows = rows.join(df, "doc_id", "left")
+    lacks = zip(NOTES, ("_font", "_numbers", "_tokens", "_toc"), strict=True)
+    return rows.select("doc_id", F.filter(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), n) for n, c in lacks]), lambda x: x.isNotNull()).alias("notes"))
+
+
 def caption_strategy(formats: Column) -> Column:
     return F.when(F.try_element_at(formats, F.lit(1)).startswith("chinese"), "styleref-arabic").otherwise("styleref-as-displayed")
 

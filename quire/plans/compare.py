@@ -23,8 +23,11 @@ PAGE_NUMBERS = [(0, "upper-roman", 1), (1, "decimal", 1), (2, None, None)]
 
 
 def inches(spark, sf_dir):
+    return measured(view(spark, sf_dir, "v_sections"))
+
+
+def measured(rows):
     """Sections with their measures in inches."""
-    rows = view(spark, sf_dir, "v_sections")
     names = {"width_in": "page_w_twips", "height_in": "page_h_twips", "left_in": "mar_left", "top_in": "mar_top", "right_in": "mar_right", "bottom_in": "mar_bottom"}
     return rows.withColumns({k: U.twips_to_in(F.col(v)) for k, v in names.items()}).withColumn("orientation", F.col("orient"))
 

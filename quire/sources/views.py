@@ -124,6 +124,46 @@ SELECT graph_id, src, dst, CASE WHEN (graph_id+n)%7=0 THEN repeat('y',41) WHEN (
     "v_glayout": """
 SELECT user_id AS graph_id, CASE k WHEN 0 THEN 'nodeWidthIn' WHEN 1 THEN 'fontSizePt' WHEN 2 THEN 'rowGapIn' ELSE 'depth' END AS key, CAST(user_id%5 AS DOUBLE)*CASE k WHEN 1 THEN 7 WHEN 2 THEN 0.5 ELSE 1 END AS value
 FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES (0),(1),(2),(3)) v(k) WHERE (user_id+k)%4 < 3
+""",
+    "v_mruns": """
+SELECT doc_id, concat('word/', CASE k WHEN 0 THEN 'header1' ELSE 'footer1' END, '.xml') AS part_name, 0 AS para_idx, run_ord, marker, instruction,
+ CASE run_ord WHEN 0 THEN CASE WHEN (doc_id+k)%4>0 THEN concat(lang,' ') ELSE '' END WHEN 5 THEN '7' WHEN 7 THEN ' of ' WHEN 8 THEN source END AS text
+FROM documents CROSS JOIN (VALUES (0),(1)) p(k) CROSS JOIN (VALUES (0,NULL,NULL),(1,'begin',NULL),(2,NULL,' PA'),(3,NULL,'GE  x '),(4,'separate',NULL),(5,NULL,NULL),(6,'end',NULL),(7,NULL,NULL),(8,NULL,NULL)) r(run_ord,marker,instruction)
+""",
+    "v_mparas": """
+SELECT doc_id, part_name, para_idx, CASE WHEN doc_id%5=0 THEN 'left' ELSE 'both' END AS alignment, CAST((doc_id%3)*0.005 AS DOUBLE) AS first_line_in, CASE WHEN doc_id%7=1 THEN 2.0 END AS first_line_chars, CAST(NULL AS DOUBLE) AS hanging_chars,
+ 'single' AS border_style, 6 + CASE WHEN doc_id%11=3 THEN 2 ELSE 0 END AS border_size, 1 AS border_space, CASE WHEN doc_id%13=2 THEN 'FF0000' ELSE '000000' END AS border_color
+FROM documents CROSS JOIN (VALUES ('word/header0.xml',0),('word/footer1.xml',0),('word/footer1.xml',1),('word/header2.xml',0),('word/footer3.xml',0),('word/header4.xml',0)) p(part_name,para_idx) WHERE (doc_id+para_idx)%17 <> 16
+""",
+    "v_profiles": """
+SELECT doc_id AS profile_id, concat('{"name":"p', doc_id, '","page":{"size":"', CASE WHEN doc_id%5=0 THEN 'a9' ELSE 'a4' END, '"', CASE WHEN doc_id%7=0 THEN ',"colour":1' ELSE '' END, '},"tableRules":[{"tableIndexes":[0,', doc_id%3, '],"color":"', CASE WHEN doc_id%4=0 THEN 'red' ELSE '#00ff00' END,
+ '","outerSizePt":', CASE WHEN doc_id%6=1 THEN '1.3' ELSE '1.5' END, ',"columnWidthsIn":[1,1.5],"widthIn":', CASE WHEN doc_id%8=2 THEN '3' ELSE '2.5' END, ',"paragraph":{"lineSpacing":', CASE WHEN doc_id%9=0 THEN '0' ELSE '1.5' END, CASE WHEN doc_id%10=3 THEN ',"lineSpacingExactPt":20' ELSE '' END,
+ CASE WHEN doc_id%11=4 THEN ',"shade":1' ELSE '' END, '},"run":{"sizePt":', CASE WHEN doc_id%12=5 THEN '10.3' ELSE '10.5' END, '}}],"headingNumbering":{"enabled":', CASE WHEN doc_id%2=0 THEN 'true' ELSE 'false' END, ',"styles":["a","b"],"patterns":["%1","', CASE WHEN doc_id%3=0 THEN 'x' ELSE '%1.%2' END, '"],"formats":["decimal"',
+ CASE WHEN doc_id%14=8 THEN '' ELSE ',"decimal"' END, '],"starts":[1,1]},"captionNumbering":{"strategy":"needs-confirmation"},"requirements":{"unresolved":[', CASE WHEN doc_id%3=1 THEN '"m"' ELSE '' END, '],"conflicts":[]},"paragraphRules":[{"match":{', CASE WHEN doc_id%4=3 THEN '"styleNameNotRegex":"toc"' ELSE '' END, '},"textRegexReplace":{"pattern":"x"}}]}') AS raw
+FROM documents
+""",
+    "v_levels": """
+SELECT doc_id, abstract_id, CASE WHEN abstract_id=1 AND doc_id%3=0 THEN 'quire' END AS owner, ilvl, concat(CASE ilvl WHEN 0 THEN '%1' ELSE '%1.%2' END, CASE WHEN doc_id%5=4 AND ilvl=1 THEN 'x' ELSE '' END) AS pattern,
+ CASE WHEN doc_id%2=0 AND ilvl=0 THEN 'chineseCounting' ELSE 'decimal' END AS format, 1 AS start, CASE WHEN abstract_id=2 THEN CASE ilvl WHEN 0 THEN 'Heading1' ELSE 'Heading2' END END AS p_style, CASE WHEN doc_id%4=0 THEN 'tab' END AS suffix
+FROM documents CROSS JOIN (VALUES (1),(2)) a(abstract_id) CROSS JOIN (VALUES (0),(1)) l(ilvl) WHERE NOT (doc_id%7=6 AND abstract_id=2)
+""",
+    "v_nstyles": """
+SELECT doc_id, style_id, style_name, CASE WHEN doc_id%2=1 AND style_id LIKE 'Heading%' THEN 7 END AS num_id, CASE style_id WHEN 'Heading2' THEN 1 END AS ilvl
+FROM v_styles WHERE style_id IN ('Normal','Heading1','Heading2')
+""",
+    "v_dtables": """
+SELECT doc_id, table_idx, CASE WHEN table_idx=1 AND doc_id%3>0 THEN 0 WHEN table_idx=2 AND doc_id%3>1 THEN 1 WHEN table_idx=4 THEN 3 END AS parent_idx, CASE WHEN table_idx IN (1,2,4) THEN table_idx%2 END AS parent_cell,
+ CASE WHEN (doc_id+table_idx)%4=0 THEN CAST(3+table_idx AS DOUBLE) END AS pref_in, 2+table_idx%2 AS columns, (doc_id+table_idx)%6=0 AS in_text_box
+FROM documents CROSS JOIN (VALUES (0),(1),(2),(3),(4)) t(table_idx)
+""",
+    "v_dcells": """
+SELECT doc_id, table_idx, cell_idx, CASE WHEN (doc_id+table_idx+cell_idx)%3=0 THEN 1.25 END AS width_in, CASE WHEN (doc_id+cell_idx)%2=0 THEN 1.75 END AS grid_in
+FROM documents CROSS JOIN (VALUES (0),(1),(2),(3),(4)) t(table_idx) CROSS JOIN (VALUES (0),(1)) c(cell_idx)
+""",
+    "v_pprops": """
+SELECT doc_id, style_id, 'left' AS alignment, 240 AS line, 'auto' AS line_rule, 0 AS before, 0 AS after, CASE WHEN doc_id%3=0 THEN 400 END AS firstLine, CAST(NULL AS INT) AS firstLineChars, CASE WHEN doc_id%3=1 THEN 300 END AS hanging, CAST(NULL AS INT) AS hangingChars,
+ CAST(NULL AS INT) AS inherited_firstLine, CASE WHEN doc_id%5=2 THEN 200 END AS inherited_firstLineChars, CASE WHEN doc_id%7=3 THEN 100 END AS inherited_hanging, CAST(NULL AS INT) AS inherited_hangingChars
+FROM v_styles
 """,
     "v_parts": """
 SELECT page_id AS doc_id, part_name, length(html)*k AS size
@@ -174,7 +214,7 @@ SELECT doc_id, i-1 AS idx, line FROM (SELECT doc_id, unnest(string_split(text, c
   generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 """} | _BOTH
 _NEEDS = {
-    "v_runs": ["v_lines", "v_blocks"], "v_refs": ["v_sections"], "v_objects": ["v_lines"], "v_bookmarks": ["v_lines", "v_blocks"], "v_steps": ["v_lines"], "v_gnodes": ["v_nodes"], "v_gedges": ["v_edges"],
+    "v_runs": ["v_lines", "v_blocks"], "v_refs": ["v_sections"], "v_objects": ["v_lines"], "v_bookmarks": ["v_lines", "v_blocks"], "v_steps": ["v_lines"], "v_gnodes": ["v_nodes"], "v_gedges": ["v_edges"], "v_nstyles": ["v_styles"], "v_pprops": ["v_styles"],
     "v_blocks": ["v_lines"], "v_findings": ["v_lines", "v_blocks"], "v_issues": ["v_lines", "v_blocks"],
 }
 _TABLES = ("documents", "pages", "lineitem", "events")

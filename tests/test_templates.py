@@ -49,7 +49,7 @@ def test_drafts(spark):
 
 def test_nested_tables(spark):
     tables = spark.createDataFrame([(1, 0, None, None, None, 2, False), (1, 1, 0, 1, 2.0, 1, False), (1, 2, 1, 0, None, 1, False), (1, 3, None, None, 4.0, 2, False), (1, 4, None, None, None, 1, True)], "doc_id long, table_idx int, parent_idx int, parent_cell int, pref_in double, columns int, in_text_box boolean")
-    cells = spark.createDataFrame([(1, 0, 0, None), (1, 0, 1, None), (1, 1, 0, 1.5)], "doc_id long, table_idx int, cell_idx int, width_in double")
+    cells = spark.createDataFrame([(1, 0, 0, None, None), (1, 0, 1, None, None), (1, 1, 0, None, 1.5)], "doc_id long, table_idx int, cell_idx int, width_in double, grid_in double")
     got = {r.table_idx: (r.container_in, r.width_in, r.top_idx) for r in P.table_geometry(tables, cells, F.lit(6.0)).collect()}
     assert got == {0: (6.0, 6.0, 0), 1: (3.0, 2.0, 0), 2: (1.5, 1.5, 0), 3: (6.0, 4.0, 3), 4: (6.0, 6.0, 4)}
     assert [(r.table_idx, r.body_idx) for r in P.body_tables(tables).orderBy("table_idx").collect()] == [(0, 0), (3, 1)]
