@@ -230,6 +230,23 @@ def test_licence_rules_are_ordered(spark):
 
 
 NOTICES = {
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "GPL-2.0": "SPDX-License-Identifier: GPL-2.0-only",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
@@ -265,8 +282,19 @@ def test_licence_notices_as_published(spark):
         rows.append((len(rows), text, None, None))
     rows.append((len(rows), "EB.\nLicensed under the\n\nMIT License", None, None))
     want[len(rows) - 1] = ("MIT", "")
-    got = {r.doc_id: (r.licences, r.left_over) for r in licences.scanned(frame(spark, rows)).collect()}
-    assert got == want
+    rows += [(len(rows), None, None, None), (len(rows) + 1, "", None, None), (len(rows) + 2, "word " * 50_000 + ".\nReleased under the MIT License.\nAll rights reserved", None, None)]
+    want[len(rows) - 1] = ("MIT", "reserved")
+    scanned = licences.scanned(frame(spark, rows))
+    assert {r.doc_id: (r.licences, r.left_over) for r in scanned.collect()} == want
+    assert licences.scanned(frame(spark, [])).count() == 0
+    # The SQL finds the same, in wrapped notices too.
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})  # noqa: F841  read by name
+    relation = duckdb.sql(licences.sql())
+    at = [relation.columns.index(c) for c in scanned.columns]
+    assert sorted(tuple(r) for r in scanned.collect()) == sorted(tuple(r[i] for i in at) for r in relation.fetchall())
 
 
 # Mixing
