@@ -1,4 +1,4 @@
-"""Scan of a corpus of Word packages (S-1, P-4, P-5, J-21): files to element rows, element rows to tables.
+"""Scan of a corpus of Word packages (S-1, P-4, P-5): files to element rows, element rows to tables.
 
 The Python part only unzips a package and writes its elements as rows with their
 raw attributes, in document order; everything that interprets them is column
@@ -8,6 +8,7 @@ functions. Write the elements once and derive the tables from there.
 from __future__ import annotations
 
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections import Counter
@@ -80,20 +81,57 @@ def _child(node: ET.Element, name: str) -> ET.Element | None:
     return next((c for c in node if _local(c.tag) == name), None)
 
 
+def _val(node: ET.Element, name: str) -> str | None:
+    return next((v for k, v in node.attrib.items() if _local(k) == name), None)
+
+
+def _refs(section: ET.Element, at: int) -> Iterator[tuple]:
+    """Header and footer references of a section."""
+    for child in section:
+        if _local(child.tag) in ("headerReference", "footerReference"):
+            yield "ref", at, None, next((v for k, v in child.attrib.items() if k.endswith("}id")), None), {"kind": _local(child.tag).removesuffix("Reference"), "type": _val(child, "type") or "default"}
+
+
 def _body(root: ET.Element) -> Iterator[tuple]:
-    idx, sections, fields = 0, 0, 0
+    idx, sections, fields, tables = 0, 0, 0, 0
+    place: tuple = (None, None, None)  # table, row and cell that the walk is in
+    top = None
 
     def visit(node: ET.Element, table: bool, box: bool) -> Iterator[tuple]:
-        nonlocal idx, sections, fields
+        nonlocal idx, sections, fields, tables, place, top
+        rows = cells = 0
         for child in node:
             name = _local(child.tag)
             if name == "p":
                 yield from paragraph(child, table, box)
             elif name == "sectPr":
                 yield "section", sections, None, None, _props(child)
+                yield from _refs(child, sections)
                 sections += 1
+            elif name == "tbl":
+                outer, outer_top, own = place, top, tables
+                tables += 1
+                up = {"#parent": outer[0], "#parent_row": outer[1], "#parent_cell": outer[2]}
+                grid = _child(child, "tblGrid")
+                yield "table", own, None, ",".join(_val(c, "w") or "" for c in grid) if grid is not None else "", _props(_child(child, "tblPr")) | {k: str(v) for k, v in up.items() if v is not None} | {"#in_text_box": str(box).lower()}
+                place, top = (own, None, None), own if outer[0] is None else outer_top
+                yield from visit(child, True, box)
+                place, top = outer, outer_top
+            elif name == "tr" and place[0] is not None:
+                place = (place[0], rows, None)
+                yield "row", place[0], rows, None, _props(_child(child, "trPr"))
+                yield from visit(child, table, box)
+                rows += 1
+            elif name == "tc" and place[1] is not None:
+                place = (*place[:2], cells)
+                pr = _child(child, "tcPr")
+                edges = _child(pr, "tcBorders") if pr is not None else None
+                yield "cell", place[0], place[1], str(cells), _props(pr) | _props(edges, "edge/")
+                yield from visit(child, table, box)
+                place = (*place[:2], None)
+                cells += 1
             else:
-                yield from visit(child, table or name == "tbl", box or name == "txbxContent")
+                yield from visit(child, table, box or name == "txbxContent")
 
     def paragraph(p: ET.Element, table: bool, box: bool) -> Iterator[tuple]:
         nonlocal idx, sections, fields
@@ -129,12 +167,14 @@ def _body(root: ET.Element) -> Iterator[tuple]:
         found: list[tuple] = []
         content(p, None)
         flags = {"in_table": str(table).lower(), "in_text_box": str(box).lower(), "section_break": str(section is not None).lower(), "drawings": ",".join(drawings)}
+        flags |= {k: str(v) for k, v in zip(("table", "row", "cell", "top_table"), (*place, top), strict=True) if v is not None}
         yield "block", own, own, "".join(texts), _props(pr) | {f"#{k}": v for k, v in flags.items()}
         for n, (run, parts) in enumerate(runs):
             yield "run", n, own, "".join(parts), _props(_child(run, "rPr"))
         yield from found
         if section is not None:
             yield "section", sections, own, None, _props(section)
+            yield from _refs(section, sections)
             sections += 1
         for child in inner:
             yield from paragraph(child, table, True)
@@ -156,7 +196,9 @@ def shred(data: bytes) -> Iterator[tuple]:
     for i, info in enumerate(archive.infolist()):
         yield "part", i, None, info.filename, {"size": str(info.file_size)}
     names = Counter(archive.namelist())
-    for name, read in (("word/document.xml", _body), ("word/styles.xml", _styles), ("word/_rels/document.xml.rels", _rels)):
+    readers = [("word/document.xml", _body), ("word/styles.xml", _styles), ("word/_rels/document.xml.rels", _rels), ("word/numbering.xml", _numbering), ("word/settings.xml", _settings)]
+    readers += [(name, lambda root, name=name: _marginal(root, name)) for name in sorted(names) if re.fullmatch(r"word/(header|footer)\d*\.xml", name)]
+    for name, read in readers:
         if name in names:
             try:
                 yield from list(read(_parse(archive.read(name))))
@@ -165,6 +207,10 @@ def shred(data: bytes) -> Iterator[tuple]:
 
 
 def _styles(root: ET.Element) -> Iterator[tuple]:
+    defaults = _child(root, "docDefaults")
+    if defaults is not None:
+        inner = [_child(x, n) if (x := _child(defaults, d)) is not None else None for d, n in (("pPrDefault", "pPr"), ("rPrDefault", "rPr"))]
+        yield "default", 0, None, None, _props(inner[0]) | _props(inner[1], "r/")
     for i, style in enumerate(c for c in root if _local(c.tag) == "style"):
         own = {f"#{_local(k)}": v for k, v in style.attrib.items()}
         named = {f"#{n}": next((v for k, v in c.attrib.items() if _local(k) == "val"), "") for n in ("name", "basedOn", "next") if (c := _child(style, n)) is not None}
@@ -176,8 +222,41 @@ def _rels(root: ET.Element) -> Iterator[tuple]:
         yield "rel", i, None, rel.get("Id"), {"type": rel.get("Type", ""), "target": rel.get("Target", "")}
 
 
+def _numbering(root: ET.Element) -> Iterator[tuple]:
+    for x in root:
+        if _local(x.tag) == "num":
+            to = _child(x, "abstractNumId")
+            yield "num", int(_val(x, "numId") or 0), None, _val(to, "val") if to is not None else None, {}
+        elif _local(x.tag) == "abstractNum":
+            for level in x:
+                if _local(level.tag) == "lvl":
+                    yield "level", int(_val(x, "abstractNumId") or 0), int(_val(level, "ilvl") or 0), None, _props(level)
+
+
+def _settings(root: ET.Element) -> Iterator[tuple]:
+    yield "setting", 0, None, None, _props(root)
+
+
+def _marginal(root: ET.Element, part: str) -> Iterator[tuple]:
+    """Paragraphs, their runs (text, field markers, instructions) and other elements of a header or footer part."""
+    for n, p in enumerate(x for x in root.iter() if _local(x.tag) == "p"):
+        pr = _child(p, "pPr")
+        border = _child(pr, "pBdr") if pr is not None else None
+        yield "mpara", n, None, part, _props(pr) | _props(border, "edge/")
+        for k, run in enumerate(r for r in p.iter() if _local(r.tag) == "r"):
+            props = {"#marker": next((_val(c, "fldCharType") for c in run if _local(c.tag) == "fldChar"), None), "#instr": "".join(c.text or "" for c in run if _local(c.tag) == "instrText") or None, "#text": "".join(c.text or "" for c in run if _local(c.tag) == "t")}
+            yield "mrun", n, k, part, {x: v for x, v in props.items() if v is not None}
+    for tag in sorted({_local(x.tag) for x in root.iter()} & {"drawing", "pict", "object", "sdt", "tbl", "txbxContent", "ins", "del"}):
+        yield "melement", 0, None, part, {"#tag": tag}
+
+
 def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Element rows of every file that the path (a glob) names; doc_id is the file's path."""
+    return shredded(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def shredded(packages: DataFrame) -> DataFrame:
+    """Element rows of packages: (path, content)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +268,7 @@ def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "kind", "ord", "idx", "text", "props"],
                 )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, SCHEMA)
+    return packages.mapInArrow(read, SCHEMA)
 
 
 def _get(props: Column, key: str) -> Column:
@@ -222,11 +301,11 @@ def run_props(p: Column, prefix: str = "") -> Column:
 
 
 def tables(elements: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a corpus: parts, blocks, runs (with text offsets), styles, sections, fields, bookmarks, rels, errors."""
+    """The tables of a corpus: parts, blocks, runs (with text offsets), styles, defaults, sections, refs, fields, bookmarks, rels, tables, table_rows, table_cells, num, num_levels, marginal_paras, marginal_runs, marginal_elements, settings, errors."""
     of, p = lambda kind: elements.where(F.col("kind") == kind), F.col("props")
     flag = lambda k: _get(p, f"#{k}") == "true"
     drawings = F.transform(F.filter(F.split(F.coalesce(_get(p, "#drawings"), F.lit("")), ","), lambda x: x != ""), U.emu_to_in)
-    blocks = of("block").select("doc_id", "idx", _get(p, "pStyle@val").alias("style_id"), "text", para_props(p).alias("para"), flag("in_table").alias("in_table"), flag("in_text_box").alias("in_text_box"), flag("section_break").alias("section_break"), drawings.alias("drawing_widths"))
+    blocks = of("block").select("doc_id", "idx", _get(p, "pStyle@val").alias("style_id"), "text", para_props(p).alias("para"), flag("in_table").alias("in_table"), flag("in_text_box").alias("in_text_box"), flag("section_break").alias("section_break"), *[_get(p, f"#{k}").cast("int").alias(v) for k, v in (("table", "table_idx"), ("row", "row_idx"), ("cell", "cell_idx"), ("top_table", "top_table_idx"))], drawings.alias("drawing_widths"))
     blocks = blocks.withColumns({"has_drawing": F.size("drawing_widths") > 0, "keep_next": F.col("para.keep_next")})
     before = W.partitionBy("doc_id", "idx").orderBy("run_ord").rowsBetween(W.unboundedPreceding, -1)
     runs = of("run").select("doc_id", "idx", F.col("ord").alias("run_ord"), "text", run_props(p).alias("run")).withColumn("offset", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
@@ -245,5 +324,18 @@ def tables(elements: DataFrame) -> dict[str, DataFrame]:
         "fields": of("field").select("doc_id", "ord", "idx", F.col("text").alias("instruction")),
         "bookmarks": of("bookmark").select("doc_id", "idx", F.col("text").alias("name")),
         "rels": of("rel").select("doc_id", F.col("text").alias("rel_id"), _get(p, "type").alias("rel_type"), resolve_target(_get(p, "target")).alias("target")),
+        "defaults": of("default").select("doc_id", para_props(p).alias("para"), run_props(p, "r/").alias("run")),
+        "refs": of("ref").select("doc_id", F.col("ord").alias("section_idx"), _get(p, "kind").alias("kind"), _get(p, "type").alias("ref_type"), F.col("text").alias("rel_id")),
+        "tables": of("table").select("doc_id", F.col("ord").alias("table_idx"), *[_get(p, f"#{k}").cast("int").alias(v) for k, v in (("parent", "parent_idx"), ("parent_row", "parent_row"), ("parent_cell", "parent_cell"))], flag("in_text_box").alias("in_text_box"),
+            _get(p, "jc@val").alias("alignment"), F.when(_get(p, "tblW@type") == "dxa", U.twips_to_in(_get(p, "tblW@w"))).alias("pref_in"), F.transform(F.filter(F.split("text", ","), lambda x: x != ""), U.twips_to_in).alias("grid_in")),
+        "table_rows": of("row").select("doc_id", F.col("ord").alias("table_idx"), F.col("idx").alias("row_idx"), F.coalesce(_toggle(p, "tblHeader"), F.lit(False)).alias("is_header"), F.coalesce(_toggle(p, "cantSplit"), F.lit(False)).alias("cant_split"), U.twips_to_in(_get(p, "trHeight@val")).alias("min_height_in")),
+        "table_cells": of("cell").select("doc_id", F.col("ord").alias("table_idx"), F.col("idx").alias("row_idx"), F.col("text").cast("int").alias("cell_idx"), F.when(_get(p, "tcW@type") == "dxa", U.twips_to_in(_get(p, "tcW@w"))).alias("width_in"), F.coalesce(_get(p, "gridSpan@val").try_cast("int"), F.lit(1)).alias("grid_span"),
+            F.when(F.map_contains_key(p, F.lit("vMerge")), F.coalesce(_get(p, "vMerge@val"), F.lit("continue"))).alias("v_merge"), *[F.when(~_get(p, f"edge/{e}@val").isin("nil", "none"), _get(p, f"edge/{e}@sz").try_cast("int")).alias(f"{e}_sz") for e in ("top", "bottom", "left", "right")]),
+        "num": of("num").select("doc_id", F.col("ord").alias("num_id"), F.col("text").try_cast("int").alias("abstract_id")),
+        "num_levels": of("level").select("doc_id", F.col("ord").alias("abstract_id"), F.col("idx").alias("ilvl"), _get(p, "lvlText@val").alias("pattern"), _get(p, "numFmt@val").alias("format"), _get(p, "start@val").try_cast("int").alias("start"), _get(p, "pStyle@val").alias("p_style"), _get(p, "suff@val").alias("suffix")),
+        "marginal_paras": of("mpara").select("doc_id", F.col("text").alias("part_name"), F.col("ord").alias("para_idx"), para_props(p).alias("para"), *[_get(p, f"edge/bottom@{k}").alias(f"border_{n}") for k, n in (("val", "style"), ("sz", "size"), ("space", "space"), ("color", "color"))]),
+        "marginal_runs": of("mrun").select("doc_id", F.col("text").alias("part_name"), F.col("ord").alias("para_idx"), F.col("idx").alias("run_ord"), _get(p, "#marker").alias("marker"), _get(p, "#instr").alias("instruction"), _get(p, "#text").alias("text")),
+        "marginal_elements": of("melement").select("doc_id", F.col("text").alias("part_name"), _get(p, "#tag").alias("element")),
+        "settings": of("setting").select("doc_id", F.coalesce(_toggle(p, "evenAndOddHeaders"), F.lit(False)).alias("even_and_odd"), F.coalesce(_toggle(p, "updateFields"), F.lit(False)).alias("update_fields")),
         "errors": of("error").select("doc_id", F.col("text").alias("problem")),
     }
