@@ -108,6 +108,13 @@ def w04_blank_runs(spark, sf_dir):
     return L.blank_runs(rows, 2)
 
 
+@query("v_blocks", """SELECT doc_id, ix[k * 8 + 1] AS idx FROM (SELECT doc_id, ix, unnest(range(0, len(ix) // 8)) AS k FROM (SELECT doc_id, list(idx ORDER BY idx) AS ix FROM (SELECT doc_id, idx, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM v_blocks WHERE (doc_id + idx) % 19 < 17) GROUP BY doc_id, run))""")
+def w04_blank_runs_of_eight(spark, sf_dir):
+    """Runs of eight and more, where all but two of nineteen blocks count as empty."""
+    rows = view(spark, sf_dir, "v_blocks").withColumn("kind", F.when((F.col("doc_id") + F.col("idx")) % 19 < 17, "empty").otherwise("body"))
+    return L.blank_runs(rows)
+
+
 @query("v_blocks", "SELECT doc_id, idx, drawing_idx, drawing_width_in FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS drawing_idx FROM v_blocks WHERE drawing_width_in > 0) WHERE drawing_width_in > 6.05")
 def w18_overflow_issues(spark, sf_dir):
     return L.overflow_issues(view(spark, sf_dir, "v_blocks"), F.lit(6.0))

@@ -110,9 +110,9 @@ def u03_missing_parts(spark, sf_dir):
     return R.missing(need, view(spark, sf_dir, "v_parts"), ["doc_id", "part_name"])
 
 
-@query("v_sections", "SELECT doc_id, section_idx, CASE WHEN wide THEN 16838 ELSE 11906 END AS page_w_twips, CASE WHEN wide THEN 11906 ELSE 16838 END AS page_h_twips, CASE WHEN wide THEN 'landscape' END AS orient, 1584 AS mar_left FROM (SELECT *, false AS wide FROM v_sections)")
+@query("v_sections", "SELECT doc_id, section_idx, CASE WHEN wide THEN 16838 ELSE 11906 END AS page_w_twips, CASE WHEN wide THEN 11906 ELSE 16838 END AS page_h_twips, CASE WHEN wide THEN 'landscape' END AS orient, 1584 AS mar_left FROM (SELECT *, coalesce(orient = 'landscape', false) AS wide FROM v_sections)")
 def r01_set_page(spark, sf_dir):
-    return R.set_page(view(spark, sf_dir, "v_sections"), "a4", "portrait", {"left": 1.1}).select("doc_id", "section_idx", "page_w_twips", "page_h_twips", "orient", "mar_left")
+    return R.set_page(view(spark, sf_dir, "v_sections"), "a4", None, {"left": 1.1}).select("doc_id", "section_idx", "page_w_twips", "page_h_twips", "orient", "mar_left")
 
 
 @query("v_styles", "SELECT doc_id, style_id, CASE WHEN style_id = 'Normal' THEN 14.0 ELSE size_pt END::DOUBLE AS size_pt, CASE WHEN style_id = 'Normal' THEN '仿宋' ELSE east_asia END AS east_asia, CASE WHEN style_id = 'Normal' THEN 'A1B2C3' END AS color FROM v_styles")

@@ -62,6 +62,26 @@ def c04_unresolved(spark, sf_dir):
     return X.unresolved(lines(spark, sf_dir))
 
 
+CLAUSE = r"""cl AS (SELECT *, regexp_extract(line, '索引(\d+(?:、\d+)*)', 1) AS ix, TRY_CAST(regexp_extract(line, '表头行数(\d+)', 1) AS INTEGER) AS hr, TRY_CAST(regexp_extract(line, '上下线([\d.]+)', 1) AS DOUBLE) AS ol, TRY_CAST(regexp_extract(line, '表头线 ([\d.]+)', 1) AS DOUBLE) AS hl FROM v_clauses)"""
+
+
+@query("v_clauses", "SELECT spec_id, line_no, replace(ix, '、', ',') AS indexes, hr AS header_rows, ol AS outer_pt, hl AS header_pt FROM cl WHERE ix <> '' AND hr IS NOT NULL", CLAUSE)
+def c03_varied_table_clauses(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_clauses").withColumn("t", X.table_clause(F.col("line"))).where("t IS NOT NULL")
+    return rows.select("spec_id", "line_no", "t.*")
+
+
+@query("v_clauses", """SELECT spec_id, line_no, reason FROM cl, LATERAL (SELECT 'table' AS reason WHERE contains(line, '三线表') AND hr IS NULL UNION ALL SELECT 'header' WHERE contains(line, '页眉') AND NOT regexp_matches(line, '“[^”]+”') UNION ALL SELECT 'footer' WHERE contains(line, '页脚') AND NOT contains(line, '页码')
+ UNION ALL SELECT 'citation' WHERE contains(line, '参考文献') AND regexp_matches(line, '顺序编码|7714') UNION ALL SELECT 'margins' WHERE contains(line, '页边距') AND NOT regexp_matches(line, '边距 \\d+cm')) r""", CLAUSE)
+def c04_varied_unresolved(spark, sf_dir):
+    return X.unresolved(view(spark, sf_dir, "v_clauses"))
+
+
+@query("v_spec_lines", """SELECT spec_id, '{' || string_agg('"' || target || '.' || property || '":"' || value || '"', ',' ORDER BY target || '.' || property) || '}' AS profile FROM (SELECT spec_id, target, property, max_by(value, line_no) AS value FROM extracted GROUP BY 1, 2, 3) GROUP BY 1""", EXTRACTED)
+def c06_assemble_profile(spark, sf_dir):
+    return X.assemble_profile(extracted(spark, sf_dir))
+
+
 @query("v_spec_lines", """SELECT s.spec_id, property, coalesce(value, def) AS value, value IS NULL AS assumed FROM (SELECT DISTINCT spec_id FROM extracted) s CROSS JOIN (VALUES ('eastAsiaFont', '宋体'), ('sizePt', '12.0000'), ('lineSpacing', '1.5000'), ('alignment', 'justify'), ('firstLineChars', '2.0000')) d(property, def)
  LEFT JOIN (SELECT spec_id, property, max_by(value, line_no) AS value FROM extracted WHERE target = 'body' GROUP BY 1, 2) USING (spec_id, property)""", EXTRACTED)
 def c05_fill_defaults(spark, sf_dir):

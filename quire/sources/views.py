@@ -164,6 +164,13 @@ FROM documents CROSS JOIN (VALUES (0),(1),(2),(3),(4)) t(table_idx) CROSS JOIN (
 SELECT doc_id, style_id, 'left' AS alignment, 240 AS line, 'auto' AS line_rule, 0 AS before, 0 AS after, CASE WHEN doc_id%3=0 THEN 400 END AS firstLine, CAST(NULL AS INT) AS firstLineChars, CASE WHEN doc_id%3=1 THEN 300 END AS hanging, CAST(NULL AS INT) AS hangingChars,
  CAST(NULL AS INT) AS inherited_firstLine, CASE WHEN doc_id%5=2 THEN 200 END AS inherited_firstLineChars, CASE WHEN doc_id%7=3 THEN 100 END AS inherited_hanging, CAST(NULL AS INT) AS inherited_hangingChars
 FROM v_styles
+""",
+    "v_clauses": """
+SELECT doc_id AS spec_id, line_no, CASE line_no
+ WHEN 0 THEN concat('正文表格索引',doc_id%4,'、',4+doc_id%7,'采用三线表，',CASE WHEN doc_id%5>0 THEN concat('表头行数',1+doc_id%3,'，') ELSE '' END,'上下线',CASE doc_id%2 WHEN 0 THEN '1.5' ELSE '2.25' END,'磅，表头线 0.',5+doc_id%3*25,' pt')
+ WHEN 1 THEN concat('页眉为',CASE WHEN doc_id%2=0 THEN concat('“',source,'”') ELSE source END) WHEN 2 THEN concat('页脚居中',CASE WHEN doc_id%3=0 THEN '页码' ELSE lang END)
+ WHEN 3 THEN concat('参考文献按',CASE doc_id%4 WHEN 0 THEN '顺序编码' WHEN 1 THEN 'GB/T 7714' ELSE '字母' END) ELSE concat('页边距',CASE WHEN doc_id%3=1 THEN '：上边距 2cm' ELSE '见附件' END) END AS line
+FROM documents CROSS JOIN (VALUES (0),(1),(2),(3),(4)) s(line_no)
 """,
     "v_parts": """
 SELECT page_id AS doc_id, part_name, length(html)*k AS size
