@@ -134,14 +134,17 @@ def _sampled(data: np.ndarray, starts: np.ndarray, values: np.ndarray, samples:
     """The key of each sample of one walk, for the windows that begin at ``starts``; data are bytes as indices."""
     wanted = [[k for k, steps in enumerate(samples) if j in steps] for j in range(len(values))]
     keys = [np.zeros(len(starts), np.uint32) for _ in samples]
-    at, c, g, bit = starts.astype(np.int64), np.empty(len(starts), np.int64), np.empty(len(starts), np.uint32), np.empty(len(starts), np.uint32)
+    at, c = starts.astype(np.int64), np.empty(len(starts), np.int64)
+    g, step = np.empty(len(starts), np.uint32), np.empty(len(starts), np.int64)
+    moves = (values & np.uint32(1)).astype(np.int64)
     for j in range(max(int(x.max()) for x in samples) + 1):
         np.take(data, at, out=c, mode="clip")
-        np.take(values[j], c, out=g, mode="clip")
-        for k in wanted[j]:
-            keys[k] += g
-        np.bitwise_and(g, np.uint32(1), out=bit)
-        at += bit
+        if wanted[j]:
+            np.take(values[j], c, out=g, mode="clip")
+            for k in wanted[j]:
+                np.add(keys[k], g, out=keys[k])
+        np.take(moves[j], c, out=step, mode="clip")
+        np.add(at, step, out=at)
     for key in keys:
         key ^= key >> np.uint32(15)
         key *= np.uint32(0x85EBCA6B)
