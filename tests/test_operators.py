@@ -130,3 +130,52 @@ def test_rewriting_pages_leaves_no_finding_and_twice_is_once(spark):
     inches = once.withColumns({"width_in": U.twips_to_in(F.col("page_w_twips")), "height_in": U.twips_to_in(F.col("page_h_twips")), "left_in": U.twips_to_in(F.col("mar_left")), "orientation": F.col("orient")})
     assert C.diff_page(inches, {"size": "a4", "orientation": "portrait", "margins": {"left": 1.1}}).where("NOT ok").count() == 0
     assert sorted(once.collect()) == sorted(R.set_page(once, "a4", "portrait", {"left": 1.1}).collect())
+
+
+def test_rules_that_hold_change_nothing(spark):
+    """A second run over the result of the first is the same."""
+    from quire.operators import job as J
+
+    blocks = spark.createDataFrame([(1, 0, "Normal", "1 绪论"), (1, 1, "Normal", "图 1-1 a {{TITLE}}"), (1, 2, "Normal", "目录"), (2, 0, "Normal", "正文")], "doc_id long, idx int, style_id string, text string")
+    sections = spark.createDataFrame([(1, 0, 16838, 11906, "landscape", 1440, None, None), (2, 0, 12240, 15840, None, 1440, "decimal", 3)], "doc_id long, section_idx int, page_w_twips int, page_h_twips int, orient string, mar_left int, num_fmt string, num_start int")
+    bookmarks = spark.createDataFrame([(1, "old", 4)], "doc_id long, name string, id long")
+    profile = {
+        "page": {"size": "a4", "orientation": "portrait", "margins": {"left": 1.0}}, "pageNumbers": [(0, "decimal", 1)],
+        "paragraphRules": [{"match": {"regex": r"^\d+ "}, "set_style": "Heading1"}, {"match": {"equals": "目录"}, "remove": True}],
+        "bookmarkRules": [{"match": {"style": "Heading1"}, "name": "h_{index}"}], "replacements": [{"find": "{{TITLE}}", "by": "题目"}],
+    }
+    first = J.standardize({"sections": sections, "blocks": blocks, "bookmarks": bookmarks}, profile)
+    again = J.standardize(first, profile)
+    rows = lambda t, n: sorted(map(tuple, t[n].collect()), key=repr)
+    assert all(rows(first, n) == rows(again, n) for n in ("sections", "blocks", "bookmarks"))
+    assert rows(first, "bookmarks") == [(1, "h_1", 5), (1, "old", 4)]
+    assert [(r.page_w_twips, r.page_h_twips, r.orient) for r in first["sections"].collect()] == [(11906, 16838, None)] * 2
+    plan = spark.createDataFrame([(2, "page")], "doc_id long, family string")
+    part = J.standardize({"sections": sections, "blocks": blocks, "bookmarks": bookmarks}, profile, plan)
+    assert {(r.doc_id, r.page_w_twips) for r in part["sections"].collect()} == {(1, 16838), (2, 11906)} and rows(part, "blocks") == rows({"blocks": blocks}, "blocks")
+
+
+def test_output_over_input_is_refused(spark, tmp_path):
+    from quire.operators import job as J
+
+    spark.range(3).write.parquet(str(tmp_path / "in" / "a"))
+    df = spark.read.parquet(str(tmp_path / "in" / "a"))
+    with pytest.raises(ValueError, match="the same"):
+        J.write_run({"a": df}, str(tmp_path / "in"), force=True)
+    J.write_run({"a": df}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_replacements_fall_to_the_run_where_they_begin(spark):
+    runs = spark.createDataFrame([(1, 0, 0, "ab{{T"), (1, 0, 1, "IT"), (1, 0, 2, "LE}}cd"), (1, 1, 0, None), (1, 1, 1, "x1y22")], "doc_id long, idx int, run_ord int, text string")
+    got = lambda *a, **k: [r.text for r in R.replace_in_runs(runs, *a, **k).orderBy("idx", "run_ord").collect()]
+    assert got("{{TITLE}}", "N$1\\") == ["abN$1\\", "", "cd", "", "x1y22"]
+    assert got(r"(\d)+", "<$1>", regex=True) == ["ab{{T", "IT", "LE}}cd", "", "x<1>y<2>"]
+    assert got(r"\d", "#", regex=True, every=False) == ["ab{{T", "IT", "LE}}cd", "", "x#y22"]
+
+
+def test_style_chains_and_targets_have_no_cap(spark):
+    styles = spark.createDataFrame([(1, f"s{i}", f"s{i + 1}" if i < 40 else None) for i in range(41)], "doc_id long, style_id string, based_on string")
+    assert C.style_chain(styles).where("style_id = 's0'").count() == 41
+    got = spark.createDataFrame([("../" * 6 + "a/b/../c.xml",), ("/word/./x//y.xml",)], "t string").select(K.resolve_target(F.col("t")).alias("t")).collect()
+    assert [r.t for r in got] == ["a/c.xml", "word/x/y.xml"]
