@@ -6,6 +6,7 @@ import os
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -88,6 +89,54 @@ def test_langid_empty_table(spark):
     assert langid.predicted(empty, langid.train(empty)).count() == 0
 
 
+def test_language_query_matches_exact_sets(spark):
+    """The registered query against sets of n-grams in place of filters: the same rows, coverages within the filters' error."""
+    got = {r.doc_id: r for r in queries.op1_language_bitmasks(spark, SF).collect()}
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert len(got) == len(docs)
+
+    def grams(text):
+        padded = [c if c.isalpha() else "" for c in f" {(text or '').lower()}  "]
+        out = []
+        for n in (3, 4):  # starts are those of three-grams with a fourth character behind
+            for i in range(len(padded) - 3):
+                g = padded[i : i + n]
+                if not any(a == b == "" for a, b in zip(g, g[1:])):
+                    out.append((n, *g))
+        return out
+
+    held = {i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 4 == 2}
+    train = [(t, lang) for i, t, lang in docs if i not in held and t is not None and lang is not None]
+    of, n_docs = defaultdict(Counter), Counter(lang for _, lang in train)
+    for text, lang in train:
+        of[lang].update(set(grams(text)))
+    langs = sorted(n_docs, key=lambda x: (-n_docs[x], x))
+    rate = {x: {g: n / n_docs[x] for g, n in of[x].items() if n >= min(2, n_docs[x])} for x in langs}
+    top = Counter()
+    for x in langs:
+        for g, r in rate[x].items():
+            top[g] = max(top[g], r)
+    sets = {x: {g for g, r in rate[x].items() if r >= 0.005 and r >= 0.2 * top[g]} for x in langs}
+    for i, text, _ in docs:
+        r, all_grams = got[i], grams(text)
+        assert r.held_out == (i in held)
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        share = {x: sum(g in sets[x] for g in all_grams) / max(1, len(all_grams)) for x in langs}
+        best = max(langs, key=lambda x: share[x])
+        error = 0.02 + 2 / len(all_grams)  # false positives of the filters, of which one counts in a short text
+        assert abs(r.coverage - share[best]) < error and (r.lang_pred == best or share[best] - share[r.lang_pred] < error)
+        assert len(all_grams) < 50 or abs(r.score - share[r.lang_pred] ** 4 / max(1e-300, sum(s**4 for s in share.values()))) < 0.1
+
+
+def test_language_ties_go_to_the_larger_then_the_smaller_name(spark):
+    rows = [(i, "abcde fghij klmno", lang, "s") for i, lang in enumerate(["bb", "aa", "cc", "cc"])]
+    model = langid.train(frame(spark, rows))
+    assert {r.lang_pred for r in langid.predicted(frame(spark, rows), model).collect()} == {"cc"}
+    assert {r.lang_pred for r in langid.predicted(frame(spark, rows), langid.train(frame(spark, rows[:3]))).collect()} == {"aa"}
+
+
 # Decontamination
 
 
@@ -424,6 +473,58 @@ def test_toxicity_held_out(spark, corpus):
     assert toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")).curve is None
 
 
+def test_toxicity_query_matches_plain_counting(spark):
+    """The registered query against counts in plain Python: the lexicon, K, and every score."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic in (0, 1)]
+    train = {(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1 and i in docs}
+    n, words = [Counter(), Counter()], lambda t: re.findall(r"\w+", (t or "").lower())
+    for i, y in train:
+        n[y].update(set(words(docs[i])))
+    kinds, clean, toxic = len(set(n[0]) | set(n[1])), sum(n[0].values()), sum(n[1].values())
+    odds = lambda y, total: np.log((y + 0.5) / (total + 0.5 * kinds - y - 0.5))
+    kept = {w for w in n[1] if n[1][w] >= 3 and (d := odds(n[1][w], toxic) - odds(n[0][w], clean)) >= 2 and d / np.sqrt(1 / (n[1][w] + 0.5) + 1 / (n[0][w] + 0.5)) >= 2.6}
+    ratio = {w: float(np.log((n[1][w] + 0.5) / toxic / ((n[0][w] + 0.5) / clean))) for w in kept}
+    model = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), toxicity.train_labels(spark.read.parquet(f"{SF}/labels.parquet")))
+    lexicon = {w: s for w, s in ratio.items() if s > 0}
+    assert model.lexicon.keys() == lexicon.keys() and all(abs(model.lexicon[w] - s) < 1e-9 for w, s in lexicon.items())
+    if not lexicon:
+        return
+
+    def scores(text):
+        return [lexicon.get(w, model.other) for w in words(text)]
+
+    def segment_scores(s):  # maximal segments by splitting at the best one, again and again
+        sums = np.concatenate([[0], np.cumsum(s)])
+        best, at = 0.0, None
+        low, where = sums[0], 0
+        for j in range(1, len(sums)):
+            if sums[j] - low > best:
+                best, at = sums[j] - low, (where, j)
+            if sums[j] < low:
+                low, where = sums[j], j
+        return [] if at is None else [best, *segment_scores(s[: at[0]]), *segment_scores(s[at[1] :])]
+
+    least = min(lexicon.values())
+    clean_docs = [i for i, y in train if y == 0]
+    above = sum(sum(x >= least - 1e-9 for x in segment_scores(scores(docs[i]))) for i in clean_docs)
+    assert abs(model.k - (above + 0.5) / (max(1, sum(len(words(docs[i])) for i in clean_docs)) * np.exp(-least))) < 1e-9
+    got = {r.doc_id: r for r in queries.op5_toxic_segments(spark, SF).collect()}
+    for i, text in docs.items():
+        s = segment_scores(scores(text))
+        p = toxicity.p_value(s, len(words(text)), model.k) if s else 1.0
+        want = toxicity.posterior(model, -np.log(p) if s else 0.0)
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_toxicity_of_nothing_and_of_long_texts(spark):
+    model = toxicity.Model({"vile": 4.0}, -0.01, 0.001, (-3.0, 1.0))
+    text = "plain " * 100_000 + "vile " * 5 + "plain " * 100_000
+    rows = toxicity.scored(frame(spark, [(1, text, None, None), (2, None, None, None)]), model).collect()
+    assert [r.predicted for r in rows] == [1, 0] and (rows[0].passages[0].first_word, rows[0].passages[0].last_word) == (100_000, 100_004)
+    assert toxicity.scored(frame(spark, []), model).count() == 0
+
+
 # Tokens
 
 
@@ -677,6 +778,24 @@ def test_pipeline_stages(spark):
     assert all(stage(spark, docs.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Null and repeated ids, nulls, and columns with the names that the stages use: all pass, none is lost by its name."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    odd = [(None, "a text that has no id at all but words enough for a set", "en", None, 5), (7, "another text under an id that is taken, which stays as it is another", "en", "src1", 5), (None, None, None, None, None), (900, "", "en", "src2", 0)]
+    more = spark.createDataFrame(odd * 2, docs.schema)
+    clash = {c: F.lit(c) for c in ("_row", "_id", "_th", "mix_copy", "mix_shard", "_language", "_toxicity", "_contaminated", "size", "node", "h")}
+    docs.unionByName(more).withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    mix = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(mix.columns)) == len(mix.columns) and set(clash) <= set(mix.columns)
+    rows = mix.collect()
+    assert rows and all(r[c] == c for r in rows for c in clash) and not any(r.text is None or r.text == "" for r in rows)
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, kept.where("text != ''"), str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in stage) == 1 and sum(r.text == odd[1][1] for r in stage) == 1
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == ["pipeline", *(f"op{i}" for i in range(1, 11))]
     assert set(queries.oracle_sql()) <= set(queries.queries())
