@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from quire.operators.structure import HEADINGS, order
 
 
+# Fixed values of the estimate: a character's width in ems, inches around figures, other drawings, headings and other text, and an empty line's height.
+CHARACTER, FIGURE, DRAWING, HEADING, TEXT, EMPTY = 0.92, 0.28, 0.12, 0.18, 0.04, 0.18
+
+
 def chars_per_line(width: Column, size_pt: Column) -> Column:
     em = F.greatest(size_pt, F.lit(9.0)) / 72
-    return F.greatest(F.lit(8), F.floor(F.coalesce(width, F.lit(6.5)) / (em * 0.92)).cast("int"))
+    return F.greatest(F.lit(8), F.floor(F.coalesce(width, F.lit(6.5)) / (em * CHARACTER)).cast("int"))
 
 
 def block_height(kind: Column, text_len: Column, has_drawing: Column, drawing_height: Column, width: Column, size_pt: Column, spacing: Column) -> Column:
@@ -24,9 +28,9 @@ def block_height(kind: Column, text_len: Column, has_drawing: Column, drawing_he
     per = chars_per_line(width, size)
     lines = F.greatest(F.lit(1), F.floor((text_len + per - 1) / per))
     heading = kind.isin(*HEADINGS)
-    text = F.round(size / 72 * spacing * F.when(heading, F.least(lines, F.lit(3))).otherwise(lines) + F.when(heading, 0.18).otherwise(0.04), 4)
-    drawn = drawing_height + F.when(kind == "figure", 0.28).otherwise(0.12)
-    return F.when(drawing_height > 0, drawn).when((text_len == 0) & ~F.coalesce(has_drawing, F.lit(False)), 0.18 * spacing).otherwise(text)
+    text = F.round(size / 72 * spacing * F.when(heading, F.least(lines, F.lit(3))).otherwise(lines) + F.when(heading, HEADING).otherwise(TEXT), 4)
+    drawn = drawing_height + F.when(kind == "figure", FIGURE).otherwise(DRAWING)
+    return F.when(drawing_height > 0, drawn).when((text_len == 0) & ~F.coalesce(has_drawing, F.lit(False)), EMPTY * spacing).otherwise(text)
 
 
 def row_heights(cells: DataFrame) -> DataFrame:

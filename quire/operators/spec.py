@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,30 @@ from quire.functions import text as T
 SIDES = {"上": "top", "下": "bottom", "左": "left", "右": "right"}
 VAGUE = "适当|美观|大致|左右|参考学校"
 MARGIN = r"(上|下|左|右)[边頁页]?[距边]?\s*[为是:]?\s*(\d+(?:\.\d+)?)\s*(cm|厘米|mm|毫米|in|英寸)"
+SPACING = r"(?:行距|行间距)\s*[为是:]?\s*(\d+(?:\.\d+)?)\s*倍"
+INDENT = r"首行缩进\s*(\d+(?:\.\d+)?)\s*字符"
+# Clauses of a set value: target, property, value, confidence, all that a line must match, and what it must not.
+PAGE_CLAUSES = (
+    ("page", "size", "a4", "high", (r"\bA4\b|A4纸|纸型.{0,4}A4",), None),
+    ("page", "orientation", "portrait", "high", ("纵向|portrait",), None),
+)
+OTHER_CLAUSES = (
+    ("pageNumbers.front", "format", "upper-roman", "medium", ("罗马", "页码"), None),
+    ("pageNumbers.body", "format", "decimal", "medium", ("正文.{0,8}页码.{0,8}[1一]|页码.{0,6}阿拉伯",), None),
+    ("headingNumbering", "enabled", "true", "medium", (r"一、|（一）|1\.", "标题"), None),
+    ("tableRules", "preset", "three-line", "high", ("三线表|three[- ]line table",), None),
+    ("headersFooters.header", "present", "true", "medium", ("页眉",), None),
+    ("headersFooters.footer", "page", "true", "medium", ("页脚", "页码"), "(?:无|不设|不显示|不要)页码|页码.{0,3}(不显示|取消|隐藏)"),
+    ("fields", "TOC", "true", "medium", ("目录", "自动|域|字段|三级|两级|1-2|1-3"), None),
+    ("captions", "present", "true", "medium", ("题注|图题|表题",), None),
+)
+# What a table clause must name, each with its pattern.
+TABLE_CLAUSE = {
+    "indexes": r"(?:正文表格索引|body table indexes?)\s*[:：=]?\s*(\d+(?:\s*[,，、]\s*\d+)*)",
+    "header_rows": r"(?:表头行数|header rows?)\s*[:：=]?\s*(\d+)",
+    "outer_pt": r"(?:上下线|outer)\s*[:：=]?\s*([\d.]+)\s*(?:磅|pt)",
+    "header_pt": r"(?:表头线|header border)\s*[:：=]?\s*([\d.]+)\s*(?:磅|pt)",
+}
 HEADINGS = {"Heading1": r"一级标题|章标题|Heading\s*1", "Heading2": r"二级标题|节标题|Heading\s*2", "Heading3": r"三级标题|Heading\s*3"}
 
 
@@ -43,12 +69,17 @@ def extract_rules(lines: DataFrame) -> DataFrame:
     body = ~table & has("正文|主体|body") & (font.isNotNull() | size.isNotNull() | line.contains("行距") | line.contains("倍"))
     latin = font.isin("Times New Roman", "Arial")
     heading = F.coalesce(*[F.when(has(p), F.lit(name)) for name, p in HEADINGS.items()])
-    spacing = _first(line, r"(?:行距|行间距)\s*[为是:]?\s*(\d+(?:\.\d+)?)\s*倍")
-    indent = F.coalesce(_first(line, r"首行缩进\s*(\d+(?:\.\d+)?)\s*字符"), F.when(line.contains("首行缩进") & line.contains("两"), "2"))
+    spacing = _first(line, SPACING)
+    indent = F.coalesce(_first(line, INDENT), F.when(line.contains("首行缩进") & line.contains("两"), "2"))
     text = lambda c: number_text(c.cast("double"))
+
+    def clause(c: tuple) -> Column:
+        target, prop, value, confidence, wanted, unwanted = c
+        fits = reduce(lambda a, b: a & b, map(has, wanted))
+        return F.when(fits & ~has(unwanted) if unwanted else fits, _rule(target, prop, F.lit(value), confidence))
+
     fixed = [
-        F.when(has(r"\bA4\b|A4纸|纸型.{0,4}A4"), _rule("page", "size", F.lit("a4"))),
-        F.when(has("纵向|portrait"), _rule("page", "orientation", F.lit("portrait"))),
+        *map(clause, PAGE_CLAUSES),
         F.when(body & font.isNotNull(), _rule("body", F.when(latin, "latinFont").otherwise("eastAsiaFont"), font)),
         F.when(body & size.isNotNull(), _rule("body", "sizePt", text(size))),
         F.when(body & spacing.isNotNull(), _rule("body", "lineSpacing", text(spacing))),
@@ -56,14 +87,7 @@ def extract_rules(lines: DataFrame) -> DataFrame:
         F.when(body & indent.isNotNull(), _rule("body", "firstLineChars", text(indent))),
         F.when(heading.isNotNull(), _rule(heading, "font", F.coalesce(font, F.lit("黑体")))),
         F.when(heading.isNotNull() & size.isNotNull(), _rule(heading, "sizePt", text(size))),
-        F.when(line.contains("罗马") & line.contains("页码"), _rule("pageNumbers.front", "format", F.lit("upper-roman"), "medium")),
-        F.when(has("正文.{0,8}页码.{0,8}[1一]|页码.{0,6}阿拉伯"), _rule("pageNumbers.body", "format", F.lit("decimal"), "medium")),
-        F.when(has(r"一、|（一）|1\.") & line.contains("标题"), _rule("headingNumbering", "enabled", F.lit("true"), "medium")),
-        F.when(has("三线表|three[- ]line table"), _rule("tableRules", "preset", F.lit("three-line"))),
-        F.when(has("页眉"), _rule("headersFooters.header", "present", F.lit("true"), "medium")),
-        F.when(has("页脚") & line.contains("页码") & ~has("(?:无|不设|不显示|不要)页码|页码.{0,3}(不显示|取消|隐藏)"), _rule("headersFooters.footer", "page", F.lit("true"), "medium")),
-        F.when(has("目录") & has("自动|域|字段|三级|两级|1-2|1-3"), _rule("fields", "TOC", F.lit("true"), "medium")),
-        F.when(has("题注|图题|表题"), _rule("captions", "present", F.lit("true"), "medium")),
+        *map(clause, OTHER_CLAUSES),
     ]
     # Several margins may stand in one line: the three groups of each match, side by side.
     group = lambda i: F.regexp_extract_all(line, F.lit(f"(?iU){MARGIN}"), F.lit(i))
@@ -77,10 +101,9 @@ def extract_rules(lines: DataFrame) -> DataFrame:
 
 def table_clause(line: Column) -> Column:
     """struct<indexes, header_rows, outer_pt, header_pt> of a line that names all four; null otherwise."""
-    indexes = _first(line, r"(?:正文表格索引|body table indexes?)\s*[:：=]?\s*(\d+(?:\s*[,，、]\s*\d+)*)")
-    header, outer = _first(line, r"(?:表头行数|header rows?)\s*[:：=]?\s*(\d+)"), _first(line, r"(?:上下线|outer)\s*[:：=]?\s*([\d.]+)\s*(?:磅|pt)")
-    middle = _first(line, r"(?:表头线|header border)\s*[:：=]?\s*([\d.]+)\s*(?:磅|pt)")
-    return F.when(indexes.isNotNull() & header.isNotNull() & outer.isNotNull() & middle.isNotNull(), F.struct(F.regexp_replace(indexes, r"(?U)\s*[,，、]\s*", ",").alias("indexes"), header.cast("int").alias("header_rows"), outer.cast("double").alias("outer_pt"), middle.cast("double").alias("header_pt")))
+    found = {name: _first(line, pattern) for name, pattern in TABLE_CLAUSE.items()}
+    values = (F.regexp_replace(found["indexes"], r"(?U)\s*[,，、]\s*", ","), found["header_rows"].cast("int"), found["outer_pt"].cast("double"), found["header_pt"].cast("double"))
+    return F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in found.values()]), F.struct(*[v.alias(n) for n, v in zip(found, values, strict=True)]))
 
 
 def unresolved(lines: DataFrame) -> DataFrame:
