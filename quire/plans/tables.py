@@ -80,8 +80,8 @@ def w18_wide_tables(spark, sf_dir):
 
 
 # A document's neighbouring blocks in tables make one table; its rows are made from its first block.
-FLOW = """fb AS (SELECT doc_id, idx, CASE WHEN in_table THEN idx // 7 END AS table_idx, (0.2 + length(text) * 0.00371)::DOUBLE AS height, coalesce(keep_next, false) AS keep_next, style_id IS NOT DISTINCT FROM 'Heading1' AND idx % 4 = 0 AS page_break, idx // 60 AS section FROM v_blocks),
-fr AS (SELECT doc_id, table_idx, r AS row_idx, (0.3013 + (doc_id + r * 5) % 11 * 0.4007 + CASE WHEN r = 4 THEN 10 ELSE 0 END)::DOUBLE AS height, r = 0 AS is_header, (doc_id + r) % 3 = 0 AS cant_split FROM (SELECT DISTINCT doc_id, table_idx FROM fb WHERE table_idx IS NOT NULL) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(r)),
+FLOW = """fb AS (SELECT doc_id, idx, CASE WHEN in_table THEN idx // 7 END AS table_idx, (0.2::DOUBLE + length(text) * 0.0037::DOUBLE) AS height, coalesce(keep_next, false) AS keep_next, style_id IS NOT DISTINCT FROM 'Heading1' AND idx % 4 = 0 AS page_break, idx // 60 AS section FROM v_blocks),
+fr AS (SELECT doc_id, table_idx, r AS row_idx, (0.3013::DOUBLE + (doc_id + r * 5) % 11 * 0.4007::DOUBLE + CASE WHEN r = 4 THEN 10 ELSE 0 END)::DOUBLE AS height, r = 0 AS is_header, (doc_id + r) % 3 = 0 AS cant_split FROM (SELECT DISTINCT doc_id, table_idx FROM fb WHERE table_idx IS NOT NULL) CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(r)),
 flow AS (SELECT doc_id, idx, row_idx, height, keep_next, page_break, is_row, cant_split, header, idx // 60 AS section, row_number() OVER (PARTITION BY doc_id ORDER BY idx, row_idx) AS ord FROM (SELECT doc_id, idx, 0 AS row_idx, height, keep_next, page_break, false AS is_row, false AS cant_split, 0::DOUBLE AS header FROM fb WHERE table_idx IS NULL
  UNION ALL SELECT f.doc_id, f.idx, row_idx, r.height, false, false, true, cant_split, CASE WHEN is_header THEN 0 ELSE h END FROM (SELECT doc_id, table_idx, min(idx) AS idx FROM fb WHERE table_idx IS NOT NULL GROUP BY 1, 2) f JOIN (SELECT *, first_value(height) OVER (PARTITION BY doc_id, table_idx ORDER BY row_idx) AS h FROM fr) r ON r.doc_id = f.doc_id AND r.table_idx = f.table_idx))"""
 
@@ -90,7 +90,7 @@ def flow(spark, sf_dir):
     blocks = view(spark, sf_dir, "v_blocks")
     of = F.floor(F.col("idx") / 7)
     blocks = blocks.select(
-        "doc_id", "idx", F.when(F.col("in_table"), of).alias("table_idx"), (F.lit(0.2) + F.length("text") * F.lit(0.00371)).alias("height"), F.coalesce("keep_next", F.lit(False)).alias("keep_next"), (F.col("style_id").eqNullSafe(F.lit("Heading1")) & (F.col("idx") % 4 == 0)).alias("page_break")
+        "doc_id", "idx", F.when(F.col("in_table"), of).alias("table_idx"), (F.lit(0.2) + F.length("text") * F.lit(0.0037)).alias("height"), F.coalesce("keep_next", F.lit(False)).alias("keep_next"), (F.col("style_id").eqNullSafe(F.lit("Heading1")) & (F.col("idx") % 4 == 0)).alias("page_break")
     )
     rows = blocks.where("table_idx IS NOT NULL").select("doc_id", "table_idx").distinct().withColumn("row_idx", F.explode(F.sequence(F.lit(0), F.lit(4))))
     height = F.lit(0.3013) + (F.col("doc_id") + F.col("row_idx") * 5) % 11 * F.lit(0.4007) + F.when(F.col("row_idx") == 4, 10).otherwise(0)
