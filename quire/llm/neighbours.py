@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEAST_BLOCK, BLOCK, BLOCKS = 1024, 8192, 64  # a block's rows: a 64th of all, within these bounds
+BLOCK = 8192
 LEAST_ROWS = 200  # that a query compares, on average; so it probes all lists of a small table
 
 
@@ -250,16 +250,15 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     coded = _encode(rows, index, d)
     sizes = dict(coded.groupBy("list").agg(F.count("*").alias("n")).toPandas().itertuples(index=False))
     index.first, index.blocks = np.zeros(len(index.centroids), np.int32), np.ones(len(index.centroids), np.int32)
-    most = int(np.clip(sum(sizes.values()) // BLOCKS, LEAST_BLOCK, BLOCK))
-    block, room = 0, most
+    block, room = 0, BLOCK
     for c in range(len(index.centroids)):
         n = int(sizes.get(c, 0))
         if n > room:
-            block, room = block + 1, most
+            block, room = block + 1, BLOCK
         index.first[c] = block
-        if n > most:
-            index.blocks[c] = -(-n // most)
-            block, room = block + int(index.blocks[c]), most
+        if n > BLOCK:
+            index.blocks[c] = -(-n // BLOCK)
+            block, room = block + int(index.blocks[c]), BLOCK
         else:
             room -= n
     lists = spark.createDataFrame([(c, int(index.first[c]), int(index.blocks[c])) for c in range(len(index.centroids))], "_list int, first int, blocks int")
@@ -267,6 +266,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
         (F.col("first") + F.pmod(F.xxhash64("id", "vh"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vh", "list", "codes", "vec", F.lit(None).cast("array<int>").alias("probed")
     )
     asked = _dealt(queries, index, d).select("block", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("vh"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "vec", "probed")
-    scored = placed.unionAll(asked).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scan(index, d, k, spark), f"query_id {kind}, id {kind}, score double")
+    # As many partitions as blocks, so that small ones aren't put together.
+    scored = placed.unionAll(asked).repartition(max(1, min(block + 1, 20_000)), "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(index, d, k, spark), f"query_id {kind}, id {kind}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
