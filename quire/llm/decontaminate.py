@@ -43,7 +43,7 @@ from quire.llm.shingles import mix, word_hashes
 CLASSES = ((52, 48, 10), (36, 32, 9), (20, 20, 7))
 SHORT = CLASSES[-1][0]
 HIT = 0.32  # chance that one sample finds an item of eight words with a fifth of its characters edited, as measured
-ANCHORS, PART = 1 << 13, 1 << 20
+ANCHORS, PART = 1 << 16, 1 << 20
 LOCAL, SLACK, NEAR = 48, 14, 0.36  # bytes that the first comparison takes, shifts that it allows, and edits, as a share
 
 
