@@ -668,6 +668,14 @@ def test_url_parts_and_rules(spark):
     assert urls.judged(df.union(df)).count() == 2 * len(rows)
 
 
+def test_urls_of_one_class_long_ones_and_lookups_by_shuffle(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    verdicts = lambda df, **k: sorted(map(tuple, urls.judged(df, **k).collect()), key=repr)
+    assert verdicts(pages) == verdicts(pages, most_broadcast=20)  # frequent n-grams broadcast, the others shuffled
+    one = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.org/y"), (3, "http://c.net/z"), (4, "http://c.net/" + "long/" * 2000), (4, "http://c.net/z")], "page_id long, url string")
+    assert {r.verdict for r in urls.judged(one).collect()} == {"allow"} and urls.judged(one).count() == 5
+
+
 # Jaccard join
 
 
