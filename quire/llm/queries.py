@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, tokens, toxicity, urls
+from quire.llm import alignment, decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, tokens, toxicity, urls
 from quire.llm.common import fold, table
 
 
@@ -78,10 +78,14 @@ def op10_jaccard_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op3_licence_sentences, op4_mix_sources, op5_toxic_segments, op6_token_counts, op7_merkle_audit, op8_nearest_ivf_pq, op9_url_language_models, op10_jaccard_chosen_path)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op3_licence_sentences, op4_mix_sources, op5_toxic_segments, op6_token_counts, op7_merkle_audit, op8_nearest_ivf_pq, op9_url_language_models, op10_jaccard_chosen_path, op12_align_tokenizers)}
 
 
 def oracle_sql() -> dict[str, str]:
