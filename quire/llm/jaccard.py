@@ -270,15 +270,15 @@ def _looked_up(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(root, blocks, block, node, m, shingles) of the sets in groups, whose texts are looked up by one row of each set."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, sets: DataFrame, groups: DataFrame, sets_of=shingle_sets) -> DataFrame:
+    """(root, blocks, block, node, m, shingles) of the sets in groups, whose texts are looked up by one row of each set; ``sets_of`` makes sets of texts."""
     members = groups.join(sets.select(F.col("node").alias("_n"), "m", "n", "rep"), F.col("node") == F.col("_n")).drop("_n")
     blocks = members.groupBy(F.col("root").alias("_r")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     reps = stored(members.join(blocks, F.col("root") == F.col("_r")).select(F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "root", "blocks", "node", "m"))
 
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(batch.column("_text").to_pylist()))
+            found = list(sets_of(batch.column("_text").to_pylist()))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             flat = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "blocks", "node", "m")), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["root", "blocks", "node", "m", "shingles"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import alignment, decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, tokens, toxicity, urls
+from quire.llm import alignment, decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, phrases, sketches, tokens, toxicity, urls
 from quire.llm.common import fold, table
 
 
@@ -78,14 +78,37 @@ def op10_jaccard_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_mine_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"))
 
 
+def op13_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.components_of(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+u AS (SELECT id, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM d),
+v AS (SELECT *, row_number() OVER () AS i FROM u),
+x AS (SELECT id, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, row_number() OVER o AS nth FROM v WINDOW o AS (PARTITION BY id ORDER BY i)),
+s AS (SELECT DISTINCT id, CASE WHEN w3 IS NOT NULL THEN w || ' ' || w2 || ' ' || w3 WHEN w2 IS NOT NULL THEN w || ' ' || w2 ELSE w END AS g FROM x WHERE w3 IS NOT NULL OR nth = 1),
+n AS (SELECT d.id, d.doc_id, count(g) AS n FROM d LEFT JOIN s ON s.id = d.id GROUP BY ALL),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+e AS (SELECT a, b FROM shared JOIN n AS x ON x.id = a JOIN n AS y ON y.id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+c AS (SELECT id, id AS at FROM d UNION SELECT c.id, e.b FROM c JOIN e ON e.a = c.at)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(o.doc_id) AS component_id, n.doc_id = min(o.doc_id) AS kept
+FROM c JOIN n ON n.id = c.id JOIN n AS o ON o.id = c.at GROUP BY n.id, n.doc_id
+"""
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op3_licence_sentences, op4_mix_sources, op5_toxic_segments, op6_token_counts, op7_merkle_audit, op8_nearest_ivf_pq, op9_url_language_models, op10_jaccard_chosen_path, op12_align_tokenizers)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op3_licence_sentences, op4_mix_sources, op5_toxic_segments, op6_token_counts, op7_merkle_audit, op8_nearest_ivf_pq, op9_url_language_models, op10_jaccard_chosen_path, op11_mine_collocations, op12_align_tokenizers, op13_sketch_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,4 +116,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_licence_sentences": licences.sql(),
         "op7_merkle_audit": OP7_SQL,
         "op9_url_language_models": urls.SQL,
+        "op11_mine_collocations": phrases.SQL,
+        "op13_sketch_near_duplicates": OP13_SQL,
     }
