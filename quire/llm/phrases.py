@@ -10,7 +10,7 @@ pieces end with it; so from four words down to one each level is summed from the
 above, with no further pass over texts.
 
 A pass before bounds what is shuffled: each task counts all grams of one to four words
-in 2 ** 26 hashed places (one byte each), whose sums tell, for every gram, that it can't
+in 2 ** ``bits`` hashed places (one byte each), whose sums tell, for every gram, that it can't
 reach ``least`` occurrences, or that it might. A gram is cut before the word that makes
 it rare, as if the piece ended there: it can't be part of a candidate, and all counts of
 ``least`` or more stay exact. A full filter (some 10 ** 9 different grams) cuts less, and
@@ -67,7 +67,7 @@ class Chunk:
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
         self.start = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
-    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def places(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length from one up: the words that begin so long a gram, and the filter's place of it."""
         at = np.flatnonzero(self.left)
         h = np.full(len(at), self.start)
@@ -75,12 +75,12 @@ class Chunk:
             more = self.left[at] > k
             at, h = at[more], h[more]
             h = mix(h * _ODD + self.hashes[self.ids[at + k]])
-            yield at, (h >> np.uint64(64 - BITS)).astype(np.uint32)
+            yield at, (h >> np.uint64(64 - bits)).astype(np.uint32)
 
     def grams(self, frequent: np.ndarray) -> Iterator[tuple[bytes, int]]:
         """The longest gram from each word that holds no rare one, and its number; '' for rare words."""
         length = np.zeros(len(self.ids), np.int64)
-        for k, (at, place) in enumerate(self.places()):
+        for k, (at, place) in enumerate(self.places((8 * len(frequent)).bit_length() - 1)):
             hit = at[(frequent[place >> 3] >> (7 - (place & 7))) & 1 == 1]
             hit = hit[length[hit] == k]
             length[hit] = k + 1
@@ -123,25 +123,25 @@ def _zipped(sums: np.ndarray) -> bytes:
     return _CODEC.compress(sums.tobytes(), asbytes=True)
 
 
-def _unzipped(data: bytes, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(_CODEC.decompress(data, PART * kind.itemsize, asbytes=True), kind)
+def _unzipped(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(data, n * kind.itemsize, asbytes=True), kind)
 
 
-def _tallied(least: int):
+def _tallied(least: int, bits: int):
     """Sums of a task in the filter's places, up to ``least``."""
-    kind = np.min_scalar_type(least)
+    kind, size = np.min_scalar_type(least), min(PART, 1 << bits)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for chunk in _chunks(batches):
-            sums = np.zeros(1 << BITS, kind) if sums is None else sums
-            for _, place in chunk.places():
+            sums = np.zeros(1 << bits, kind) if sums is None else sums
+            for _, place in chunk.places(bits):
                 place, times = np.unique(place, return_counts=True)
                 sums[place] = np.minimum(sums[place] + times, least)
         if sums is None:
             return
-        for part in range(len(sums) // PART):
-            own = sums[part * PART : (part + 1) * PART]
+        for part in range(len(sums) // size):
+            own = sums[part * size : (part + 1) * size]
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_zipped(own)], pa.binary())], ["part", "sums"])
 
@@ -156,28 +156,29 @@ def _tallied(least: int):
                 if row["part"] != part:
                     if sums is not None:
                         yield told()
-                    part, sums = row["part"], np.zeros(PART, np.int64)
-                sums += _unzipped(row["sums"], kind)
+                    part, sums = row["part"], np.zeros(size, np.int64)
+                sums += _unzipped(row["sums"], size, kind)
         if sums is not None:
             yield told()
 
     return tally, total
 
 
-def maybe_frequent(rows: DataFrame, least: int = LEAST) -> np.ndarray:
+def maybe_frequent(rows: DataFrame, least: int = LEAST, bits: int = BITS) -> np.ndarray:
     """The filter's bits (8 MiB, whatever the corpus): whether a place has ``least`` occurrences of grams."""
-    tally, total = _tallied(least)
+    tally, total = _tallied(least, bits)
     parts = rows.mapInArrow(tally, "part int, sums binary").repartition("part").sortWithinPartitions("part").mapInArrow(total, "part int, bits binary")
-    bits = np.zeros((1 << BITS) // 8, np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     for row in parts.collect():
-        bits[row.part * PART // 8 : (row.part + 1) * PART // 8] = np.frombuffer(row.bits, np.uint8)
-    return bits
+        own = np.frombuffer(row.bits, np.uint8)
+        out[row.part * len(own) : (row.part + 1) * len(own)] = own
+    return out
 
 
-def graph(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def graph(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, bits: int = BITS) -> DataFrame:
     """(lang, gram, n), stored: edges of four words and, shorter, the corrections at ends; '' counts the words that are rare."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    bits = rows.sparkSession.sparkContext.broadcast(maybe_frequent(rows, least))
+    frequent = rows.sparkSession.sparkContext.broadcast(maybe_frequent(rows, least, bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -188,7 +189,7 @@ def graph(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
             return out
 
         for chunk in _chunks(batches):
-            for gram, n in chunk.grams(bits.value):
+            for gram, n in chunk.grams(frequent.value):
                 held[chunk.lang, gram] += n
             if len(held) > HELD:
                 yield told()
@@ -236,9 +237,9 @@ def paths(edges: DataFrame) -> DataFrame:
     return stored(chain.select("lang", F.concat(begin, F.transform(F.slice("edges", 2, PIECE), lambda e: F.element_at(F.split(e["gram"], " ", -1), -1))).alias("words"), "n"))
 
 
-def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of one to four words that occur ``least`` times, and (lang, n) of all words."""
-    grams = graph(docs, lang_col, text_col, least).withColumn("k", F.size(_words("gram")))
+    grams = graph(docs, lang_col, text_col, least, bits).withColumn("k", F.size(_words("gram")))
     frequent = (F.col("k") == LONGEST) & (F.col("n") >= least)
     ways, rest = paths(grams.where(frequent).select("lang", "gram", "n")), grams.where(~frequent)
     windows = F.transform(F.sequence(F.lit(1), F.size("words") - LONGEST + 1), lambda i: _said(F.col("words"), i, LONGEST))
@@ -283,9 +284,9 @@ def independent(candidates: DataFrame, share: int = 80) -> DataFrame:
     return candidates.join(most, held, "left").where(F.col("_most").isNull() | (F.lit(100) * _exact("_most") < F.lit(share) * _exact("a"))).drop("_lang", "_phrase", "_most")
 
 
-def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, share: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, share: int = 80, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best ``top`` phrases, ranked in salted parts first."""
-    counted, total = counts(docs, lang_col, text_col, least)
+    counted, total = counts(docs, lang_col, text_col, least, bits)
     kept = independent(stored(scored(counted)), share)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
