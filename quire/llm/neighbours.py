@@ -82,12 +82,14 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[a : a + 4096] @ c.T - half).argmax(axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
 
 
-def valid(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """Rows (id, vec, vh) that take part, and their dimension; vh is a hash of the vector."""
+def valid(vectors: DataFrame, id_col: str, vec_col: str, d: int | None = None) -> tuple[DataFrame, int]:
+    """Rows (id, vec, vh) that take part, and their dimension, which is the most frequent unless given; vh is a hash of the vector."""
     ok = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec_col, lambda v: v != 0)
     single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
     vec = F.col(vec_col).cast("array<float>" if single else "array<double>")
     rows = vectors.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), vec.alias("vec"), F.xxhash64(vec).alias("vh"))
+    if d is not None:
+        return rows.where(F.size("vec") == d), d
     top = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     d = top["d"] if top else 0
     return rows.where(F.size("vec") == d), d
@@ -154,9 +156,9 @@ def _dealt(queries: DataFrame, index: Index, d: int) -> DataFrame:
                     block += of.keys()
                     lists += of.values()
                 part = part.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("id"), part.column("vec"), pa.array(lists, pa.list_(pa.int32()))], ["block", "id", "vec", "probed"])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), part.column("id"), part.column("vh"), part.column("vec"), pa.array(lists, pa.list_(pa.int32()))], ["block", "id", "vh", "vec", "probed"])
 
-    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vec {queries.schema['vec'].dataType.simpleString()}, probed array<int>")
+    return queries.mapInArrow(deal, f"block int, id {queries.schema['id'].dataType.simpleString()}, vh long, vec {queries.schema['vec'].dataType.simpleString()}, probed array<int>")
 
 
 def _scan(index: Index, d: int, k: int, spark):
@@ -231,14 +233,15 @@ def _best(ix: Index, rows: tuple, queries: pa.RecordBatch, d: int, k: int) -> It
         whole, asked = _even(x[on]), np.broadcast_to(_even(raw[i : i + 1]), (len(on), d))
         s = _dots(whole, asked) / np.sqrt(_dots(whole, whole)) / np.sqrt(_dots(asked, asked))
         top = np.argsort(-s, kind="stable")[:k]
-        of = queries.column("id").slice(i, 1).take(pa.array(np.zeros(len(top), np.int64)))
-        yield pa.RecordBatch.from_arrays([of, ids.take(pa.array(on[top])), pa.array(s[top])], ["query_id", "id", "score"])
+        of = [queries.column(c).slice(i, 1).take(pa.array(np.zeros(len(top), np.int64))) for c in ("id", "vh")]
+        yield pa.RecordBatch.from_arrays([*of, ids.take(pa.array(on[top])), pa.array(s[top])], ["query_id", "query_vh", "id", "score"])
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, recall: float = 0.98, sample: int = 20_000) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest found of each row for which ``is_query`` holds.
 
-    score is the cosine of the original vectors.
+    Rows of one id with different vectors are queries of their own, each with its ranks;
+    rows of a query's id are no candidates of it. score is the cosine of the original vectors.
     """
     spark = vectors.sparkSession
     rows, d = valid(vectors, id_col, vec_col)
@@ -246,7 +249,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     index = fit(rows, d, sample, recall, k) if d else None
     if index is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    queries = valid(vectors.where(is_query), id_col, vec_col)[0].where(F.size("vec") == d).dropDuplicates(["id", "vh"])
+    queries = valid(vectors.where(is_query), id_col, vec_col, d)[0].dropDuplicates(["id", "vh"])
     coded = _encode(rows, index, d)
     sizes = dict(coded.groupBy("list").agg(F.count("*").alias("n")).toPandas().itertuples(index=False))
     index.first, index.blocks = np.zeros(len(index.centroids), np.int32), np.ones(len(index.centroids), np.int32)
@@ -265,8 +268,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     placed = coded.join(F.broadcast(lists), F.col("list") == F.col("_list")).select(
         (F.col("first") + F.pmod(F.xxhash64("id", "vh"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vh", "list", "codes", "vec", F.lit(None).cast("array<int>").alias("probed")
     )
-    asked = _dealt(queries, index, d).select("block", F.lit(1).alias("kind"), "id", F.lit(None).cast("long").alias("vh"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "vec", "probed")
+    asked = _dealt(queries, index, d).select("block", F.lit(1).alias("kind"), "id", "vh", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"), "vec", "probed")
     # As many partitions as blocks, so that small ones aren't put together.
-    scored = placed.unionAll(asked).repartition(max(1, min(block + 1, 20_000)), "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(index, d, k, spark), f"query_id {kind}, id {kind}, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    scored = placed.unionAll(asked).repartition(max(1, min(block + 1, 20_000)), "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(index, d, k, spark), f"query_id {kind}, query_vh long, id {kind}, score double")
+    order = W.partitionBy("query_id", "query_vh").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
