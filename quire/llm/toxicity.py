@@ -99,12 +99,12 @@ def posterior(model: Model, x: float) -> float:
     return 1 / (1 + math.exp(min(700.0, -(model.curve[0] + model.curve[1] * x))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 20_000, min_z: float = 2.6, min_odds: float = 2.0, max_words: int = 50_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 20_000, min_z: float = 2.6, min_odds: float = 2.0) -> Model:
     """Fit on about ``max_docs`` labelled documents of each class, drawn by a hash of the id.
 
     The drawn labels are bounded by that and so are broadcast: no text is shuffled.
-    The lexicon keeps words with a log-odds of ``min_odds`` (nats) and ``min_z``
-    standard deviations or more, ``max_words`` at most, the most significant ones.
+    The lexicon keeps all their words with a log-odds of ``min_odds`` (nats) and
+    ``min_z`` standard deviations or more.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").distinct()
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model()
     odds = lambda y, n: F.log((y + 0.5) / (n + 0.5 * kinds - y - 0.5))  # noqa: E731  Dirichlet prior of 0.5 a word
     scored = counts.select("w", "c", "t", (odds(F.col("t"), toxic) - odds(F.col("c"), clean)).alias("d"), (1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)).alias("v"))
-    top = scored.where(f"t >= 3 AND d >= {min_odds} AND d / sqrt(v) >= {min_z}").orderBy(F.desc(F.col("d") / F.sqrt("v")), "w").limit(max_words).toPandas()
+    top = scored.where(f"t >= 3 AND d >= {min_odds} AND d / sqrt(v) >= {min_z}").orderBy("w").toPandas()
     if top.empty:
         return Model()
     p_toxic, p_clean = (top["t"] + 0.5).to_numpy() / toxic, (top["c"] + 0.5).to_numpy() / clean
