@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import stored
 
 ORDER = 5
+STRETCH, COPIES = 1000, 100_000  # n-grams of a URL, and copies of a row, that one row is exploded into
 START, END = "\u0002", "\u0003"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -48,10 +49,15 @@ def ruled(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES
 
 
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
-    """A row for each character of each URL and its end, with the up to four characters before it."""
-    padded = F.concat(F.lit(START * (ORDER - 1)), F.coalesce("url", F.lit("")), F.lit(END))
-    rows = urls.withColumn("_padded", padded).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_padded") - (ORDER - 1))))
-    return rows.select(*keep, F.substring("_padded", F.col("_i"), F.lit(ORDER)).alias("g"))
+    """A row for each character of each URL and its end, with the up to four characters before it.
+
+    A URL is cut into stretches of ``STRETCH`` n-grams first, so that a row copies its stretch alone.
+    """
+    urls = urls.withColumn("_padded", F.concat(F.lit(START * (ORDER - 1)), F.coalesce("url", F.lit("")), F.lit(END)))
+    padded, grams = F.col("_padded"), F.length("_padded") - (ORDER - 1)
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((grams - 1) / STRETCH).cast("int")), lambda i: F.substring(padded, i * STRETCH + 1, F.lit(STRETCH + ORDER - 1)))
+    rows = urls.withColumn("_s", F.explode(stretches)).select(*keep, "_s").withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_s") - (ORDER - 1))))
+    return rows.select(*keep, F.substring("_s", F.col("_i"), F.lit(ORDER)).alias("g"))
 
 
 def ratios(urls: DataFrame) -> DataFrame:
@@ -113,7 +119,10 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     # Where two normal curves of the classes are equally many deviations away.
     threshold = (of[1][0] * of[0][1] + of[0][0] * of[1][1]) / (of[0][1] + of[1][1]) if len(of) == 2 else 0.0
     method = scored(rows.where("rule IS NULL").drop("rule"), "id", "url", "copies", "host", "path").select("id", "copies", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("d") >= threshold, "allow").otherwise("block").alias("verdict"))
-    out = rows.where("rule IS NOT NULL").select("id", "copies", "host", "path", "rule.rule", "rule.verdict").unionAll(method).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = rows.where("rule IS NOT NULL").select("id", "copies", "host", "path", "rule.rule", "rule.verdict").unionAll(method)
+    # Repeated rows again, by parts, as one array of all would have no bound.
+    out = out.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES).cast("int"))))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("copies") - F.col("_part") * COPIES).cast("int"))))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
 
 
