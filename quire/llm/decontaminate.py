@@ -12,9 +12,14 @@ rate. A candidate whose ``LOCAL`` characters around the window are near enough (
 vectors, for all candidates at once) goes on to the exact edit distance between the
 whole item and the best passage around it.
 
+In scripts that don't part words by spaces (Chinese, Japanese, Thai and others) every
+character begins a window, in texts and in items.
+
 A match is a passage whose edit distance to the item is at most ``max_edits`` of the
-item's length. Items of fewer than ``SHORT`` characters, too short for a window, are
-matched exactly, as runs of whole words.
+item's length. Items of fewer than ``SHORT`` bytes, too short for a window, match
+runs of whole words (in scripts without spaces, any run): one with k edits at most is cut into k + 1 pieces, of which a
+match holds one unchanged (pigeonholes); pieces are looked up at every byte, and what
+is around them is compared exactly.
 
 Edge cases: null and empty texts match nothing, null items and items without a word
 are in nothing. Repeated documents and items are each reported, repeated (id, item id)
@@ -111,6 +116,7 @@ class Items:
     walks: list[tuple[int, np.ndarray, list[np.ndarray]]]  # (class, values by step and byte, sampled steps)
     keys: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]  # by walk and sample: (filter, sorted keys, windows)
     exact: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: (sorted hashes, items) of short items
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: (sorted pieces of short items, items, bytes before)
 
 
 def _normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +136,43 @@ def _normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return out, owner, h, start
 
 
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Where characters begin that stand without spaces between words: Thai and Lao, Burmese, Khmer, kana and ideographs (by their UTF-8)."""
+    after = np.append(data[1:], 0)
+    south = ((data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)) | ((data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F)))
+    return np.flatnonzero(south | ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xF0) & (after >= 0xA0) & (after <= 0xB3)))
+
+
+def _cuts(size: int, most: int) -> list[tuple[int, int]]:
+    """A short item's pieces, as (start, end), one more than its edits."""
+    edges = [size * i // (most + 1) for i in range(most + 2)]
+    return list(zip(edges, edges[1:]))  # noqa: B905
+
+
+def _number(data: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes (8 at most) from each place, as one number."""
+    out = np.zeros(max(0, len(data) - n + 1), np.uint64)
+    for j in range(n):
+        out = out << np.uint64(8) | data[j : j + len(out)].astype(np.uint64)
+    return out
+
+
+def _run_distance(item: str, words: list[str], most: int) -> tuple[int, int]:
+    """The least edit distance of an item to a run of whole words, or most + 1, and the run's first word."""
+    best = (most + 1, 0)
+    for first in range(len(words)):
+        row = list(range(len(item) + 1))
+        for c in " ".join(words[first:]) + " ":
+            if c == " " and row[-1] < best[0]:
+                best = (row[-1], first)
+            before, row = row, [row[0] + 1]
+            for i, x in enumerate(item):
+                row.append(min(before[i] + (x != c), before[i + 1] + 1, row[i] + 1))
+            if min(row) > most:
+                break
+    return best
+
+
 def _sampled(data: np.ndarray, starts: np.ndarray, values: np.ndarray, samples: list[np.ndarray]) -> list[np.ndarray]:
     """The key of each sample of one walk, for the windows that begin at ``starts``; data are bytes as indices."""
     wanted = [[k for k, steps in enumerate(samples) if j in steps] for j in range(len(values))]
@@ -163,7 +206,7 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def prepare(rows: list[tuple], walks: int) -> Items | None:
+def prepare(rows: list[tuple], walks: int, max_edits: float = 0.2) -> Items | None:
     """Items from (id, text) rows; None if none has a word."""
     rows = [(i, t) for i, t in rows if t]
     data, owner, h, start = _normal([t for _, t in rows]) if rows else (None, np.zeros(0, np.int64), None, None)
@@ -174,19 +217,27 @@ def prepare(rows: list[tuple], walks: int) -> Items | None:
     keep = [k for k in range(len(rows)) if begin[k + 1] > begin[k]]
     raw = [data[edge[begin[k]] : edge[begin[k + 1]] - 1] for k in keep]
     texts = [x.tobytes().decode("utf-8", "replace") for x in raw]
-    kind = [next((c for c, (least, _, _) in enumerate(CLASSES) if len(t) >= least), len(CLASSES)) for t in texts]
+    kind = [next((c for c, (least, _, _) in enumerate(CLASSES) if len(x) >= least), len(CLASSES)) for x in raw]
     between = np.full(max(steps for _, steps, _ in CLASSES), 32, np.uint8)
     base = np.cumsum([0, *(len(x) + len(between) for x in raw)])[:-1]
     joined = _padded(np.concatenate([y for x in raw for y in (x, between)]))
     windows: list[tuple[int, int]] = []
     exact: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     for k, i in enumerate(keep):
         words = start[begin[i] : begin[i + 1]] - start[begin[i]]
         if kind[k] == len(CLASSES):
             exact[len(words)].append((int(_runs(h[begin[i] : begin[i + 1]], len(words))[0]), k))
+            most = int(max_edits * len(texts[k]))
+            if most or len(_characters(raw[k])):
+                for a, b in _cuts(len(raw[k]), most):
+                    for n in range(a, b, 8):
+                        e = min(b, n + 8)
+                        if n == a:  # of a longer piece its first eight bytes are enough
+                            pieces[e - n].append((int(_number(raw[k][n:e], e - n)[0]), k, n))
         else:
             room = len(raw[k]) - CLASSES[kind[k]][1] * 0.5
-            windows += [(k, int(x)) for x in words if x <= max(0, room)]
+            windows += [(k, int(x)) for x in np.union1d(words, _characters(raw[k])) if x <= max(0, room)]
     of, offset = np.array(windows, np.int64).reshape(-1, 2).T
     index, kinds = joined.astype(np.int64), np.array(kind)[of]
     plan, keys = [], []
@@ -206,7 +257,51 @@ def prepare(rows: list[tuple], walks: int) -> Items | None:
                 tables.append((seen, key[order], mine[order]))
             keys.append(tables)
     short = {n: tuple(np.array(x, kind) for x, kind in zip(zip(*sorted(v)), (np.uint64, np.int64), strict=True)) for n, v in exact.items()}
-    return Items([rows[i][0] for i in keep], texts, joined, base, np.array([len(x) for x in raw]), of, offset, plan, keys, short)
+    cut = {n: tuple(np.array(x, kind) for x, kind in zip(zip(*sorted(v)), (np.uint64, np.int64, np.int64), strict=True)) for n, v in pieces.items()}
+    return Items([rows[i][0] for i in keep], texts, joined, base, np.array([len(x) for x in raw]), of, offset, plan, keys, short, cut)
+
+
+def _short_matches(items: Items, data: np.ndarray, owner: np.ndarray, start: np.ndarray, max_edits: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, edit distance, word) of edited short items, from each place where a piece of one stands."""
+    padded = _padded(data)
+    loose = {i for i in np.unique(np.concatenate([np.zeros(0, np.int64), *(of for _, of, _ in items.pieces.values())])).tolist() if len(_characters(items.data[items.base[i] : items.base[i] + items.size[i]]))}
+    for n, (known, item, before) in items.pieces.items():
+        number = _number(data, n)
+        first = np.unique(known)
+        seen = np.zeros(1 << 16, bool)
+        mark = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        seen[mark(first)] = True
+        hit = np.flatnonzero(seen[mark(number)])
+        row, at = _joined(number[hit], known, np.arange(len(known)))
+        p, k, o = hit[row], item[at], before[at]
+        near = np.zeros(len(p), bool)
+        most = np.array([int(max_edits * len(t)) for t in items.texts], np.int64)[k] if len(k) else k
+        for a in range(0, len(p), 1 << 14):
+            x, i = p[a : a + (1 << 14)] - o[a : a + (1 << 14)], k[a : a + (1 << 14)]
+            pattern = items.data[items.base[i][:, None] + np.arange(SHORT)]
+            place = x[:, None] + np.arange(-8, SHORT + 8)
+            text = np.where(place >= 0, padded[np.clip(place, 0, len(padded) - 1)], 0)
+            # Bytes differ more than characters, which have four at most.
+            near[a : a + (1 << 14)] = nearest_passages(pattern, items.size[i], text) <= 4 * most[a : a + (1 << 14)]
+        for q, i, m in np.unique(np.stack([p - o, k, most], axis=1)[near], axis=0).tolist():
+            low = max(0, int(np.searchsorted(start, q - 4 * m, "left")) - 1)
+            high = int(np.searchsorted(start, q + int(items.size[i]) + 4 * m, "right"))
+            mid = min(max(int(np.searchsorted(start, q, "right")) - 1, 0), len(start) - 1)
+            for doc in {int(owner[mid]), int(owner[min(mid + 1, len(start) - 1)])}:  # an item may lie at the border of two texts
+                own = [w for w in range(low, high) if owner[w] == doc]
+                if not own:
+                    continue
+                if i in loose:
+                    begin, end = int(start[own[0]]), int(start[own[-1] + 1]) if own[-1] + 1 < len(start) else len(data)
+                    d = distance(items.texts[i], data[max(begin, q - 4 * m) : min(end, q + int(items.size[i]) + 4 * m)].tobytes().decode("utf-8", "ignore"), m)
+                    if d <= m:
+                        yield doc, i, d, max(own[0], int(np.searchsorted(start, q, "right")) - 1)
+                    continue
+                stop = int(start[own[-1] + 1]) if own[-1] + 1 < len(start) else len(data)
+                words = data[start[own[0]] : stop - 1].tobytes().decode("utf-8", "replace").split(" ")
+                d, w = _run_distance(items.texts[i], words, m) if len(data[start[own[0]] : stop]) < 8 * SHORT + 64 else _run_distance(items.texts[i], [x for x in words if len(x) < 2 * SHORT], m)
+                if d <= m:
+                    yield doc, i, d, own[0] + w
 
 
 def _joined(keys: np.ndarray, known: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,9 +353,13 @@ def matches(items: Items, texts: list[str | None], max_edits: float) -> Iterator
             for w, k in zip(at.tolist(), item.tolist(), strict=True):
                 if owner[w] == owner[w + n - 1]:
                     best.setdefault((int(owner[w]), k), (0, int(w - bounds[owner[w]])))
+        for doc, item, d, w in _short_matches(items, data, owner, start, max_edits):
+            if d < best.get((doc, item), (d + 1,))[0]:
+                best[doc, item] = (d, int(w - bounds[doc]))
         checked: dict[tuple[int, int], int] = {}
-        p, window = _candidates(items, data, start) if items.walks else (start[:0], start[:0])
-        docs = owner[np.searchsorted(start, p)]
+        begin = np.union1d(start, _characters(data))
+        p, window = _candidates(items, data, begin) if items.walks else (start[:0], start[:0])
+        docs = owner[np.searchsorted(start, p, "right") - 1]
         begins = p - items.offset[window]  # where the item begins if nothing before the window is edited
         for k in np.argsort(begins, kind="stable").tolist():
             doc, item, q = int(docs[k]), int(items.owner[window[k]]), int(begins[k])
@@ -270,24 +369,27 @@ def matches(items: Items, texts: list[str | None], max_edits: float) -> Iterator
             if best.get((doc, item), (1,))[0] == 0 or ((doc, item) in checked and q - checked[doc, item] <= reach):
                 continue
             checked[doc, item] = q
-            low = max(int(bounds[doc]), int(np.searchsorted(start, q - 2 * reach, "right")) - 1)
-            high = min(int(bounds[doc + 1]), int(np.searchsorted(start, q + size + 2 * reach, "right")))
-            passage = data[edge[low] : edge[high] - 1].tobytes().decode("utf-8", "replace")
+            low = max(int(edge[bounds[doc]]), int(begin[max(0, int(np.searchsorted(begin, q - 2 * reach, "right")) - 1)]))
+            after = int(np.searchsorted(begin, q + size + 2 * reach, "right"))
+            high = min(int(edge[bounds[doc + 1]]), int(begin[after]) if after < len(begin) else len(data))
+            passage = data[low:high].tobytes().decode("utf-8", "replace").rstrip(" ")
             d = distance(items.texts[item], passage, most)
             if d <= most and d < best.get((doc, item), (most + 1,))[0]:
-                word = int(np.searchsorted(start, q, "right")) - 1 if d else low + passage.count(" ", 0, passage.index(items.texts[item]))
+                word = int(np.searchsorted(start, q, "right")) - 1
+                if not d:
+                    word = int(np.searchsorted(start, low, "right")) - 1 + passage.count(" ", 0, passage.index(items.texts[item]))
                 best[doc, item] = (d, max(0, word - int(bounds[doc])))
         for (doc, item), (d, w) in best.items():
             yield a + doc, item, w, d
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, walks: int, most_items: int, most_chars: int) -> Iterator[Items]:
-    """The items in blocks of a bounded size, each of which one scan takes along."""
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, walks: int, max_edits: float, most_items: int, most_chars: int) -> Iterator[Items]:
+    """The items in blocks of a bounded size, each of which one scan takes along; their ids are (id, rows that repeat it)."""
+    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").groupBy("i", "t").agg(F.count("*").alias("copies"))
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / most_items), math.ceil(chars / most_chars))
     for k in range(blocks):
-        items = prepare([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()], walks)
+        items = prepare([((r.i, r.copies), r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()], walks, max_edits)
         if items:
             yield items
 
@@ -305,15 +407,15 @@ def contaminated(
     schema = f"id {kinds[0]}, item {kinds[1]}, first_word long, n_edits long"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in _blocks(benchmark, item_col, item_text_col, walks_for(recall), most_items, most_chars):
+    for items in _blocks(benchmark, item_col, item_text_col, walks_for(recall), max_edits, most_items, most_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
             for batch in batches:
-                found = list(matches(known, batch.column("text").to_pylist(), max_edits))
+                found = [m for m in matches(known, batch.column("text").to_pylist(), max_edits) for _ in range(known.ids[m[1]][1])]
                 ids = batch.column("id").take(pa.array([t for t, *_ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([known.ids[i] for _, i, _, _ in found], kind), pa.array([p for *_, p, _ in found], pa.int64()), pa.array([d for *_, d in found], pa.int64())], ["id", "item", "first_word", "n_edits"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([known.ids[i][0] for _, i, _, _ in found], kind), pa.array([p for *_, p, _ in found], pa.int64()), pa.array([d for *_, d in found], pa.int64())], ["id", "item", "first_word", "n_edits"])
 
         out = out.unionAll(rows.mapInArrow(search, schema))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col if item_col != id_col else f"benchmark_{item_col}"), "first_word", "n_edits")
@@ -333,7 +435,7 @@ def _holds(shared, max_edits: float):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", max_edits: float = 0.2, recall: float = 0.96, most_items: int = 20_000, most_chars: int = 1 << 22) -> DataFrame:
     """The documents without those that hold an item, judged row by row, with no join."""
     out, name = docs, fresh(docs, "_contaminated")
-    for items in _blocks(benchmark, item_col, "text", walks_for(recall), most_items, most_chars):
+    for items in _blocks(benchmark, item_col, "text", walks_for(recall), max_edits, most_items, most_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         out = out.withColumn(name, _holds(shared, max_edits)(F.col(text_col))).where(~F.col(name)).select(*docs.columns)
     return out

@@ -231,6 +231,43 @@ def test_decontamination_searches_whole_items():
     assert found <= {(i, i) for i in near} and len(found) >= 0.99 * len(near)
 
 
+def run_within(item, words, most):
+    """Whether a run of whole words is at most so many character edits from a short item."""
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, old = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        return row[-1]
+
+    runs_ = (" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + len(item)) + 1))
+    return any(abs(len(r) - len(item)) <= most and edits(item, r) <= most for r in runs_)
+
+
+def test_decontamination_finds_short_items_with_edits():
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for rate in (0.05, 0.1, 0.2):
+        items = list(enumerate(t for t in (" ".join(draw(rng.randint(1, 3))) for _ in range(90)) if 5 <= len(t) < 20))
+        texts = [" ".join([*draw(40), edited(rng, t, "characters", rate, vocabulary), *draw(40)]) for _, t in items]
+        found = {(t, i) for t, i, *_ in decontaminate.matches(decontaminate.prepare(items, 5), texts, 0.2)}
+        assert found == {(k, i) for k, x in enumerate(texts) for i, t in items if run_within(t, x.split(), int(0.2 * len(t)))}
+
+
+def test_decontamination_of_scripts_without_spaces():
+    rng = random.Random(22)
+    said = {"ja": "これは日本語の評価問題です次の文章を読んで正しい答えを選びなさい", "zh": "下列关于机器学习的说法中哪一项是正确的请选择最合适的答案", "th": "กรุณาเลือกคำตอบที่ถูกต้องที่สุดจากตัวเลือกต่อไปนี้", "short": "東京都庁舎"}
+    other = "".join(chr(rng.randrange(0x3042, 0x3090)) for _ in range(500))
+    known = decontaminate.prepare(list(said.items()), decontaminate.walks_for(0.96))
+    for name, t in said.items():
+        for x in (t, t[:3] + "の" + t[4:], t[:-2] + t[-1]):
+            assert [known.ids[i] for _, i, *_ in decontaminate.matches(known, [other + x + other], 0.2)] == [name]
+    assert not list(decontaminate.matches(known, [other, None, "", "a b c"], 0.2))
+
+
 def test_decontamination_finds_what_brute_force_finds():
     rng = random.Random(14)
     vocabulary = ["".join(rng.choice("bdgklmnrst") + rng.choice("aeiouä") for _ in range(rng.randint(1, 3))) for _ in range(300)]
@@ -239,7 +276,7 @@ def test_decontamination_finds_what_brute_force_finds():
     texts = [draw(40) + " " + edited(rng, rng.choice(items)[1], "characters", 0.06, vocabulary) + " " + draw(30) for _ in range(40)] + ["x ONE  two y", "onetwo", "one", None, "", "漢字 " * 40]
     words = lambda t: " ".join(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower()))
     want = {(t, i) for t, x in enumerate(texts) for i, y in items if len(words(y)) >= 20 and decontaminate.distance(words(y), words(x), 1 << 20) <= int(0.2 * len(words(y)))}
-    want |= {(t, i) for t, x in enumerate(texts) for i, y in items if 0 < len(words(y)) < 20 and f" {words(y)} " in f" {words(x)} "}
+    want |= {(t, i) for t, x in enumerate(texts) for i, y in items if 0 < len(words(y)) < 20 and run_within(words(y), words(x).split(), int(0.2 * len(words(y))))}
     found = {(t, i) for t, i, *_ in decontaminate.matches(decontaminate.prepare(items, decontaminate.walks_for(0.96)), texts, 0.2)}
     assert found <= want and len(found) >= 0.95 * len(want) and {(40, 25), (45, 26)} <= found
 
