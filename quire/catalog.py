@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import compare, corpus, details, job, layout, packages, rules, spec, structure, tables  # noqa: F401  importing a module registers its queries
+from quire.plans import assigned, compare, corpus, details, job, layout, packages, rules, spec, structure, tables  # noqa: F401  importing a module registers its queries
 from quire.plans.registry import ORACLES, QUERIES
 
 

@@ -141,6 +141,23 @@ SELECT doc_id AS profile_id, concat('{"name":"p', doc_id, '","page":{"size":"',
  CASE WHEN doc_id%11=4 THEN ',"shade":1' ELSE '' END, '},"run":{"sizePt":', CASE WHEN doc_id%12=5 THEN '10.3' ELSE '10.5' END, '}}],"headingNumbering":{"enabled":', CASE WHEN doc_id%2=0 THEN 'true' ELSE 'false' END, ',"styles":["a","b"],"patterns":["%1","', CASE WHEN doc_id%3=0 THEN 'x' ELSE '%1.%2' END, '"],"formats":["decimal"',
  CASE WHEN doc_id%14=8 THEN '' ELSE ',"decimal"' END, '],"starts":[1,1]},"captionNumbering":{"strategy":"needs-confirmation"},"requirements":{"unresolved":[', CASE WHEN doc_id%3=1 THEN '"m"' ELSE '' END, '],"conflicts":[]},"paragraphRules":[{"match":{', CASE WHEN doc_id%4=3 THEN '"styleNameNotRegex":"toc"' ELSE '' END, '},"textRegexReplace":{"pattern":"x"}}]}') AS raw
 FROM documents
+""",
+    "v_jobs": """
+SELECT doc_id, doc_id%6 AS profile_id FROM documents
+""",
+    "v_job_profiles": """
+SELECT profile_id, concat('{"name":"p', profile_id, '",', CASE profile_id%3
+ WHEN 0 THEN concat('"page":{"size":"a4","orientation":"portrait","marginsIn":{"left":1.25}},"sections":[{"section":1,"page":{"marginsIn":{"left":', CASE WHEN profile_id=0 THEN 2 ELSE 1 END, '}}}],"pageNumbers":[{"section":0,"format":"lower-roman","start":1}],"paragraphRules":[{"match":{"textRegex":"^[0-9]+ [^ ]+","currentStyle":"Normal"},"style":"Heading1"},{"match":{"textEquals":"目录"},"remove":true}],"replacements":[{"find":"{{TITLE}}","replace":"题目"},{"find":"[aeiou]{2}","replace":"_","regex":true}],"fieldRules":[{"placeholder":"题目","instruction":"TITLE"},{"placeholder":"th","instruction":"REF x"}],"headersFooters":[{"section":0,"kind":"header","action":"set"}],"tableRules":[{"tableIndexes":[0,9],"outerSizePt":1.5,"color":"#00ff00"},{"tableIndexes":[1],"headerSizePt":0.5},{"tableIndexes":[1,2],"headerRows":2}]')
+ WHEN 1 THEN '"page":{"size":"letter"},"paragraphRules":[{"match":{"startsWith":"Abstract"},"textRegexReplace":{"pattern":"[st]","replacement":"#"},"maxMatches":1},{"match":{"inTable":true},"paragraph":{"keepNext":true}},{"match":{"textContains":"#"},"style":"Marked"}],"captionRules":[{"label":"Fig. ","match":{"textRegex":"^图"},"stripPattern":"^图 *[0-9]+(?:-[0-9]+)?"}],"bookmarkRules":[{"name":"cap_{index}","match":{"startsWith":"Fig."},"maxMatches":2},{"name":"fig_1","match":{"startsWith":"Abs"}}],"headersFooters":[{"section":1,"kind":"footer","type":"even","action":"clear"}],"styles":{"TOC1":{"run":{"sizePt":11.5}},"Caption":{"run":{"sizePt":10.5},"paragraph":{"lineSpacing":2}}}'
+ ELSE '"pageNumbers":[{"section":1,"format":"upper-roman"}],"replacements":[{"find":"an","replace":"AN","occurrence":"first"}],"tableRules":[{"tableIndexes":[1],"headerRows":2}]' END, '}') AS raw
+FROM (SELECT DISTINCT doc_id%6 AS profile_id FROM documents) q
+""",
+    "v_job_plan": """
+SELECT doc_id, family FROM documents CROSS JOIN (VALUES ('page'),('sections'),('pageNumbers'),('styles'),('paragraphRules'),('captionRules'),('bookmarkRules'),('headersFooters'),('tableRules'),('replacements'),('fieldRules')) f(family) WHERE (doc_id+length(family))%4 <> 0
+""",
+    "v_bcells": """
+SELECT doc_id, table_idx, row_idx, cell_idx, 4 AS top_sz, 4 AS bottom_sz, 4 AS left_sz, 4 AS right_sz, '123456' AS color, row_idx=2 AS is_header
+FROM documents CROSS JOIN (VALUES (0),(1),(2),(3),(4)) t(table_idx) CROSS JOIN (VALUES (0),(1),(2)) r(row_idx) CROSS JOIN (VALUES (0),(1)) c(cell_idx)
 """,
     "v_levels": """
 SELECT doc_id, abstract_id, CASE WHEN abstract_id=1 AND doc_id%3=0 THEN 'quire' END AS owner, ilvl, concat(CASE ilvl WHEN 0 THEN '%1' ELSE '%1.%2' END, CASE WHEN doc_id%5=4 AND ilvl=1 THEN 'x' ELSE '' END) AS pattern,
