@@ -38,9 +38,9 @@ from quire.llm.common import Stored, slices, stored
 from quire.llm.shingles import mix
 
 LONGEST, LEAST, TOP = 4, 30, 2000
-BITS, PART = 26, 1 << 16  # places of the filter; places of one of its rows
+BITS, PART = 27, 1 << 16  # places of the filter; places of one of its rows
 CHUNK = 1 << 21
-HELD = 500_000  # different grams that a task sums before it sends them
+HELD = 1_000_000  # different grams that a task sums before it sends them
 PIECE = 1000  # edges of a stored stretch of a path
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + b"." * len(_ENDS) + b" ")
