@@ -178,22 +178,58 @@ def closest_page_size(width: Column, height: Column, within: float = 0.15) -> Co
     return F.when(least <= within, F.coalesce(*[F.when(d == least, F.lit(name)) for (name, _), d in zip(sizes, deltas, strict=True)]))
 
 
+def _parents(styles: DataFrame) -> DataFrame:
+    """(doc_id, style_id, up): what each style is based on, if the document has that."""
+    known = styles.select(F.col("doc_id").alias("_kd"), F.col("style_id").alias("_ks")).distinct()
+    rows = styles.select("doc_id", "style_id", F.col("based_on").alias("up")).where("up IS NOT NULL AND up != style_id")
+    return rows.join(known, (F.col("doc_id") == F.col("_kd")) & (F.col("up") == F.col("_ks")), "left_semi")
+
+
 def style_chain(styles: DataFrame) -> DataFrame:
     """(doc_id, style_id, ancestor, depth): each style and those that it is based on, a cycle stops where it would repeat.
 
-    A round joins one level more to a checkpointed front; rounds end when one adds nothing.
+    Known depths double each round: the ancestor at the largest depth passes on its own
+    ancestors. On a cycle these come again, deeper, and are left out.
+    """
+    own = styles.select("doc_id", "style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth"))
+    out, reach = checkpointed(own.unionByName(_parents(styles).select("doc_id", "style_id", F.col("up").alias("ancestor"), F.lit(1).alias("depth")))), 1
+    while True:
+        far = out.where(F.col("depth") == reach).select("doc_id", "style_id", F.col("ancestor").alias("_mid"))
+        theirs = out.where("depth > 0").select(F.col("doc_id").alias("_d"), F.col("style_id").alias("_s"), "ancestor", "depth")
+        more = far.join(theirs, (F.col("doc_id") == F.col("_d")) & (F.col("_mid") == F.col("_s"))).groupBy("doc_id", "style_id", "ancestor").agg((F.min("depth") + reach).alias("depth"))
+        more = checkpointed(more.join(out.select("doc_id", "style_id", "ancestor"), ["doc_id", "style_id", "ancestor"], "left_anti"))
+        if more.isEmpty():
+            return out
+        out, reach = checkpointed(out.unionByName(more)), 2 * reach
+
+
+def effective_styles(styles: DataFrame, overlays: tuple[str, ...], toggles: tuple[str, ...]) -> DataFrame:
+    """(doc_id, style_id, properties): as ``effective_props``, without the chains, whose rows are the squares of their lengths.
+
+    Each style holds what it and the ancestors before its pointer say: the nearest value
+    that isn't null, and the parity of true toggles. A round joins the pointer's row and
+    moves on to its pointer, so rounds are the logarithm of the longest chain. When a
+    round ends no chain, the rest run into cycles, and are told by their chains.
     """
-    base = styles.select("doc_id", "style_id", F.col("style_id").alias("ancestor"), F.lit(0).alias("depth"), F.array("style_id").alias("_path"))
-    links = styles.select(F.col("doc_id").alias("_d"), F.col("style_id").alias("_s"), F.col("based_on").alias("_up"))
-    known = styles.select(F.col("doc_id").alias("_kd"), F.col("style_id").alias("_ks"))
-    out, front = base, base
+    none = lambda c: F.coalesce(F.col(c), F.lit(False))
+    names = [*overlays, *toggles]
+    up = _parents(styles).select(F.col("doc_id").alias("_d"), F.col("style_id").alias("_s"), F.col("up").alias("_up"))
+    state = styles.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("style_id") == F.col("_s")), "left").select("doc_id", "style_id", "_up", *overlays, *[none(c).alias(c) for c in toggles])
+    state, left = checkpointed(state), -1
     while True:
-        up = front.join(links, (F.col("doc_id") == F.col("_d")) & (F.col("ancestor") == F.col("_s")) & F.col("_up").isNotNull())
-        up = up.where(~F.array_contains("_path", F.col("_up"))).join(known, (F.col("doc_id") == F.col("_kd")) & (F.col("_up") == F.col("_ks")), "left_semi")
-        front = checkpointed(up.select("doc_id", "style_id", F.col("_up").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("_path", F.col("_up")).alias("_path")))
-        if front.isEmpty():
-            return out.drop("_path")
-        out = out.unionByName(front)
+        now = state.where("_up IS NOT NULL").count()
+        if now in (0, left):
+            break
+        left = now
+        theirs = state.select(F.col("doc_id").alias("_d"), F.col("style_id").alias("_s"), F.col("_up").alias("_next"), *[F.col(c).alias(f"_{c}") for c in names])
+        joined = state.join(theirs, (F.col("doc_id") == F.col("_d")) & (F.col("_up") == F.col("_s")), "left")
+        state = checkpointed(joined.select("doc_id", "style_id", F.col("_next").alias("_up"), *[F.coalesce(c, f"_{c}").alias(c) for c in overlays], *[(F.col(c) != none(f"_{c}")).alias(c) for c in toggles]))
+    done = state.where("_up IS NULL").drop("_up")
+    if not now:
+        return done
+    ring = state.where("_up IS NOT NULL").select("doc_id", "style_id")
+    some = styles.join(ring, ["doc_id", "style_id"], "left_semi")  # what they are based on runs into the same cycles
+    return done.unionByName(effective_props(style_chain(some), some, overlays, toggles).select("doc_id", "style_id", *names))
 
 
 def effective_props(chain: DataFrame, styles: DataFrame, overlays: tuple[str, ...], toggles: tuple[str, ...]) -> DataFrame:

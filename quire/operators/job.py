@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,14 +21,56 @@ def read_specs(spark: SparkSession, path: str, html: bool = False) -> DataFrame:
     return rows.withColumn("text", html_to_text(F.col("text"))) if html else rows
 
 
-def write_run(tables: dict[str, DataFrame], path: str, force: bool = False) -> None:
-    """Writes each table of a run as Parquet under the path; an existing one is an error unless forced, a path that the tables are read from always."""
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_run(tables: dict[str, DataFrame], path: str, force: bool = False) -> str:
+    """Writes the tables of a run, all or none of them, and returns the run's id.
+
+    Each table goes as Parquet into a folder of the run, and last a manifest, written
+    aside and renamed, names that folder: readers (``read_run``) see the old run or the
+    new one, whole. A run that fails leaves its folder unnamed, and the next one that
+    succeeds removes what no manifest names. An existing run is an error unless forced;
+    a path that the tables are read from is one unless it holds runs, as a new run
+    leaves the old one where it is until it is complete.
+    """
+    spark = next(iter(tables.values())).sparkSession
     plain = lambda p: "/" + p.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
+    target, fs = _path(spark, f"{path}/_manifest.json")
+    old = fs.exists(target)
     for name, df in tables.items():
         if any(plain(f).startswith(plain(path)) for f in df.inputFiles()):
             raise ValueError(f"{name} is read from {path}: input and output are the same")
+    if old and not force:
+        raise FileExistsError(f"{path} holds a run")
+    run = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite" if force else "errorifexists").parquet(f"{path}/artifact={name}")
+        df.write.parquet(f"{path}/run={run}/artifact={name}")
+    aside, _ = _path(spark, f"{path}/_manifest-{run}.json")
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps({"run": run, "tables": sorted(tables)}).encode()))
+    out.close()
+    replaced = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    renames = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    renames[0] = replaced
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, target, renames)
+    root, _ = _path(spark, path)
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("run=") and name != f"run={run}":
+            fs.delete(status.getPath(), True)
+    return run
+
+
+def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the run that the manifest names."""
+    target, fs = _path(spark, f"{path}/_manifest.json")
+    stream = fs.open(target)
+    manifest = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    stream.close()
+    return {name: spark.read.parquet(f"{path}/run={manifest['run']}/artifact={name}") for name in manifest["tables"]}
 
 
 def numbered_union(*families: DataFrame) -> DataFrame:
@@ -98,24 +143,27 @@ def standardize(tables: dict[str, DataFrame], profile: dict, plan: DataFrame | N
     """The tables after all rule families of a profile, one after the other in the order of ORDER.
 
     tables: those that the families of the profile need: sections (twips), defaults,
-    styles, levels, numbered (styles with their lists), blocks, bookmarks, refs, cells.
-    plan: doc_id, family; with it a family is applied only to the documents whose
-    chosen steps touch it (see ``planning.narrow_profile``). Later families see what
+    styles, levels, numbered (styles with their lists), blocks, bookmarks, refs, cells
+    (with doc_id if there is a plan). plan: doc_id, family; with it a family is applied
+    only to the documents whose chosen steps touch it (see ``planning.narrow_profile``). Later families see what
     earlier ones left: captions the restyled blocks, replacements the new captions.
-    Adds ``segments``, where placeholders gave way to fields. Rules that hold already
+    Adds ``segments``, one list of a block whose placeholders gave way to fields. Rules that hold already
     change nothing, so a second run over its own result is the same.
     """
     out = dict(tables)
 
-    def applied(family: str, name: str, change, key: str = "doc_id") -> None:
-        if family not in profile:
-            return
-        df = out[name]
+    def reached(df: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of the documents that the family may change, and the others."""
         if plan is None:
-            out[name] = change(df)
+            return df, df.limit(0)
+        on = plan.where(F.col("family") == family).select("doc_id").distinct()
+        return df.join(on, "doc_id", "left_semi"), df.join(on, "doc_id", "left_anti")
+
+    def applied(family: str, name: str, change) -> None:
+        if family not in profile:
             return
-        on = plan.where(F.col("family") == family).select(F.col("doc_id").alias(key)).distinct()
-        out[name] = change(df.join(on, key, "left_semi")).unionByName(df.join(on, key, "left_anti"), allowMissingColumns=True)
+        df, rest = reached(out[name], family)
+        out[name] = change(df) if plan is None else change(df).unionByName(rest, allowMissingColumns=True)
 
     rule = profile.get
     applied("page", "sections", lambda df: rules.set_page(df, rule("page").get("size"), rule("page").get("orientation"), rule("page").get("margins", {})))
@@ -123,9 +171,9 @@ def standardize(tables: dict[str, DataFrame], profile: dict, plan: DataFrame | N
     applied("defaultRun", "defaults", lambda df: rules.overlay(df, F.lit(True), rule("defaultRun")))
     applied("styles", "styles", lambda df: templates.upsert_styles_checked(df.select("doc_id").distinct(), df, rule("styles")).drop("problem"))
     if "headingNumbering" in profile:
-        if plan is not None:
-            raise ValueError("a plan doesn't reach heading numbering; leave it out of the profile")
-        out["levels"], out["numbered"] = templates.upsert_numbering(out["levels"], out["numbered"], rule("headingNumbering"))
+        levels, numbered = reached(out["levels"], "headingNumbering"), reached(out["numbered"], "headingNumbering")
+        new = templates.upsert_numbering(levels[0], numbered[0], rule("headingNumbering"))
+        out["levels"], out["numbered"] = (a if plan is None else a.unionByName(b[1], allowMissingColumns=True) for a, b in zip(new, (levels, numbered), strict=True))
     applied("pageNumbers", "sections", lambda df: rules.set_page_numbers(df, rule("pageNumbers")))
     applied("paragraphRules", "blocks", lambda df: rules.apply_para_rules(df, rule("paragraphRules")))
 
@@ -137,13 +185,15 @@ def standardize(tables: dict[str, DataFrame], profile: dict, plan: DataFrame | N
         return df
 
     applied("captionRules", "blocks", captioned)
-    applied("bookmarkRules", "bookmarks", lambda df: df.unionByName(rules.apply_bookmarks(out["blocks"] if plan is None else out["blocks"].join(plan.where("family = 'bookmarkRules'").select("doc_id").distinct(), "doc_id", "left_semi"), df, rule("bookmarkRules")).select("doc_id", "name", "id")))
+    applied("bookmarkRules", "bookmarks", lambda df: df.unionByName(rules.apply_bookmarks(reached(out["blocks"], "bookmarkRules")[0], df, rule("bookmarkRules")).select("doc_id", "name", "id")))
     if "headersFooters" in profile:
-        asked = rule("headersFooters")
+        asked = reached(rule("headersFooters"), "headersFooters")[0]
         on = ["doc_id", "section_idx", "kind", "ref_type"]
         applied("headersFooters", "refs", lambda df: df.join(asked, on, "left_anti").unionByName(asked.where("action = 'set'").select(*df.columns)))
     if "tableRules" in profile:
-        out["cells"], out["unsafe"] = three_lines.apply_tables(out["cells"], rule("tableRules"))
+        cells, rest = reached(out["cells"], "tableRules")
+        new, out["unsafe"] = three_lines.apply_tables(cells, rule("tableRules"))
+        out["cells"] = new if plan is None else new.unionByName(rest)
 
     def replaced(df: DataFrame) -> DataFrame:
         text = F.col("text")
@@ -153,8 +203,11 @@ def standardize(tables: dict[str, DataFrame], profile: dict, plan: DataFrame | N
 
     applied("replacements", "blocks", replaced)
     if "fieldRules" in profile:
-        found = [out["blocks"].where(F.col("text").contains(r["placeholder"])).select("doc_id", "idx", rules.field_segments(F.col("text"), r["placeholder"], r["instruction"]).alias("segments")) for r in rule("fieldRules")]
-        out["segments"] = numbered_union(*found)
+        segments = F.array(F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("value")))
+        for r in rule("fieldRules"):
+            segments = F.flatten(F.transform(segments, lambda s: F.when(s["kind"] == "text", rules.field_segments(s["value"], r["placeholder"], r["instruction"])).otherwise(F.array(s))))  # noqa: B023
+        found = reached(out["blocks"], "fieldRules")[0].select("doc_id", "idx", segments.alias("segments"))
+        out["segments"] = found.where(F.exists("segments", lambda s: s["kind"] == "field"))
     return out
 
 

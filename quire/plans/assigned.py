@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import assigned as A
+from quire.operators import compare as C
+from quire.operators import job as J
+from quire.operators import profiles as Q
+from quire.operators import rule_index as X
 from quire.operators import templates as P
 from quire.plans.registry import query
+from quire.sources.lineage import shared_path
 from quire.sources.views import table, view
 
 
@@ -118,3 +123,43 @@ def u03_rules_that_reach(spark, sf_dir):
     for more in rows[1:]:
         out = out.unionByName(more)
     return out
+
+
+@query("v_lines v_text_rules", """SELECT doc_id, idx, rule FROM (SELECT doc_id, idx, regexp_replace(trim(line), '\\s+', ' ', 'g') AS t FROM v_lines) l JOIN (SELECT * FROM v_text_rules WHERE literal IS NOT NULL) r
+ ON CASE kind WHEN 'textContains' THEN contains(t, literal) WHEN 'textEquals' THEN t = literal ELSE starts_with(t, literal) END""")
+def f01_rule_table(spark, sf_dir):
+    """Two rules for each document, against every line."""
+    return X.match_rule_table(view(spark, sf_dir, "v_lines").withColumnRenamed("line", "text"), view(spark, sf_dir, "v_text_rules"))
+
+
+@query("v_deep_styles", """SELECT doc_id, style_id, coalesce(size_pt, first_value(size_pt IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), CASE WHEN doc_id % 100 = 0 AND k > 197 THEN first_value(size_pt IGNORE NULLS) OVER (PARTITION BY doc_id, k >= 197 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END) AS size_pt,
+ CASE WHEN doc_id % 100 = 0 AND k > 197 THEN sum(bold::INT) OVER (PARTITION BY doc_id, k >= 197) ELSE sum(bold::INT) OVER (PARTITION BY doc_id ORDER BY k DESC) END % 2 = 1 AS bold FROM v_deep_styles""")
+def j03_deep_styles(spark, sf_dir):
+    """Chains of 200 levels, every second one into a cycle of the last three."""
+    return C.effective_styles(view(spark, sf_dir, "v_deep_styles"), ("size_pt",), ("bold",))
+
+
+@query("v_deep_styles", "SELECT doc_id, style_id, concat('s', ((CASE WHEN doc_id % 100 = 0 AND k + d > 199 THEN 197 + (k + d - 197) % 3 ELSE k + d END))::VARCHAR) AS ancestor, d AS depth FROM v_deep_styles, LATERAL (SELECT unnest(range(200)) AS d) WHERE CASE WHEN doc_id % 100 = 0 THEN d < greatest(200 - k, 3) ELSE k + d <= 199 END")
+def j02_deep_chain(spark, sf_dir):
+    return C.style_chain(view(spark, sf_dir, "v_deep_styles"))
+
+
+@query("v_steps", "SELECT doc_id, id, action, target, property, source, confirm, visual FROM v_steps")
+def s07_saved_plan(spark, sf_dir):
+    """Steps saved as the JSON lines of a plan for each document, and read again."""
+    steps, path = view(spark, sf_dir, "v_steps"), shared_path(spark, "plans")
+    key = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("id"))
+    steps.select(key.alias("id"), "action", "target", "property", "source", (~F.col("confirm")).alias("auto"), "confirm", "visual").write.json(path)
+    rows = Q.read_plan(spark, path)
+    return rows.select(F.substring_index("id", "/", 1).cast("long").alias("doc_id"), F.substring_index("id", "/", -1).alias("id"), "action", "target", "property", "source", "confirm", "visual")
+
+
+@query("v_sections v_styles", "SELECT 'sections' AS name, doc_id, count(*) AS n FROM v_sections GROUP BY doc_id UNION ALL SELECT 'styles', doc_id, count(*) FROM v_styles GROUP BY doc_id")
+def s08_run_read_back(spark, sf_dir):
+    """A run over an older run: readers get the tables that the manifest names."""
+    path = shared_path(spark, "run")
+    J.write_run({"sections": view(spark, sf_dir, "v_styles")}, path)
+    J.write_run({n: view(spark, sf_dir, f"v_{n}") for n in ("sections", "styles")}, path, force=True)
+    tables = J.read_run(spark, path)
+    count = lambda n: tables[n].groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "doc_id", "n")
+    return count("sections").unionByName(count("styles"))

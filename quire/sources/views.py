@@ -154,6 +154,15 @@ FROM (SELECT DISTINCT doc_id%6 AS profile_id FROM documents) q
 """,
     "v_job_plan": """
 SELECT doc_id, family FROM documents CROSS JOIN (VALUES ('page'),('sections'),('pageNumbers'),('styles'),('paragraphRules'),('captionRules'),('bookmarkRules'),('headersFooters'),('tableRules'),('replacements'),('fieldRules')) f(family) WHERE (doc_id+length(family))%4 <> 0
+""",
+    "v_deep_styles": """
+SELECT doc_id, concat('s', k) AS style_id, CASE WHEN k < 199 THEN concat('s', k+1) WHEN doc_id%100=0 THEN 's197' END AS based_on, CASE WHEN (k+doc_id)%7=3 THEN CAST(8+k%9 AS DOUBLE) END AS size_pt, (k*5+doc_id)%11=0 AS bold, k
+FROM (SELECT doc_id, a*20+b AS k FROM documents CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) x(a) CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15),(16),(17),(18),(19)) y(b) WHERE doc_id%50=0) q
+""",
+    "v_text_rules": """
+SELECT concat('r', doc_id, '-', n) AS rule, CASE (doc_id+n)%3 WHEN 0 THEN 'textContains' WHEN 1 THEN 'textEquals' ELSE 'startsWith' END AS kind,
+ CASE WHEN doc_id%40=7 THEN NULL WHEN (doc_id+n)%3=1 THEN trim(substr(text, 1, 40)) ELSE trim(substr(text, CASE n WHEN 0 THEN 1 ELSE 9 END, 7)) END AS literal
+FROM documents CROSS JOIN (VALUES (0),(1)) v(n)
 """,
     "v_bcells": """
 SELECT doc_id, table_idx, row_idx, cell_idx, 4 AS top_sz, 4 AS bottom_sz, 4 AS left_sz, 4 AS right_sz, '123456' AS color, row_idx=2 AS is_header

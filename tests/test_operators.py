@@ -166,6 +166,71 @@ def test_output_over_input_is_refused(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_a_run_that_fails_leaves_the_old_one(spark, tmp_path):
+    from quire.operators import job as J
+
+    path, ok = str(tmp_path / "runs"), spark.range(3)
+    first = J.write_run({"a": ok, "b": ok}, path)
+    broken = ok.select(F.when(F.col("id") == 1, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        J.write_run({"a": spark.range(7), "b": broken}, path, force=True)  # fails between the tables
+    assert {n: t.count() for n, t in J.read_run(spark, path).items()} == {"a": 3, "b": 3}
+    with pytest.raises(FileExistsError):
+        J.write_run({"a": ok}, path)
+    second = J.write_run({"a": spark.range(5)}, path, force=True)
+    assert {n: t.count() for n, t in J.read_run(spark, path).items()} == {"a": 5}
+    assert first != second and [p.name for p in (tmp_path / "runs").iterdir() if p.name.startswith("run=")] == [f"run={second}"]
+
+
+def test_a_plan_reaches_its_documents_alone(spark):
+    """Headers, tables, fields and numbering of a document that the plan doesn't name stay as they are."""
+    from quire.operators import job as J
+
+    refs = spark.createDataFrame([(d, 0, "header", "default", "old") for d in (1, 2)], "doc_id long, section_idx int, kind string, ref_type string, part_name string")
+    asked = spark.createDataFrame([(d, 0, "header", "default", "set", "new") for d in (1, 2)], "doc_id long, section_idx int, kind string, ref_type string, action string, part_name string")
+    blocks = spark.createDataFrame([(d, 0, "Normal", "a {{X}} b {{Y}}{{X}}") for d in (1, 2)], "doc_id long, idx int, style_id string, text string")
+    profile = {"headersFooters": asked, "fieldRules": [{"placeholder": "{{X}}", "instruction": "X"}, {"placeholder": "{{Y}}", "instruction": "Y"}]}
+    plan = spark.createDataFrame([(1, "headersFooters"), (2, "fieldRules")], "doc_id long, family string")
+    out = J.standardize({"refs": refs, "blocks": blocks}, profile, plan)
+    assert sorted((r.doc_id, r.part_name) for r in out["refs"].collect()) == [(1, "new"), (2, "old")]
+    assert [(r.doc_id, [tuple(s) for s in r.segments]) for r in out["segments"].collect()] == [(2, [("text", "a "), ("field", "X"), ("text", " b "), ("field", "Y"), ("field", "X")])]
+
+
+def test_profiles_as_data_equal_a_run_for_each(spark):
+    """Documents of two profiles at once, against one literal run for each profile; odd rows stay whole."""
+    import json
+
+    from quire.operators import assigned as A
+    from quire.operators import job as J
+
+    rows = [(d, i, s, t) for d in (1, 2, 3) for i, (s, t) in enumerate([("Normal", "1 Intro"), (None, None), ("Normal", ""), ("Normal", "the (end) $1 of it"), ("Normal", "1 Intro"), ("TOC1", "2 x")])]
+    blocks = spark.createDataFrame(rows, "doc_id long, idx int, style_id string, text string").withColumn("keep_next", F.lit(False))
+    literal = {
+        7: {"paragraphRules": [{"match": {"regex": r"^\d ", "style_not_in": ["TOC1"]}, "set_style": "H1", "max_matches": 1}, {"match": {"contains": "end"}, "replace": ["the", "The"], "set": {"keep_next": True}}], "replacements": [{"find": "(end)", "by": "[$0]"}]},
+        8: {"paragraphRules": [{"match": {"style": "TOC1"}, "remove": True}], "replacements": [{"find": "[a-z]+$", "by": "_", "regex": True}]},
+    }
+    said = {
+        7: {"paragraphRules": [{"match": {"textRegex": r"^\d ", "currentStyleNotIn": ["TOC1"]}, "style": "H1", "maxMatches": 1}, {"match": {"textContains": "end"}, "textRegexReplace": {"pattern": "the", "replacement": "The"}, "paragraph": {"keepNext": True}}], "replacements": [{"find": "(end)", "replace": "[$0]"}]},
+        8: {"paragraphRules": [{"match": {"currentStyle": "TOC1"}, "remove": True}], "replacements": [{"find": "[a-z]+$", "replace": "_", "regex": True}]},
+    }
+    profiles = spark.createDataFrame([(k, json.dumps(v)) for k, v in said.items()], "profile_id long, raw string")
+    assigned = spark.createDataFrame([(1, 7), (2, 8)], "doc_id long, profile_id long")
+    job = A.Job(A.rule_table(profiles), assigned)
+    got = sorted(map(tuple, A.standardize(job, {"blocks": blocks})["blocks"].collect()), key=repr)
+    want = []
+    for doc, profile in ((1, 7), (2, 8)):
+        want += map(tuple, J.standardize({"blocks": blocks.where(F.col("doc_id") == doc)}, literal[profile])["blocks"].collect())
+    want += map(tuple, blocks.where("doc_id = 3").collect())  # a document without a profile
+    assert got == sorted(want, key=repr)
+    assert A.standardize(job, {"blocks": blocks.limit(0)})["blocks"].count() == 0
+
+
+def test_html_is_read_by_its_tags(spark):
+    page = "<p>a&amp;lt;b</p><BR\u3000/><script>x<b></script >y</SCRIPT>t<style a>\n.c{}</style><i\nx>u</i></h2><li>v</li>&nbsp;<>"
+    got = spark.createDataFrame([(page,), (None,), ("",), ("no tag",)], "h string").select(T.html_to_text(F.col("h")).alias("t")).collect()
+    assert [r.t for r in got] == [" a<b\n\n t  u \n v\n <>", None, "", "no tag"]
+
+
 def test_replacements_fall_to_the_run_where_they_begin(spark):
     runs = spark.createDataFrame([(1, 0, 0, "ab{{T"), (1, 0, 1, "IT"), (1, 0, 2, "LE}}cd"), (1, 1, 0, None), (1, 1, 1, "x1y22")], "doc_id long, idx int, run_ord int, text string")
     got = lambda *a, **k: [r.text for r in R.replace_in_runs(runs, *a, **k).orderBy("idx", "run_ord").collect()]
