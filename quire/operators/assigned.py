@@ -107,15 +107,18 @@ def _regex_first(text: Column, pattern: Column, by: Column) -> Column:
 
 
 _SETS = "array<struct<key:string,value:string>>"
-_NO_SETS = F.array().cast(_SETS)
+
+
+def _no_sets() -> Column:
+    return F.array().cast(_SETS)
 
 
 def _restyled(s: Column, props: Column, hit: Column, para: tuple[str, ...], run: tuple[str, ...]) -> Column:
     """The state of a block (text, style, gone, sets) after one rule."""
-    none = lambda names: F.array(*[F.struct(F.lit(c).alias("key"), F.lit(None).cast("string").alias("value")) for c in names]).cast(_SETS) if names else _NO_SETS
+    none = lambda names: F.array(*[F.struct(F.lit(c).alias("key"), F.lit(None).cast("string").alias("value")) for c in names]).cast(_SETS) if names else _no_sets()
     snake = lambda k: F.lower(F.regexp_replace(k, "([A-Z])", "_$1"))
     own = F.transform(F.filter(F.map_entries(props), lambda e: e["key"].rlike(r"^(paragraph|run)\.")), lambda e: F.struct(snake(F.substring_index(e["key"], ".", -1)).alias("key"), e["value"].alias("value")))
-    sets = F.concat(s["sets"], F.when(_true(props, "clearParagraphFormatting"), none(para)).otherwise(_NO_SETS), F.when(_true(props, "clearRunFormatting"), none(run)).otherwise(_NO_SETS), own)
+    sets = F.concat(s["sets"], F.when(_true(props, "clearParagraphFormatting"), none(para)).otherwise(_no_sets()), F.when(_true(props, "clearRunFormatting"), none(run)).otherwise(_no_sets()), own)
     pattern, by = _get(props, "textRegexReplace.pattern"), F.coalesce(_get(props, "textRegexReplace.replacement"), F.lit(""))
     text = F.when(pattern.isNull(), s["text"]).when(_true(props, "textRegexReplace.all"), F.regexp_replace(s["text"], F.concat(F.lit("(?U)"), pattern), by)).otherwise(_regex_first(s["text"], pattern, by))
     after = F.struct(text.alias("text"), F.coalesce(_get(props, "style"), s["style"]).alias("style"), F.lit(False).alias("gone"), sets.alias("sets"))
@@ -132,7 +135,7 @@ def apply_paragraph_rules(job: Job, blocks: DataFrame, para: tuple[str, ...] = (
     """
     names = tuple(blocks.columns)
     limited = sorted(r[0] for r in job.rules.where((F.col("family") == "paragraphRules") & _get(F.col("props"), "maxMatches").isNotNull()).select("ord").distinct().collect())
-    rows = job.with_rules(blocks, "paragraphRules").withColumn("_s", F.struct(F.col("text").alias("text"), F.col("style_id").alias("style"), F.lit(False).alias("gone"), _NO_SETS.alias("sets")))
+    rows = job.with_rules(blocks, "paragraphRules").withColumn("_s", F.struct(F.col("text").alias("text"), F.col("style_id").alias("style"), F.lit(False).alias("gone"), _no_sets().alias("sets")))
     free = lambda s, r: _restyled(s, r["props"], takes(r["props"], s["text"], names), para, run)
     begin = -1
     for at in limited:

@@ -244,3 +244,13 @@ def test_style_chains_and_targets_have_no_cap(spark):
     assert C.style_chain(styles).where("style_id = 's0'").count() == 41
     got = spark.createDataFrame([("../" * 6 + "a/b/../c.xml",), ("/word/./x//y.xml",)], "t string").select(K.resolve_target(F.col("t")).alias("t")).collect()
     assert [r.t for r in got] == ["a/c.xml", "word/x/y.xml"]
+
+
+def test_entry_needs_no_session():
+    """Importing the registered queries creates no column."""
+    import subprocess
+    import sys
+
+    root = __file__.rsplit("/tests/", 1)[0]
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()[0] > "0"
