@@ -31,7 +31,7 @@ SENTENCES = {
     "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit_as_is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "gpl3_short": "this work is licensed under the gnu general public license version 3",
+    "gpl3_short": "licensed under the gnu general public license version 3",
     "gpl3_grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2_grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -41,7 +41,7 @@ SENTENCES = {
     "cc_by_nc": "licensed under cc by nc 4 0",
     "cc_by_nd": "licensed under cc by nd 4 0",
     "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd_as_is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd_as_is": "this software is provided by as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "reserved": "all rights reserved",
     "mit_liable": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "gpl_copy": "you should have received a copy of the gnu general public license along with this program",
@@ -53,10 +53,10 @@ SENTENCES = {
     "agpl_see": "see the gnu affero general public license for more details",
     "mpl2_grant": "this source code form is subject to the terms of the mozilla public license v",
     "mpl2_copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
-    "mpl2_copy_s": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd_name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_name": "neither the name of nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "isc_as_is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "unlicense_free": "this is free and unencumbered software released into the public domain",
@@ -65,9 +65,9 @@ SENTENCES = {
     "zlib_liable": "in no event will the authors be held liable for any damages arising from the use of this software",
     "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "boost_short": "distributed under the boost software license version 1 0",
-    "epl2_grant": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl2_grant": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
     "bsd_short": "licensed under the bsd license",
-    "gpl2_short": "this work is licensed under the gnu general public license version 2",
+    "gpl2_short": "licensed under the gnu general public license version 2",
     "cc0_short": "cc0 1 0 universal",
     "spdx_apache": "spdx license identifier apache 2 0",
     "spdx_mit": "spdx license identifier mit",
@@ -83,7 +83,7 @@ SENTENCES = {
     "spdx_isc": "spdx license identifier isc",
     "spdx_cc0": "spdx license identifier cc0 1 0",
 }
-# Ordered rules: the first that matches takes its sentences.
+# Ordered rules: the first that matches takes its sentences. A third part names sentences that must not stand within it.
 RULES = (
     ("Apache-2.0", ("apache_grant", "apache_copy", "apache_as_is", "apache_see")),
     ("Apache-2.0", ("apache_grant", "apache_copy")),
@@ -109,11 +109,11 @@ RULES = (
     ("GPL-3.0", ("gpl3_short",)),
     ("GPL-2.0", ("gpl2_short",)),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_name", "bsd_as_is")),
-    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is")),
+    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_author", "bsd_as_is")),
+    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is"), ("bsd_name", "bsd_author")),
     ("BSD", ("bsd_grant", "bsd_as_is")),
     ("BSD", ("bsd_short",)),
     ("MPL-2.0", ("mpl2_grant", "mpl2_copy")),
-    ("MPL-2.0", ("mpl2_grant", "mpl2_copy_s")),
     ("MPL-2.0", ("mpl2_grant",)),
     ("ISC", ("isc_grant", "isc_as_is")),
     ("ISC", ("isc_grant",)),
@@ -145,7 +145,18 @@ RULES = (
 END, BREAK = "E", "B"
 SPACE = r"[ \t\n\x0b\f\r]"
 # In this order: mark the cuts, normalise, make one cut of those without words between. Each pattern is linear in the text.
-STEPS = ((f"[.!?]{SPACE}", END), (f"[:;]{SPACE}|\\n", BREAK), (f"[^a-z0-9{END}{BREAK}]+", " "), (f" ?{BREAK}[ {BREAK}]*", BREAK), (f"[ {BREAK}]?{END}[ {BREAK}{END}]*", END))
+NORMAL = ((f"[.!?]{SPACE}", END), (f"[:;]{SPACE}|\\n", BREAK), (f"[^a-z0-9{END}{BREAK}]+", " "), (f" ?{BREAK}[ {BREAK}]*", BREAK), (f"[ {BREAK}]?{END}[ {BREAK}{END}]*", END))
+#: Slots, which known sentences leave empty: names of owners, what is licensed, and the scheme of a link.
+NAME = f"[a-z0-9 {BREAK}{END}]{{1,150}}?"
+SLOTS = (
+    ("https", "http"),
+    (f"neither[ {BREAK}]the[ {BREAK}]names?[ {BREAK}]of[ {BREAK}]{NAME}[ {BREAK}{END}]nor[ {BREAK}]the[ {BREAK}]names[ {BREAK}]of", "neither the name of nor the names of"),
+    (f"this[ {BREAK}]software[ {BREAK}]is[ {BREAK}]provided[ {BREAK}]by[ {BREAK}]{NAME}[ {BREAK}{END}]as[ {BREAK}]is[ {BREAK}]and", "this software is provided by as is and"),
+    (f"([{END}{BREAK}])(?:this|the)[ {BREAK}][a-z0-9]{{1,20}}[ {BREAK}]is[ {BREAK}](?:licensed|released|distributed|available)[ {BREAK}]under[ {BREAK}]the[ {BREAK}](?:terms[ {BREAK}]of[ {BREAK}]the[ {BREAK}])?", "$1licensed under the "),
+)
+#: An SPDX expression of up to five licences becomes as many sentences; "or later" isn't one of its operators.
+SPDX = ((" or later", " or_later"), *[(f"(spdx license identifier[ {BREAK}][a-z0-9_ ]{{1,60}}?) (?:or|and|with) ", f"$1{END}spdx license identifier ")] * 4, ("or_later", "or later"))
+STEPS = (*NORMAL, *SLOTS, *SPDX)
 
 
 def _mark(i: int) -> str:
@@ -164,10 +175,10 @@ def sentence_marks(text: Column, sentences: dict[str, str] = SENTENCES) -> Colum
     return F.array_join(F.transform(found, lambda s: F.element_at(known, F.translate(s, BREAK, " "))), "")
 
 
-def _pattern(run: tuple[str, ...], sentences: dict[str, str]) -> tuple[str, int]:
+def _pattern(sentences: dict[str, str], run: tuple[str, ...], barred: tuple[str, ...] = ()) -> tuple[str, int]:
     """A rule as a pattern over marks; the groups are the sentences that interrupt it."""
-    own = [_mark(list(sentences).index(name)) for name in run]
-    return f"([^{''.join(own)}]*)".join(own), len(own) - 1
+    own, never = ([_mark(list(sentences).index(name)) for name in names] for names in (run, barred))
+    return f"([^{''.join(own + never)}]*)".join(own), len(own) - 1
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES, sentences: dict[str, str] = SENTENCES) -> DataFrame:
@@ -177,8 +188,8 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """
     rows = docs.select(F.col(id_col), sentence_marks(F.col(text_col), sentences).alias("_marks")).where("_marks != ''")
     rows = rows.withColumn("_left", F.col("_marks")).withColumn("_found", F.array().cast("array<string>"))
-    for licence, run in rules:
-        pattern, groups = _pattern(run, sentences)
+    for licence, *parts in rules:
+        pattern, groups = _pattern(sentences, *parts)
         found = F.when(F.col("_left").rlike(pattern), F.array_append("_found", F.lit(licence))).otherwise(F.col("_found"))
         left = F.regexp_replace("_left", pattern, "".join(f"${i + 1}" for i in range(groups)))
         rows = rows.select(id_col, "_marks", found.alias("_found"), left.alias("_left"))
@@ -192,12 +203,12 @@ def sql(rules: tuple = RULES, sentences: dict[str, str] = SENTENCES) -> str:
     values = ", ".join(f"('{s}', chr({0xE000 + i}), '{name}')" for i, (name, s) in enumerate(sentences.items()))
     cut = f"'{END}' || lower(text) || '{END}'"
     for pattern, by in STEPS:
-        cut = f"regexp_replace({cut}, '{pattern}', '{by}', 'g')"
+        cut = f"regexp_replace({cut}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
     runs = "|".join(s.replace(" ", f"(?: |{BREAK}{BREAK})") for s in sorted(sentences.values(), key=len, reverse=True))
     found = f"regexp_extract_all(replace(replace({cut}, '{END}', '{END}{END}'), '{BREAK}', '{BREAK}{BREAK}'), '[{END}{BREAK}]({runs})[{END}{BREAK}]', 1)"
     steps, at = [], "r0"
-    for k, (licence, run) in enumerate(rules, 1):
-        pattern, groups = _pattern(run, sentences)
+    for k, (licence, *parts) in enumerate(rules, 1):
+        pattern, groups = _pattern(sentences, *parts)
         back = "".join(f"\\{i + 1}" for i in range(groups))
         steps.append(f"r{k} AS (SELECT doc_id, marks, CASE WHEN regexp_matches(rest, '{pattern}') THEN list_append(found, '{licence}') ELSE found END AS found, regexp_replace(rest, '{pattern}', '{back}', 'g') AS rest FROM {at})")
         at = f"r{k}"
