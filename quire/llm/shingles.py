@@ -148,7 +148,8 @@ def components(edges: DataFrame, per_file: int = 200_000) -> DataFrame:
 
     Alternates large-star and small-star steps (each a min per node, pre-aggregated,
     and a join), storing the result of each round in files of about ``per_file``
-    rows, until a round changes nothing.
+    rows, until a round changes nothing. The mins are stored too, so that both sides of
+    the join are read and dealt anew, and a hub's rows can be split among tasks.
     """
 
     def settled(rows: DataFrame, most: int) -> tuple[Stored, int, tuple]:
@@ -164,11 +165,12 @@ def components(edges: DataFrame, per_file: int = 200_000) -> DataFrame:
         if not n:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = state.union(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("_u")).where("b > a AND b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = Stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_u"), F.least("a", "m").alias("m")))
+        large = both.join(low.df, F.col("a") == F.col("_u")).where("b > a AND b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least.withColumnRenamed("a", "_u"), F.col("a") == F.col("_u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         after, n, now = settled(hung.select("e.*").where("a != b").distinct(), 2 * n)
+        low.remove()
         if now == mark:
             after.remove()
             return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select("b", "b").distinct())
