@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import alignment, decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, phrases, sketches, tokens, toxicity, urls
+from quire.llm import alignment, decontaminate, fixity, jaccard, langid, licences, mixing, neighbours, phrases, pipeline, sketches, tokens, toxicity, urls
 from quire.llm.common import fold, table
 
 
@@ -106,9 +106,7 @@ FROM c JOIN n ON n.id = c.id JOIN n AS o ON o.id = c.at GROUP BY n.id, n.doc_id
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op3_licence_sentences, op4_mix_sources, op5_toxic_segments, op6_token_counts, op7_merkle_audit, op8_nearest_ivf_pq, op9_url_language_models, op10_jaccard_chosen_path, op11_mine_collocations, op12_align_tokenizers, op13_sketch_near_duplicates)}
+    return {"pipeline": pipeline.run} | {f.__name__: f for f in (op1_language_bitmasks, op2_decontaminate_cgk, op3_licence_sentences, op4_mix_sources, op5_toxic_segments, op6_token_counts, op7_merkle_audit, op8_nearest_ivf_pq, op9_url_language_models, op10_jaccard_chosen_path, op11_mine_collocations, op12_align_tokenizers, op13_sketch_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

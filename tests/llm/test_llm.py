@@ -859,3 +859,31 @@ def test_queries_match_sql(spark, name):
     relation = con.sql(queries.oracle_sql()[name])
     at = [relation.columns.index(c) for c in df.columns]
     assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in relation.fetchall())
+
+
+def test_named_notices_give_their_own_licence(spark):
+    """Published notices with a foreign name, wrapped, against what a reader would say."""
+    wrap = lambda *parts: "\n\n".join(textwrap.fill(p, 72) for p in parts)
+    grant = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    source = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    binary = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    name = "3. Neither the name of Example Widgets, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    as_is = 'THIS SOFTWARE IS PROVIDED BY THE EXAMPLE FOUNDATION AND ITS FRIENDS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    apache_rest = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    notices = [
+        (wrap("Copyright (c) 2020, Jo Doe", grant, source, binary, name, as_is), "BSD-3-Clause", ""),
+        (wrap("Copyright (c) 2020, Jo Doe", grant, source, binary, as_is), "BSD-2-Clause", ""),
+        (wrap(grant, source, binary, name.replace("3. ", "").replace("Neither the name of Example Widgets, Inc. nor the names of its contributors", "The name of the author") .replace("may be used", "may not be used"), as_is), "BSD-3-Clause", ""),
+        (wrap(apache, "    https://www.apache.org/licenses/LICENSE-2.0", apache_rest), "Apache-2.0", ""),
+        ("x = 1\n# SPDX-License-Identifier: MIT OR Apache-2.0\ny", "Apache-2.0,MIT", ""),
+        ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND MIT)", "MIT,GPL-2.0-or-later", ""),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later", ""),
+        ("Hello. This code is licensed under the MIT License.", "MIT", ""),
+        ("This project is released under the terms of the Apache License, Version 2.0.", "Apache-2.0", ""),
+        ("This work is licensed under the GNU General Public License version 3.", "GPL-3.0", ""),
+        ("Redistribution without a licence, and neither the name of anyone nor more.", None, None),
+    ]
+    got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(list(enumerate(t for t, *_ in notices)), "doc_id long, text string")).collect()}
+    for i, (_, want, left) in enumerate(notices):
+        assert (got[i].licences, got[i].left_over) == (want, left) if want else i not in got, (i, got.get(i))
