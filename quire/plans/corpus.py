@@ -16,8 +16,17 @@ from quire.sources.views import table, view
 # Profiles
 
 
-@query("v_profiles", """SELECT profile_id, "at", problem FROM v_profiles, LATERAL (SELECT '/page/size' AS "at", 'value' AS problem WHERE profile_id % 5 = 0 UNION ALL SELECT '/page/colour', 'unknown' WHERE profile_id % 7 = 0 UNION ALL SELECT '/tableRules/0', 'one_of' WHERE true
- UNION ALL SELECT '/tableRules/0/tableIndexes', 'repeated' WHERE profile_id % 3 = 0 UNION ALL SELECT '/requirements/unresolved', 'items' WHERE profile_id % 3 <> 1 UNION ALL SELECT '/title', 'missing') p""")
+TABLE_RULES = """t AS (SELECT profile_id, i, raw::JSON -> ('$.tableRules[' || i || ']') AS r FROM (SELECT profile_id, raw, unnest(range(json_array_length(raw, '$.tableRules')::BIGINT)) AS i FROM v_profiles)),
+ti AS (SELECT profile_id, i, from_json(r -> '$.tableIndexes', '["BIGINT"]') AS x FROM t)"""
+
+
+@query("v_profiles", """SELECT profile_id, '/page/size' AS "at", 'value' AS problem FROM v_profiles WHERE raw::JSON ->> '$.page.size' NOT IN ('a4', 'letter')
+ UNION ALL SELECT profile_id, '/page/' || k, 'unknown' FROM (SELECT profile_id, unnest(json_keys(raw, '$.page')) AS k FROM v_profiles) WHERE k NOT IN ('size', 'orientation')
+ UNION ALL SELECT profile_id, '/tableRules/' || i, 'one_of' FROM t WHERE (list_contains(json_keys(r), 'widthIn'))::INT + (list_contains(json_keys(r), 'columnWidthsIn'))::INT <> 1
+ UNION ALL SELECT profile_id, '/tableRules/' || i || '/tableIndexes', CASE WHEN len(x) < 1 THEN 'items' ELSE 'repeated' END FROM ti WHERE len(x) < 1 OR len(list_distinct(x)) < len(x)
+ UNION ALL SELECT profile_id, '/requirements/unresolved', 'items' FROM v_profiles WHERE json_array_length(raw, '$.requirements.unresolved') < 1
+ UNION ALL SELECT profile_id, '/' || k, 'missing' FROM v_profiles, (VALUES ('name'), ('title')) v(k) WHERE NOT list_contains(json_keys(raw), k)
+ UNION ALL SELECT profile_id, '/name', 'value' FROM v_profiles WHERE length(raw::JSON ->> '$.name') NOT BETWEEN 2 AND 20""", TABLE_RULES)
 def q01_check_profiles(spark, sf_dir):
     rules = {
         "": {"type": "object", "required": ["name", "title"]}, "page": {"type": "object", "keys": ["size", "orientation"], "one_of": [["size"], ["widthIn", "heightIn"]]}, "page.size": {"enum": ["a4", "letter"]},
@@ -26,10 +35,22 @@ def q01_check_profiles(spark, sf_dir):
     return Q.check_profiles(view(spark, sf_dir, "v_profiles"), rules)
 
 
-@query("v_profiles", """SELECT profile_id, "at", problem FROM v_profiles, LATERAL (SELECT '/tableRules/0/color' AS "at", 'color' AS problem WHERE profile_id % 4 = 0 UNION ALL SELECT '/tableRules/0/outerSizePt', 'eighths' WHERE profile_id % 6 = 1 UNION ALL SELECT '/tableRules/0', 'width_sum' WHERE profile_id % 8 = 2
- UNION ALL SELECT '/tableRules/table=0', 'repeated_table' WHERE profile_id % 3 = 0 UNION ALL SELECT '/tableRules/0/paragraph/lineSpacing', 'negative' WHERE profile_id % 9 = 0 UNION ALL SELECT '/tableRules/0', 'conflict:lineSpacing:lineSpacingExactPt' WHERE profile_id % 10 = 3
- UNION ALL SELECT '/tableRules/0/paragraph/shade', 'unsupported' WHERE profile_id % 11 = 4 UNION ALL SELECT '/tableRules/0/run/sizePt', 'halves' WHERE profile_id % 12 = 5 UNION ALL SELECT '/headingNumbering', 'numbering_lengths' WHERE profile_id % 14 = 8
- UNION ALL SELECT '/headingNumbering/patterns/1', 'pattern' WHERE profile_id % 2 = 0 AND profile_id % 3 = 0 AND profile_id % 14 <> 8 UNION ALL SELECT '/captionNumbering/strategy', 'no_note' WHERE profile_id % 3 <> 1 UNION ALL SELECT '/paragraphRules/0', 'toc_guard' WHERE profile_id % 4 <> 3) p""")
+@query("v_profiles", """SELECT profile_id, '/tableRules/' || i || '/color' AS "at", 'color' AS problem FROM t WHERE NOT regexp_full_match(r ->> '$.color', '(#?[0-9A-Fa-f]{6}|auto)')
+ UNION ALL SELECT profile_id, '/tableRules/' || i || '/outerSizePt', 'eighths' FROM t WHERE abs((r ->> '$.outerSizePt')::DOUBLE * 8 - round((r ->> '$.outerSizePt')::DOUBLE * 8)) >= 1e-9
+ UNION ALL SELECT profile_id, '/tableRules/' || i || '/run/sizePt', 'halves' FROM t WHERE abs((r ->> '$.run.sizePt')::DOUBLE * 2 - round((r ->> '$.run.sizePt')::DOUBLE * 2)) >= 1e-9
+ UNION ALL SELECT profile_id, '/tableRules/' || i || '/paragraph/' || k, 'negative' FROM t, (VALUES ('lineSpacing'), ('lineSpacingExactPt')) v(k) WHERE (r -> 'paragraph' ->> k)::DOUBLE <= 0
+ UNION ALL SELECT profile_id, '/tableRules/' || i || '/paragraph/' || k, 'unsupported' FROM (SELECT profile_id, i, unnest(json_keys(r, '$.paragraph')) AS k FROM t) WHERE k NOT IN ('alignment', 'lineSpacing', 'lineSpacingExactPt', 'spaceBeforePt', 'spaceAfterPt')
+ UNION ALL SELECT profile_id, '/tableRules/' || i, 'conflict:lineSpacing:lineSpacingExactPt' FROM t WHERE list_contains(json_keys(r, '$.paragraph'), 'lineSpacing') AND list_contains(json_keys(r, '$.paragraph'), 'lineSpacingExactPt')
+ UNION ALL SELECT profile_id, '/tableRules/' || i, 'width_sum' FROM t WHERE abs((r ->> '$.widthIn')::DOUBLE - list_sum(from_json(r -> '$.columnWidthsIn', '["DOUBLE"]'))) > 1 / 1440
+ UNION ALL SELECT profile_id, '/tableRules/table=' || v, 'repeated_table' FROM (SELECT profile_id, unnest(x) AS v FROM ti) GROUP BY profile_id, v HAVING count(*) > 1
+ UNION ALL SELECT profile_id, '/headingNumbering', 'numbering_lengths' FROM hn WHERE "on" AND NOT even
+ UNION ALL SELECT profile_id, '/headingNumbering/patterns/' || (k - 1), 'pattern' FROM (SELECT profile_id, "on" AND even AS sound, unnest(p) AS q, generate_subscripts(p, 1) AS k FROM hn) WHERE sound AND NOT contains(q, '%' || k)
+ UNION ALL SELECT profile_id, '/captionNumbering/strategy', 'no_note' FROM v_profiles WHERE raw::JSON ->> '$.captionNumbering.strategy' = 'needs-confirmation' AND json_array_length(raw, '$.requirements.unresolved') = 0
+ UNION ALL SELECT profile_id, '/paragraphRules/' || i, 'toc_guard' FROM (SELECT profile_id, i, raw::JSON -> ('$.paragraphRules[' || i || ']') AS r FROM (SELECT profile_id, raw, unnest(range(json_array_length(raw, '$.paragraphRules')::BIGINT)) AS i FROM v_profiles))
+  WHERE list_contains(json_keys(r), 'textRegexReplace') AND NOT list_has_any(json_keys(r, '$.match'), ['styleNameNotRegex', 'currentStyleNotIn', 'styleNameRegex'])""",
+TABLE_RULES + """,
+hn AS (SELECT profile_id, (raw::JSON ->> '$.headingNumbering.enabled') = 'true' AS "on", from_json(raw::JSON -> '$.headingNumbering.patterns', '["VARCHAR"]') AS p,
+  json_array_length(raw, '$.headingNumbering.styles') = json_array_length(raw, '$.headingNumbering.patterns') AND json_array_length(raw, '$.headingNumbering.patterns') = json_array_length(raw, '$.headingNumbering.formats') AND json_array_length(raw, '$.headingNumbering.formats') = json_array_length(raw, '$.headingNumbering.starts') AS even FROM v_profiles)""")
 def q02_profile_semantics(spark, sf_dir):
     return Q.check_profile_semantics(view(spark, sf_dir, "v_profiles"))
 
@@ -94,7 +115,8 @@ def j09_marginal_layout(spark, sf_dir):
     return M.check_marginal_layout(refs, view(spark, sf_dir, "v_mparas"), on, LAYOUT).withColumn("errors", F.array_join("errors", ","))
 
 
-@query("v_runs v_blocks", "SELECT doc_id, idx, length(text) <= 9 OR idx % 3 = 0 AS ok FROM v_blocks WHERE text <> ''")
+@query("v_runs", """SELECT doc_id, idx, bool_and(bold = ((idx + CASE WHEN p >= 4 THEN 1 ELSE 0 END) % 3 = 0)) AS ok FROM (SELECT doc_id, idx, bold, start + unnest(range(length(text))) AS p
+ FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id, idx ORDER BY run_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM v_runs)) GROUP BY 1, 2""")
 def j10_run_formats(spark, sf_dir):
     """Three runs against two that hold the same text: the second of the two has one format for what the last two of the three hold."""
     runs = R.run_offsets(view(spark, sf_dir, "v_runs"))
