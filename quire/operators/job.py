@@ -33,15 +33,15 @@ def write_run(tables: dict[str, DataFrame], path: str, force: bool = False) -> s
     aside and renamed, names that folder: readers (``read_run``) see the old run or the
     new one, whole. A run that fails leaves its folder unnamed, and the next one that
     succeeds removes what no manifest names. An existing run is an error unless forced;
-    a path that the tables are read from is one unless it holds runs, as a new run
-    leaves the old one where it is until it is complete.
+    a path that the tables are read from always is, but for an older run there, which a
+    new one leaves where it is until it is complete.
     """
     spark = next(iter(tables.values())).sparkSession
     plain = lambda p: "/" + p.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
     target, fs = _path(spark, f"{path}/_manifest.json")
     old = fs.exists(target)
     for name, df in tables.items():
-        if any(plain(f).startswith(plain(path)) for f in df.inputFiles()):
+        if any(plain(f).startswith(plain(path)) and not plain(f).startswith(plain(path) + "run=") for f in df.inputFiles()):
             raise ValueError(f"{name} is read from {path}: input and output are the same")
     if old and not force:
         raise FileExistsError(f"{path} holds a run")
@@ -64,6 +64,11 @@ def write_run(tables: dict[str, DataFrame], path: str, force: bool = False) -> s
     return run
 
 
+def run_exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _path(spark, f"{path}/_manifest.json")
+    return fs.exists(target)
+
+
 def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of the run that the manifest names."""
     target, fs = _path(spark, f"{path}/_manifest.json")

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import assigned as A
+from quire.operators import audit as N
 from quire.operators import compare as C
 from quire.operators import job as J
 from quire.operators import profiles as Q
 from quire.operators import rule_index as X
+from quire.operators import rules as R
 from quire.operators import templates as P
+from quire.plans import compare as D
 from quire.plans.registry import query
+from quire.plans.structure import CLASSIFIED, SUMMARY
 from quire.sources.lineage import shared_path
 from quire.sources.views import table, view
 
@@ -163,3 +168,35 @@ def s08_run_read_back(spark, sf_dir):
     tables = J.read_run(spark, path)
     count = lambda n: tables[n].groupBy("doc_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "doc_id", "n")
     return count("sections").unionByName(count("styles"))
+
+
+PROFILE = {"page": D.PAGE, "pageNumbers": D.PAGE_NUMBERS, "styles": D.STYLES, "structure": T.TYPE_SECTIONS["thesis"]}
+PAGES = """changed AS (SELECT doc_id, doc_id % 4 = 1 AND bool_or(page_w_twips <> 11906 OR page_h_twips <> 16838 OR orient IS NOT NULL OR mar_left <> 1584) AS judged FROM v_sections GROUP BY 1),
+inches AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 8.268 ELSE round(page_w_twips/1440.0, 4) END AS w, CASE WHEN doc_id % 4 = 1 THEN 11.693 ELSE round(page_h_twips/1440.0, 4) END AS h, CASE WHEN doc_id % 4 = 1 THEN 1.1 ELSE round(mar_left/1440.0, 4) END AS l, round(mar_top/1440.0, 4) AS t, CASE WHEN doc_id % 4 <> 1 THEN orient END AS o FROM v_sections),
+page AS (SELECT doc_id, ok FROM inches, LATERAL (SELECT abs(w - 8.268) <= 0.05 AS ok UNION ALL SELECT abs(h - 11.693) <= 0.05 UNION ALL SELECT coalesce(o, '') IN ('portrait', '') UNION ALL SELECT abs(l - 1.1) <= 0.05 UNION ALL SELECT abs(t - 1.0) <= 0.05) f),
+numbers AS (SELECT d.doc_id, coalesce(CASE sec WHEN 0 THEN num_fmt = 'upperRoman' AND num_start = 1 WHEN 1 THEN num_fmt = 'decimal' AND num_start = 1 ELSE num_fmt IS NOT NULL OR num_start IS NOT NULL END, false) AS ok FROM documents d CROSS JOIN (VALUES (0), (1), (2)) e(sec) LEFT JOIN v_sections s ON s.doc_id = d.doc_id AND s.section_idx = sec)"""
+
+
+@query("v_blocks v_sections", """SELECT f.doc_id, family, rows, failed, family IN ('page', 'pageNumbers') AND coalesce(judged, false) AS judged FROM (SELECT doc_id, family, count(*) AS rows, count(*) FILTER (NOT ok) AS failed
+ FROM (SELECT doc_id, 'page' AS family, ok FROM page UNION ALL SELECT doc_id, 'pageNumbers', ok FROM numbers UNION ALL SELECT doc_id, 'structure', ok FROM structure) GROUP BY 1, 2) f LEFT JOIN changed c ON c.doc_id = f.doc_id""", f"{CLASSIFIED}, {SUMMARY}, {D.STRUCTURE}, {PAGES}")
+def n01_audit_again(spark, sf_dir):
+    """An audit, new pages for every fourth document, and an audit again: only families and documents whose rows have changed are judged anew."""
+    docs, sections, blocks, path = table(spark, sf_dir, "documents"), view(spark, sf_dir, "v_sections"), view(spark, sf_dir, "v_blocks"), shared_path(spark, "audit")
+    profile = {k: v for k, v in PROFILE.items() if k != "styles"}
+    given = lambda s: {"documents": docs, "sections": D.measured(s), "blocks": blocks}
+    N.audit_again(docs, N.families(given(sections), profile), path)
+    fits = R.set_page(sections.where("doc_id % 4 = 1"), "a4", "portrait", {"left": 1.1, "top": 1.0})
+    run = N.audit_again(docs, N.families(given(sections.where("doc_id % 4 <> 1").unionByName(fits)), profile), path)
+    counted = run["findings"].groupBy("doc_id", "family").agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("failed"))
+    return counted.join(run["prints"].select("doc_id", "family", "judged"), ["doc_id", "family"])
+
+
+@query("v_styles v_blocks v_sections", """SELECT doc_id, family, count(*) AS rows, count(*) FILTER (NOT ok) AS failed FROM (SELECT doc_id, 'pageNumbers' AS family, ok FROM numbers UNION ALL SELECT doc_id, 'structure', ok FROM structure
+ UNION ALL SELECT doc_id, 'styles', ok FROM (SELECT d.doc_id, s.*, w.style_id AS want FROM documents d CROSS JOIN (VALUES ('Normal'), ('Heading1'), ('Caption')) w(style_id) LEFT JOIN v_styles s ON s.doc_id = d.doc_id AND s.style_id = w.style_id) q,
+  LATERAL (SELECT style_id IS NOT NULL AS ok UNION ALL SELECT abs(size_pt - 12) <= 0.25 WHERE style_id = 'Normal' UNION ALL SELECT east_asia IS NOT DISTINCT FROM '宋体' WHERE style_id = 'Normal' UNION ALL SELECT abs(line_spacing - 1.5) <= 0.06 WHERE style_id = 'Normal'
+   UNION ALL SELECT abs(size_pt - 16) <= 0.25 WHERE style_id = 'Heading1' UNION ALL SELECT bold IS NOT DISTINCT FROM true WHERE style_id = 'Heading1' UNION ALL SELECT keep_next IS NOT DISTINCT FROM true WHERE style_id = 'Heading1' UNION ALL SELECT outline_level IS NOT DISTINCT FROM 0 WHERE style_id = 'Heading1') f
+ UNION ALL SELECT doc_id, 'page', ok FROM (SELECT *, round(page_w_twips/1440.0, 4) AS w0, round(page_h_twips/1440.0, 4) AS h0, round(mar_left/1440.0, 4) AS l0, round(mar_top/1440.0, 4) AS t0 FROM v_sections), LATERAL (SELECT abs(w0 - 8.268) <= 0.05 AS ok UNION ALL SELECT abs(h0 - 11.693) <= 0.05 UNION ALL SELECT coalesce(orient, '') IN ('portrait', '') UNION ALL SELECT abs(l0 - 1.1) <= 0.05 UNION ALL SELECT abs(t0 - 1.0) <= 0.05) f) GROUP BY 1, 2""", f"{CLASSIFIED}, {SUMMARY}, {D.STRUCTURE}, {PAGES}")
+def n01_whole_audit(spark, sf_dir):
+    """Findings of pages, page numbers, styles and structure in one run."""
+    given = {"documents": table(spark, sf_dir, "documents"), "sections": D.inches(spark, sf_dir), "blocks": view(spark, sf_dir, "v_blocks"), "styles": view(spark, sf_dir, "v_styles")}
+    return N.audit(N.families(given, PROFILE)).groupBy("doc_id", "family").agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("failed"))
