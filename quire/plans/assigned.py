@@ -9,6 +9,7 @@ from quire.operators import assigned as A
 from quire.operators import audit as N
 from quire.operators import compare as C
 from quire.operators import job as J
+from quire.operators import profile_schema as Z
 from quire.operators import profiles as Q
 from quire.operators import rule_index as X
 from quire.operators import rules as R
@@ -200,3 +201,18 @@ def n01_whole_audit(spark, sf_dir):
     """Findings of pages, page numbers, styles and structure in one run."""
     given = {"documents": table(spark, sf_dir, "documents"), "sections": D.inches(spark, sf_dir), "blocks": view(spark, sf_dir, "v_blocks"), "styles": view(spark, sf_dir, "v_styles")}
     return N.audit(N.families(given, PROFILE)).groupBy("doc_id", "family").agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+@query("v_bad_profiles", """SELECT profile_id, '/name' AS "at", 'length' AS problem FROM j WHERE length(j ->> '$.name') < 1 UNION ALL SELECT profile_id, '/page/size', 'value' FROM j WHERE j ->> '$.page.size' NOT IN ('a3', 'a4', 'a5', 'letter', 'legal', 'tabloid')
+ UNION ALL SELECT profile_id, '/page/marginsIn/left', 'type' FROM j WHERE json_type(j, '$.page.marginsIn.left') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') UNION ALL SELECT profile_id, '/page/marginsIn/' || k, 'unknown' FROM (SELECT profile_id, unnest(json_keys(j, '$.page.marginsIn')) AS k FROM j) WHERE k NOT IN ('top', 'right', 'bottom', 'left', 'header', 'footer', 'gutter')
+ UNION ALL SELECT profile_id, '/sections/' || i || '/section', CASE WHEN json_type(j, '$.sections[' || i || '].section') IS NULL THEN 'missing' ELSE 'range' END FROM j, (VALUES (0), (1)) v(i) WHERE coalesce((j ->> ('$.sections[' || i || '].section'))::INT, -1) < 0
+ UNION ALL SELECT profile_id, '/styles/Normal/run/sizePt', 'type' FROM j WHERE json_type(j, '$.styles.Normal.run.sizePt') = 'VARCHAR' UNION ALL SELECT profile_id, '/styles/Normal/paragraph/outlineLevel', 'range' FROM j WHERE (j ->> '$.styles.Normal.paragraph.outlineLevel')::INT > 8
+ UNION ALL SELECT profile_id, '/headingNumbering/styles', 'items' FROM j WHERE json_array_length(j, '$.headingNumbering.styles') < 1 UNION ALL SELECT profile_id, '/tableRules/0/tableIndexes/1', 'range' FROM j WHERE (j ->> '$.tableRules[0].tableIndexes[1]')::INT < 0
+ UNION ALL SELECT profile_id, '/tableRules/0/outerSizePt', 'range' FROM j WHERE (j ->> '$.tableRules[0].outerSizePt')::DOUBLE NOT BETWEEN 0.25 AND 12 UNION ALL SELECT profile_id, '/tableRules/0/border', 'unknown' FROM j WHERE json_type(j, '$.tableRules[0].border') IS NOT NULL
+ UNION ALL SELECT profile_id, '/tableRules/0/preset', 'missing' FROM j WHERE json_type(j, '$.tableRules[0].preset') IS NULL UNION ALL SELECT profile_id, '/paragraphRules/0/match/currentStyleNotIn/0', 'type' FROM j WHERE json_type(j, '$.paragraphRules[0].match.currentStyleNotIn[0]') IN ('UBIGINT', 'BIGINT')
+ UNION ALL SELECT profile_id, '/paragraphRules/0/maxMatches', 'range' FROM j WHERE (j ->> '$.paragraphRules[0].maxMatches')::INT < 1 UNION ALL SELECT profile_id, '/paragraphRules/0/textRegexReplace/pattern', 'missing' FROM j WHERE json_type(j, '$.paragraphRules[0].textRegexReplace.pattern') IS NULL
+ UNION ALL SELECT profile_id, '/validation/sectionCount', 'range' FROM j WHERE json_type(j, '$.validation.sectionCount') <> 'OBJECT' AND (j ->> '$.validation.sectionCount')::INT < 1 UNION ALL SELECT profile_id, '/validation/sectionCount/min', 'type' FROM j WHERE json_type(j, '$.validation.sectionCount.min') = 'DOUBLE'
+ UNION ALL SELECT profile_id, '/validation/requiredFields/TOC', 'range' FROM j WHERE (j ->> '$.validation.requiredFields.TOC')::INT < 0""", "j AS (SELECT profile_id, raw::JSON AS j FROM v_bad_profiles)")
+def q01_profile_schema(spark, sf_dir):
+    """Profiles with flaws of every kind, against the whole schema."""
+    return Z.check_schema(view(spark, sf_dir, "v_bad_profiles"))

@@ -163,6 +163,12 @@ FROM (SELECT doc_id, a*20+b AS k FROM documents CROSS JOIN (VALUES (0),(1),(2),(
 SELECT concat('r', doc_id, '-', n) AS rule, CASE (doc_id+n)%3 WHEN 0 THEN 'textContains' WHEN 1 THEN 'textEquals' ELSE 'startsWith' END AS kind,
  CASE WHEN doc_id%40=7 THEN NULL WHEN (doc_id+n)%3=1 THEN trim(substr(text, 1, 40)) ELSE trim(substr(text, CASE n WHEN 0 THEN 1 ELSE 9 END, 7)) END AS literal
 FROM documents CROSS JOIN (VALUES (0),(1)) v(n)
+""",
+    "v_bad_profiles": """
+SELECT doc_id AS profile_id, concat('{"name":"', CASE WHEN doc_id%9=1 THEN '' ELSE lang END, '","page":{"size":"', CASE WHEN doc_id%5=0 THEN 'b5' ELSE 'a4' END, '","odd":1,"marginsIn":{"left":', CASE WHEN doc_id%4=2 THEN '"1"' ELSE '1.5' END, CASE WHEN doc_id%7=3 THEN ',"inner":2' ELSE '' END, '}},"sections":[{"section":', doc_id%6-1, '},{', CASE WHEN doc_id%3=0 THEN '' ELSE '"section":2,' END, '"type":"oddPage"}],
+"styles":{"Normal":{"run":{"sizePt":', CASE WHEN doc_id%8=4 THEN '"12"' ELSE '12' END, '},"paragraph":{"outlineLevel":', doc_id%11, '}}},"headingNumbering":{"styles":[', CASE WHEN doc_id%10=0 THEN '' ELSE '"a"' END, ']},"tableRules":[{"tableIndexes":[0,', doc_id%5-2, '],"outerSizePt":', doc_id%13, CASE WHEN doc_id%4=1 THEN ',"border":1' ELSE ',"preset":"three-line"' END, '}],
+"paragraphRules":[{"match":{"currentStyleNotIn":', CASE doc_id%3 WHEN 0 THEN '"x"' WHEN 1 THEN '["x","y"]' ELSE '[1]' END, '},"maxMatches":', doc_id%3, ',"textRegexReplace":{', CASE WHEN doc_id%2=0 THEN '"pattern":"x"' ELSE '' END, '}}],"validation":{"sectionCount":', CASE WHEN doc_id%5=4 THEN '{"min":1.5}' ELSE concat(doc_id%4, '') END, ',"requiredFields":{"TOC":', doc_id%3-1, '}}}') AS raw
+FROM documents
 """,
     "v_bcells": """
 SELECT doc_id, table_idx, row_idx, cell_idx, 4 AS top_sz, 4 AS bottom_sz, 4 AS left_sz, 4 AS right_sz, '123456' AS color, row_idx=2 AS is_header
