@@ -254,3 +254,58 @@ def test_entry_needs_no_session():
     root = __file__.rsplit("/tests/", 1)[0]
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()[0] > "0"
+
+
+def test_rule_tables_against_each_text(spark):
+    """Several scans for one table, empty and null literals, overlapping and repeated ones."""
+    from quire.operators import rule_index as X
+
+    texts = [None, "", "ab", "abab cab", " ab  ab ", "ABC", "摘 要", "x" * 5000 + "ab"]
+    said = [("r1", "textContains", "ab"), ("r2", "startsWith", "ab"), ("r3", "textEquals", "ab"), ("r4", "textContains", ""), ("r5", "textEquals", ""), ("r6", "startsWith", None), ("r7", "textEquals", "摘 要"), ("r8", "textContains", "b c"), ("r1", "textContains", "AB"), ("r9", "regex", "a")]
+    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, idx int, text string")
+    rules = spark.createDataFrame(said, "rule string, kind string, literal string")
+    tests = {"textContains": lambda t, v: v in t, "startsWith": lambda t, v: t.startswith(v), "textEquals": lambda t, v: t == v}
+    want = sorted({(1, i, r) for i, t in enumerate(texts) for r, k, v in said if v is not None and k in tests and tests[k](" ".join((t or "").split()), v)})
+    for most in (1000, 2):
+        assert sorted(map(tuple, X.match_rule_table(blocks, rules, most_rules=most).collect())) == want
+    assert X.match_rule_table(blocks, rules.limit(0)).count() == 0
+
+
+def test_styles_by_doubling_equal_their_chains(spark):
+    """Also with cycles, styles that lead into them, a style based on itself and one that isn't there."""
+    links = {"a": "b", "b": "c", "c": "a", "d": "a", "e": "d", "f": "f", "g": "nowhere", "h": "g", "i": None, "j": "i"}
+    rows = [(d, s, up, float(ord(s)) if (ord(s) + d) % 3 == 0 else None, s in "adgi") for d in (1, 2) for s, up in links.items()]
+    styles = spark.createDataFrame(rows, "doc_id long, style_id string, based_on string, size double, bold boolean")
+    by_chain = C.effective_props(C.style_chain(styles), styles, ("size",), ("bold",)).select("doc_id", "style_id", "size", "bold")
+    assert sorted(map(tuple, C.effective_styles(styles, ("size",), ("bold",)).collect()), key=repr) == sorted(map(tuple, by_chain.collect()), key=repr)
+    depths = {(r.style_id, r.ancestor): r.depth for r in C.style_chain(styles).where("doc_id = 1").collect()}
+    assert {k: v for k, v in depths.items() if k[0] == "e"} == {("e", "e"): 0, ("e", "d"): 1, ("e", "a"): 2, ("e", "b"): 3, ("e", "c"): 4} and ("f", "f") in depths and ("g", "nowhere") not in depths
+
+
+def test_schema_rows_and_a_sound_profile(spark):
+    import json
+
+    from quire.operators import profile_schema as Z
+
+    rows = {r[0]: r for r in Z.schema_rows()}
+    assert rows["paragraphRules[].match.currentStyleNotIn"][1] == ["string", "array"] and rows["tableRules[].tableIndexes"][3:5] == (1.0, None)
+    assert rows["styles.*.paragraph.outlineLevel"][3:5] == (0.0, 8.0) and rows["tableRules[]"][5] == ["tableIndexes", "preset"] and rows["validation.sectionCount"][1] == ["integer", "object"]
+    sound = {"name": "x", "page": {"size": "a4", "marginsIn": {"left": 1}}, "styles": {"Heading 1": {"run": {"sizePt": 16}}}, "tableRules": [{"tableIndexes": [0], "preset": "three-line"}], "validation": {"sectionCount": {"min": 1}, "requiredFields": {"TOC": 1}}}
+    bad = sound | {"page": [], "styles": {"H": {"run": {"bold": "yes"}}}, "tableRules": [{"preset": "two-line"}]}
+    got = Z.check_schema(spark.createDataFrame([(1, json.dumps(sound)), (2, json.dumps(bad)), (3, "{}")], "profile_id long, raw string")).collect()
+    assert sorted(map(tuple, got)) == [(2, "/page", "type"), (2, "/styles/H/run/bold", "type"), (2, "/tableRules/0/preset", "value"), (2, "/tableRules/0/tableIndexes", "missing")]
+
+
+def test_audit_again_drops_what_has_gone(spark, tmp_path):
+    from quire.operators import audit as N
+
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    rows = spark.createDataFrame([(1, "a", None), (2, None, "a"), (2, "b", "b")], "doc_id long, x string, y string")
+    family = lambda t: {"f": N.Family([t], lambda r: r.select("doc_id", F.coalesce("x", F.lit("-")).alias("name"), F.col("y").isNull().alias("ok")))}
+    path = str(tmp_path / "audit")
+    first = N.audit_again(docs, family(rows), path)
+    assert {r.doc_id for r in first["prints"].where("judged").collect()} == {1, 2, 3} and first["findings"].count() == 3
+    other = spark.createDataFrame([(1, None, "a"), (2, "b", "b"), (2, None, "a")], "doc_id long, x string, y string")  # 1 has moved its value, 2 is in another order
+    again = N.audit_again(docs.where("doc_id < 3"), family(other), path)
+    assert {(r.doc_id, r.judged) for r in again["prints"].collect()} == {(1, True), (2, False)}
+    assert sorted((r.doc_id, r.name, r.ok) for r in again["findings"].collect()) == [(1, "-", False), (2, "-", False), (2, "b", False)]
