@@ -13,10 +13,11 @@ from quire.functions import text as T
 # Chinese names of page sides, and clauses that can't be measured.
 SIDES = {"上": "top", "下": "bottom", "左": "left", "右": "right"}
 VAGUE = "适当|美观|大致|左右|参考学校"
+# Wording of measured clauses.
 MARGIN = r"(上|下|左|右)[边頁页]?[距边]?\s*[为是:]?\s*(\d+(?:\.\d+)?)\s*(cm|厘米|mm|毫米|in|英寸)"
 SPACING = r"(?:行距|行间距)\s*[为是:]?\s*(\d+(?:\.\d+)?)\s*倍"
 INDENT = r"首行缩进\s*(\d+(?:\.\d+)?)\s*字符"
-# Clauses of a set value: target, property, value, confidence, all that a line must match, and what it must not.
+# Clauses of a set value: target, property, value, confidence, all that a line must match, and what it must not.
 PAGE_CLAUSES = (
     ("page", "size", "a4", "high", (r"\bA4\b|A4纸|纸型.{0,4}A4",), None),
     ("page", "orientation", "portrait", "high", ("纵向|portrait",), None),
@@ -32,6 +33,7 @@ OTHER_CLAUSES = (
     ("captions", "present", "true", "medium", ("题注|图题|表题",), None),
 )
 # What a table clause must name, each with its pattern.
+# Wording of what a clause about tables may say.
 TABLE_CLAUSE = {
     "indexes": r"(?:正文表格索引|body table indexes?)\s*[:：=]?\s*(\d+(?:\s*[,，、]\s*\d+)*)",
     "header_rows": r"(?:表头行数|header rows?)\s*[:：=]?\s*(\d+)",
