@@ -13,7 +13,8 @@ A pass before bounds what is shuffled: each task counts all grams of one to four
 in 2 ** ``bits`` hashed places (one byte each), whose sums tell, for every gram, that it can't
 reach ``least`` occurrences, or that it might. A gram is cut before the word that makes
 it rare, as if the piece ended there: it can't be part of a candidate, and all counts of
-``least`` or more stay exact. A full filter (some 10 ** 9 different grams) cuts less, and
+``least`` or more stay exact. A second pass marks the words of pairs that may reach it:
+others are in no candidate, and are counted together. A full filter (some 10 ** 9 different grams) cuts less, and
 the graph gets an edge for each different gram, but results are the same.
 
 Edge cases: null texts are empty, null languages ``und``, repeated rows count each.
@@ -49,6 +50,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CODEC = pa.Codec("zstd")
 
 
+def _size(bits: np.ndarray) -> int:
+    return (8 * len(bits)).bit_length() - 1
+
+
+def _hits(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (7 - (place & 7))) & 1 == 1
+
+
 class Chunk:
     """Words of one language, with the ends of pieces between them: ids of words (0 is an end), and how far each is from the next end."""
 
@@ -77,11 +86,19 @@ class Chunk:
             h = mix(h * _ODD + self.hashes[self.ids[at + k]])
             yield at, (h >> np.uint64(64 - bits)).astype(np.uint32)
 
-    def grams(self, frequent: np.ndarray) -> Iterator[tuple[bytes, int]]:
-        """The longest gram from each word that holds no rare one, and its number; '' for rare words."""
+    def paired(self, frequent: np.ndarray) -> np.ndarray:
+        """Places of the words that stand in a pair which may be frequent."""
+        words, pairs = list(self.places(_size(frequent)))[:2]
+        of = np.zeros(len(self.ids), np.uint32)
+        of[words[0]] = words[1]
+        first = pairs[0][_hits(frequent, pairs[1])]
+        return np.unique(of[np.concatenate([first, first + 1])])
+
+    def grams(self, frequent: np.ndarray, paired: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        """The longest gram from each word that holds no rare one, and its number; '' for words in no frequent pair."""
         length = np.zeros(len(self.ids), np.int64)
-        for k, (at, place) in enumerate(self.places((8 * len(frequent)).bit_length() - 1)):
-            hit = at[(frequent[place >> 3] >> (7 - (place & 7))) & 1 == 1]
+        for k, (at, place) in enumerate(self.places(_size(frequent))):
+            hit = at[_hits(frequent if k else paired, place)]
             hit = hit[length[hit] == k]
             length[hit] = k + 1
         at = np.flatnonzero(self.left)
@@ -164,10 +181,38 @@ def _tallied(least: int, bits: int):
     return tally, total
 
 
-def maybe_frequent(rows: DataFrame, least: int = LEAST, bits: int = BITS) -> np.ndarray:
-    """The filter's bits (8 MiB, whatever the corpus): whether a place has ``least`` occurrences of grams."""
-    tally, total = _tallied(least, bits)
-    parts = rows.mapInArrow(tally, "part int, sums binary").repartition("part").sortWithinPartitions("part").mapInArrow(total, "part int, bits binary")
+def _marked(frequent, bits: int):
+    """The places of words in pairs that may be frequent; frequent: a broadcast filter."""
+    size = min(PART, 1 << bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = None
+        for chunk in _chunks(batches):
+            marks = np.zeros(1 << bits, np.uint8) if marks is None else marks
+            marks[chunk.paired(frequent.value)] = 1
+        for part in range((1 << bits) // size if marks is not None else 0):
+            own = marks[part * size : (part + 1) * size]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["part", "bits"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, marks = None, None
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([marks.tobytes()], pa.binary())], ["part", "bits"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if marks is not None:
+                        yield told()
+                    part, marks = row["part"], np.zeros(size // 8, np.uint8)
+                marks |= np.frombuffer(row["bits"], np.uint8)
+        if marks is not None:
+            yield told()
+
+    return mark, total
+
+
+def _gathered(parts: DataFrame, bits: int) -> np.ndarray:
+    """The rows (part, bits) of a filter as one array, of a size that ``bits`` sets."""
     out = np.zeros((1 << bits) // 8, np.uint8)
     for row in parts.collect():
         own = np.frombuffer(row.bits, np.uint8)
@@ -175,10 +220,25 @@ def maybe_frequent(rows: DataFrame, least: int = LEAST, bits: int = BITS) -> np.
     return out
 
 
+def paired_words(rows: DataFrame, frequent, bits: int = BITS) -> np.ndarray:
+    """The filter's bits of words that stand in a pair which may be frequent: others are in no candidate."""
+    mark, total = _marked(frequent, bits)
+    return _gathered(rows.mapInArrow(mark, "part int, bits binary").repartition("part").sortWithinPartitions("part").mapInArrow(total, "part int, bits binary"), bits)
+
+
+def maybe_frequent(rows: DataFrame, least: int = LEAST, bits: int = BITS) -> np.ndarray:
+    """The filter's bits (16 MiB, whatever the corpus): whether a place has ``least`` occurrences of grams."""
+    tally, total = _tallied(least, bits)
+    parts = rows.mapInArrow(tally, "part int, sums binary").repartition("part").sortWithinPartitions("part").mapInArrow(total, "part int, bits binary")
+    return _gathered(parts, bits)
+
+
 def graph(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, bits: int = BITS) -> DataFrame:
-    """(lang, gram, n), stored: edges of four words and, shorter, the corrections at ends; '' counts the words that are rare."""
+    """(lang, gram, n), stored: edges of four words and, shorter, the corrections at ends; '' counts the words that are in no frequent pair."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    frequent = rows.sparkSession.sparkContext.broadcast(maybe_frequent(rows, least, bits))
+    context = rows.sparkSession.sparkContext
+    frequent = context.broadcast(maybe_frequent(rows, least, bits))
+    paired = context.broadcast(paired_words(rows, frequent, bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -189,7 +249,7 @@ def graph(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
             return out
 
         for chunk in _chunks(batches):
-            for gram, n in chunk.grams(frequent.value):
+            for gram, n in chunk.grams(frequent.value, paired.value):
                 held[chunk.lang, gram] += n
             if len(held) > HELD:
                 yield told()
@@ -238,7 +298,7 @@ def paths(edges: DataFrame) -> DataFrame:
 
 
 def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of all phrases of one to four words that occur ``least`` times, and (lang, n) of all words."""
+    """(lang, phrase, k, f) of all phrases of two to four words that occur ``least`` times, and of their words; and (lang, n) of all words."""
     grams = graph(docs, lang_col, text_col, least, bits).withColumn("k", F.size(_words("gram")))
     frequent = (F.col("k") == LONGEST) & (F.col("n") >= least)
     ways, rest = paths(grams.where(frequent).select("lang", "gram", "n")), grams.where(~frequent)
