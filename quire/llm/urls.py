@@ -48,6 +48,11 @@ def ruled(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES
     return out
 
 
+def key_of(url: Column) -> Column:
+    """Stands for a URL beside its n-grams, so that a long one isn't copied to each; null and empty are alike."""
+    return F.md5(F.coalesce(url, F.lit("")).cast("binary"))
+
+
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
     """A row for each character of each URL and its end, with the up to four characters before it.
 
@@ -106,7 +111,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).groupBy("id", "url").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("rule", ruled(F.col("host"), F.col("path"), rules))
     allow, held = F.col("rule.verdict") == "allow", F.ascii(F.md5(F.col("url").cast("binary"))) % 5 == 0
-    known = stored(rows.groupBy("url", allow.alias("allow")).agg(F.lit(1).alias("one")).select("url", F.col("allow").cast("long").alias("allow"), F.coalesce(held, F.lit(False)).alias("held")))
+    known = stored(rows.groupBy("url", allow.alias("allow")).agg(F.lit(1).alias("one")).select("url", key_of(F.col("url")).alias("key"), F.col("allow").cast("long").alias("allow"), F.coalesce(held, F.lit(False)).alias("held")))
     learns = F.col("allow").isNotNull() & ~F.col("held")
     marks = [F.when(learns, x).otherwise(0).cast("long").alias(name) for name, x in (("a", F.col("allow")), ("r", 1 - F.col("allow")))]
     table = stored(ratios(known.select("url", *marks)))
@@ -114,11 +119,12 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     def scored(urls: DataFrame, *keys: str) -> DataFrame:
         return looked_up(urls, list(keys), table, most_broadcast).groupBy(*keys).agg((F.sum("ratio") / F.count("*")).alias("d"))
 
-    fold = scored(known.where("held AND allow IS NOT NULL"), "url", "allow").groupBy("allow").agg(F.avg("d").alias("m"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("s")).collect()
+    fold = scored(known.where("held AND allow IS NOT NULL"), "key", "allow").groupBy("allow").agg(F.avg("d").alias("m"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("s")).collect()
     of = {r["allow"]: (r["m"], r["s"] + 1e-9) for r in fold}
     # Where two normal curves of the classes are equally many deviations away.
     threshold = (of[1][0] * of[0][1] + of[0][0] * of[1][1]) / (of[0][1] + of[1][1]) if len(of) == 2 else 0.0
-    method = scored(rows.where("rule IS NULL").drop("rule"), "id", "url", "copies", "host", "path").select("id", "copies", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("d") >= threshold, "allow").otherwise("block").alias("verdict"))
+    told = scored(known.where("allow IS NULL").dropDuplicates(["key"]), "key").select(F.col("key").alias("_key"), "d")
+    method = rows.where("rule IS NULL").drop("rule").join(told, key_of(F.col("url")) == F.col("_key")).select("id", "copies", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("d") >= threshold, "allow").otherwise("block").alias("verdict"))
     out = rows.where("rule IS NOT NULL").select("id", "copies", "host", "path", "rule.rule", "rule.verdict").unionAll(method)
     # Repeated rows again, by parts, as one array of all would have no bound.
     out = out.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES).cast("int"))))

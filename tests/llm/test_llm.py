@@ -887,3 +887,14 @@ def test_named_notices_give_their_own_licence(spark):
     got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(list(enumerate(t for t, *_ in notices)), "doc_id long, text string")).collect()}
     for i, (_, want, left) in enumerate(notices):
         assert (got[i].licences, got[i].left_over) == (want, left) if want else i not in got, (i, got.get(i))
+
+
+def test_urls_of_a_megabyte_and_many_copies(spark):
+    long = "http://a.net/" + "ab/%" * 250_000
+    rows = [(1, "http://x.org/a", None), (2, "http://example.org/es/b", None), (3, long, None)] + [(4, "http://b.net/q", None)] * 7
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cut = urls._grams(pages.where("page_id = 3"), "page_id").groupBy("g").count().collect()
+    text = urls.START * (urls.ORDER - 1) + long + urls.END
+    assert {r.g: r["count"] for r in cut} == Counter(text[i : i + urls.ORDER] for i in range(len(text) - urls.ORDER + 1))
+    got = urls.judged(pages).collect()
+    assert Counter(r.page_id for r in got) == {1: 1, 2: 1, 3: 1, 4: 7} and len({r.verdict for r in got if r.page_id == 4}) == 1
