@@ -14,3 +14,41 @@ def test_run_formats_are_compared_by_stretches(spark):
     out = marginals.run_formats_equal(spark.createDataFrame(a, runs), spark.createDataFrame(b, runs), ["doc"], "bold")
     assert {r.doc: r.ok for r in out.collect()} == {1: True, 2: False, 3: False, 5: False, 6: True, 7: False, 8: False}
     assert "Generate" not in plan(out)  # no row for each character
+
+
+def chains(spark):
+    long = [(1, f"s{k}", f"s{k + 1}" if k < 99 else "s96", float(k) if k % 10 == 0 else None, k % 3 == 0) for k in range(100)]
+    odd = [(2, "a", "a", None, True), (2, "b", "gone", 2.0, None), (2, "c", "b", None, True), (2, "d", None, None, None), (3, "x", "y", 5.0, True), (3, "y", "x", None, True), (3, "z", "y", None, None)]
+    return spark.createDataFrame(long + odd, "doc_id long, style_id string, based_on string, size_pt double, bold boolean")
+
+
+def by_walking(rows):
+    """(doc, style) to its chain."""
+    up = {(r.doc_id, r.style_id): r.based_on for r in rows}
+    out = {}
+    for doc, style in up:
+        chain, at = [], style
+        while (doc, at) in up and at not in chain:
+            chain.append(at)
+            at = up[doc, at]
+        out[doc, style] = chain
+    return out
+
+
+def test_chains_are_walked_without_rounds(spark, monkeypatch):
+    rows = chains(spark)
+    monkeypatch.setattr(compare, "CHAIN_ROWS", 64)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.checkpoint", None)
+    out = compare.style_chain(rows)
+    want = {(d, s, a, k) for (d, s), chain in by_walking(rows.collect()).items() for k, a in enumerate(chain)}
+    got = [tuple(r) for r in out.select("doc_id", "style_id", "ancestor", "depth").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_effective_styles_follow_each_link_once(spark, monkeypatch):
+    rows = chains(spark)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.checkpoint", None)
+    got = {(r.doc_id, r.style_id): (r.size_pt, r.bold) for r in compare.effective_styles(rows, ("size_pt",), ("bold",)).collect()}
+    of = {(r.doc_id, r.style_id): r for r in rows.collect()}
+    first = lambda doc, chain: next((of[doc, s].size_pt for s in chain if of[doc, s].size_pt is not None), None)
+    assert got == {(doc, s): (first(doc, c), sum(of[doc, x].bold is True for x in c) % 2 == 1) for (doc, s), c in by_walking(rows.collect()).items()}
