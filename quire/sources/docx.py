@@ -8,6 +8,7 @@ functions. Write the elements once and derive the tables from there.
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -32,6 +33,8 @@ SUPPORTED = {
     "http://schemas.microsoft.com/office/word/2010/wordprocessingShape",
     "urn:schemas-microsoft-com:vml",
 }
+BODY_KINDS = ("block", "run", "field", "bookmark", "section", "ref", "table", "row", "cell")
+BATCH_ROWS, BATCH_CHARS = 1 << 14, 1 << 22  # element rows, and characters of their texts, that a task gathers before it passes them on
 SCHEMA = "doc_id string, kind string, ord int, idx int, text string, props map<string,string>"
 
 
@@ -41,12 +44,11 @@ def _local(tag: str) -> str:
 
 def _parse(data: bytes) -> ET.Element:
     """The root, with of each compatibility element the first supported branch, else the fallback."""
-    prefixes, root = {}, None
-    for event, x in ET.iterparse(io.BytesIO(data), ("start-ns", "start")):
-        if event == "start-ns":
-            prefixes[x[0]] = x[1]
-        elif root is None:
-            root = x
+    events = ET.iterparse(io.BytesIO(data), ("start-ns",))
+    prefixes = dict(x for _, x in events)
+    root = events.root
+    if MC.strip("{}") not in prefixes.values():
+        return root
 
     def choose(node: ET.Element) -> None:
         children = []
@@ -92,7 +94,7 @@ def _refs(section: ET.Element, at: int) -> Iterator[tuple]:
             yield "ref", at, None, next((v for k, v in child.attrib.items() if k.endswith("}id")), None), {"kind": _local(child.tag).removesuffix("Reference"), "type": _val(child, "type") or "default"}
 
 
-def _body(root: ET.Element) -> Iterator[tuple]:
+def _body(root: ET.Element, with_runs: bool = True) -> Iterator[tuple]:
     idx, sections, fields, tables = 0, 0, 0, 0
     place: tuple = (None, None, None)  # table, row and cell that the walk is in
     top = None
@@ -169,7 +171,7 @@ def _body(root: ET.Element) -> Iterator[tuple]:
         flags = {"in_table": str(table).lower(), "in_text_box": str(box).lower(), "section_break": str(section is not None).lower(), "drawings": ",".join(drawings)}
         flags |= {k: str(v) for k, v in zip(("table", "row", "cell", "top_table"), (*place, top), strict=True) if v is not None}
         yield "block", own, own, "".join(texts), _props(pr) | {f"#{k}": v for k, v in flags.items()}
-        for n, (run, parts) in enumerate(runs):
+        for n, (run, parts) in enumerate(runs if with_runs else ()):
             yield "run", n, own, "".join(parts), _props(_child(run, "rPr"))
         yield from found
         if section is not None:
@@ -183,8 +185,8 @@ def _body(root: ET.Element) -> Iterator[tuple]:
     yield from visit(body if body is not None else root, False, False)
 
 
-def shred(data: bytes) -> Iterator[tuple]:
-    """(kind, ord, idx, text, props) rows of one package; what can't be read gives an ``error`` row."""
+def shred(data: bytes, kinds: frozenset[str] | None = None) -> Iterator[tuple]:
+    """(kind, ord, idx, text, props) rows of one package, of all kinds or of the given ones; what can't be read of what they need gives an ``error`` row."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
         bad = archive.testzip()
@@ -193,15 +195,20 @@ def shred(data: bytes) -> Iterator[tuple]:
         return
     if bad:
         yield "error", 0, None, f"member: {bad}", {}
-    for i, info in enumerate(archive.infolist()):
-        yield "part", i, None, info.filename, {"size": str(info.file_size)}
+    wanted = lambda *of: kinds is None or not kinds.isdisjoint(of)
+    if wanted("part"):
+        for i, info in enumerate(archive.infolist()):
+            yield "part", i, None, info.filename, {"size": str(info.file_size)}
     names = Counter(archive.namelist())
-    readers = [("word/document.xml", _body), ("word/styles.xml", _styles), ("word/_rels/document.xml.rels", _rels), ("word/numbering.xml", _numbering), ("word/settings.xml", _settings)]
-    readers += [(name, lambda root, name=name: _marginal(root, name)) for name in sorted(names) if re.fullmatch(r"word/(header|footer)\d*\.xml", name)]
-    for name, read in readers:
-        if name in names:
+    readers = [
+        ("word/document.xml", lambda root: _body(root, wanted("run")), BODY_KINDS), ("word/styles.xml", _styles, ("default", "style")), ("word/_rels/document.xml.rels", _rels, ("rel",)),
+        ("word/numbering.xml", _numbering, ("num", "level")), ("word/settings.xml", _settings, ("setting",)),
+    ]
+    readers += [(name, lambda root, name=name: _marginal(root, name), ("mpara", "mrun", "melement")) for name in sorted(names) if re.fullmatch(r"word/(header|footer)\d*\.xml", name)]
+    for name, read, gives in readers:
+        if name in names and wanted(*gives):
             try:
-                yield from list(read(_parse(archive.read(name))))
+                yield from [row for row in read(_parse(archive.read(name))) if wanted(row[0])]
             except (ET.ParseError, zipfile.BadZipFile) as e:
                 yield "error", 0, None, f"{name}: {e}", {}
 
@@ -250,23 +257,34 @@ def _marginal(root: ET.Element, part: str) -> Iterator[tuple]:
         yield "melement", 0, None, part, {"#tag": tag}
 
 
-def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
+def scan_corpus(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Element rows of every file that the path (a glob) names; doc_id is the file's path."""
-    return shredded(spark.read.format("binaryFile").load(path).select("path", "content"))
+    return shredded(spark.read.format("binaryFile").load(path).select("path", "content"), kinds)
 
 
-def shredded(packages: DataFrame) -> DataFrame:
-    """Element rows of packages: (path, content)."""
+def shredded(packages: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Element rows of packages: (path, content); of all kinds, or of the given ones and errors, for which only the parts that give them are read."""
+    only = frozenset(kinds) if kinds is not None else None
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        names, kind, ords, idxs, texts, props = zip(*found, strict=True) if found else ((),) * 6
+        at = pa.array([0, *itertools.accumulate(map(len, props))], pa.int32())
+        keys, values = ([x for p in props for x in of(p)] for of in (dict.keys, dict.values))
+        columns = [pa.array(names, pa.string()), pa.array(kind, pa.string()), pa.array(ords, pa.int32()), pa.array(idxs, pa.int32()), pa.array(texts, pa.string()), pa.MapArray.from_arrays(at, pa.array(keys, pa.string()), pa.array(values, pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "kind", "ord", "idx", "text", "props"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = list(shred(content.as_py()))
-                kinds, ords, idxs, texts, props = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(rows), pa.string()), pa.array(kinds, pa.string()), pa.array(ords, pa.int32()), pa.array(idxs, pa.int32()), pa.array(texts, pa.string()), pa.array([list(p.items()) for p in props], pa.map_(pa.string(), pa.string()))],
-                    ["doc_id", "kind", "ord", "idx", "text", "props"],
-                )
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                path = name.as_py()
+                for row in shred(content.as_py(), only):
+                    found.append((path, *row))
+                    size += len(row[3] or "")
+                    if len(found) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield rows_of(found)
+                        found, size = [], 0
+        yield rows_of(found)
 
     return packages.mapInArrow(read, SCHEMA)
 

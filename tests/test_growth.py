@@ -1,6 +1,7 @@
 """Operators whose work once outgrew their input, in small."""
 
 from quire.operators import compare, marginals
+from quire.plans import packages
 
 
 def plan(df) -> str:
@@ -52,3 +53,29 @@ def test_effective_styles_follow_each_link_once(spark, monkeypatch):
     of = {(r.doc_id, r.style_id): r for r in rows.collect()}
     first = lambda doc, chain: next((of[doc, s].size_pt for s in chain if of[doc, s].size_pt is not None), None)
     assert got == {(doc, s): (first(doc, c), sum(of[doc, x].bold is True for x in c) % 2 == 1) for (doc, s), c in by_walking(rows.collect()).items()}
+
+
+def test_packages_are_scanned_once_in_slices(spark, monkeypatch):
+    taken = []
+    real = packages.docx.shredded
+    monkeypatch.setattr(packages.docx, "shredded", lambda *a: taken.append(1) or real(*a))
+    kept = packages.scanned(spark, "/root/testdata/sf0.001", "table", "row", "cell")
+    assert len(taken) == 1 and all("MapInArrow" not in plan(kept[n]) for n in ("tables", "table_rows", "table_cells"))  # stored, not read again by each
+    assert "Aggregate" not in plan(packages.scanned(spark, "/root/testdata/sf0.001", "block")["blocks"])
+
+
+def test_a_scan_reads_the_kinds_that_are_asked_for():
+    data = packages.packed(7, [f"line {i}" for i in range(20)])
+    every = list(packages.docx.shred(data))
+    for kinds in ({"block"}, {"run", "rel"}, {"part"}, {"mrun", "level"}, {"section", "ref", "default"}):
+        assert list(packages.docx.shred(data, frozenset(kinds))) == [r for r in every if r[0] in kinds]
+    assert [r[0] for r in packages.docx.shred(b"no package", frozenset({"run"}))] == ["error"]
+
+
+def test_elements_leave_a_task_in_slices(spark, monkeypatch):
+    files = [(str(i), packages.packed(i, [f"line {k}" for k in range(i)])) for i in range(8)]
+    rows = spark.createDataFrame(files, "path string, content binary")
+    monkeypatch.setattr(packages.docx, "BATCH_ROWS", 5)
+    got = packages.docx.shredded(rows).collect()
+    want = [(name, kind, ord_, idx, text, props) for name, data in files for kind, ord_, idx, text, props in packages.docx.shred(data)]
+    assert [tuple(r) for r in got] == want
