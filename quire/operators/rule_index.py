@@ -63,7 +63,7 @@ def match_rule_table(blocks: DataFrame, rules: DataFrame, text_col: str = "text"
     rows = blocks.select("doc_id", "idx", T.collapsed(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     spark, out = blocks.sparkSession, None
     for k in range(parts):
-        shared = spark.sparkContext.broadcast(Index([tuple(r) for r in own.where(F.pmod(F.xxhash64("rule", "literal"), F.lit(parts)) == k).collect()]))
+        shared = spark.sparkContext.broadcast(Index([tuple(r) for r in own.where(F.pmod(F.xxhash64("rule"), F.lit(parts)) == k).collect()]))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -74,4 +74,4 @@ def match_rule_table(blocks: DataFrame, rules: DataFrame, text_col: str = "text"
 
         more = rows.mapInArrow(match, schema)
         out = more if out is None else out.unionAll(more)
-    return out if parts == 1 else out.distinct()  # a rule of several literals may be in several parts
+    return out  # all literals of a rule are in one part, so no hit comes twice, and hits, which may be many, are not shuffled

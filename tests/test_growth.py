@@ -1,6 +1,6 @@
 """Operators whose work once outgrew their input, in small."""
 
-from quire.operators import compare, marginals
+from quire.operators import compare, marginals, rule_index
 from quire.plans import packages
 
 
@@ -79,3 +79,11 @@ def test_elements_leave_a_task_in_slices(spark, monkeypatch):
     got = packages.docx.shredded(rows).collect()
     want = [(name, kind, ord_, idx, text, props) for name, data in files for kind, ord_, idx, text, props in packages.docx.shred(data)]
     assert [tuple(r) for r in got] == want
+
+
+def test_hits_of_rules_are_not_shuffled(spark):
+    blocks = spark.createDataFrame([(1, 0, "aa bb"), (1, 1, "cc")], "doc_id int, idx int, text string")
+    rules = spark.createDataFrame([(f"r{i % 10}", "textContains", x) for i in range(20) for x in ("aa", "bb", "cc", "dd")], "rule string, kind string, literal string")
+    out = rule_index.match_rule_table(blocks, rules, most_rules=4)
+    assert sorted(map(tuple, out.collect())) == sorted((1, k, f"r{i}") for k in range(2) for i in range(10))
+    assert "Aggregate" not in plan(out)
