@@ -75,13 +75,14 @@ def apply_tables(cells: DataFrame, rule: dict) -> tuple[DataFrame, DataFrame]:
 
 
 def check_table_extras(tables: DataFrame, cells: DataFrame, paras: DataFrame, rule: dict) -> DataFrame:
-    """(table_id, problem): what the rule asks for beyond the lines and the table hasn't.
+    """(table_id, problem): what the rule asks for beyond the lines and the table hasn't, each once.
 
     tables: table_id, alignment, width_twips; paras: table_id, para_idx and effective
     properties, numbers within a hundredth. A first line in characters is measured
     in the rule's size; a zero indent is not met while an indent in characters competes.
     """
     found = []
+    told = lambda what, at, rest: F.concat(F.lit(f"{what}["), F.coalesce(F.col(at).cast("string"), F.lit("null")), F.lit(rest))
     if "alignment" in rule:
         found.append(tables.where(~F.col("alignment").eqNullSafe(F.lit(rule["alignment"]))).select("table_id", F.lit("alignment").alias("problem")))
     widths = rule.get("column_widths_in")
@@ -91,7 +92,7 @@ def check_table_extras(tables: DataFrame, cells: DataFrame, paras: DataFrame, ru
     if widths:
         found.append(grid_widths(cells, widths).where(~F.col("fits") | (F.col("width_twips") != F.col("grid_twips"))).select("table_id", F.lit("columnWidthsIn").alias("problem")))
     if "allow_row_split" in rule:
-        found.append(cells.where(F.col("cant_split") == F.lit(rule["allow_row_split"])).select("table_id", F.format_string("row[%d].allowRowSplit", "row_idx").alias("problem")))
+        found.append(cells.where(F.col("cant_split") == F.lit(rule["allow_row_split"])).select("table_id", told("row", "row_idx", "].allowRowSplit").alias("problem")))
     size = (rule.get("run") or {}).get("size_pt", 12)
     tests: list[Column] = []
     for family, prefix in (("paragraph", ""), ("run", "run.")):
@@ -108,10 +109,10 @@ def check_table_extras(tables: DataFrame, cells: DataFrame, paras: DataFrame, ru
             bad = F.coalesce(bad, F.lit(True))
             if key in ("first_line_in", "hanging_in", "first_line_chars") and value == 0:
                 bad = bad | (F.coalesce("first_line_chars", F.lit(0)) != 0) | (F.coalesce("hanging_chars", F.lit(0)) != 0)
-            tests.append(F.when(bad, F.format_string(f"paragraph[%d].{prefix}{key}", "para_idx")))
+            tests.append(F.when(bad, told("paragraph", "para_idx", f"].{prefix}{key}")))
     if tests:
         found.append(paras.select("table_id", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("problem")))
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, [x.distinct() for x in found])  # no two of them tell the same problem
 
 
 def infer_tables(cells: DataFrame) -> DataFrame:
@@ -142,18 +143,29 @@ def nested_heights(cells: DataFrame, parents: DataFrame) -> DataFrame:
     parents: table_id, parent_id, parent_row, parent_cell of the nested tables.
     """
 
-    def rows(inner: DataFrame | None) -> DataFrame:
-        own = cells if inner is None else cells.join(inner, ["table_id", "row_idx", "cell_idx"], "left").withColumn("height", F.col("height") + F.coalesce("_inner", F.lit(0.0)))
-        return own.groupBy("table_id", "row_idx").agg(F.greatest(F.max("height"), F.coalesce(F.max("min_height_in").cast("double"), F.lit(0.0)), F.lit(0.08)).alias("height"))
-
-    out, before = checkpointed(rows(None)), None
+    least = F.greatest(F.max("height"), F.coalesce(F.max("min_height_in").cast("double"), F.lit(0.0)), F.lit(0.08))
+    plain = cells.groupBy("table_id", "row_idx").agg(least.alias("height"))
+    on = {"parent_id": "table_id", "parent_row": "row_idx", "parent_cell": "cell_idx"}
+    holding = parents.select(*on).distinct().withColumnsRenamed(on).join(cells.select(*on.values(), "height"), [*on.values()])
+    # Only rows with a nested table can change: their plain height, and that of each cell which holds one.
+    holding = holding.join(plain.withColumnRenamed("height", "_plain"), ["table_id", "row_idx"])
+    sums = plain.groupBy("table_id").agg(F.sum("height").alias("_sum"))
+    nested = checkpointed(parents.join(sums, "table_id").select("table_id", *on, "_sum"))
+    holding, grown, before = checkpointed(holding), None, None
     while True:
-        total = out.agg(F.round(F.sum("height"), 6)).first()[0]
+        whole = nested
+        if grown is not None:
+            more = grown.groupBy("table_id").agg(F.sum(F.col("height") - F.col("_plain")).alias("_more"))
+            whole = nested.join(more, "table_id", "left").withColumn("_sum", F.col("_sum") + F.coalesce("_more", F.lit(0.0)))
+        inner = whole.drop("table_id").withColumnsRenamed(on).groupBy(*on.values()).agg(F.sum("_sum").alias("_inner"))
+        taller = holding.join(inner, [*on.values()]).groupBy("table_id", "row_idx").agg(F.max(F.greatest(F.col("height") + F.col("_inner"), F.col("_plain"))).alias("height"), F.max("_plain").alias("_plain"))
+        grown = checkpointed(taller)
+        total = grown.agg(F.round(F.sum("height"), 6)).first()[0]
         if total == before:
-            return out
-        whole = out.groupBy("table_id").agg(F.sum("height").alias("_sum"))
-        inner = parents.join(whole, "table_id").groupBy(F.col("parent_id").alias("table_id"), F.col("parent_row").alias("row_idx"), F.col("parent_cell").alias("cell_idx")).agg(F.sum("_sum").alias("_inner"))
-        out, before = checkpointed(rows(inner)), total
+            break
+        before = total
+    rows = plain.join(grown.select("table_id", "row_idx", F.col("height").alias("_grown")), ["table_id", "row_idx"], "left")
+    return rows.select("table_id", "row_idx", F.coalesce("_grown", "height").alias("height"))
 
 
 def fold_tables(blocks: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operators whose work once outgrew their input, in small."""
 
-from quire.operators import compare, marginals, rule_index
+from quire.operators import compare, marginals, rule_index, tables
 from quire.plans import packages
+from quire.sources import views
 
 
 def plan(df) -> str:
@@ -87,3 +88,37 @@ def test_hits_of_rules_are_not_shuffled(spark):
     out = rule_index.match_rule_table(blocks, rules, most_rules=4)
     assert sorted(map(tuple, out.collect())) == sorted((1, k, f"r{i}") for k in range(2) for i in range(10))
     assert "Aggregate" not in plan(out)
+
+
+def test_tables_are_dealt_over_partitions_that_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(views, "LINES", 500)
+    for name in ("v_tcells", "v_cells"):
+        assert views.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() >= 10  # of some 6,000 lines
+
+
+def test_problems_of_tables_are_not_gathered_again(spark):
+    t = spark.createDataFrame([(1, "left", 10), (2, "center", 1440)], "table_id long, alignment string, width_twips int")
+    cells = spark.createDataFrame([(k, r, c, 1, True, 700) for k in (1, 2) for r in (0, 1) for c in (0, 1)], "table_id long, row_idx int, cell_idx int, grid_span int, cant_split boolean, width_twips int")
+    paras = spark.createDataFrame([(1, 0, "left"), (1, 1, "both"), (2, 3, None), (2, None, "left")], "table_id long, para_idx int, alignment string")
+    rule = {"alignment": "center", "column_widths_in": [0.5, 0.5], "allow_row_split": True, "paragraph": {"alignment": "justify"}}
+    out = tables.check_table_extras(t, cells, paras, rule)
+    want = [(1, "alignment"), (1, "widthIn"), (1, "paragraph[0].alignment"), (2, "paragraph[3].alignment"), (2, "paragraph[null].alignment")]
+    want += [(k, p) for k in (1, 2) for p in ("columnWidthsIn", "row[0].allowRowSplit", "row[1].allowRowSplit")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert plan(out).startswith("Union")
+
+
+def test_only_rows_with_nested_tables_are_measured_in_rounds(spark, monkeypatch):
+    cells = spark.createDataFrame([(t, r, c, 0.1 * t + r + c, 0.5 if r else None) for t in range(20) for r in range(3) for c in range(2)], "table_id long, row_idx int, cell_idx int, height double, min_height_in double")
+    nested = [(5, 4, 0, 0), (4, 3, 1, 1), (7, 3, 1, 1), (8, 3, 1, 0), (9, 99, 0, 0), (10, 2, 7, 0)]
+    parents = spark.createDataFrame(nested, "table_id long, parent_id long, parent_row int, parent_cell int")
+    counts, real = [], tables.checkpointed
+    monkeypatch.setattr(tables, "checkpointed", lambda df: counts.append(df.count()) or real(df))
+    got = {(r.table_id, r.row_idx): r.height for r in tables.nested_heights(cells, parents).collect()}
+
+    def height(t, r):
+        inside = lambda c: sum(sum(height(child, k) for k in range(3)) for child, *at in nested if at == [t, r, c])
+        return max(0.5 if r else 0, 0.08, *(0.1 * t + r + c + inside(c) for c in range(2)))
+
+    assert {k: round(v, 9) for k, v in got.items()} == {(t, r): round(height(t, r), 9) for t in range(20) for r in range(3)}
+    assert max(counts) <= len(nested)
