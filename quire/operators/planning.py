@@ -140,15 +140,17 @@ def narrow_profile(rules: DataFrame, steps: DataFrame) -> DataFrame:
     named = asked.groupBy("doc_id", "_family").agg(F.collect_set("_item").alias("_items"), F.collect_set(F.struct("_item", "_property")).alias("_pairs"))
     mapping = F.coalesce(*[F.when(source.startswith(m), F.lit(True)) for m in MAPPING], F.lit(False))
     mapped = s.groupBy("doc_id").agg(F.bool_or(mapping).alias("_m")).where("_m").select("doc_id", F.explode(F.array(*map(F.lit, MAPPING))).alias("_family"), F.expr("CAST(array() AS array<string>)").alias("_items"), F.expr("CAST(array() AS array<struct<_item:string,_property:string>>)").alias("_pairs"))
-    both = named.unionByName(mapped).join(rules, F.col("_family") == F.col("family"))
     pair = F.struct(F.col("item").alias("_item"), F.col("property").alias("_property"))
+    # What a style's rules have, beside each of them, so that a document's rules needn't be sorted to tell whether any is named.
+    has = rules.where("family = 'styles'").groupBy(F.col("family").alias("_f"), F.col("item").alias("_i")).agg(F.collect_set(pair).alias("_has"))
+    rules = rules.join(F.broadcast(has), (F.col("family") == F.col("_f")) & (F.col("item") == F.col("_i")), "left")
+    both = named.unionByName(mapped).join(rules, F.col("_family") == F.col("family"))
     listed = F.array_contains("_pairs", pair)
     here = F.array_contains("_items", F.col("item"))
     exists = F.exists("_pairs", lambda p: (p["_item"] == F.col("item")) & (p["_property"] == "exists"))
-    w = W.partitionBy("doc_id", "family", "item")
-    rows = both.withColumn("_any", F.max(listed.cast("int")).over(w))
-    keep = F.when(F.col("family") == "styles", here & (listed | exists | (F.col("_any") == 0))).when(F.col("family") == "tableRules", here).when(F.col("family").isin("pageNumbers", "headersFooters"), here | (F.size("_items") == 0)).otherwise(F.lit(True))
-    return rows.where(keep).select("doc_id", "family", "item", "bucket", "property", "value")
+    named_one = F.coalesce(F.arrays_overlap("_pairs", "_has"), F.lit(False))
+    keep = F.when(F.col("family") == "styles", here & (listed | exists | ~named_one)).when(F.col("family") == "tableRules", here).when(F.col("family").isin("pageNumbers", "headersFooters"), here | (F.size("_items") == 0)).otherwise(F.lit(True))
+    return both.where(keep).select("doc_id", "family", "item", "bucket", "property", "value")
 
 
 # What a person must look at after every run.

@@ -1,6 +1,6 @@
 """Operators whose work once outgrew their input, in small."""
 
-from quire.operators import compare, marginals, rule_index, tables
+from quire.operators import compare, marginals, planning, rule_index, tables
 from quire.plans import packages
 from quire.sources import views
 
@@ -122,3 +122,12 @@ def test_only_rows_with_nested_tables_are_measured_in_rounds(spark, monkeypatch)
 
     assert {k: round(v, 9) for k, v in got.items()} == {(t, r): round(height(t, r), 9) for t in range(20) for r in range(3)}
     assert max(counts) <= len(nested)
+
+
+def test_a_narrowed_profile_is_not_sorted(spark):
+    rules = spark.createDataFrame([("styles", s, "run", k, "1") for s in ("Normal", "Note") for k in ("size_pt", "bold")], "family string, item string, bucket string, property string, value string")
+    steps = [(1, "styles.Normal.size_pt", "size_pt"), (2, "styles.Normal.colour", "colour"), (3, "styles.Note.exists", "exists"), (3, "styles.Note.bold", "bold")]
+    steps = spark.createDataFrame([(d, "set_style", s, "x", p, False) for d, s, p in steps], "doc_id int, action string, source string, target string, property string, visual boolean")
+    out = planning.narrow_profile(rules, steps)
+    assert sorted((r.doc_id, r.item, r.property) for r in out.collect()) == [(1, "Normal", "size_pt"), (2, "Normal", "bold"), (2, "Normal", "size_pt"), (3, "Note", "bold"), (3, "Note", "size_pt")]
+    assert "Window" not in plan(out)
