@@ -16,8 +16,8 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("profile_id"), F.col("value").alias("raw"))
 
 
-def flatten(profiles: DataFrame) -> DataFrame:
-    """(profile_id, path, type, text, size): a row for every value of every profile.
+def values(profiles: DataFrame) -> DataFrame:
+    """(profile_id, path, at, v): a row for every value of every profile, as a variant.
 
     A path joins keys by dots; elements of arrays are ``[]`` with their number in
     ``at``, so that one pattern meets all of them. One explode per nesting level, each
@@ -34,10 +34,19 @@ def flatten(profiles: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         out.append(step)
-    rows = reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out)
+
+
+def kind_and_text() -> tuple[Column, Column]:
+    """The type of a value, and a scalar as text."""
     kind = F.schema_of_variant("v")
     named = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", "integer").when(kind == "VOID", "null").otherwise("number")
-    return rows.select("profile_id", "path", "at", named.alias("type"), F.when(named.isin("string", "boolean", "integer", "number"), F.try_variant_get("v", "$", "string")).alias("text"))
+    return named.alias("type"), F.when(named.isin("string", "boolean", "integer", "number"), F.try_variant_get("v", "$", "string")).alias("text")
+
+
+def flatten(profiles: DataFrame) -> DataFrame:
+    """(profile_id, path, at, type, text): the rows of ``values``, with their type and, of scalars, their text."""
+    return values(profiles).select("profile_id", "path", "at", *kind_and_text())
 
 
 def _fits(rule: dict) -> Column:

@@ -1,6 +1,6 @@
 """Operators whose work once outgrew their input, in small."""
 
-from quire.operators import compare, marginals, planning, rule_index, tables
+from quire.operators import compare, marginals, planning, profile_schema, rule_index, tables
 from quire.plans import packages
 from quire.sources import views
 
@@ -131,3 +131,11 @@ def test_a_narrowed_profile_is_not_sorted(spark):
     out = planning.narrow_profile(rules, steps)
     assert sorted((r.doc_id, r.item, r.property) for r in out.collect()) == [(1, "Normal", "size_pt"), (2, "Normal", "bold"), (2, "Normal", "size_pt"), (3, "Note", "bold"), (3, "Note", "size_pt")]
     assert "Window" not in plan(out)
+
+
+def test_schema_is_judged_without_a_shuffle(spark):
+    raw = '{"name":"","page":{"marginsIn":{"a/b":1,"left":2,"odd":null}},"tableRules":[{"tableIndexes":[]}],"headingNumbering":{"styles":[null]}}'
+    out = profile_schema.check_schema(spark.createDataFrame([(1, raw), (1, raw), (2, "{}")], "profile_id long, raw string"))
+    at = [("/headingNumbering/styles/0", "type"), ("/name", "length"), ("/page/marginsIn/a/b", "unknown"), ("/page/marginsIn/odd", "unknown"), ("/tableRules/0/preset", "missing"), ("/tableRules/0/tableIndexes", "items")]
+    assert sorted(tuple(r) for r in out.collect()) == sorted([(1, *x) for x in at] * 2)
+    assert "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
