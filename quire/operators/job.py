@@ -13,6 +13,7 @@ from quire.functions.text import html_to_text
 from quire.functions.units import field_kind
 from quire.operators import compare, layout, planning, rules, structure, templates
 from quire.operators import tables as three_lines
+from quire.sources.lineage import stored
 
 
 def read_specs(spark: SparkSession, path: str, html: bool = False) -> DataFrame:
@@ -127,9 +128,16 @@ def compact_json(rows: DataFrame, columns: list[str], name: str = "draft") -> Da
     return rows.withColumn(name, F.to_json(F.struct(*columns)))
 
 
-def compliance_run(blocks: DataFrame, sections: DataFrame, page: dict, wanted: tuple) -> dict[str, DataFrame]:
-    """Classified blocks, findings, issues, steps and compliance of every document."""
-    kinds = structure.classify(blocks)
+def kept_kinds(blocks: DataFrame) -> DataFrame:
+    """What findings, issues and repairs read of classified blocks, stored: texts are classified once, and take no part in what follows."""
+    kinds = structure.classify(blocks, blocks.count())
+    kept = stored(kinds.select(*[c for c in ("doc_id", "idx", "kind", "region", "keep_next", "in_table", "drawing_width_in") if c in kinds.columns]))
+    return structure.dealt(kept, kept.count())
+
+
+def compliance_run(blocks: DataFrame, sections: DataFrame, page: dict, wanted: tuple, kinds: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Classified blocks (without their texts), findings, issues, steps and compliance of every document. kinds: the classified blocks, if they are known."""
+    kinds = kept_kinds(blocks) if kinds is None else kinds
     summary = structure.summarize(kinds)
     findings = numbered_union(compare.diff_page(sections, page), compare.diff_structure(summary, wanted))
     findings = findings.withColumn("idx", F.row_number().over(W.partitionBy("doc_id").orderBy("family", "name")) - 1)
@@ -225,7 +233,8 @@ def compliance_rewrite(blocks: DataFrame, sections: DataFrame, measured, page: d
     before = compliance_run(blocks, measured(sections), page, wanted)
     plan = before["steps"].where("auto AND action = 'set_page'").select("doc_id", F.lit("page").alias("family")).distinct()
     after = standardize({"sections": sections}, {"page": page}, plan)
-    heads = layout.heading_risks(before["blocks"])
-    repaired = layout.apply_layout_repairs(blocks, heads, F.lit(6.0)).select(*blocks.columns)
-    after["blocks"] = repaired
-    return before, after, compliance_run(repaired, measured(after["sections"]), page, wanted)
+    kinds, heads = before["blocks"], layout.heading_risks(before["blocks"])
+    repair = lambda rows: layout.apply_layout_repairs(rows, heads, F.lit(6.0)).select(*rows.columns)
+    after["blocks"] = repair(blocks)
+    # Repairs change nothing that a block is classified by, so its kind stays.
+    return before, after, compliance_run(after["blocks"], measured(after["sections"]), page, wanted, repair(kinds))

@@ -5,6 +5,8 @@ Every window is over one document in the order of its blocks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,14 @@ def order():
     return W.partitionBy("doc_id").orderBy("idx")
 
 
+ROWS = 1 << 19  # blocks that one task sorts
+
+
+def dealt(blocks: DataFrame, n: int) -> DataFrame:
+    """Blocks dealt by document over partitions whose number grows with theirs (n), so that windows and groups over documents find their rows in place and sort no more of them on larger inputs."""
+    return blocks.repartition(max(blocks.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS)), "doc_id")
+
+
 def assign_sections(blocks: DataFrame) -> DataFrame:
     """section_idx: the number of section breaks before the block (a block with a break still belongs to its section)."""
     before = order().rowsBetween(W.unboundedPreceding, -1)
@@ -32,8 +42,8 @@ def enrich(blocks: DataFrame, styles: DataFrame) -> DataFrame:
     return joined.withColumn("keep_next", F.coalesce("keep_next", "_k")).drop("_d", "_s", "_k")
 
 
-def classify(blocks: DataFrame) -> DataFrame:
-    """Adds kind and region to each block.
+def classify(blocks: DataFrame, size: int | None = None) -> DataFrame:
+    """Adds kind and region to each block. size, if known: how many blocks there are, which are dealt then (see ``dealt``).
 
     A region lasts until the next anchor: a table-of-contents style, a region title
     or a chapter. Text-box rows are no anchors while the region is ``cover``, so
@@ -57,6 +67,7 @@ def classify(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("_fixed", F.when(titled, F.col("_title")).otherwise(F.coalesce(placed, heading)))
     anchor = F.when(F.col("_toc"), "toc").when(titled, F.col("_title")).when(F.col("_fixed") == "chapter", "chapter")
     rows = rows.withColumn("_anchor", anchor)
+    rows = rows if size is None else dealt(rows, size)
     w = order()
     upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     plain = F.when(~F.col("_box") | F.col("_toc"), F.col("_anchor"))

@@ -1,7 +1,8 @@
 """Operators whose work once outgrew their input, in small."""
 
-from quire.operators import compare, marginals, planning, profile_schema, rule_index, tables
+from quire.operators import compare, job, marginals, planning, profile_schema, rule_index, structure, tables
 from quire.plans import packages
+from quire.plans.compare import PAGE, measured
 from quire.sources import views
 
 
@@ -139,3 +140,22 @@ def test_schema_is_judged_without_a_shuffle(spark):
     at = [("/headingNumbering/styles/0", "type"), ("/name", "length"), ("/page/marginsIn/a/b", "unknown"), ("/page/marginsIn/odd", "unknown"), ("/tableRules/0/preset", "missing"), ("/tableRules/0/tableIndexes", "items")]
     assert sorted(tuple(r) for r in out.collect()) == sorted([(1, *x) for x in at] * 2)
     assert "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_rewrite_classifies_texts_once(spark, monkeypatch):
+    of, classified = structure.classify, []
+    monkeypatch.setattr(structure, "classify", lambda *a: classified.append(1) or of(*a))
+    blocks, sections = (views.view(spark, "/root/testdata/sf0.001", v) for v in ("v_blocks", "v_sections"))
+    before, after, run = job.compliance_rewrite(blocks, sections, measured, PAGE, (("chapter", True, 1, None),))
+    assert len(classified) == 1 and "RLIKE" not in plan(run["compliance"]) and "RLIKE" not in plan(before["compliance"])
+    again = of(after["blocks"]).select("doc_id", "idx", "kind", "region", "keep_next", "drawing_width_in")
+    kept = run["blocks"].select(*again.columns)
+    assert again.exceptAll(kept).isEmpty() and kept.exceptAll(again).isEmpty()
+
+
+def test_blocks_are_dealt_by_their_number(spark, monkeypatch):
+    blocks = views.view(spark, "/root/testdata/sf0.001", "v_blocks")
+    monkeypatch.setattr(structure, "ROWS", 10)
+    want, got = structure.classify(blocks), structure.classify(blocks, 1000)
+    assert "RepartitionByExpression" in plan(got) and "100" in plan(got)
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
