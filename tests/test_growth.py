@@ -1,6 +1,6 @@
 """Operators whose work once outgrew their input, in small."""
 
-from quire.operators import compare, job, marginals, planning, profile_schema, rule_index, structure, tables
+from quire.operators import audit, compare, job, marginals, planning, profile_schema, rule_index, structure, tables
 from quire.plans import packages
 from quire.plans.compare import PAGE, measured
 from quire.sources import views
@@ -159,3 +159,20 @@ def test_blocks_are_dealt_by_their_number(spark, monkeypatch):
     want, got = structure.classify(blocks), structure.classify(blocks, 1000)
     assert "RepartitionByExpression" in plan(got) and "100" in plan(got)
     assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_an_audit_again_leaves_out_what_has_not_changed(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k,) for k in range(6)], "doc_id long")
+    rows = docs.selectExpr("doc_id", "doc_id > 2 AS ok")
+    judged = []
+    same = audit.Family([rows], lambda t: judged.append("same") or t.selectExpr("doc_id", "'n' AS name", "ok"))
+    of = lambda t: audit.Family([t], lambda t: judged.append(plan(t)) or t.selectExpr("doc_id", "'n' AS name", "ok"))
+    for few in (100, 0):
+        monkeypatch.setattr(audit, "FEW", few)
+        path = str(tmp_path / str(few))
+        audit.audit_again(docs, {"same": same, "other": of(rows)}, path)
+        judged.clear()
+        run = audit.audit_again(docs, {"same": same, "other": of(docs.selectExpr("doc_id", "doc_id > 3 AS ok"))}, path)
+        assert len(judged) == 1 and ("broadcast" in judged[0]) == (few > 0)
+        assert {(r.doc_id, r.family) for r in run["prints"].where("judged").collect()} == {(3, "other")}
+        assert {(r.doc_id, r.family, r.ok) for r in run["findings"].collect()} == {(k, f, k > least) for k in range(6) for f, least in (("same", 2), ("other", 3))}
