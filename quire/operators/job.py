@@ -45,7 +45,7 @@ def write_run(tables: dict[str, DataFrame], path: str, force: bool = False) -> s
         if any(plain(f).startswith(plain(path)) and not plain(f).startswith(plain(path) + "run=") for f in df.inputFiles()):
             raise ValueError(f"{name} is read from {path}: input and output are the same")
     if old and not force:
-        raise FileExistsError(f"{path} holds a run")
+        raise FileExistsError(f"PATH_ALREADY_EXISTS: {path} holds a run")
     run = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{path}/run={run}/artifact={name}")
