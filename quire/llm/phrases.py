@@ -13,10 +13,15 @@ A pass before bounds what is shuffled: each task counts all grams of one to four
 in 2 ** ``bits`` hashed places (one byte each), whose sums tell, for every gram, that it can't
 reach ``least`` occurrences, or that it might. A gram is cut before the word that makes
 it rare, as if the piece ended there: it can't be part of a candidate, and all counts of
-``least`` or more stay exact. A second pass marks the words of pairs that may reach it:
-others are in no candidate, and are counted together. A full filter (some 10 ** 9 different grams) cuts less, and
+``least`` or more stay exact. A second pass counts what is left in places of another hash, where rare grams no longer
+add to others, and words only where they stand in such a pair: other words are in no candidate, and are counted
+together. A full filter (some 10 ** 9 different grams) cuts less, and
 the graph gets an edge for each different gram, but results are the same.
 
+A task sends its grams in blocks, one for each language and part of the grams' hashes; a part's blocks are
+summed together. A task tells a gram once (and again after each million different ones), so that blocks hold
+tasks times grams at most, and never more than one gram a word.
+
 Edge cases: null texts are empty, null languages ``und``, repeated rows count each.
 Texts of any length are cut at ends of pieces while they are read. An empty table has
 no phrases. Other columns are ignored. Numbers may pass 64 bits in products only, which
@@ -42,20 +47,30 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 BITS, PART = 27, 1 << 16  # places of the filter; places of one of its rows
 CHUNK = 1 << 21
 HELD = 1_000_000  # different grams that a task sums before it sends them
+PARTS = 1024  # of a language's grams; those of one are summed in memory
 PIECE = 1000  # edges of a stored stretch of a path
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + b"." * len(_ENDS) + b" ")
 _END = re.compile("[.,;:!?\n-\r]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CODEC = pa.Codec("zstd")
+_BLOCK = pa.schema({"lang": pa.string(), "part": pa.int32(), "size": pa.int32(), "grams": pa.binary(), "n": pa.binary()})
 
 
 def _size(bits: np.ndarray) -> int:
     return (8 * len(bits)).bit_length() - 1
 
 
-def _hits(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bits[place >> 3] >> (7 - (place & 7))) & 1 == 1
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of hashes in the first filter and in the second."""
+    return (h >> np.uint64(64 - bits)).astype(np.uint32), (h & np.uint64((1 << bits) - 1)).astype(np.uint32)
+
+
+def _hits(h: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
+    hit = np.ones(len(h), bool)
+    for bits, place in zip(filters, _places(h, _size(filters[0])) if filters else (), strict=False):
+        hit &= (bits[place >> 3] >> (7 - (place & 7))) & 1 == 1
+    return hit
 
 
 class Chunk:
@@ -76,31 +91,39 @@ class Chunk:
         self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
         self.start = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
 
-    def places(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length from one up: the words that begin so long a gram, and the filter's place of it."""
-        at = np.flatnonzero(self.left)
+    def begun(self, filters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length from one up: the words that begin so long a gram without a part that filters call rare, and its hash."""
+        at, shorter = np.flatnonzero(self.left), np.ones(len(self.ids), bool)
         h = np.full(len(at), self.start)
         for k in range(LONGEST):
             more = self.left[at] > k
+            more[more] = shorter[at[more] + (k > 0)]
             at, h = at[more], h[more]
             h = mix(h * _ODD + self.hashes[self.ids[at + k]])
-            yield at, (h >> np.uint64(64 - bits)).astype(np.uint32)
-
-    def paired(self, frequent: np.ndarray) -> np.ndarray:
-        """Places of the words that stand in a pair which may be frequent."""
-        words, pairs = list(self.places(_size(frequent)))[:2]
-        of = np.zeros(len(self.ids), np.uint32)
-        of[words[0]] = words[1]
-        first = pairs[0][_hits(frequent, pairs[1])]
-        return np.unique(of[np.concatenate([first, first + 1])])
+            if filters:
+                hit = _hits(h, filters)
+                at, h = at[hit], h[hit]
+                shorter = np.zeros(len(self.ids), bool)
+                shorter[at] = True
+            yield at, h
+
+    def places(self, bits: int, filters: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """The places of all grams in the first filter; after it, in the second: of those that it leaves, and of words within its pairs."""
+        if not filters:
+            for _, h in self.begun([]):
+                yield _places(h, bits)[0]
+            return
+        (words, of), (pairs, h), *longer = self.begun(filters)
+        within = np.zeros(len(self.ids), bool)
+        within[pairs] = within[pairs + 1] = True
+        for x in (of[within[words]], h, *(x for _, x in longer)):
+            yield _places(x, bits)[1]
 
-    def grams(self, frequent: np.ndarray, paired: np.ndarray) -> Iterator[tuple[bytes, int]]:
+    def grams(self, filters: list[np.ndarray]) -> Iterator[tuple[bytes, int]]:
         """The longest gram from each word that holds no rare one, and its number; '' for words in no frequent pair."""
         length = np.zeros(len(self.ids), np.int64)
-        for k, (at, place) in enumerate(self.places(_size(frequent))):
-            hit = at[_hits(frequent if k else paired, place)]
-            hit = hit[length[hit] == k]
-            length[hit] = k + 1
+        for k, (at, _) in enumerate(self.begun(filters)):
+            length[at] = k + 1
         at = np.flatnonzero(self.left)
         if rare := int((length[at] == 0).sum()):
             yield b"", rare
@@ -144,15 +167,15 @@ def _unzipped(data: bytes, n: int, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(_CODEC.decompress(data, n * kind.itemsize, asbytes=True), kind)
 
 
-def _tallied(least: int, bits: int):
-    """Sums of a task in the filter's places, up to ``least``."""
+def _tallied(least: int, bits: int, before):
+    """Sums of a task in a filter's places, up to ``least``; before: broadcast filters that what is counted has passed."""
     kind, size = np.min_scalar_type(least), min(PART, 1 << bits)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for chunk in _chunks(batches):
             sums = np.zeros(1 << bits, kind) if sums is None else sums
-            for _, place in chunk.places(bits):
+            for place in chunk.places(bits, [x.value for x in before]):
                 place, times = np.unique(place, return_counts=True)
                 sums[place] = np.minimum(sums[place] + times, least)
         if sums is None:
@@ -181,38 +204,10 @@ def _tallied(least: int, bits: int):
     return tally, total
 
 
-def _marked(frequent, bits: int):
-    """The places of words in pairs that may be frequent; frequent: a broadcast filter."""
-    size = min(PART, 1 << bits)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = None
-        for chunk in _chunks(batches):
-            marks = np.zeros(1 << bits, np.uint8) if marks is None else marks
-            marks[chunk.paired(frequent.value)] = 1
-        for part in range((1 << bits) // size if marks is not None else 0):
-            own = marks[part * size : (part + 1) * size]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["part", "bits"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, marks = None, None
-        told = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([marks.tobytes()], pa.binary())], ["part", "bits"])
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["part"] != part:
-                    if marks is not None:
-                        yield told()
-                    part, marks = row["part"], np.zeros(size // 8, np.uint8)
-                marks |= np.frombuffer(row["bits"], np.uint8)
-        if marks is not None:
-            yield told()
-
-    return mark, total
-
-
-def _gathered(parts: DataFrame, bits: int) -> np.ndarray:
-    """The rows (part, bits) of a filter as one array, of a size that ``bits`` sets."""
+def maybe_frequent(rows: DataFrame, least: int = LEAST, bits: int = BITS, before=()) -> np.ndarray:
+    """A filter's bits (16 MiB, whatever the corpus): whether a place has ``least`` occurrences of grams that pass those before."""
+    tally, total = _tallied(least, bits, before)
+    parts = rows.mapInArrow(tally, "part int, sums binary").repartition("part").sortWithinPartitions("part").mapInArrow(total, "part int, bits binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
     for row in parts.collect():
         own = np.frombuffer(row.bits, np.uint8)
@@ -220,43 +215,64 @@ def _gathered(parts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def paired_words(rows: DataFrame, frequent, bits: int = BITS) -> np.ndarray:
-    """The filter's bits of words that stand in a pair which may be frequent: others are in no candidate."""
-    mark, total = _marked(frequent, bits)
-    return _gathered(rows.mapInArrow(mark, "part int, bits binary").repartition("part").sortWithinPartitions("part").mapInArrow(total, "part int, bits binary"), bits)
+def _blocks(lang: str, grams: Counter) -> Iterator[dict]:
+    """A task's grams of a language by part, sorted and packed; words hold no line breaks."""
+    import xxhash
 
+    parts: dict[int, list[bytes]] = {}
+    for g in grams:
+        parts.setdefault(xxhash.xxh3_64_intdigest(g) % PARTS, []).append(g)
+    for part, own in parts.items():
+        own.sort()
+        text = b"\n".join(own)
+        yield {"lang": lang, "part": part, "size": len(text), "grams": _CODEC.compress(text, asbytes=True), "n": _zipped(np.array([grams[g] for g in own], np.int64))}
 
-def maybe_frequent(rows: DataFrame, least: int = LEAST, bits: int = BITS) -> np.ndarray:
-    """The filter's bits (16 MiB, whatever the corpus): whether a place has ``least`` occurrences of grams."""
-    tally, total = _tallied(least, bits)
-    parts = rows.mapInArrow(tally, "part int, sums binary").repartition("part").sortWithinPartitions("part").mapInArrow(total, "part int, bits binary")
-    return _gathered(parts, bits)
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of blocks that come by language and part."""
+    key, sums = None, Counter()
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(sums), pa.string()), pa.array([g.decode("utf-8", "surrogatepass") for g in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["lang", "gram", "n"])
+
+    for batch in batches:
+        for block in map(lambda i: {c: batch.column(c)[i].as_py() for c in _BLOCK.names}, range(batch.num_rows)):
+            if (block["lang"], block["part"]) != key:
+                if key:
+                    yield told()
+                key, sums = (block["lang"], block["part"]), Counter()
+            own = _CODEC.decompress(block["grams"], block["size"], asbytes=True).split(b"\n")
+            for g, n in zip(own, _unzipped(block["n"], len(own), np.dtype(np.int64)).tolist(), strict=True):
+                sums[g] += n
+    if key:
+        yield told()
 
 
 def graph(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, bits: int = BITS) -> DataFrame:
     """(lang, gram, n), stored: edges of four words and, shorter, the corrections at ends; '' counts the words that are in no frequent pair."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     context = rows.sparkSession.sparkContext
-    frequent = context.broadcast(maybe_frequent(rows, least, bits))
-    paired = context.broadcast(paired_words(rows, frequent, bits))
+    filters = [context.broadcast(maybe_frequent(rows, least, bits))]
+    filters.append(context.broadcast(maybe_frequent(rows, least, bits, tuple(filters))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
 
         def told():
-            out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([g.decode("utf-8", "surrogatepass") for _, g in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "gram", "n"])
+            for lang, grams in held.items():
+                yield pa.RecordBatch.from_pylist(list(_blocks(lang, grams)), _BLOCK)
             held.clear()
-            return out
 
         for chunk in _chunks(batches):
-            for gram, n in chunk.grams(frequent.value, paired.value):
-                held[chunk.lang, gram] += n
-            if len(held) > HELD:
-                yield told()
-        if held:
-            yield told()
-
-    return stored(rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+            of = held.setdefault(chunk.lang, Counter())
+            for gram, n in chunk.grams([x.value for x in filters]):
+                of[gram] += n
+            if sum(map(len, held.values())) > HELD:
+                yield from told()
+        yield from told()
+
+    blocks = rows.mapInArrow(count, "lang string, part int, size int, grams binary, n binary").repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return stored(blocks.mapInArrow(_summed, "lang string, gram string, n long"))
 
 
 def _words(c: str) -> Column:

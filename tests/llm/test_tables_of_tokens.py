@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,33 @@ def test_collocations_match_brute_force(spark, bits):
     assert sorted(tuple(r) for r in phrases.collocations(df, least=8, top=3, bits=bits).collect()) == brute(rows, 8, top=3)
 
 
+def test_rare_grams_that_share_places_are_cut(spark):
+    """16,000 rare grams, four times each, in 16,384 places, of which most that have any get eight; 3,568 were left before the second filter."""
+    rare = " ".join(f"w{i}" for i in range(4000))
+    rows = [(i, f"{rare}. in order to go" if i < 4 else "in order to go", "en") for i in range(10)]
+    got = {(r.gram, r.n) for r in phrases.graph(docs_of(spark, rows).repartition(2), least=8, bits=14).collect()}
+    assert {x for x in got if x[0].startswith("in ")} == {("in order to go", 10)}
+    assert sum(n for g, n in got) == 4 * 4000 + 10 * 4
+    assert len(got) < 1000, len(got)
+
+
+def test_a_task_sends_blocks_of_grams(monkeypatch):
+    """Rows between count and sum depend on the parts, not on the grams."""
+    monkeypatch.setattr(phrases, "PARTS", 8)
+    rng, want, blocks = random.Random(5), Counter(), []
+    for _ in range(3):
+        grams = Counter({f"w{rng.randrange(9000)} état\u00a0\x00".encode(): rng.randint(1, 1 << 40) for _ in range(5000)} | {b"": 7})
+        want.update(grams)
+        own = list(phrases._blocks("en", grams))
+        assert len(own) <= 8
+        blocks += own
+    blocks.sort(key=lambda b: b["part"])
+    cut = len(blocks) // 2
+    got = list(phrases._summed(iter([pa.RecordBatch.from_pylist(x, phrases._BLOCK) for x in (blocks[:cut], blocks[cut:])])))
+    told = [(r["gram"].encode(), r["n"]) for b in got for r in b.to_pylist()]
+    assert len(got) == len({b["part"] for b in blocks}) and len(told) == len(dict(told)) and dict(told) == want
+
+
 def test_paths_hold_each_edge_once(spark):
     rng = random.Random(9)
     grams = Counter()
