@@ -1,10 +1,10 @@
 """Blocks against a table of literal rules, however many there are (F-1).
 
 Each task gets the different literals once, as a trie whose edges are words of eight
-bytes, and looks up many places of its texts together. A text leaves the task with keys
-of the literals that it holds, and Spark joins the rules of each key, so that what a text
-takes grows with its length; only the rows of the result grow with rules times texts.
-These are not shuffled, and texts are dealt so that a task makes no more of them for more rules.
+bytes, and looks up many places of its texts together. Keys of the literals leave the
+task with the blocks that hold them, and Spark joins the rules of each key, so that what
+a text takes grows with its length; only the rows of the result grow with rules times
+texts. These are not shuffled, and texts are dealt so that a task makes no more of them for more rules.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from quire.sources.lineage import stored
 KINDS = ("textContains", "startsWith", "textEquals")
 MOST_RULES, MOST_CHARS = 1 << 20, 1 << 25  # rules, and characters of them, that one scan of the blocks takes along
 PAIRS = 1 << 35  # rules times blocks that one task takes on
-MOST_BYTES, MOST_KEYS = 1 << 20, 1 << 20  # bytes of the texts that are looked up together, and keys that leave together; a text with more is alone
+MOST_BYTES, MOST_KEYS = 1 << 22, 1 << 20  # bytes of the texts that are looked up together, and keys that leave together; a text with more is alone
+MOST_ROWS = 1 << 15  # rows of the result that come of one row of a task and one of the rules
 PLACES = 1 << 17  # places that are looked up together
 _MASK = np.array([0xFFFFFFFFFFFFFFFF, *((1 << 8 * t) - 1 for t in range(1, 9))], "<u8")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -163,11 +164,13 @@ class Keys:
         pairs = np.unique(literal << 32 | key)
         self.key, self.first = (pairs & 0xFFFFFFFF).astype(np.int32), np.searchsorted(pairs, np.arange(self.n + 1) << 32)
         _, once = np.unique(key << 32 | rule, return_index=True)
-        keys, begin = np.unique(key[once], return_index=True)
-        self.rules = pa.table({"key": pa.array(keys.astype(np.int32)), "rules": pa.ListArray.from_arrays(np.append(begin, len(once)).astype(np.int32), name.take(pa.array(once)))})
+        key = key[once]
+        self.rules_of = np.bincount(key)
+        at = _cuts(key, MOST_ROWS)
+        self.rules = pa.table({"key": pa.array(key[at].astype(np.int32)), "rules": _lists(at, name.take(pa.array(once)))})
 
-    def of(self, texts: pa.Array) -> Iterator[tuple[int, pa.ListArray]]:
-        """(the first text, the keys of this and the next ones, each once): all texts, in order."""
+    def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, where their texts begin, texts by key): each text once for a key, and no more texts for one than make MOST_ROWS with its rules."""
         row, literal = self.index.hits(*_bytes(texts))
         pairs = np.sort(row.astype(np.int64) << 32 | literal)
         pairs = pairs[np.diff(pairs, prepend=-1) > 0]
@@ -177,10 +180,22 @@ class Keys:
         for a, b in _slices(ends[at], MOST_KEYS):
             some, m = slice(at[a], at[b]), n[at[a] : at[b]]
             which = np.repeat(self.first[literal[some]] - ends[some], m) + np.arange(ends[at[a]], ends[at[b]])
-            keys = np.sort(np.repeat(pairs[some] >> 32, m) << 32 | self.key[which])
+            keys = np.sort(self.key[which].astype(np.int64) << 32 | np.repeat(pairs[some] >> 32, m))
             keys = keys[np.diff(keys, prepend=-1) > 0]  # a rule may be found by several of its literals
-            offsets = np.searchsorted(keys, np.arange(a, b + 1) << 32)
-            yield a, pa.ListArray.from_arrays(offsets.astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32))
+            key = keys >> 32
+            begin = _cuts(key, np.maximum(1, MOST_ROWS // self.rules_of[key]))
+            yield key[begin], begin, keys & 0xFFFFFFFF
+
+
+def _cuts(key: np.ndarray, most: int | np.ndarray) -> np.ndarray:
+    """Where sorted keys change, and where one goes on for so many."""
+    begin = np.flatnonzero(np.diff(key, prepend=-1))
+    place = np.arange(len(key)) - np.repeat(begin, np.diff(begin, append=len(key)))
+    return np.flatnonzero(place % most == 0)
+
+
+def _lists(begin: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.append(begin, len(values)).astype(np.int32), values)
 
 
 def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -202,7 +217,7 @@ def match_rule_table(blocks: DataFrame, rules: DataFrame, text_col: str = "text"
     n, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.length("literal")), F.lit(0))).first()
     parts = max(1, math.ceil(n / most_rules), math.ceil(chars / most_chars))
     types = dict(blocks.dtypes)
-    schema = f"doc_id {types['doc_id']}, idx {types['idx']}, keys array<int>"
+    schema = f"key int, docs array<{types['doc_id']}>, idxs array<{types['idx']}>"
     spark, out = blocks.sparkSession, None
     cores = spark.sparkContext.defaultParallelism
     tasks = cores * max(1, math.ceil(blocks.count() * n / parts / PAIRS / cores))
@@ -217,10 +232,11 @@ def match_rule_table(blocks: DataFrame, rules: DataFrame, text_col: str = "text"
             for batch in batches:
                 sizes = pc.binary_length(batch.column("text")).to_numpy()
                 for a, b in _slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), MOST_BYTES):
-                    for c, found in shared.value.of(batch.column("text").slice(a, b - a)):
-                        yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a + c, len(found)) for x in ("doc_id", "idx")), found], ["doc_id", "idx", "keys"])
+                    for key, begin, of in shared.value.of(batch.column("text").slice(a, b - a)):
+                        at = pa.array(a + of)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(_lists(begin, batch.column(x).take(at)) for x in ("doc_id", "idx"))], ["key", "docs", "idxs"])
 
-        found = rows.mapInArrow(match, schema).select("doc_id", "idx", F.explode("keys").alias("key"))
-        more = found.join(F.broadcast(of_key), "key").select("doc_id", "idx", F.explode("rules").alias("rule"))
+        found = rows.mapInArrow(match, schema).join(F.broadcast(of_key), "key").select("docs", "idxs", F.explode("rules").alias("rule"))
+        more = found.select("idxs", "rule", F.posexplode("docs").alias("at", "doc_id")).select("doc_id", F.get("idxs", "at").alias("idx"), "rule")
         out = more if out is None else out.unionAll(more)
     return out  # all literals of a rule are in one part, so no hit comes twice, and hits, which may be many, are not shuffled

@@ -1,5 +1,8 @@
 """Operators whose work once outgrew their input, in small."""
 
+from collections import defaultdict
+
+import numpy as np
 import pyarrow as pa
 
 from quire.operators import audit, compare, job, marginals, planning, profile_schema, rule_index, structure, tables
@@ -98,25 +101,32 @@ def test_rules_of_one_literal_leave_a_task_as_one_key(spark, monkeypatch):
     blocks = spark.createDataFrame([(d, 0, "aa  bb") for d in range(20)], "doc_id int, idx int, text string")
     rules = spark.createDataFrame([(f"r{i}", "textContains", "a b") for i in range(1000)] + [("x", "startsWith", "b")], "rule string, kind string, literal string")
     out = rule_index.match_rule_table(blocks, rules)
-    assert "keys#" in plan(out) and out.rdd.getNumPartitions() >= 20  # tasks grow with rules times blocks
+    assert "docs#" in plan(out) and out.rdd.getNumPartitions() >= 20  # tasks grow with rules times blocks
     assert sorted(map(tuple, out.collect())) == sorted((d, 0, f"r{i}") for d in range(20) for i in range(1000))
     texts = pa.array(["aa bb", "", "ba", "a b" * 1000])
     keys = rule_index.Keys(rules.toArrow())
-    assert [(a, [len(x) for x in found.to_pylist()]) for a, found in keys.of(texts)] == [(0, [1, 0, 1, 1])]
+    assert [[x.tolist() for x in found[1:]] for found in keys.of(texts)] == [[[0, 2], [0, 3, 2]]]
+    monkeypatch.setattr(rule_index, "MOST_ROWS", 300)  # rows of the result that come of one row and one row of the rules
+    keys = rule_index.Keys(rules.toArrow())
+    assert sorted(len(x) for x in keys.rules["rules"].to_pylist()) == [1, 100, 300, 300, 300] and [len(found[0]) for found in keys.of(texts)] == [3]
 
 
 def test_literals_are_found_by_words_of_eight_bytes(spark, monkeypatch):
     """Literals of all lengths, in texts that end anywhere, and rules that have several."""
     monkeypatch.setattr(rule_index, "PLACES", 5)
     monkeypatch.setattr(rule_index, "MOST_KEYS", 7)
+    monkeypatch.setattr(rule_index, "MOST_ROWS", 3)
     text = "aé摘𝒳 ab\0abcabcdabcde摘摘摘abcdefgh"
     texts = ["", *(text[:k] for k in range(1, len(text) + 1)), *(text[k:] for k in range(len(text)))]
     literals = ["", "zz", "\0", *{text[a:b] for a in range(0, len(text), 3) for b in range(a + 1, len(text) + 1)}]
     said = [(f"r{i % 60}", kind, x) for i, x in enumerate(literals) for kind in rule_index.KINDS]
     tests = {"textContains": lambda t, v: v in t, "startsWith": lambda t, v: t.startswith(v), "textEquals": lambda t, v: t == v}
     keys = rule_index.Keys(pa.Table.from_pydict(dict(zip(("rule", "kind", "literal"), map(list, zip(*said, strict=True)), strict=True))))
-    of = dict(zip(keys.rules["key"].to_pylist(), keys.rules["rules"].to_pylist(), strict=True))
-    got = [(a + i, r) for a, found in keys.of(pa.array(["ab", *texts]).slice(1)) for i, x in enumerate(found.to_pylist()) for k in x for r in of[k]]
+    of = defaultdict(list)
+    for key, names in zip(keys.rules["key"].to_pylist(), keys.rules["rules"].to_pylist(), strict=True):
+        of[key] += names
+    pieces = [(k, x.tolist()) for key, begin, rows in keys.of(pa.array(["ab", *texts]).slice(1)) for k, x in zip(key.tolist(), np.split(rows, begin[1:]), strict=True)]
+    got = [(i, r) for k, x in pieces for i in x for r in of[k]]
     assert sorted(got) == sorted({(i, r) for i, t in enumerate(texts) for r, kind, v in said if tests[kind](t, v)})
 
 
